@@ -17,5 +17,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM judged GROUP BY doc_id"""
 
 
+def substring_dedup(documents: str = "documents", window: int = 50) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+           FROM {documents}),
+wins AS (SELECT doc_id, p, md5(array_to_string(w[p : p + {window} - 1], ' ')) AS h
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window} + 2)) AS p FROM w)),
+firsts AS (SELECT h, min(doc_id) AS f FROM wins GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT DISTINCT wins.doc_id, p + unnest(range(0, {window})) AS i FROM wins JOIN firsts USING (h) WHERE wins.doc_id > f),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT each.doc_id, count(*) AS n, count(hits.i) AS gone,
+         string_agg(word, ' ' ORDER BY each.i) FILTER (WHERE hits.i IS NULL) AS t
+         FROM each LEFT JOIN hits ON each.doc_id = hits.doc_id AND each.i = hits.i GROUP BY each.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup()}
+    return {"op7_substring_dedup": substring_dedup(), "op10_line_dedup": line_dedup()}
