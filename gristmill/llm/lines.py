@@ -124,8 +124,8 @@ def repeated_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFr
             yield pa.RecordBatch.from_arrays([digests, pa.array(ids[hit], pa.int64())], ["key", "doc_id"])
 
     rows = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(suspect, "key binary, doc_id long"), "suspects")
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(first, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return rows.join(written(first, "first_lines"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFrame:
