@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import lines, packing, substrings
+from gristmill.llm import lines, packing, spans, substrings
 from gristmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op5_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest_documents(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_substrings(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -31,4 +35,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_best_fit_packing, op7_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_sentencepiece_spans, op7_substring_dedup, op10_line_dedup)}
