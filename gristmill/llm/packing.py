@@ -133,7 +133,7 @@ def pack(made: DataFrame, capacity: int = 1024, documents: int = 1024, attention
     def place(pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         sequence, offset = best_fit(pdf["length"].to_numpy(), (capacity, documents, attention), by=by)
-        return pdf.assign(sequence_id=(pdf["grp"].astype("int64") << 32) + sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return pdf.assign(sequence_id=pdf["grp"].astype("int64") * (1 << 32) + sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     placed = part.groupBy("grp").applyInPandas(place, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import lines, packing, spans, substrings
+from gristmill.llm import lines, packing, spans, substrings, toxicity
 from gristmill.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest_documents(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.learn(docs, spark.read.parquet(table(sf_dir, "labels"))))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_substrings(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -35,4 +40,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_sentencepiece_spans, op7_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
