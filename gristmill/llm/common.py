@@ -37,6 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key may be in ids, rows whose key is surely not in ids or is null).
+
+    A bitmap of hashed keys, bits / 64 rows of 64 bits at most whatever the input, is broadcast to the scan, so
+    that a following join has to shuffle only the first part. When the bitmap fills up that part grows; nothing
+    is lost.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    mask = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    words = ids.select(place.alias("_place")).select(F.expr("shiftright(_place, 6)").alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_held"))
+    marked = docs.withColumn("_place", place).withColumn("_word", F.expr("shiftright(_place, 6)")).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_held").bitwiseAND(mask) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(32))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mix64, written
+from gristmill.llm.common import mix64, split_by_ids, written
 
 #: Bits of each filter and of each slice of it; probes for a key.
 BITS, SLICE, PROBES = 1 << 25, 1 << 19, 2
@@ -130,8 +130,10 @@ def repeated_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFr
 
 def drop_repeated_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (the lines that stay, joined by \\n), kept_sha256 of every document."""
-    dropped = repeated_lines(docs, least, bits)
-    both = docs.select(F.col("doc_id").cast("long"), "text").join(dropped, "doc_id", "left")
+    dropped = written(repeated_lines(docs, least, bits), "dropped")
+    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), dropped)
+    whole = never.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("keys"))
+    both = maybe.join(dropped, "doc_id", "left")
 
     def keep(batches):
         for batch in batches:
@@ -154,4 +156,5 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, bits: int = BITS) -> D
                 ["doc_id", "n_lines", "n_dropped", "text", "kept_sha256"],
             )
 
-    return both.mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string")
+    schema = "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string"
+    return both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema))

@@ -5,8 +5,11 @@ level two extends only these to twice the length and keeps those that occur in t
 repeat is a run of such windows, so no candidate needs a third level. Level one does not have to look at every
 position: every full window is represented by its smallest half-window hash (all positions that tie for it),
 which equal windows choose alike, so a repeated window always meets its copy through that one. About a
-thirteenth of the positions is shuffled at level one, and at level two only windows whose representative
-survived.
+thirteenth of the positions is shuffled at level one.
+
+Along goes a hash of all the words that the windows represented by a half-window can hold. If it is the same
+wherever the half-window occurs, all these windows are repeats at once, and only the half-window's hash is handed
+on; windows are extended and shuffled one by one only around half-windows whose surroundings differ.
 
 A hash of 128 bits stands for a full window; half-windows, which only select, have 64 bits.
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Roller, Words, mix64, signed, texts, written
+from gristmill.llm.common import Roller, Words, mix64, signed, split_by_ids, texts, written
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -58,16 +61,20 @@ class Windows:
         least[owner[: n - w + 1] != owner[w - 1 :]] = _TOP
         return halves, least
 
-    def anchors(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, owner) of the half-windows that represent a window."""
+    def anchors(self, hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, hash of the surroundings, owner) of the half-windows that represent a window."""
         halves, least = self.half_hashes(hashes, owner)
         if not len(least):
-            return least, owner[:0]
+            return least, least, owner[:0]
         reach = self.window - self.half
         low = np.where(least == _TOP, np.uint64(0), least)
         low = np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)])
         chosen = np.flatnonzero(_sliding(low, reach + 1, np.maximum) == halves)
-        return halves[chosen], owner[chosen]
+        whose = owner[chosen]
+        start = np.maximum(chosen - reach, counts[whose])
+        end = np.minimum(chosen + self.window, counts[whose + 1])
+        around = mix64(self.far.ranges(self.far.sums(mix64(hashes)), start, end) + (chosen - start).astype(np.uint64))
+        return halves[chosen], around, whose
 
     def full(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of the windows that start at the positions."""
@@ -75,23 +82,27 @@ class Windows:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, gone array<long>): hashes of the windows of each document that a smaller doc_id holds too."""
+    """(doc_id, halves array<long>, gone array<long>): the repeats of each document that a smaller doc_id holds too.
+
+    ``halves`` has half-windows all of whose windows are repeats, ``gone`` the hashes of single windows.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
 
     def level_one(batches):
         made = Windows(window)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in texts(batch.column(1)):
-                hashes, owner, _ = made.words.of(data, offsets)
-                found, whose = made.anchors(hashes, owner)
+            for lo, _, data, offsets in texts(batch.column(1)):
+                found, around, whose = made.anchors(*made.words.of(data, offsets))
                 if len(found):
-                    rows = np.unique(np.stack([signed(found), ids[lo + whose]]), axis=1) if hi - lo > 1 else np.stack([np.unique(signed(found)), np.full(len(np.unique(found)), ids[lo])])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["half", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(signed(around)), pa.array(ids[lo + whose])], ["half", "around", "doc_id"])
 
-    halves = written(base.mapInArrow(level_one, "half long, doc_id long"), "halves")
-    twice = halves.groupBy("half").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("half")
-    alive = halves.join(twice, "half").groupBy("doc_id").agg(F.collect_set("half").alias("alive"))
+    halves = written(base.mapInArrow(level_one, "half long, around long, doc_id long"), "halves")
+    twice = halves.groupBy("half").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") != F.max("around")).alias("mixed")).where("first < last").drop("last")
+    alive = written(halves.select("half", "doc_id").join(written(twice, "twice"), "half").where("mixed OR doc_id > first").groupBy("doc_id").agg(
+        F.collect_set(F.when(~F.col("mixed"), F.col("half"))).alias("halves"), F.collect_set(F.when(F.col("mixed"), F.col("half"))).alias("alive")), "alive")
+    mixed = alive.where("size(alive) > 0").select("doc_id", "alive")
+    extended, _ = split_by_ids(base, mixed)
 
     def level_two(batches):
         made = Windows(window)
@@ -114,9 +125,10 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
                     near, far = made.full(hashes, at)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(near)), pa.array(signed(far)), pa.array(ids[lo + owner[at]])], ["near", "far", "doc_id"])
 
-    full = written(base.join(alive, "doc_id").mapInArrow(level_two, "near long, far long, doc_id long"), "windows")
+    full = written(extended.join(mixed, "doc_id").mapInArrow(level_two, "near long, far long, doc_id long"), "windows")
     first = full.groupBy("near", "far").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return full.join(first, ["near", "far"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("near").alias("gone"))
+    gone = full.join(written(first, "first_windows"), ["near", "far"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("near").alias("gone"))
+    return alive.select("doc_id", "halves").join(gone, "doc_id", "left").where("size(halves) > 0 OR gone IS NOT NULL")
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -125,21 +137,24 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     ``text`` is the input, unchanged, where nothing is removed; else the kept words joined by one space.
     ``kept_sha256`` is always that of the kept words joined by one space.
     """
-    gone = repeated_windows(docs, window)
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
+    gone = written(repeated_windows(docs, window), "gone")
+    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone)
+    whole = never.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("halves"), F.lit(None).cast("array<bigint>").alias("gone"))
+    both = maybe.join(gone, "doc_id", "left")
 
     def keep(batches):
         made = Windows(window)
         for batch in batches:
             n_words, n_removed, kept, sums = [], [], [], []
-            for text, gone in zip(batch.column("text").cast(pa.large_binary()), batch.column("gone")):
+            for text, halves, gone in zip(batch.column("text").cast(pa.large_binary()), batch.column("halves"), batch.column("gone")):
                 whole = text.as_py() or b""
                 words = whole.split()
                 removed = 0
-                if gone.is_valid and len(words) >= window:
-                    hashes, _, _ = made.words.of(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
-                    at = np.arange(len(words) - window + 1)
-                    hit = np.isin(made.near.ranges(made.near.sums(hashes), at, at + window), gone.values.to_numpy().view(np.uint64))
+                if halves.is_valid and len(words) >= window:
+                    hashes, owner, _ = made.words.of(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+                    hit = np.isin(made.half_hashes(hashes, owner)[1], halves.values.to_numpy().view(np.uint64))
+                    if gone.is_valid:
+                        hit |= np.isin(made.full(hashes, np.arange(len(words) - window + 1))[0], gone.values.to_numpy().view(np.uint64))
                     edges = np.zeros(len(words) + 1, np.int64)
                     edges[:-window][hit] += 1
                     edges[window:][hit] -= 1
@@ -155,4 +170,5 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "text", "kept_sha256"],
             )
 
-    return both.mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
+    return both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema))
