@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import lines, packing, spans, substrings, toxicity
+from gristmill.llm import lines, packing, quality, spans, substrings, toxicity
 from gristmill.llm.common import table
 
 
@@ -18,6 +18,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.scored(docs, quality.learn(docs, spark.read.parquet(table(sf_dir, "labels"))))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -40,4 +45,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
