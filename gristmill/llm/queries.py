@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import lines, neardup, packing, quality, spans, substrings, toxicity
+from gristmill.llm import lines, neardup, packing, quality, spans, substrings, toxicity, vectors
 from gristmill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(spark.read.parquet(table(sf_dir, "embeddings")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality.scored(docs, quality.learn(docs, spark.read.parquet(table(sf_dir, "labels"))))
@@ -49,4 +53,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
