@@ -48,9 +48,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_substrings(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(spark.read.parquet(table(sf_dir, "embeddings")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op9_embedding_near_dedup, op10_line_dedup)}
