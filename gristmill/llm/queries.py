@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import lines, neardup, packing, quality, spans, substrings, toxicity, vectors
+from gristmill.llm import licenses, lines, neardup, packing, quality, spans, substrings, toxicity, vectors
 from gristmill.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_substrings(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(spark.read.parquet(table(sf_dir, "embeddings")))
 
@@ -57,4 +61,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op9_embedding_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op8_license_scan, op9_embedding_near_dedup, op10_line_dedup)}
