@@ -127,7 +127,7 @@ def a25_rollup(spark, sf_dir):
     return rows.groupingSets([["keyword"], ["place"]], "keyword", "place").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.round(F.count_if(F.col("position") > 1) / F.count("*"), 6).alias("filled"))
 
 
-SPANS = "s AS (SELECT user_id, (epoch(ts) // 60)::BIGINT AS lo, (epoch(ts) // 60)::BIGINT + floor(value * 10)::BIGINT AS hi FROM events)"
+SPANS = "s AS (SELECT user_id, floor(epoch(ts) / 60)::BIGINT AS lo, floor(epoch(ts) / 60)::BIGINT + floor(value * 10)::BIGINT AS hi FROM events)"
 ISLANDS = "m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY user_id ORDER BY lo, hi) = 1 THEN 1 ELSE 0 END AS fresh FROM s WHERE lo < hi), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m), l AS (SELECT user_id, island, max(hi) - min(lo) AS len FROM i GROUP BY 1, 2)"
 
 
@@ -141,7 +141,7 @@ def a26_interval_union(spark, sf_dir):
     return funnels.islands(_spans(spark, sf_dir), ["user_id"], "lo", "hi")
 
 
-@query(f"WITH {SPANS.replace('user_id, (epoch', 'event_type AS user_id, (epoch').replace('value * 10', 'value * 0.2')}, {ISLANDS} SELECT user_id AS event_type, sum(len) AS busy FROM l GROUP BY 1")
+@query(f"WITH {SPANS.replace('user_id, floor(epoch', 'event_type AS user_id, floor(epoch').replace('value * 10', 'value * 0.2')}, {ISLANDS} SELECT user_id AS event_type, sum(len) AS busy FROM l GROUP BY 1")
 def a27_busy_time(spark, sf_dir):
     minute = F.floor(F.unix_timestamp("ts") / 60)
     spans = table(spark, sf_dir, "events").select("event_type", minute.alias("lo"), (minute + F.floor(F.col("value") * 0.2)).alias("hi"))
