@@ -351,3 +351,14 @@ def q7_core_families(spark, sf_dir):
 @query(_guard("n >= 100"))
 def q8_fail_open(spark, sf_dir):
     return fail_open(_candidates(spark, sf_dir), F.col("n") >= 100).select("person", "q")
+
+
+@query()
+def m22_redundancy_deferral(spark, sf_dir):
+    """The budget order with keywords behind whose listings an earlier keyword mostly buys."""
+    hit = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("title"), k))
+    titles = market_rows(spark, sf_dir).groupBy("title").agg(F.count("*").alias("n")).select("n", hit.alias("hit"))
+    size = titles.select("n", F.explode("hit").alias("a")).groupBy("a").agg(F.sum("n").alias("size"))
+    both = titles.select("n", F.explode("hit").alias("a"), "hit").select("n", "a", F.explode("hit").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("both"))
+    overlap = both.join(size, "a").select(F.lit("all").alias("person"), "a", "b", (F.col("both") / F.col("size")).alias("share"))
+    return market.deferred(m21_budget_order(spark, sf_dir), overlap)
