@@ -203,10 +203,10 @@ def e27_month_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.regexp_extract(text, r"(\d{4})", 1).cast("long") * 12 + number).alias("month_index"))
 
 
-@query("SELECT p_partkey, list_filter(l, lambda x, i: list_position(l, x) = i)[1:2] AS items FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS l FROM part)")
+@query("SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:2], '; ') AS items FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS l FROM part)")
 def e28_list_hygiene(spark, sf_dir):
     words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_name")), " ")
-    return table(spark, sf_dir, "part").select("p_partkey", F.slice(F.array_distinct(words), 1, 2).alias("items"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_distinct(words), 1, 2), "; ").alias("items"))
 
 
 # ---- filters -----------------------------------------------------------------------------------------------------------------
@@ -331,13 +331,13 @@ def f19_candidates(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'score' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'age' WHEN o_orderstatus = 'P' THEN 'years' ELSE 'kept' END AS reason FROM orders")
 def f20_curated(spark, sf_dir):
-    reason = F.when(F.col("o_totalprice") < 100000, "score").when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), "age").when(F.col("o_orderstatus") == "P", "years").otherwise("kept")
+    reason = F.when(F.col("o_totalprice") < 100000, "score").when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), "age").when(F.col("o_orderstatus") == "P", "years").otherwise("kept")
     return table(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def f21_grades(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp")) & (F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
+    return table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "O") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
 
 
 HINTS = (("tion", "held"), ("ung", "family"), ("er", "held"), ("ment", "target"))
@@ -404,7 +404,7 @@ def d5_merge_runs(spark, sf_dir):
 @query("SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02')")
 def d6_only_new(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    at = lambda day: F.lit(day).cast("timestamp")
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
     seen = events.where(F.col("ts") < at("2024-01-02")).select("user_id").distinct()
     return events.where(F.col("ts") >= at("2024-01-10")).select("user_id").distinct().join(seen, "user_id", "left_anti")
 

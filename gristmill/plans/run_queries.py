@@ -219,7 +219,7 @@ def d14_company_split(spark, sf_dir):
 
 @query("SELECT user_id, max_by(event_id, (CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END * value, -event_id)) AS best FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-10' GROUP BY user_id")
 def d15_rescore(spark, sf_dir):
-    at = lambda x: F.lit(x).cast("timestamp")
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
     rows = table(spark, sf_dir, "events").where((F.col("ts") >= at("2024-01-03")) & (F.col("ts") < at("2024-01-10")))
     score = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).otherwise(1) * F.col("value")
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct(score, -F.col("event_id"))).alias("best"))
