@@ -262,7 +262,7 @@ def a16_spearman(spark, sf_dir):
     return market.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice").select(F.round("rho", 6).alias("rho"))
 
 
-@query(M + ", e AS (SELECT DISTINCT title, s AS skill FROM (SELECT title, unnest(skills) AS s FROM market)), t AS (SELECT title, count(*) AS c FROM market GROUP BY 1), x AS (SELECT row_id, unnest(skills) AS skill FROM market), n AS (SELECT skill, count(*) AS n FROM x GROUP BY 1), p AS (SELECT a.skill AS a, b.skill AS b, count(*) AS common FROM x a JOIN x b USING (row_id) WHERE a.skill < b.skill GROUP BY 1, 2 HAVING count(*) >= 5) SELECT p.a, p.b, common, round(common * (SELECT count(*) FROM market) / (i.n * j.n), 6) AS lift FROM p JOIN n i ON i.skill = p.a JOIN n j ON j.skill = p.b")
+@query(M + ", x AS (SELECT row_id, unnest(skills) AS skill FROM market), n AS (SELECT skill, count(*) AS n FROM x GROUP BY 1), p AS (SELECT a, b, count(*) AS common FROM (SELECT a, unnest(skills) AS b FROM (SELECT unnest(skills) AS a, skills FROM market)) WHERE a < b GROUP BY 1, 2 HAVING count(*) >= 5) SELECT p.a, p.b, common, round(common * (SELECT count(*) FROM market) / (i.n * j.n), 6) AS lift FROM p JOIN n i ON i.skill = p.a JOIN n j ON j.skill = p.b")
 def a30_cooccurrence(spark, sf_dir):
     """Pairs are made inside each row's short skill list and counted; rows with equal skills are counted first."""
     grouped = market_rows(spark, sf_dir).groupBy(F.array_sort("skills").alias("skills")).agg(F.count("*").alias("c"))
