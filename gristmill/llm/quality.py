@@ -1,12 +1,12 @@
 """Quality scores from a support vector machine on n-gram indicators scaled by naive Bayes log-count ratios.
 
-The n-grams are the runs of one to three bytes of the text, hashed into a fixed number of features; an indicator says that one occurs. Over all labelled rows outside the held-out fold
+The n-grams are the runs of one to three bytes of the text, hashed into a fixed number of features; an indicator says that one occurs. Over the labelled rows learnt from
 Spark counts in how many documents of each class every feature occurs; the ratio of the smoothed, normalised counts
 gives r. A text is the vector of r over its features, scaled to length one, and a linear hinge-loss model is fitted
 to such vectors by dual coordinate descent. The margin goes through a logistic line fitted on the same rows.
 
-The hinge-loss model is fitted on about ``fit_rows`` labelled rows chosen by a hash of doc_id; the counts
-cover all labelled rows outside the held-out fold, and every document is scored whole.
+The counts are taken over about ``learn_rows`` labelled rows outside the held-out fold, chosen by a hash of doc_id, and
+the hinge-loss model is fitted on about ``fit_rows`` of them; every document is scored whole.
 
 Defined cases: null and empty texts have no feature and get the score of the shift alone; label rows whose label is
 null or whose doc_id has no document are ignored, repeated ones count once (the largest label); rows with a null
@@ -100,9 +100,10 @@ def _rows(column: pa.Array, grams: Grams) -> list[np.ndarray]:
     return [x for _, _, data, offsets in texts(column) for x in grams.of(data, offsets)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 6000, cost: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_rows: int = 20_000, fit_rows: int = 6000, cost: float = 1.0) -> Model:
     """The model from the labelled rows outside the held-out fold."""
-    rows = training_rows(docs, labels, label).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
+    total = labels.count()
+    rows = training_rows(docs, labels, label, total, learn_rows).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
 
     def count(batches):
         grams, held = Grams(), np.zeros((2, 1 << BITS), np.int64)
@@ -123,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
             made = [x.astype(np.int32) for x in _rows(batch.column(1), grams)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(x) for x in made], pa.list_(pa.int32())), batch.column(2)], ["doc_id", "x", "y"])
 
-    some = _some(rows, labels.count(), fit_rows).mapInArrow(vectors, "doc_id long, x array<int>, y int")
+    some = _some(rows, total, fit_rows).mapInArrow(vectors, "doc_id long, x array<int>, y int")
     fit = some.toArrow()  # about fit_rows rows of at most a few thousand features
     order = np.argsort(fit.column("doc_id").to_numpy(), kind="stable")
     x = [v.values.to_numpy() if v.is_valid else np.zeros(0, np.int32) for v in fit.column("x")]

@@ -121,23 +121,27 @@ def held_out(doc: pd.Series) -> np.ndarray:
     return np.array([x is not None and x == x and zlib.crc32(str(int(x)).encode()) % 5 == 0 for x in doc], bool)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows that may be learnt from; label rows are reduced to one for a document."""
-    mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    mine = mine.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(mine, "doc_id")
-
-
 def _some(rows: DataFrame, total: int, most: int) -> DataFrame:
     """About ``most`` of the rows, by a hash of doc_id; all if there are no more."""
     parts = 1 << 20
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)) < int(parts * min(1.0, most / max(1, total))))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, total: int, most: int) -> DataFrame:
+    """(doc_id, text, y) of about ``most`` of the ``total`` labelled rows, none of them held out.
+
+    As their number is bounded, these labels are broadcast to the scan and no text is shuffled. Label rows that repeat a
+    document are reduced to the largest label.
+    """
+    mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    mine = mine.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(_some(mine, total, most)), "doc_id")
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[int, int] = (4, 8), least_ratio: float = 4.0, least_share: float = 0.03, least_docs: int = 3, most_words: int = 2000, learn_rows: int = 20_000, fit_rows: int = 4000) -> Lexicon:
     """Lexicon and score line from the labelled rows outside the held-out fold."""
-    rows = training_rows(docs, labels, label)
     total = labels.count()
+    rows = training_rows(docs, labels, label, total, learn_rows)
     short, long = sizes
 
     def stems(batches):
@@ -155,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple
             yield pd.DataFrame({"stem": ["", *in_docs], "y": y, "docs": [docs_, *in_docs.values()], "uses": [words_, *(uses[s] for s in in_docs)]})
 
     toxic = F.col("y") == 1
-    table = written(_some(rows, total, learn_rows).mapInPandas(stems, "stem string, y int, docs long, uses long").groupBy("stem").agg(
+    table = written(rows.mapInPandas(stems, "stem string, y int, docs long, uses long").groupBy("stem").agg(
         *(F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, side in ((1, toxic), (0, ~toxic)) for c in ("docs", "uses"))), "stems")
     whole = table.where("stem = ''").first()
     line = Lexicon({})
@@ -169,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple
         for pdf in batches:
             yield pd.DataFrame({"x": [line.feature(t) for t in pdf["text"]], "y": (pdf["y"] > 0).astype(float)})
 
-    fit = _some(rows, total, fit_rows).mapInPandas(features, "x double, y double").orderBy("x", "y").toPandas()  # two numbers for each of about fit_rows rows
+    fit = _some(rows, total, fit_rows).mapInPandas(features, "x double, y double").toPandas().sort_values(["x", "y"])  # two numbers for each of about fit_rows rows
     line.line = _logistic(fit["x"].to_numpy(float), fit["y"].to_numpy(float))
     return line
 
