@@ -6,7 +6,7 @@ Vectors that are null, empty, zero or hold null or non-finite components take no
 group cannot supply all the pivots near it. A vector is described by its ``prefix`` nearest pivots in order; vectors
 of a label with the same set of prefix pivots form a cell. Inverted lists retrieve what cells share: to find cells with
 at least ``shared`` common pivots, a list stands for a combination of that many pivots, and two cells on one list
-are candidates. (Lists of single pivots would be as complete but, with the pivots fixed, each holds a fixed
+are candidates. Exact copies are collapsed first and counted. (Lists of single pivots would be as complete but, with the pivots fixed, each holds a fixed
 share of all cells.) Candidates are verified exactly, in double precision, block of a cell against block of a cell.
 
 **Anisotropic codes.** A codebook of 16 words for every pair of dimensions is fitted on a bounded sample so as to minimise a
@@ -17,6 +17,7 @@ for each pair; the best are reranked exactly.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -57,7 +58,7 @@ def _pivots(rows: DataFrame, key: str, most: int, apart: float = 0.8) -> np.ndar
     return np.stack(kept) if kept else sample
 
 
-def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: int = 8, shared: int = 3, block: int = 512) -> DataFrame:
+def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: int = 8, shared: int = 3, block: int = 512, together: int = 64) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with a vec_id.
 
     Links join rows with equal labels and a cosine of at least ``threshold`` that share ``shared`` of their ``prefix``
@@ -72,12 +73,15 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: in
         for batch in batches:
             if batch.num_rows:
                 unit = matrix(batch.column("v"))
-                near = np.argsort(-(unit @ reference.value.T), axis=1, kind="stable")[:, :top]
-                cell = np.sort(near, axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "label", "near", "cell", "unit"])
+                cell = np.sort(np.argsort(-(unit @ reference.value.T), axis=1, kind="stable")[:, :top], axis=1).astype(np.int32)
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(digest, pa.binary()), pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "label", "digest", "cell", "unit"])
 
     label_type = dict(rows.dtypes)["label"]
-    indexed = written(rows.select("vec_id", "label", "v").mapInArrow(describe, f"vec_id long, label {label_type}, near array<int>, cell array<int>, unit array<double>").withColumn("cell_id", F.xxhash64("label", "cell")), "permutations")
+    described = written(rows.select("vec_id", "label", "v").mapInArrow(describe, f"vec_id long, label {label_type}, digest binary, cell array<int>, unit array<double>"), "permutations")
+    copies = written(described.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "copies")
+    first = described.join(copies, ["label", "digest"]).where("vec_id = rep").withColumn("cell_id", F.xxhash64("label", "cell"))
+    indexed = written(first.dropDuplicates(["vec_id", "label", "digest"]).select("vec_id", "label", "m", "cell", "cell_id", "unit"), "vectors")
     cells = written(indexed.groupBy("label", "cell_id", "cell").agg(F.count("*").alias("n")), "cells")
 
 
@@ -93,59 +97,62 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: in
     met = lists.join(other, ["label", "list"]).where("cell_id < other_id").select("cell_id", "other_id").distinct()
     pairs = met.union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
 
-    #: A cell's vectors are dealt into blocks of about ``block``; each pair of blocks of two candidate cells is one group.
+    #: A cell's vectors are dealt into blocks of about ``block``; a left block meets the blocks of all candidate cells, each pair
+    #: of blocks once, and about ``together`` left blocks share a task's group.
     sizes = cells.select("cell_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     tasks = pairs.join(sizes, "cell_id").join(sizes.select(F.col("cell_id").alias("other_id"), F.col("blocks").alias("other_blocks")), "other_id")
     tasks = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).where("cell_id <> other_id OR i <= j")
-    tasks = written(tasks.select("cell_id", "other_id", "i", "j"), "block_pairs")
-    dealt = written(indexed.join(sizes, "cell_id").select("cell_id", F.pmod(F.xxhash64("vec_id", "unit"), "blocks").cast("int").alias("b"), "vec_id", "unit"), "dealt")
-    group = ["cell_id", "other_id", "i", "j"]
-    left = tasks.join(dealt.withColumnRenamed("b", "i"), ["cell_id", "i"]).select(*group, F.lit(0).alias("side"), "vec_id", "unit")
-    right = tasks.where("cell_id <> other_id OR i <> j").join(dealt.select(F.col("cell_id").alias("other_id"), F.col("b").alias("j"), "vec_id", "unit"), ["other_id", "j"]).select(*group, F.lit(1).alias("side"), "vec_id", "unit")
+    tasks = written(tasks.select("cell_id", "i", "other_id", "j"), "block_pairs")
+    dealt = written(indexed.join(sizes, "cell_id").select("cell_id", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("i"), "vec_id", "m", "unit"), "dealt")
+    groups = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0) // together + 1
+    group = F.pmod(F.xxhash64("cell_id", "i"), F.lit(groups)).cast("int").alias("g")
+    columns = ["g", "cell_id", "i", "side", "other_id", "j", "vec_id", "m", "unit"]
+    left = dealt.select(group, "cell_id", "i", F.lit(0).alias("side"), F.col("cell_id").alias("other_id"), F.col("i").alias("j"), "vec_id", "m", "unit")
+    theirs = dealt.select(F.col("cell_id").alias("other_id"), F.col("i").alias("j"), "vec_id", "m", "unit")
+    right = tasks.where("cell_id <> other_id OR i <> j").join(theirs, ["other_id", "j"]).select(group, "cell_id", "i", F.lit(1).alias("side"), "other_id", "j", "vec_id", "m", "unit")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["side"].to_numpy()
-        unit, ids = matrix(pdf["unit"]), pdf["vec_id"].to_numpy()
-        own, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(far)
-        far = own if alone else far
-        cosine = unit[own] @ unit[far].T
-        if alone:
-            np.fill_diagonal(cosine, -2.0)
-        hit = cosine >= threshold
-        count = hit.sum(1)
-        some, a, b = np.flatnonzero(count), *_forest(hit, ids[own], ids[far])
-        out = [pd.DataFrame({"vec_id": ids[own[some]], "n": count[some], "to": ids[own[some]]}), pd.DataFrame({"vec_id": a, "n": 0, "to": b})]
-        if not alone:
-            down = hit.sum(0)
-            some = np.flatnonzero(down)
-            out.append(pd.DataFrame({"vec_id": ids[far[some]], "n": down[some], "to": ids[far[some]]}))
-        return pd.concat(out).groupby(["vec_id", "to"], as_index=False)["n"].sum()[["vec_id", "n", "to"]].astype("int64")
-
-    found = written(left.union(right).groupBy(*group).applyInPandas(verify, "vec_id long, n long, to long"), "links")
-    number = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+        unit, ids, m = matrix(pdf["unit"]), pdf["vec_id"].to_numpy(), pdf["m"].to_numpy()
+        own = pdf["side"].to_numpy() == 0
+        blocks = pdf.assign(at=np.arange(len(pdf))).groupby(["cell_id", "i"], sort=False)["at"]
+        nodes, place = np.unique(ids, return_inverse=True)
+        counts, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        sources, targets = [], []
+        for _, at in blocks:
+            at = at.to_numpy()
+            mine, far = at[own[at]], at[~own[at]]
+            for lo in range(0, len(mine), 64):
+                some = mine[lo : lo + 64]
+                inner = unit[some] @ unit[mine].T >= threshold
+                inner[np.arange(len(some)), lo + np.arange(len(some))] = False
+                counts[place[some]] += inner @ m[mine]
+                outer = unit[some] @ unit[far].T >= threshold
+                counts[place[some]] += outer @ m[far]
+                np.add.at(counts, place[far], m[some] @ outer)
+                x, y = np.nonzero(inner)
+                p, q = np.nonzero(outer)
+                sources += [place[some[x]], place[some[p]]]
+                targets += [place[mine[y]], place[far[q]]]
+        if sources:
+            a, b = np.concatenate(sources), np.concatenate(targets)
+            while True:  # smallest label along the links of this group: its components
+                before = label.copy()
+                np.minimum.at(label, a, before[b])
+                np.minimum.at(label, b, label[a])
+                label = label[label]
+                if (label == before).all():
+                    break
+        return pd.DataFrame({"vec_id": nodes, "n": counts, "to": nodes[label]}).query("n > 0")
+
+    found = written(left.unionByName(right).select(columns).groupBy("g").applyInPandas(verify, "vec_id long, n long, to long"), "links")
+    number = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     joined = components(found.where("vec_id <> to").select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
+    classes = number.join(joined.withColumnRenamed("id", "vec_id"), "vec_id", "full").select(F.col("vec_id").alias("rep"), "n", "component")
+    each = described.select("vec_id", "label", "digest").join(copies, ["label", "digest"]).join(classes, "rep", "left")
+    each = each.groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
     everyone = df.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
-    out = everyone.join(number, "vec_id", "left").join(joined.select(F.col("id").alias("vec_id"), "component"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
-
-
-def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the hits connect: linear in the rows and columns, found by passing the smallest index on."""
-    n, m = hit.shape
-    row, column = np.arange(n), np.full(m, n)
-    while True:
-        new_column = np.minimum(column, np.where(hit, row[:, None], n).min(0)) if n else column
-        new_row = np.minimum(row, np.where(hit, new_column[None, :], n).min(1)) if m else row
-        if (new_row == row).all() and (new_column == column).all():
-            break
-        row, column = new_row, new_column
-    used_rows, used_columns = np.flatnonzero(hit.any(1)), np.flatnonzero(column < n)
-    a = np.concatenate([left[used_rows], right[used_columns]])
-    b = np.concatenate([left[row[used_rows]], left[column[used_columns]]])
-    apart = a != b
-    return a[apart], b[apart]
+    return everyone.join(each, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 
 class Codebooks:
@@ -225,11 +232,44 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 200, queries_block: int = 256, rows_block: int = 8192) -> DataFrame:
+class Best:
+    """The best rows so far of a block of queries, by approximate score, with ties at the cut."""
+
+    def __init__(self, books: Codebooks, queries: pd.DataFrame, most: int):
+        self.ids, self.most = queries["vec_id"].to_numpy(), most
+        self.tables = books.tables(matrix(queries["unit"]))
+        self.rows = [np.zeros(0, np.int64)] * len(self.ids)
+        self.scores = [np.zeros(0, np.float32)] * len(self.ids)
+        self.cut = np.full(len(self.ids), -np.inf, np.float32)
+
+    def see(self, part: pd.DataFrame, step: int = 16) -> None:
+        ids = part["vec_id"].to_numpy()
+        packed = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(ids), -1)
+        for lo in range(0, len(self.ids), step):
+            about = scan(self.tables[lo : lo + step], packed)
+            about[self.ids[lo : lo + step][:, None] == ids[None, :]] = -np.inf
+            hit = (about >= self.cut[lo : lo + step][:, None]) & (about > -np.inf)
+            for k in range(len(about)):
+                at = np.flatnonzero(hit[k])
+                if len(at):
+                    q = lo + k
+                    scores, rows = np.concatenate([self.scores[q], about[k, at]]), np.concatenate([self.rows[q], ids[at]])
+                    if len(scores) > self.most:
+                        self.cut[q] = np.partition(scores, len(scores) - self.most)[len(scores) - self.most]
+                        keep = scores >= self.cut[q]
+                        scores, rows = scores[keep], rows[keep]
+                    self.scores[q], self.rows[q] = scores, rows
+
+    def result(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.repeat(self.ids, [len(x) for x in self.rows]), "vec_id": np.concatenate(self.rows)}).astype("int64")
+
+
+def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine for every row whose vec_id is divisible by ``every``.
 
-    All codes are scanned for every query, block of queries by block of rows; a block keeps for each query what reaches
-    the approximate score of its ``rerank``-th row, ties included, and so does the union of the blocks; exact cosines of these decide.
+    All codes are scanned for every query. A task takes a block of queries and lets all codes pass by, batch after batch,
+    keeping for each query what reaches the approximate score of its ``rerank``-th row so far, ties included; the exact
+    cosines of these decide.
     Rows that repeat a vec_id are one candidate (the nearest of them). No row of the query's own vec_id counts.
     """
     rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
@@ -246,33 +286,28 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rera
 
     coded = written(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, code binary, unit array<double>"), "codes")
     asked = coded.where(F.col("vec_id") % every == 0)
-    n, n_asked = coded.count(), asked.count()
-    n_rows, n_queries = max(1, -(-n // rows_block)), max(1, -(-n_asked // queries_block))
-    block = lambda name, m: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(m)), F.lit(m)).cast("int").alias(name)
-    ours = coded.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), block("rb", n_rows), "vec_id", "code", F.lit(None).cast("array<double>").alias("unit"))
-    theirs = asked.select(block("qb", n_queries), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"), "vec_id", F.lit(None).cast("binary").alias("code"), "unit")
-
-    def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = pdf["unit"].notna().to_numpy()
-        ids = pdf["vec_id"].to_numpy()
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "about": []}).astype({"query_id": "int64", "vec_id": "int64", "about": "float32"})
-        if not query.any() or query.all():
-            return out
-        packed = np.frombuffer(b"".join(pdf["code"][~query]), np.uint8).reshape((~query).sum(), -1)
-        tables = books.tables(matrix(pdf["unit"][query]))
-        asked_ids, row_ids, parts = ids[query], ids[~query], []
-        for lo in range(0, len(asked_ids), 32):
-            about = scan(tables[lo : lo + 32], packed)
-            about[asked_ids[lo : lo + 32][:, None] == row_ids[None, :]] = -np.inf
-            cut = np.partition(about, max(0, about.shape[1] - rerank), axis=1)[:, max(0, about.shape[1] - rerank)]
-            q, r = np.nonzero((about >= cut[:, None]) & np.isfinite(about))
-            parts.append(pd.DataFrame({"query_id": asked_ids[lo + q], "vec_id": row_ids[r], "about": about[q, r]}))
-        return pd.concat([out, *parts])
-
-    group = ["qb", "rb"]
-    near = written(ours.union(theirs.select("qb", "rb", "vec_id", "code", "unit")).groupBy(*group).applyInPandas(look, "query_id long, vec_id long, about float"), "scanned")
-    cut = near.groupBy("query_id").agg(F.element_at(F.reverse(F.array_sort(F.collect_list("about"))), F.least(F.lit(rerank), F.count("*")).cast("int")).alias("cut"))
-    some = near.join(cut, "query_id").where("about >= cut").select("query_id", "vec_id").distinct()
+    n_queries = max(1, -(-asked.count() // queries_block))
+    ours = coded.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), F.lit(1).alias("side"), "vec_id", "code", F.lit(None).cast("array<double>").alias("unit"))
+    theirs = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("qb"), F.lit(0).alias("side"), "vec_id", F.lit(None).cast("binary").alias("code"), "unit")
+
+    def look(batches):
+        block, queries, state = None, [], None
+        for pdf in batches:
+            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
+                if qb != block:
+                    if state is not None:
+                        yield state.result()
+                    block, queries, state = qb, [], None
+                if side == 0:
+                    queries.append(part)
+                elif queries:
+                    state = state or Best(books, pd.concat(queries), rerank)
+                    state.see(part)
+        if state is not None:
+            yield state.result()
+
+    dealt = ours.union(theirs).repartition(n_queries, "qb").sortWithinPartitions("qb", "side")
+    some = written(dealt.mapInPandas(look, "query_id long, vec_id long").distinct(), "scanned")
     full = coded.select("vec_id", "unit")
     pairs = some.join(full, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q")), "query_id")
     score = F.aggregate(F.zip_with("unit", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
