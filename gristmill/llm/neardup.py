@@ -18,7 +18,7 @@ Chance of missing a link at similarity 0.8: (1 - 0.8**5)**25 = 5e-5 for the band
 signature (512 coordinates, 0.065 below the threshold: 3.7 standard deviations).
 
 Defined cases: words are separated by ``[\\x20\\x09-\\x0D]``; a text of one to four words has one shingle, all of it;
-null and empty texts (and texts of blanks) resemble nothing; a row whose doc_id is null takes no part and is
+texts without words are copies of the same text only; a null text resembles nothing; a row whose doc_id is null takes no part and is
 not returned; rows that repeat a doc_id are one document (its smallest text); other columns are not read.
 """
 
@@ -131,7 +131,7 @@ class Darts:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest, bands array<long>, signature binary (16 bits a coordinate) of the texts with words."""
+    """doc_id, digest, bands array<long>, signature binary (16 bits a coordinate); no bands for texts without words."""
 
     def run(batches):
         shingles, darts = Shingles(width), Darts(bands * rows)
@@ -141,9 +141,12 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
             keep, keys, small = [], [], []
             for lo, _, data, offsets in texts(batch.column(1)):
                 for k, (elements, weights) in enumerate(shingles.of(data, offsets)):
-                    if len(elements):
+                    keep.append(lo + k)
+                    if not len(elements):
+                        keys.append([])
+                        small.append(b"")
+                    else:
                         signature = darts.signature(elements, weights)
-                        keep.append(lo + k)
                         keys.append(signed(mix64((mix64(signature).reshape(bands, rows) * (band | np.uint64(1))).sum(1) + band[:, 0])))
                         small.append((mix64(signature) >> np.uint64(48)).astype("<u2").tobytes())
             if keep:
@@ -233,10 +236,10 @@ def _long_signatures(docs: DataFrame, ids: DataFrame, k: int, width: int) -> Dat
     return wanted.join(ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, long binary")
 
 
-def _rest_pairs(docs: DataFrame, buckets: DataFrame, classes: DataFrame, least: float, width: int, k: int = 512, block: int = 512) -> DataFrame:
+def _rest_pairs(docs: DataFrame, reps: DataFrame, buckets: DataFrame, classes: DataFrame, least: float, width: int, k: int = 512, block: int = 512) -> DataFrame:
     """(a, b): texts of one bucket in different classes whose longer signatures agree in a share of at least ``least``.
 
-    The two texts of a bucket of two have been compared before.
+    The two texts of a bucket of two have been compared before. A pair comes only from the first of the buckets that it shares.
     """
     label = F.coalesce("component", "doc_id")
     many = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
@@ -245,17 +248,19 @@ def _rest_pairs(docs: DataFrame, buckets: DataFrame, classes: DataFrame, least:
     rows = written(rows.join(mixed, "key"), "mixed_members")
     longer = written(_long_signatures(docs, rows.select("doc_id").distinct(), k, width), "long")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.join(longer, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label", "long")
+    rows = rows.join(longer, "doc_id").join(reps.select("doc_id", "bands"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label", "long", "bands")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, label, own = (pdf[c].to_numpy() for c in ("doc_id", "label", "own"))
         sig = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(len(pdf), -1)
+        bands, key = np.stack(pdf["bands"]), pdf["key"].iloc[0]
         between = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(ids)):
             at = np.flatnonzero((ids > ids[i]) & (label != label[i]) & ((own != own[i]) if between else True))
             at = at[(sig[at] == sig[i]).mean(1) >= least]
+            at = at[bands[i][(bands[at] == bands[i]).argmax(1)] == key]
             left.append(np.full(len(at), ids[i]))
             right.append(ids[at])
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).astype("int64")
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = written(_near(_pivot_pairs(buckets), reps, threshold - MARGIN), "pairs")
     links = written(verified(docs, pairs, threshold, width), "links")
     classes = written(components(links), "classes")
-    rest = _rest_pairs(docs, buckets, classes, threshold - CLOSE, width).join(pairs, ["a", "b"], "left_anti")
+    rest = _rest_pairs(docs, reps, buckets, classes, threshold - CLOSE, width).join(pairs, ["a", "b"], "left_anti")
     more = written(verified(docs, written(rest, "rest"), threshold, width), "more")
     if more.limit(1).count():
         classes = written(components(links.union(more)), "classes")
