@@ -213,7 +213,7 @@ def d13_usefulness(spark, sf_dir):
 
 @query("SELECT CASE WHEN a AND r THEN 'both' WHEN a THEN 'already-free' ELSE 'paid-only' END AS part, count(*) AS companies, sum(n) AS rows FROM (SELECT l_suppkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) GROUP BY 1")
 def d14_company_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").groupBy("l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.count("*").alias("n"))
     return rows.groupBy(F.when(F.col("a") & F.col("r"), "both").when(F.col("a"), "already-free").otherwise("paid-only").alias("part")).agg(F.count("*").alias("companies"), F.sum("n").alias("rows"))
 
 
@@ -240,8 +240,8 @@ def d17_clashes(spark, sf_dir):
 
 @query(B + ", u AS (SELECT unit_id, keyword, place, list(DISTINCT key) AS keys FROM plan JOIN result USING (unit_id) WHERE plan_index < 2000 GROUP BY ALL) SELECT a.unit_id AS remote, b.unit_id AS twin, len(list_intersect(a.keys, b.keys)) AS shared FROM u a JOIN u b ON a.keyword = b.keyword AND a.place = 0 AND b.place <> 0 AND b.unit_id < a.unit_id")
 def d18_twins(spark, sf_dir):
-    keys = results(spark, sf_dir).where("unit_id < 2000").groupBy("unit_id").agg(F.collect_set("key").alias("keys"))
-    units = plan_units(spark, sf_dir).where("plan_index < 2000").select("unit_id", "keyword", "place").join(keys, "unit_id")
+    keys = results(spark, sf_dir).groupBy("unit_id").agg(F.collect_set("key").alias("keys"))
+    units = plan_units(spark, sf_dir).select("unit_id", "keyword", "place").join(keys, "unit_id")
     b = units.where("place <> 0").select(F.col("unit_id").alias("twin"), "keyword", F.col("keys").alias("other"))
     return units.where("place = 0").join(b, "keyword").where("twin < unit_id").select(F.col("unit_id").alias("remote"), "twin", F.size(F.array_intersect("keys", "other")).cast("long").alias("shared"))
 
