@@ -97,52 +97,63 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: in
     met = lists.join(other, ["label", "list"]).where("cell_id < other_id").select("cell_id", "other_id").distinct()
     pairs = met.union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
 
-    #: A cell's vectors are dealt into blocks of about ``block``; a left block meets the blocks of all candidate cells, each pair
-    #: of blocks once, and about ``together`` left blocks share a task's group.
-    sizes = cells.select("cell_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    tasks = pairs.join(sizes, "cell_id").join(sizes.select(F.col("cell_id").alias("other_id"), F.col("blocks").alias("other_blocks")), "other_id")
-    tasks = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).where("cell_id <> other_id OR i <= j")
-    tasks = written(tasks.select("cell_id", "i", "other_id", "j"), "block_pairs")
-    dealt = written(indexed.join(sizes, "cell_id").select("cell_id", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("i"), "vec_id", "m", "unit"), "dealt")
-    groups = max(1, sizes.agg(F.sum("blocks")).first()[0] or 0) // together + 1
-    group = F.pmod(F.xxhash64("cell_id", "i"), F.lit(groups)).cast("int").alias("g")
-    columns = ["g", "cell_id", "i", "side", "other_id", "j", "vec_id", "m", "unit"]
-    left = dealt.select(group, "cell_id", "i", F.lit(0).alias("side"), F.col("cell_id").alias("other_id"), F.col("i").alias("j"), "vec_id", "m", "unit")
+    #: A cell's vectors are dealt into blocks of about ``block``; each pair of blocks meets once. A unit is a left block and about
+    #: ``together`` / 4 blocks' worth of the vectors it meets, however many candidates its cell has; a group holds about ``together`` units and
+    #: about as many vectors as one unit's most, so that neither a dense cell nor a dense label makes it larger.
+    most = block * max(1, together // 4)
+    sizes = cells.select("cell_id", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    others = sizes.select(F.col("cell_id").alias("other_id"), F.col("n").alias("other_n"), F.col("blocks").alias("other_blocks"))
+    pairs = pairs.join(others, "other_id")
+    chunks = written(pairs.groupBy("cell_id").agg(F.sum("other_n").alias("reach")).join(sizes, "cell_id").withColumn("chunks", F.ceil(F.col("reach") / most).cast("int")), "chunks")
+    units, rows_met = chunks.agg(F.sum(F.col("blocks") * F.col("chunks")), F.sum(F.col("n") * F.col("chunks") + F.col("blocks") * F.col("reach"))).first()
+    groups = (units or 0) // together + (rows_met or 0) // most + 1
+    tasks = pairs.join(chunks.select("cell_id", "blocks", "chunks"), "cell_id")
+    tasks = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).where("cell_id <> other_id OR i < j")
+    tasks = written(tasks.select("cell_id", "i", F.pmod(F.xxhash64("other_id", "j"), "chunks").cast("int").alias("c"), "other_id", "j"), "block_pairs")
+    dealt = written(indexed.join(chunks.select("cell_id", "blocks", "chunks"), "cell_id").select("cell_id", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("i"), "chunks", "vec_id", "m", "unit"), "dealt")
+    group = F.pmod(F.xxhash64("cell_id", "i", "c"), F.lit(groups)).cast("int").alias("g")
+    columns = ["g", "cell_id", "i", "c", "side", "vec_id", "m", "unit"]
+    left = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(group, "cell_id", "i", "c", F.lit(0).alias("side"), "vec_id", "m", "unit")
     theirs = dealt.select(F.col("cell_id").alias("other_id"), F.col("i").alias("j"), "vec_id", "m", "unit")
-    right = tasks.where("cell_id <> other_id OR i <> j").join(theirs, ["other_id", "j"]).select(group, "cell_id", "i", F.lit(1).alias("side"), "other_id", "j", "vec_id", "m", "unit")
+    right = tasks.join(theirs, ["other_id", "j"]).select(group, "cell_id", "i", "c", F.lit(1).alias("side"), "vec_id", "m", "unit")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, m = matrix(pdf["unit"]), pdf["vec_id"].to_numpy(), pdf["m"].to_numpy()
+        unit, m = matrix(pdf["unit"]), pdf["m"].to_numpy()
         own = pdf["side"].to_numpy() == 0
-        blocks = pdf.assign(at=np.arange(len(pdf))).groupby(["cell_id", "i"], sort=False)["at"]
-        nodes, place = np.unique(ids, return_inverse=True)
-        counts, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        sources, targets = [], []
-        for _, at in blocks:
+        parts = pdf.assign(at=np.arange(len(pdf))).groupby(["cell_id", "i", "c"], sort=False)["at"]
+        nodes, place = np.unique(pdf["vec_id"].to_numpy(), return_inverse=True)
+        counts, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+
+        def meet(a, b, same=False):
+            nonlocal root
+            hit = unit[a] @ unit[b].T >= threshold
+            if same:
+                np.fill_diagonal(hit, False)
+            x, y = np.nonzero(hit)
+            if not len(x):
+                return
+            np.add.at(counts, place[a], hit @ m[b])
+            if not same:
+                np.add.at(counts, place[b], m[a] @ hit)
+            x, y = place[a[x]], place[b[y]]
+            while (apart := root[x] != root[y]).any():  # a larger root hangs on a smaller one that a link reaches
+                x, y = x[apart], y[apart]
+                np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+                while (root != root[root]).any():
+                    root = root[root]
+
+        for (_, _, c), at in parts:
             at = at.to_numpy()
             mine, far = at[own[at]], at[~own[at]]
-            for lo in range(0, len(mine), 64):
-                some = mine[lo : lo + 64]
-                inner = unit[some] @ unit[mine].T >= threshold
-                inner[np.arange(len(some)), lo + np.arange(len(some))] = False
-                counts[place[some]] += inner @ m[mine]
-                outer = unit[some] @ unit[far].T >= threshold
-                counts[place[some]] += outer @ m[far]
-                np.add.at(counts, place[far], m[some] @ outer)
-                x, y = np.nonzero(inner)
-                p, q = np.nonzero(outer)
-                sources += [place[some[x]], place[some[p]]]
-                targets += [place[mine[y]], place[far[q]]]
-        if sources:
-            a, b = np.concatenate(sources), np.concatenate(targets)
-            while True:  # smallest label along the links of this group: its components
-                before = label.copy()
-                np.minimum.at(label, a, before[b])
-                np.minimum.at(label, b, label[a])
-                label = label[label]
-                if (label == before).all():
-                    break
-        return pd.DataFrame({"vec_id": nodes, "n": counts, "to": nodes[label]}).query("n > 0")
+            for lo in range(0, len(mine), block):
+                some = mine[lo : lo + block]
+                if c == 0:
+                    meet(some, some, True)
+                    for to in range(lo + block, len(mine), block):
+                        meet(some, mine[to : to + block])
+                for to in range(0, len(far), block):
+                    meet(some, far[to : to + block])
+        return pd.DataFrame({"vec_id": nodes, "n": counts, "to": nodes[root]}).query("n > 0")
 
     found = written(left.unionByName(right).select(columns).groupBy("g").applyInPandas(verify, "vec_id long, n long, to long"), "links")
     number = found.groupBy("vec_id").agg(F.sum("n").alias("n"))

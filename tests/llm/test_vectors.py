@@ -65,3 +65,20 @@ def test_small_and_empty(spark):
     none = few.where("vec_id < 0")
     assert vectors.nearest(none).count() == 0 and vectors.linked(none).count() == 0
     assert vectors.linked(few).count() == 3
+
+
+def test_groups_of_a_dense_label_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (np.ones(16) + 0.02 * rng.normal(size=(1500, 16))).astype(np.float32)
+    data, largest = table(spark, x, [1] * len(x)), []
+    plain = type(data).groupBy
+
+    def grouped(self, *keys):
+        if keys == ("g",):
+            largest.append(plain(self, "g").count().agg({"count": "max"}).first()[0])
+        return plain(self, *keys)
+
+    monkeypatch.setattr(type(data), "groupBy", grouped)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.linked(data, pivots=64, block=8, together=8).collect()}
+    assert got == {i: (len(x) - 1, 0) for i in range(len(x))}
+    assert len(largest) == 1 and largest[0] <= 400
