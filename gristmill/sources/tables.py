@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """arrival, title, description, company, location: documents as postings."""
+    """arrival, title, description, company, location: documents as postings; the title is the whole first line."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("arrival"), F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 60).alias("title"), text.alias("description"), F.col("source").alias("company"), F.col("lang").alias("location"), (F.col("doc_id") % 53).cast("int").alias("score"))
+        F.col("doc_id").alias("arrival"), F.split_part(text, F.lit("\n"), F.lit(1)).alias("title"), text.alias("description"), F.col("source").alias("company"), F.col("lang").alias("location"), (F.col("doc_id") % 53).cast("int").alias("score"))
 
 
 def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
