@@ -42,7 +42,11 @@ _ACCENTS = {}
 
 
 def _plain(match: re.Match) -> str:
-    return match.group().translate(SUBSTITUTES)
+    """! and | are punctuation at the end; at the start they may be that or a letter, so both readings stay."""
+    word = match.group()
+    body = word.rstrip("!|")
+    bare = body.lstrip("!|")
+    return (body if bare == body else f"{body} {bare}").translate(SUBSTITUTES) + word[len(body) :]
 
 
 def fold(text: str) -> str:
@@ -50,10 +54,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = "".join(_ACCENTS[c] if c in _ACCENTS else _ACCENTS.setdefault(c, _strip(c)) for c in text) if not _latin(text) else text.translate(_LATIN)
-    return _MIXED.sub(_plain, text) if _MARKS.search(text) else text
-
-
-_MARKS = re.compile(r"[a-z][0-9@$!|]+[a-z]|\b[013457@$!|]+[a-z]|[a-z][0134570@$|]+\b")
+    return _MIXED.sub(_plain, text)
 
 
 def _strip(c: str) -> str:

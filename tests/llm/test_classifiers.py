@@ -58,3 +58,11 @@ def test_dual_descent_separates():
     w, b = quality.dual_descent(rows, np.array([1.0, 1.0, -1.0, -1.0]), r, cost=10.0)
     margins = [w[x].sum() / np.sqrt(2) + b for x in rows]
     assert margins[0] > 0.9 and margins[1] > 0.9 and margins[2] < -0.9 and margins[3] < -0.9
+
+
+def test_each_disguised_word_folds_by_itself():
+    lexicon = toxicity.Lexicon({"stupid": 2.0, "asshole": 3.0, "ass": 1.0, "idiot": 4.0})
+    for text, mass in (("$tupid", 2.0), ("you @sshole", 3.0), ("an a$$", 1.0), ("what, $tupid", 2.0), ("!diot", 4.0), ("!stupid", 2.0), ("|stupid|", 2.0), ("$tupid!!", 2.0), ("it costs $5 or 5 |", 0.0)):
+        assert lexicon.mass(toxicity.fold(text)) == mass, text
+        assert lexicon.mass(toxicity.fold(text + " n1ce")) == mass, text
+    assert toxicity.fold("stupid! wow!!") == "stupid! wow!!"
