@@ -2,8 +2,8 @@
 
 Texts are folded before matching: lower case, accents and look-alike letters of other scripts mapped to Latin, then
 digits and signs that stand for letters inside a word. The lexicon is learnt: word beginnings (stems and whole words
-alike) that stand in a far larger share of the toxic than of the other labelled rows get the logarithm of the ratio
-of their rates as weight. Lexicon and exception phrases go into one automaton; at each word start the longest
+alike, and whole words of two or three letters) that surely stand in a far larger share of the toxic than of the other
+labelled rows, however few those are, get the logarithm of the ratio of their rates as weight. Lexicon and exception phrases go into one automaton; at each word start the longest
 entry counts, unless it lies inside an exception phrase. The summed weight is normalised by the square root of
 the number of words, and a fitted logistic line turns it into the score.
 
@@ -71,14 +71,17 @@ def _latin(text: str) -> bool:
 
 
 class Lexicon:
-    """Weighted words and exception phrases in one automaton; picklable as its lists."""
+    """Weighted words and exception phrases in one automaton; picklable as its lists.
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, line: tuple[float, float] = (1.0, 0.0)):
-        self.weights, self.exceptions, self.line = weights, exceptions, line
+    Entries of fewer than ``short`` letters match whole words only.
+    """
+
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, line: tuple[float, float] = (1.0, 0.0), short: int = 4):
+        self.weights, self.exceptions, self.line, self.short = weights, exceptions, line, short
         self._automaton = None
 
     def __getstate__(self):
-        return {"weights": self.weights, "exceptions": self.exceptions, "line": self.line, "_automaton": None}
+        return {"weights": self.weights, "exceptions": self.exceptions, "line": self.line, "short": self.short, "_automaton": None}
 
     def _search(self):
         if self._automaton is None:
@@ -103,6 +106,8 @@ class Lexicon:
             start = end + 1 - size
             if start and text[start - 1].isalnum():
                 continue
+            if weight is not None and size < self.short and text[end + 1 : end + 2].isalnum():
+                continue
             if weight is None:
                 spared.append((start, end))
             elif size > found.get(start, (0, 0.0))[0]:
@@ -139,8 +144,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, total: int, mo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(_some(mine, total, most)), "doc_id")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[int, int] = (4, 8), least_ratio: float = 4.0, least_share: float = 0.03, least_docs: int = 3, most_words: int = 2000, learn_rows: int = 20_000, fit_rows: int = 4000) -> Lexicon:
-    """Lexicon and score line from the labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[int, int] = (4, 8), least_ratio: float = 4.0, sure: float = 2.0, least_docs: int = 3, most_words: int = 2000, learn_rows: int = 20_000, fit_rows: int = 4000) -> Lexicon:
+    """Lexicon and score line from the labelled rows outside the held-out fold.
+
+    A stem enters if the lower Wilson bound, ``sure`` standard deviations below, of the toxic part of its rows is at least what
+    a ``least_ratio`` of the two classes' shares gives.
+    """
     total = labels.count()
     rows = training_rows(docs, labels, label, total, learn_rows)
     short, long = sizes
@@ -151,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple
             for text, y in zip(pdf["text"], pdf["y"]):
                 held = counts[int(y > 0)]
                 words = WORD.findall(fold(text or ""))
-                here = Counter(w[:k] for w in words for k in range(short, min(long, len(w)) + 1))
+                here = Counter(w[:k] for w in words for k in (range(short, min(long, len(w)) + 1) if len(w) >= short else (len(w),) if len(w) > 1 else ()))
                 held[0] += 1
                 held[1] += len(words)
                 held[2].update(here.keys())
@@ -166,9 +175,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple
     line = Lexicon({})
     if whole is not None and whole["docs1"]:
         share = lambda k, c: (F.col(f"{c}{k}") + 0.5) / (whole[f"{c}{k}"] + 1)
-        least = max(least_docs, least_share * whole["docs1"])
-        best = table.where((F.col("stem") != "") & (F.col("docs1") >= least) & (share(1, "docs") >= least_ratio * share(0, "docs"))).select("stem", F.log(share(1, "uses") / share(0, "uses")).alias("w"), "docs1").where("w > 0").orderBy(F.desc(F.col("w") * F.col("docs1")), "stem").limit(most_words).collect()
-        line = Lexicon({r["stem"]: float(r["w"]) for r in best})
+        n = F.col("docs1") + F.col("docs0")
+        part, z = F.col("docs1") / n, sure * sure / n
+        bound = (part + z / 2 - F.sqrt(z * part * (1 - part) + z * z / 4)) / (1 + z)
+        least = least_ratio * whole["docs1"] / (least_ratio * whole["docs1"] + whole["docs0"])
+        best = table.where((F.col("stem") != "") & (F.col("docs1") >= least_docs) & (bound >= least)).select("stem", F.log(share(1, "uses") / share(0, "uses")).alias("w"), "docs1").where("w > 0").orderBy(F.desc(F.col("w") * F.col("docs1")), "stem").limit(most_words).collect()
+        line = Lexicon({r["stem"]: float(r["w"]) for r in best}, short=short)
 
     def features(batches):
         for pdf in batches:

@@ -66,3 +66,24 @@ def test_each_disguised_word_folds_by_itself():
         assert lexicon.mass(toxicity.fold(text)) == mass, text
         assert lexicon.mass(toxicity.fold(text + " n1ce")) == mass, text
     assert toxicity.fold("stupid! wow!!") == "stupid! wow!!"
+
+
+def test_rare_and_short_insults_enter(spark, documents):
+    rng = random.Random(6)
+    plain = lambda n: [rng.choice(["lorem", "ipsum", "dolor", "amet", "sit", "assist"]) for _ in range(n)]
+    rare = [f"{a}{b}word" for a in "bcdfghjk" for b in "aeiouy"]
+    rows, toxic = [], {}
+    for i in range(100, 4100):
+        w = plain(30)
+        if i % 4 == 0:
+            w[rng.randrange(30)] = rng.choice([*rare, "ass", "ho"])
+        rows.append((i, " ".join(w)))
+        toxic[i] = int(i % 4 == 0)
+    docs = documents(rows)
+    marks = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, marks)
+    assert {"ass", "ho"} <= set(lexicon.weights)
+    assert lexicon.mass("assist sit") == 0 < lexicon.mass("an ass!")
+    held = [r for r in toxicity.scored(docs, lexicon).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] for r in held if toxic[r["doc_id"]]]) > 0.9
+    assert np.mean([r["predicted"] for r in held if not toxic[r["doc_id"]]]) < 0.05
