@@ -39,24 +39,24 @@ def license_scan(documents: str = "documents") -> str:
     values = ", ".join(f"({k}, '{label}', {phrase}, {size}, {i}, '{gram}')" for k, label, phrase, size, i, gram in places())
     return f"""
 WITH t(template, label, phrase, size, place, gram) AS (VALUES {values}),
-w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS w FROM {documents}),
-g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS i, w FROM w WHERE len(w) > 1),
-hits AS (SELECT doc_id, i, template, label, phrase, size, place FROM (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] AS gram FROM g) JOIN t USING (gram)),
-diagonals AS (SELECT doc_id, template, label, phrase, size, i - place AS d, count(DISTINCT place) AS votes, min(i) AS lo, max(i) + 1 AS hi
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS w FROM {documents}),
+g AS (SELECT r, unnest(range(0, len(w) - 1)) AS i, w FROM w WHERE len(w) > 1),
+hits AS (SELECT r, i, template, label, phrase, size, place FROM (SELECT r, i, w[i + 1] || ' ' || w[i + 2] AS gram FROM g) JOIN t USING (gram)),
+diagonals AS (SELECT r, template, label, phrase, size, i - place AS d, list(DISTINCT place) AS met, min(i) AS lo, max(i) + 1 AS hi
               FROM hits GROUP BY ALL HAVING count(DISTINCT place) >= CASE WHEN phrase THEN size - 1 ELSE 2 END),
-steps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) <= {SHIFT} THEN 0 ELSE 1 END AS fresh FROM diagonals WHERE NOT phrase),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM steps),
-spans AS (SELECT doc_id, label, least(1.0, sum(votes)::DOUBLE / (size - 1)) AS score FROM runs GROUP BY doc_id, template, label, size, run
-          HAVING max(hi) - min(lo) + 1 <= {STRETCH} * size),
-marks AS (SELECT doc_id, label, d AS start, true AS base, 1.0::DOUBLE AS score FROM diagonals WHERE phrase
-          UNION ALL SELECT doc_id, label, NULL, false, score FROM spans),
-result AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
+steps AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, template ORDER BY d) <= {SHIFT} THEN NULL ELSE d END AS fresh FROM diagonals WHERE NOT phrase),
+chains AS (SELECT *, max(fresh) OVER (PARTITION BY r, template ORDER BY d ROWS UNBOUNDED PRECEDING) AS start FROM steps),
+spans AS (SELECT r, label, len(list_distinct(flatten(list(met))))::DOUBLE / (size - 1) AS score
+          FROM (SELECT *, (d - start) // ({STRETCH - 1} * size) AS part FROM chains) GROUP BY r, template, label, size, start, part),
+marks AS (SELECT r, label, d AS start, true AS base, 1.0::DOUBLE AS score FROM diagonals WHERE phrase
+          UNION ALL SELECT r, label, NULL, false, score FROM spans),
+result AS (SELECT r, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base OR score >= {COVER}) AS labels, max(score) AS score
-           FROM marks GROUP BY doc_id)
+           FROM marks GROUP BY r)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
-FROM w LEFT JOIN result ON w.doc_id = result.doc_id"""
+FROM w LEFT JOIN result ON w.r = result.r"""
 
 
 def oracle_sql() -> dict[str, str]:
