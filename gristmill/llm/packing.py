@@ -4,7 +4,9 @@ A sequence has a capacity of tokens, of documents and of attention cost (the sum
 Pieces are placed from the longest down, as vectors (tokens, 1, length**2) scaled by the capacities. A sequence
 qualifies only if the piece fits under every capacity; among those the one with the largest weighted dot product of
 piece and residual, or the smallest weighted norm of what would remain, takes it (``by``). Sequences with equal
-residuals are interchangeable, so the choice is over the distinct residuals, a set bounded by the capacities.
+residuals are interchangeable, so the choice is over the distinct residuals, a set bounded by the capacities. All three
+dimensions have a weight: of two sequences that leave about as many tokens the one that is closer to its other limits is taken, which
+keeps room for many documents, or for costly ones, where there still is some.
 
 Only (doc_id, piece, length) is shuffled, into groups of about ``group_pieces`` rows chosen by a hash of the
 document: each group has the same mix of lengths and is packed on its own, which costs at most a few part-filled
@@ -30,6 +32,8 @@ from gristmill.llm.common import written
 #: Characters whose classes are the same in every version of Unicode that the two tokenizer libraries may follow.
 USUAL = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 SPECIAL = "<|"
+#: Weights of tokens, documents and attention cost, as shares of their capacities, in the choice of a sequence.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 class ByteLevelEncoder:
@@ -80,29 +84,31 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, end: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece, sequences numbered from 0, packed in the order of falling length."""
+def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece, sequences numbered from 0, packed in the order of falling length.
+
+    Of sequences that ``by`` judges alike, the one whose residual was first to come up takes the piece.
+    """
     tokens, documents, attention = capacity
     caps, w = np.array(capacity, float), np.array(weights, float)
     order = np.argsort(-lengths, kind="stable")
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     opened: dict[tuple[int, int, int], list[int]] = {}
-    made, residuals, dirty = 0, np.zeros((0, 3)), True
+    made, keys, residuals, dirty = 0, [], np.zeros((0, 3)), False
     for i in order.tolist():
         n = int(lengths[i])
         need = np.array([n, 1, n * n], float)
         if dirty:
-            residuals, dirty = np.array(list(opened), float).reshape(-1, 3), False
-            keys = list(opened)
+            keys, dirty = list(opened), False
+            residuals = np.array(keys, float).reshape(-1, 3)
         best = None
-        if len(residuals):
-            fits = np.flatnonzero((residuals >= need).all(1))
-            if len(fits):
-                if by == "dot":
-                    score = -((residuals[fits] / caps) * (need / caps) * w).sum(1)
-                else:
-                    score = (w * ((residuals[fits] - need) / caps) ** 2).sum(1)
-                best = keys[fits[int(np.argmin(score))]]
+        fits = np.flatnonzero((residuals >= need).all(1))
+        if len(fits):
+            if by == "dot":
+                score = -((residuals[fits] / caps) * (need / caps) * w).sum(1)
+            else:
+                score = (w * ((residuals[fits] - need) / caps) ** 2).sum(1)
+            best = keys[fits[int(np.argmin(score))]]
         if best is None:
             k, left = made, (tokens, documents, attention)
             made += 1
@@ -110,33 +116,33 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
                 raise ValueError(f"a piece of {n} tokens fits no sequence")
         else:
             left = best
-            k = opened[best].pop()
+            k = opened[best].pop(0)
             if not opened[best]:
                 del opened[best]
                 dirty = True
         sequence[i], offset[i] = k, tokens - left[0]
         rest = (left[0] - n, left[1] - 1, left[2] - n * n)
         if min(rest) > 0:
-            if rest not in opened:
-                dirty = True
+            dirty |= rest not in opened
             opened.setdefault(rest, []).append(k)
     return sequence, offset
 
 
-def pack(made: DataFrame, capacity: int = 1024, documents: int = 1024, attention: int = 1024 * 1024, group_pieces: int = 8192, by: str = "norm") -> DataFrame:
+def pack(made: DataFrame, capacity: int = 1024, documents: int = 1024, attention: int = 1024 * 1024, group_pieces: int = 8192, by: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """``made`` with sequence_id and offset: no sequence holds more than any capacity."""
     n = made.where(F.col("length") < capacity).count()
     groups = max(1, n // group_pieces)
     part = made.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups)).cast("int"))
     whole = made.where(F.col("length") == capacity)
 
-    def place(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sequence, offset = best_fit(pdf["length"].to_numpy(), (capacity, documents, attention), by=by)
-        return pdf.assign(sequence_id=pdf["grp"].astype("int64") * (1 << 32) + sequence, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sequence, offset = best_fit(rows.column("length").to_numpy(), (capacity, documents, attention), weights, by)
+        number = rows.column("grp").to_numpy().astype(np.int64) * (1 << 32) + sequence
+        return rows.drop_columns("grp").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    placed = part.groupBy("grp").applyInPandas(place, schema)
+    placed = part.groupBy("grp").applyInArrow(place, schema)
     alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)
 

@@ -63,6 +63,47 @@ def test_every_capacity_holds(by):
     assert tight.max() + 1 <= np.ceil(lengths.sum() / 100) + 2
 
 
+def naive_fit(lengths, caps, weights, by):
+    """Contents of the sequences, by a look at every open sequence for every piece."""
+    made = []
+    for n in sorted(lengths, reverse=True):
+        need, best = (n, 1, n * n), None
+        for held in made:
+            left = [c - u for c, u in zip(caps, (sum(held), len(held), sum(x * x for x in held)))]
+            if all(r >= x for r, x in zip(left, need)):
+                if by == "dot":
+                    score = -sum(w * r / c * x / c for w, r, c, x in zip(weights, left, caps, need))
+                else:
+                    score = sum(w * ((r - x) / c) ** 2 for w, r, c, x in zip(weights, left, caps, need))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, held
+        best[1].append(n) if best else made.append([n])
+    return sorted(tuple(x) for x in made)
+
+
+@pytest.mark.parametrize("by", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(100, 5, 4000), (100, 1000, 10**4), (97, 7, 10**6)])
+def test_vector_best_fit(by, caps):
+    lengths = np.random.default_rng(2).permutation(np.arange(1, 60))
+    sequence, _ = packing.best_fit(lengths, caps, (1.0, 0.37, 0.61), by)
+    got = sorted(tuple(sorted(lengths[sequence == s].tolist(), reverse=True)) for s in np.unique(sequence))
+    assert got == naive_fit(lengths.tolist(), caps, (1.0, 0.37, 0.61), by)
+
+
+def test_the_query_weighs_all_dimensions():
+    """700 + 324 and 512 + 512 leave six tokens each: the costlier one, with less attention left, takes the last piece."""
+    assert min(packing.WEIGHTS) > 0
+    lengths, caps = np.array([700, 512, 512, 324, 3]), (1030, 1024, 1030 * 1030)
+    assert packing.best_fit(lengths, caps)[0].tolist() == [0, 1, 1, 0, 0]
+    assert packing.best_fit(lengths, caps, (1.0, 0.0, 0.0))[0].tolist() == [0, 1, 1, 0, 1]
+
+
+def test_large_ids_beside_null(documents):
+    rows = [(9007199254740993, "a b"), (None, "c"), (9007199254740995, ""), (None, None)]
+    got = packing.pack_documents(documents(rows), BPE, RANKS).collect()
+    assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [9007199254740993, 9007199254740995] and len(got) == 4
+
+
 def test_spans(documents):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = {r["doc_id"]: r for r in spans.encode_documents(documents(ROWS), MODEL).collect()}
