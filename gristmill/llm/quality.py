@@ -16,7 +16,6 @@ doc_id are scored; with no labels at all every score is 0.5.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +142,7 @@ def scored(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
         grams = Grams()
         for batch in batches:
             score = shared.value.scores(_rows(batch.column(1), grams)) if batch.num_rows else np.zeros(0)
-            held = held_out(pd.Series(batch.column(0).to_pylist(), dtype=object))
+            held = held_out(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(score), pa.array((score >= limit).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

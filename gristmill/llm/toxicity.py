@@ -1,18 +1,21 @@
 """Toxicity scores from a weighted lexicon matched by Aho-Corasick.
 
 Texts are folded before matching: lower case, accents and look-alike letters of other scripts mapped to Latin, then
-digits and signs that stand for letters inside a word. The lexicon is learnt: word beginnings (stems and whole words
-alike, and whole words of two or three letters) that surely stand in a far larger share of the toxic than of the other
-labelled rows, however few those are, get the logarithm of the ratio of their rates as weight. Lexicon and exception phrases go into one automaton; at each word start the longest
+digits and signs that stand for letters inside a word. The lexicon is learnt: word beginnings of four letters and more (stems), and
+whole words from two letters on, that surely stand in a far larger share of the toxic than of the other
+labelled rows, however few those are, get the logarithm of the ratio of their rates as weight. Exception phrases are two
+words, one of them with a lexicon entry, that surely do not stand in such a share of toxic rows; a given table of them joins
+those learnt. Lexicon and exception phrases go into one automaton; at each word start the longest
 entry counts, unless it lies inside an exception phrase. The summed weight is normalised by the square root of
 the number of words, and a fitted logistic line turns it into the score.
 
 The lexicon is learnt from at most about ``learn_rows`` labelled rows outside the held-out fold and the line from at most
-about ``fit_rows`` of them, chosen by a hash of doc_id; every document is scored whole.
+about ``fit_rows`` of them, chosen by a hash of doc_id; every document is scored whole. All entries that pass the test
+enter; their number is bounded by the words of those rows.
 
 Defined cases: null and empty texts have no match and get the score of none; rows with a null doc_id are scored and
 held out of learning; label rows whose toxic is null or whose doc_id has no document are ignored, repeated label rows
-count once for each document (the largest label); documents that repeat are each scored.
+count once for each document (the largest label); documents that repeat are each scored. Words of one letter never count.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "white trash can", "idiot proof")
 
 WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?<![^\W_@$!|])(?=[^\s]*[^\W\d_])[\w@$!|]*[01345 7@$!|][\w@$!|]*".replace(" ", ""))
+_MIXED = re.compile(r"(?<![^\W_@$!|])(?=[^\s]*[^\W\d_])[\w@$!|]*[013457@$!|][\w@$!|]*")
+_PHRASE_BEFORE, _PHRASE_AFTER = re.compile(r"(?<![^\W_])[^\W_]+ $"), re.compile(r" [^\W_]+")
 _ACCENTS = {}
 
 
@@ -73,7 +77,7 @@ def _latin(text: str) -> bool:
 class Lexicon:
     """Weighted words and exception phrases in one automaton; picklable as its lists.
 
-    Entries of fewer than ``short`` letters match whole words only.
+    Entries of fewer than ``short`` letters match whole words only, and so do exception phrases at their end.
     """
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, line: tuple[float, float] = (1.0, 0.0), short: int = 4):
@@ -101,18 +105,32 @@ class Lexicon:
         automaton = self._search()
         if not len(automaton):
             return 0.0
-        found, spared = {}, []
-        for end, (size, weight) in automaton.iter(text):
+        found, spared = self._met(text)
+        if spared:
+            found = {lo: x for lo, x in found.items() if spared.get(lo, 0) < lo + x[0]}
+        return sum(w for _, w in found.values())
+
+    def _met(self, text: str) -> tuple[dict[int, tuple[int, float]], dict[int, int]]:
+        """(start: (size, weight) of the longest entry there, start of a word: the end up to which exceptions spare it)."""
+        found, spared = {}, {}
+        for end, (size, weight) in self._search().iter(text):
             start = end + 1 - size
             if start and text[start - 1].isalnum():
                 continue
-            if weight is not None and size < self.short and text[end + 1 : end + 2].isalnum():
+            if (weight is None or size < self.short) and text[end + 1 : end + 2].isalnum():
                 continue
             if weight is None:
-                spared.append((start, end))
+                for word in WORD.finditer(text, start, end + 1):
+                    spared[word.start()] = max(spared.get(word.start(), 0), end + 1)
             elif size > found.get(start, (0, 0.0))[0]:
                 found[start] = size, weight
-        return sum(w for lo, (n, w) in found.items() if not any(a <= lo and lo + n - 1 <= b for a, b in spared))
+        return found, spared
+
+    def words_met(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of each word of a folded text that has an entry."""
+        if not len(self._search()):
+            return []
+        return [(lo, WORD.match(text, lo).end()) for lo in sorted(self._met(text)[0]) if WORD.match(text, lo)]
 
     def feature(self, text: str | None) -> float:
         folded = fold(text or "")
@@ -123,8 +141,8 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, slope * self.feature(text) + shift))))
 
 
-def held_out(doc: pd.Series) -> np.ndarray:
-    return np.array([x is not None and x == x and zlib.crc32(str(int(x)).encode()) % 5 == 0 for x in doc], bool)
+def held_out(ids: list[int | None]) -> np.ndarray:
+    return np.array([x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in ids], bool)
 
 
 def _some(rows: DataFrame, total: int, most: int) -> DataFrame:
@@ -144,49 +162,85 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, total: int, mo
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(_some(mine, total, most)), "doc_id")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sizes: tuple[int, int] = (4, 8), least_ratio: float = 4.0, sure: float = 2.0, least_docs: int = 3, most_words: int = 2000, learn_rows: int = 20_000, fit_rows: int = 4000) -> Lexicon:
-    """Lexicon and score line from the labelled rows outside the held-out fold.
+def entries_of(word: str, stems: tuple[int, int]) -> tuple[str, ...]:
+    """The lexicon entries that a word stands for: its beginnings of ``stems`` lengths and the word itself."""
+    short, long = stems
+    if len(word) < short:
+        return (word,) if len(word) > 1 else ()
+    return (*(word[:k] for k in range(short, min(long, len(word)) + 1)), *((word,) if len(word) > long else ()))
 
-    A stem enters if the lower Wilson bound, ``sure`` standard deviations below, of the toxic part of its rows is at least what
-    a ``least_ratio`` of the two classes' shares gives.
+
+def _counted(rows: DataFrame, find, name: str) -> DataFrame:
+    """stem, docs1, uses1, docs0, uses0: in how many rows, and how often, what ``find(text)`` gives stands, by label.
+
+    The row of the empty stem has the numbers of rows and of words.
     """
-    total = labels.count()
-    rows = training_rows(docs, labels, label, total, learn_rows)
-    short, long = sizes
 
-    def stems(batches):
+    def count(batches):
         counts = {0: [0, 0, Counter(), Counter()], 1: [0, 0, Counter(), Counter()]}
-        for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["y"]):
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = counts[int(y > 0)]
-                words = WORD.findall(fold(text or ""))
-                here = Counter(w[:k] for w in words for k in (range(short, min(long, len(w)) + 1) if len(w) >= short else (len(w),) if len(w) > 1 else ()))
+                n, here = find(text or "")
                 held[0] += 1
-                held[1] += len(words)
+                held[1] += n
                 held[2].update(here.keys())
                 held[3].update(here)
         for y, (docs_, words_, in_docs, uses) in counts.items():
-            yield pd.DataFrame({"stem": ["", *in_docs], "y": y, "docs": [docs_, *in_docs.values()], "uses": [words_, *(uses[s] for s in in_docs)]})
+            columns = [["", *in_docs], [y] * (len(in_docs) + 1), [docs_, *in_docs.values()], [words_, *(uses[s] for s in in_docs)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["stem", "y", "docs", "uses"])
 
     toxic = F.col("y") == 1
-    table = written(rows.mapInPandas(stems, "stem string, y int, docs long, uses long").groupBy("stem").agg(
-        *(F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, side in ((1, toxic), (0, ~toxic)) for c in ("docs", "uses"))), "stems")
+    sums = (F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, side in ((1, toxic), (0, ~toxic)) for c in ("docs", "uses"))
+    return written(rows.select("text", "y").mapInArrow(count, "stem string, y int, docs long, uses long").groupBy("stem").agg(*sums), name)
+
+
+def _wilson(side: int, sure: float) -> F.Column:
+    """The Wilson bound of the toxic part of a stem's rows, ``sure`` standard deviations below (side -1) or above (1)."""
+    n = F.col("docs1") + F.col("docs0")
+    part, z = F.col("docs1") / n, sure * sure / n
+    return (part + z / 2 + side * F.sqrt(z * part * (1 - part) + z * z / 4)) / (1 + z)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", stems: tuple[int, int] = (4, 8), least_ratio: float = 4.0, sure: float = 2.0, least_docs: int = 3, learn_rows: int = 20_000, fit_rows: int = 4000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Lexicon, exception phrases and score line from the labelled rows outside the held-out fold.
+
+    A stem enters if the lower Wilson bound, ``sure`` standard deviations below, of the toxic part of its rows is at least what
+    a ``least_ratio`` of the two classes' shares gives; a phrase is an exception if its upper bound is below that.
+    """
+    total = labels.count()
+    rows = written(training_rows(docs, labels, label, total, learn_rows), "toxic_rows")  # a bounded number of rows, read three times
+
+    def stems_of(text):
+        words = WORD.findall(fold(text))
+        return len(words), Counter(e for w in words for e in entries_of(w, stems))
+
+    table = _counted(rows, stems_of, "stems")
     whole = table.where("stem = ''").first()
-    line = Lexicon({})
+    line = Lexicon({}, exceptions)
     if whole is not None and whole["docs1"]:
         share = lambda k, c: (F.col(f"{c}{k}") + 0.5) / (whole[f"{c}{k}"] + 1)
-        n = F.col("docs1") + F.col("docs0")
-        part, z = F.col("docs1") / n, sure * sure / n
-        bound = (part + z / 2 - F.sqrt(z * part * (1 - part) + z * z / 4)) / (1 + z)
         least = least_ratio * whole["docs1"] / (least_ratio * whole["docs1"] + whole["docs0"])
-        best = table.where((F.col("stem") != "") & (F.col("docs1") >= least_docs) & (bound >= least)).select("stem", F.log(share(1, "uses") / share(0, "uses")).alias("w"), "docs1").where("w > 0").orderBy(F.desc(F.col("w") * F.col("docs1")), "stem").limit(most_words).collect()
-        line = Lexicon({r["stem"]: float(r["w"]) for r in best}, short=short)
+        best = table.where((F.col("stem") != "") & (F.col("docs1") >= least_docs) & (_wilson(-1, sure) >= least)).select("stem", F.log(share(1, "uses") / share(0, "uses")).alias("w")).where("w > 0").collect()
+        line = Lexicon({r["stem"]: float(r["w"]) for r in best}, exceptions, short=stems[0])
+
+        def phrases_of(text):
+            folded, found = fold(text), Counter()
+            for start, end in line.words_met(folded):
+                before, after = _PHRASE_BEFORE.search(folded, max(0, start - 40), start), _PHRASE_AFTER.match(folded, end)
+                found.update(([folded[before.start() : end]] if before else []) + ([folded[start : after.end()]] if after else []))
+            return 0, found
+
+        if line.weights:
+            spared = _counted(rows, phrases_of, "phrases").where((F.col("stem") != "") & (_wilson(1, sure) < least)).select("stem").orderBy("stem").collect()
+            line = Lexicon(line.weights, (*exceptions, *(r["stem"] for r in spared if r["stem"] not in exceptions)), short=stems[0])
 
     def features(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"x": [line.feature(t) for t in pdf["text"]], "y": (pdf["y"] > 0).astype(float)})
+        for batch in batches:
+            x, y = [line.feature(t) for t in batch.column(0).to_pylist()], [float(y > 0) for y in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["x", "y"])
 
-    fit = _some(rows, total, fit_rows).mapInPandas(features, "x double, y double").toPandas().sort_values(["x", "y"])  # two numbers for each of about fit_rows rows
+    fit = _some(rows, total, fit_rows).select("text", "y").mapInArrow(features, "x double, y double").toPandas().sort_values(["x", "y"])  # two numbers for each of about fit_rows rows
     line.line = _logistic(fit["x"].to_numpy(float), fit["y"].to_numpy(float))
     return line
 
@@ -210,10 +264,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 def scored(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the rows learnt from
 
     def run(batches):
-        for pdf in batches:
-            score = np.array([lexicon.score(t) for t in pdf["text"]], float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": held_out(pdf["doc_id"]), "score": score, "predicted": (score >= limit).astype("int32")})
+        lexicon = shared.value
+        for batch in batches:
+            score = np.array([lexicon.score(t) for t in batch.column(1).to_pylist()], float)
+            held = held_out(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(score), pa.array((score >= limit).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -1,6 +1,9 @@
 import random
+import re
+import zlib
 
 import numpy as np
+import pytest
 
 from gristmill.llm import quality, toxicity
 from tests.llm.conftest import EDGES
@@ -87,3 +90,62 @@ def test_rare_and_short_insults_enter(spark, documents):
     held = [r for r in toxicity.scored(docs, lexicon).collect() if r["held_out"]]
     assert np.mean([r["predicted"] for r in held if toxic[r["doc_id"]]]) > 0.9
     assert np.mean([r["predicted"] for r in held if not toxic[r["doc_id"]]]) < 0.05
+
+
+def naive_mass(weights, phrases, text, short=4):
+    """Word by word: the longest entry that begins it, unless an exception phrase covers that entry."""
+    total = 0.0
+    for m in re.finditer(r"[^\W_]+", text):
+        fits = [e for e in weights if m.group().startswith(e) and (len(e) >= short or e == m.group())]
+        if fits:
+            e = max(fits, key=len)
+            lo, hi = m.start(), m.start() + len(e)
+            covered = any(p.start() <= lo and hi <= p.end() for x in phrases for p in re.finditer(rf"(?<![^\W_])(?={re.escape(x)}(?![^\W_]))", text) for p in [re.compile(re.escape(x)).match(text, p.start())])
+            total += 0.0 if covered else weights[e]
+    return total
+
+
+def test_matcher_against_a_naive_one():
+    rng = random.Random(12)
+    words = ["abc", "abcd", "abcde", "abcdefghi", "abcdefghijk", "xy", "xyz", "bcd", "trash", "can", "cans", "bin", "q"]
+    weights = {"abcd": 1.0, "abcdefghi": 2.0, "xy": 4.0, "trash": 8.0, "bin": 16.0}
+    phrases = ("trash can", "can trash", "xy q", "bin xy", "xyz abcd")
+    lexicon = toxicity.Lexicon(weights, phrases)
+    for _ in range(2000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "_", "-", ""]) for _ in range(rng.randint(0, 12)))
+        assert lexicon.mass(text) == naive_mass(weights, phrases, text), text
+
+
+@pytest.mark.parametrize("phrase", toxicity.EXCEPTIONS)
+def test_given_exceptions(phrase):
+    lexicon = toxicity.Lexicon({"trash": 3.0, "clown": 2.0, "idiot": 1.0})
+    assert lexicon.mass(f"a {phrase}, here") == 0.0 < lexicon.mass(f"a {phrase.split()[-2]}, {phrase.split()[-1]}")
+
+
+def test_exceptions_are_learnt(spark, documents):
+    rng = random.Random(13)
+    rows, marks = [], []
+    for i in range(100, 2100):
+        w = [rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(20)]
+        toxic = i % 3 == 0
+        if toxic:
+            w[rng.randrange(20)] = "rotten"
+        elif i % 15 == 1:
+            w[5:6] = ["rotten", "apple"]
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(toxic)))
+    lexicon = toxicity.learn(documents(rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert "rotten" in lexicon.weights and "rotten apple" in lexicon.exceptions and not any(p.endswith("lorem") for p in lexicon.exceptions)
+    assert lexicon.mass("a rotten apple fell") == 0.0 < lexicon.mass("a rotten lorem")
+
+
+def test_long_words_have_entries_of_their_own():
+    assert toxicity.entries_of("assassinations", (4, 8)) == ("assa", "assas", "assass", "assassi", "assassin", "assassinations")
+    assert toxicity.entries_of("ass", (4, 8)) == ("ass",) and toxicity.entries_of("a", (4, 8)) == ()
+
+
+def test_large_ids_beside_null(spark, documents):
+    rows = [(9007199254740993, "a b"), (None, "c"), (9007199254740995, "")]
+    got = toxicity.scored(documents(rows), toxicity.Lexicon({"abcd": 1.0})).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in rows}
