@@ -2,17 +2,26 @@
 
 Normalisation goes from left to right: at each place the longest prefix that the compiled character map holds
 is replaced, else one code point stays as it is; every byte that comes out remembers the source bytes it came from.
-The normalised text is split into pieces, and as pieces tile it, running sums of piece lengths and the recorded
+The normalised text is split into pieces by byte-pair merges, the pair with the best score first and the leftmost of those, and
+as pieces tile it, running sums of piece lengths and the recorded
 alignment give each piece's span of bytes in the original text. A byte piece is one byte of its character: all but
 the last byte of a character project to an empty span at the character's start, the last to the whole character.
+Decoding joins what the pieces stand for. The model file gives the pieces, their scores and the map; no library encodes or decodes.
+
+Where blanks only begin pieces, no merge crosses from a letter to a blank, so a text is cut there and each word is
+merged once and remembered (a bounded number of words).
 
 Defined cases: null is empty; an empty text is the begin and end ids alone; repeated rows and null doc_ids
-are encoded like any other; columns other than doc_id and text are never read.
+are encoded like any other; columns other than doc_id and text are never read. In a model without byte pieces a run of unknown characters is one
+unknown id with the span of the run. Ids of byte pieces that are no UTF-8 decode to U+FFFD, byte by byte. A model that is not of the byte-pair
+kind or has pieces defined by its user or unused ones raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
 
 import numpy as np
@@ -110,36 +119,129 @@ class Normalizer:
         return data, lo, hi
 
 
+class Merger(dict):
+    """Packed unsigned 32-bit ids of a stretch of normalised text, remembered for short stretches."""
+
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], unknown: int, raw: list[int] | None, most: int = 400_000, short: int = 40):
+        self.ids, self.unknown, self.raw, self.most, self.short = ids, unknown, raw, most, short
+        place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks, self.last = {text: place[score] for text, score in scores.items()}, len(place)
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.named(self.merged(list(text)) if len(text) <= self.short else self.merged_long(list(text)))
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= self.short:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = packed
+        return packed
+
+    def merged(self, parts: list[str]) -> list[str]:
+        """Merges by looking for the best pair again and again; for stretches of a few characters."""
+        rank, last = self.ranks.get, self.last
+        pairs = [rank(a + b, last) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < last:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], last)
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], last)
+        return parts
+
+    def merged_long(self, parts: list[str]) -> list[str]:
+        """The same with a queue of pairs, for stretches of any length."""
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[int, int, int, str]] = []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < len(parts) and (rank := self.ranks.get(both := parts[left] + parts[right])) is not None:
+                heapq.heappush(queue, (rank, left, right, both))
+
+        for k in range(len(parts) - 1):
+            offer(k, k + 1)
+        while queue:
+            _, left, right, both = heapq.heappop(queue)
+            if parts[left] and parts[right] and len(parts[left]) + len(parts[right]) == len(both):
+                parts[left], parts[right] = both, ""
+                after[left] = after[right]
+                if after[left] < len(parts):
+                    before[after[left]] = left
+                offer(before[left], left)
+                offer(left, after[left])
+        return [x for x in parts if x]
+
+    def named(self, parts: list[str]) -> list[int]:
+        try:
+            return [self.ids[x] for x in parts]
+        except KeyError:
+            out: list[int] = []
+            for part in parts:
+                if (known := self.ids.get(part)) is not None:
+                    out.append(known)
+                elif self.raw is None:
+                    out.append(self.unknown)
+                else:
+                    out.extend(self.raw[x] for x in part.encode())
+            return out
+
+
 class SpanEncoder:
-    """ids and original byte spans of texts under one SentencePiece model."""
+    """ids, original byte spans and decoded texts under one SentencePiece model."""
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as model:
             proto.ParseFromString(model.read())
+        kinds, pieces = proto.SentencePiece, proto.pieces
+        if proto.trainer_spec.model_type != proto.trainer_spec.BPE or any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in pieces):
+            raise ValueError("only byte-pair models without user-defined and unused pieces are read")
         self.normalize = Normalizer(proto.normalizer_spec)
-        kinds = proto.SentencePiece
-        self.width = np.array([0 if p.type == kinds.CONTROL else 1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces])
-        self.byte = np.array([p.type == kinds.BYTE for p in proto.pieces])
-        self.unknown = self.library.unk_id()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.uint32) for x in self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
-
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) in the bytes of ``text`` for each id; begin and end ids stand at the two ends."""
+        of = {p.piece: k for k, p in enumerate(pieces)}
+        self.unknown, self.begin, self.end = next(k for k, p in enumerate(pieces) if p.type == kinds.UNKNOWN), of[proto.trainer_spec.bos_piece], of[proto.trainer_spec.eos_piece]
+        self.raw = [of[f"<0x{x:02X}>"] for x in range(256)] if proto.trainer_spec.byte_fallback else None
+        normal = {p.piece: k for k, p in enumerate(pieces) if p.type == kinds.NORMAL}
+        self.merged = Merger(normal, {t: pieces[k].score for t, k in normal.items()}, self.unknown, self.raw)
+        mark = MARK.decode()
+        self.stretch = None if any(mark in t.lstrip(mark) for t in normal) else re.compile(f"{mark}+[^{mark}]*|[^{mark}]+")
+
+        self.byte = np.array([p.type == kinds.BYTE for p in pieces])
+        self.control = [p.type == kinds.CONTROL for p in pieces]
+        self.width = np.array([0 if p.type == kinds.CONTROL else 1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in pieces])
+        self.marked = [p.type == kinds.NORMAL and p.piece.startswith(mark) for p in pieces]
+        value = {kinds.CONTROL: lambda p: b"", kinds.BYTE: lambda p: bytes([int(p.piece[3:-1], 16)]), kinds.UNKNOWN: lambda p: proto.trainer_spec.unk_surface.encode()}
+        self.values = [value.get(p.type, lambda p: p.piece.replace(mark, " ").encode())(p) for p in pieces]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, end): each id with its span in the bytes of ``text``; begin and end ids stand at the two ends."""
         data = text.encode()
         normal, lo, hi = self.normalize(data)
+        whole = normal.decode()
+        stretches = self.stretch.findall(whole) if self.stretch else [whole]
+        ids = np.frombuffer(b"".join(map(self.merged.__getitem__, stretches)), "<u4")
         width = self.width[ids]
-        if (ids == self.unknown).any() or int(width.sum()) != len(normal):
-            raise ValueError("pieces don't tile the normalised text")
+        if self.raw is None and (ids == self.unknown).any():
+            ids, width = self._unknown_runs(normal, ids, width)
+        ids = np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32)
+        return ids, *self._project(ids, np.concatenate([[0], width, [0]]), np.append(lo, len(data)), np.append(hi, len(data)))
+
+    def _unknown_runs(self, normal: bytes, ids: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width, at = width.copy(), 0
+        for k, i in enumerate(ids.tolist()):
+            if i == self.unknown:
+                lead = normal[at]
+                width[k] = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            at += int(width[k])
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
+        return ids[fresh], np.add.reduceat(width, np.flatnonzero(fresh))
+
+    def _project(self, ids: np.ndarray, width: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         end = np.cumsum(width)
         begin = end - width
-        lo, hi = np.append(lo, len(data)), np.append(hi, len(data))
         first, last = lo[begin], np.where(width > 0, hi[np.maximum(end, 1) - 1], lo[begin])
         inner = self.byte[ids] & (width > 0)
         inner[:-1] &= self.byte[ids][1:]
@@ -149,7 +251,40 @@ class SpanEncoder:
         return first, last
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist())
+        ids = ids.tolist()
+        parts = list(map(self.values.__getitem__, ids))
+        if self.normalize.prefix or self.normalize.squeeze:
+            for k, i in enumerate(ids):
+                if not self.control[i]:
+                    if self.marked[i]:
+                        parts[k] = parts[k][1:]
+                        if self.normalize.squeeze and not parts[k]:
+                            continue
+                    break
+        try:
+            return b"".join(parts).decode()
+        except UnicodeDecodeError:
+            return self._mended(ids, parts)
+
+    def _mended(self, ids: list[int], parts: list[bytes]) -> str:
+        out, run = [], b""
+        for i, part in zip([*ids, None], [*parts, b""]):
+            if i is not None and self.byte[i]:
+                run += part
+                continue
+            while run:
+                n = next((n for n in (1, 2, 3, 4) if _is_character(run[:n])), 0)
+                out.append(run[:n].decode() if n else "\ufffd")
+                run = run[n or 1 :]
+            out.append(part.decode())
+        return "".join(out)
+
+
+def _is_character(data: bytes) -> bool:
+    try:
+        return len(data.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, begins array<long>, ends array<long>, decoded string"
@@ -162,9 +297,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         encoder = SpanEncoder(model)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = text.as_py() or ""
-                (ids,) = encoder.ids([whole])
-                begins, ends = encoder.spans(whole, ids)
+                ids, begins, ends = encoder.encode(text.as_py() or "")
                 one = [pa.array([doc], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.astype(np.int32)]), pa.array([begins]), pa.array([ends]), pa.array([encoder.decode(ids)], pa.string())]
                 yield pa.RecordBatch.from_arrays(one, ["doc_id", "n_tokens", "ids", "begins", "ends", "decoded"])
 
@@ -176,16 +309,14 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         encoder = SpanEncoder(model)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = text.as_py() or ""
-                (ids,) = encoder.ids([whole])
-                begins, ends = encoder.spans(whole, ids)
+                ids, begins, ends = encoder.encode(text.as_py() or "")
                 spans = np.stack([begins, ends], 1).astype("<i8").tobytes()
                 rows.append((doc, len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), encoder.decode(ids).encode(), spans))))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

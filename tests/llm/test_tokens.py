@@ -118,6 +118,53 @@ def test_spans(documents):
     assert digest[20]["ids_sha256"] == hashlib.sha256(np.array(rows[20]["ids"], "<u4").tobytes()).hexdigest()
 
 
+def random_text(rng, letters, most):
+    return "".join(rng.choices(letters, k=rng.randint(0, most)))
+
+
+def test_own_path_follows_the_library():
+    own, library = spans.SpanEncoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(10)
+    letters = list("abcdefgh  ▁▁ \t\n\0é日ｶﾞ🤦🏼中文字") + ["the", "ing", " and ", "<s>", "</s>", "<unk>", "<0x41>", "▁▁▁▁", "    ", "tion" * 30]
+    for _ in range(2500):
+        text = random_text(rng, letters, 40)
+        ids, begin, end = own.encode(text)
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True) and own.decode(ids) == library.decode(ids.tolist()), text
+        assert list(zip(begin.tolist(), end.tolist()))[1:-1] == [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces], text
+        ids = [rng.randrange(300) if rng.random() < 0.7 else rng.randrange(32000) for _ in range(rng.randint(0, 12))]
+        assert own.decode(np.array(ids, int)) == library.decode(ids), ids
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("prefix", [True, False])
+def test_mapped_model_without_byte_pieces(tmp_path, documents, squeeze, prefix):
+    """A model written down by hand: the compiled map, unknown characters and pieces with blanks inside."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, kinds = pb.ModelProto(), pb.ModelProto.SentencePiece
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = squeeze, prefix
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = proto.trainer_spec.BPE, False
+    del proto.pieces[:]
+    for text, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        proto.pieces.add(piece=text, type=kind, score=0.0)
+    for k, text in enumerate(["ab", "▁a", "fi", "▁ab", "b▁", "aa", "a", "b", "f", "i", "▁", "1", "é", "A", "b▁a", "▁▁"]):
+        proto.pieces.add(piece=text, type=kinds.NORMAL, score=-float(k // 2))
+    path = tmp_path / "toy.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rng = random.Random(11)
+    rows = [(i, random_text(rng, list("aabb   ﬁ①Ａé日x\t\u200b▁") + ["é"], 25)) for i in range(300)]
+    for r in spans.encode_documents(documents(rows), str(path)).collect():
+        text = rows[r["doc_id"]][1]
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids), text
+        begins = r["begins"]
+        assert begins == sorted(begins) and r["ends"][-1] == len(text.encode())
+        if not squeeze:
+            assert list(zip(begins, r["ends"]))[1:-1] == [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces], text
+
+
 def test_character_map_follows_the_library():
     library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     from sentencepiece import sentencepiece_model_pb2 as pb
