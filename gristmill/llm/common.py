@@ -22,28 +22,34 @@ def table(sf_dir: str, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder in spark.checkpoint.dir, which every executor reaches; where it is unset, a temporary one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        own = spark.sparkContext.applicationId
-        where = _OWN.setdefault(own, "") or _OWN.update({own: "file://" + tempfile.mkdtemp(prefix="gristmill-")}) or _OWN[own]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as Parquet to the shared folder and read it again; the table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", least_bits: int = 1 << 20, most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
     """(rows of docs whose key may be in ids, rows whose key is surely not in ids or is null).
 
-    A bitmap of hashed keys, bits / 64 rows of 64 bits at most whatever the input, is broadcast to the scan, so
-    that a following join has to shuffle only the first part. When the bitmap fills up that part grows; nothing
-    is lost.
+    A bitmap of hashed keys, sixteen bits or more for each of ids, is broadcast to the scan, so
+    that a following join has to shuffle only the first part. It has ``most_bits`` / 64 rows of 64 bits at most; beyond four million ids
+    it fills up and the first part grows; nothing is lost. ids is counted, so it should be a written table.
     """
+    bits = min(most_bits, max(least_bits, 1 << int(16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
     mask = F.expr("shiftleft(1L, cast(_place & 63 as int))")
     words = ids.select(place.alias("_place")).select(F.expr("shiftright(_place, 6)").alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_held"))

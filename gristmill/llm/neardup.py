@@ -272,9 +272,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """doc_id, cluster_id (smallest doc_id that links reach), kept (doc_id = cluster_id) of every document."""
     sig = written(signatures(docs, bands, rows, width), "signatures")
     first = written(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
-    copies = sig.select("doc_id", "digest").join(first.where("n > 1"), "digest").select("doc_id", "rep")
-    later, ours = split_by_ids(sig.drop("digest"), copies.where("doc_id > rep"))
-    reps = written(ours.union(later.join(copies.where("doc_id > rep").select("doc_id"), "doc_id", "left_anti")), "reps")
+    copies = written(sig.select("doc_id", "digest").join(first.where("n > 1"), "digest").select("doc_id", "rep"), "copies")
+    others = copies.where("doc_id > rep").select("doc_id")
+    later, ours = split_by_ids(sig.drop("digest"), others)
+    reps = written(ours.union(later.join(others, "doc_id", "left_anti")), "reps")
     buckets = reps.select("doc_id", F.explode("bands").alias("key"))
 
     pairs = written(_near(_pivot_pairs(buckets), reps, threshold - MARGIN), "pairs")

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from gristmill.llm import lines, substrings
 from tests.llm.conftest import EDGES
 
@@ -32,14 +35,27 @@ def test_lines(documents):
     rng = random.Random(3)
     pool = ["A Common Line here", "  a common line HERE\r", "short", "ÄÖÜ äöü ß line", "İstanbul lines 12", "unique %d", "", "\x0bpadded line ok\x0c", "1234567890", "123456789"]
     rows = [(i, "\n".join(p % i if "%d" in p else p for p in rng.choices(pool, k=rng.randint(0, 6)))) for i in range(60)] + EDGES
-    got = lines.drop_repeated_lines(documents(rows), bits=1 << 12)
-    assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr) == brute_lines(rows)
+    for most_bits in (lines.MOST_BITS, 1 << 6):
+        got = lines.drop_repeated_lines(documents(rows), most_bits=most_bits)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr) == brute_lines(rows)
 
 
-def test_lines_with_a_full_filter(documents):
-    rows = [(i, f"line number {i} alone\nthe line that all have") for i in range(200)]
-    got = lines.drop_repeated_lines(documents(rows), bits=1 << 6)
-    assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr) == brute_lines(rows)
+@pytest.mark.parametrize("n", [20, 2000])
+def test_filters_grow_with_the_keys(documents, n):
+    """Less than half of a filter is set at any size, and few single lines are suspects; beyond most_bits there is no filter."""
+    rows = [(i, f"line number {i} alone\nthe line that all have\n  LINE number {i // 2 * 2} of two") for i in range(n)]
+    docs = documents(rows).repartition(3)
+    keys = lines.count_keys(docs)
+    assert abs(keys - (n + n // 2 + 1)) < 0.2 * keys
+    bits = lines.filter_bits(keys)
+    assert 8 * keys <= bits <= max(16 * keys, 1 << 12)
+    twice = np.unpackbits(lines.repeat_filter(docs, bits, together=100))
+    repeats = lines.PROBES * (n // 2 + 1)
+    assert 0.9 * repeats < twice.sum() < 1.25 * repeats + 40
+    assert lines.filter_bits(int(0.4 * (1 << 20)), 1 << 20) is None and lines.filter_bits(int(0.3 * (1 << 20)), 1 << 20) == 1 << 20
+    for most_bits in (lines.MOST_BITS, 1 << 8):
+        got = lines.drop_repeated_lines(docs, most_bits=most_bits)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr) == brute_lines(rows)
 
 
 def brute_windows(rows, window):
