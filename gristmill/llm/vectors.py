@@ -1,18 +1,21 @@
 """Embedding tables: near-duplicate links by a pivot-permutation index, and nearest neighbours by 4-bit codes.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part in either.
+Vectors that are null, empty, zero or hold null or non-finite components take no part in either; nor do vectors of another
+length than most (of equally frequent lengths the larger).
 
 **Pivot permutations.** Reference vectors (pivots) come from a bounded sample, none close to another, so that a dense
 group cannot supply all the pivots near it. A vector is described by its ``prefix`` nearest pivots in order; vectors
 of a label with the same set of prefix pivots form a cell. Inverted lists retrieve what cells share: to find cells with
 at least ``shared`` common pivots, a list stands for a combination of that many pivots, and two cells on one list
-are candidates. Exact copies are collapsed first and counted. (Lists of single pivots would be as complete but, with the pivots fixed, each holds a fixed
-share of all cells.) Candidates are verified exactly, in double precision, block of a cell against block of a cell.
+are candidates. Exact copies are collapsed first and counted. The number of pivots grows with the cube root of that of vectors,
+which keeps the lists of combinations of three about as long at any size, and the prefix with the pivots; a list that is long all the same
+meets itself in pairs of blocks, so no task has a whole one. Candidates are verified exactly, in double precision, block of a cell
+against block of a cell.
 
 **Anisotropic codes.** A codebook of 16 words for every pair of dimensions is fitted on a bounded sample so as to minimise a
 loss in which the part of the residual that is parallel to the vector weighs ``eta`` times the rest: that part is what
 changes the largest inner products. Codes are four bits; a query scores all codes by its table of 16 inner products
-for each pair; the best are reranked exactly.
+for each pair; the best are reranked exactly. Queries and codes meet in a grid: a cell of it has one block of queries and one of codes.
 """
 
 from __future__ import annotations
@@ -25,15 +28,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.llm.common import components, written
 
 
-def usable(df: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, v array<double>, other columns): rows with a key whose vector can be compared."""
+def usable(df: DataFrame, key: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, int]:
+    """((key, v array<double>, other columns), their number): rows with a key whose vector can be compared."""
     v = F.col(column).cast("array<double>")
     fine = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(F.coalesce(fine, F.lit(False))).withColumn("v", v).drop(column)
+    rows = df.where(F.coalesce(fine, F.lit(False))).withColumn("v", v).drop(column)
+    usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return rows.where(F.size("v") == (usual["d"] if usual else 0)), usual["count"] if usual else 0
 
 
 def matrix(column: pd.Series | pa.Array) -> np.ndarray:
@@ -51,20 +57,39 @@ def _sample(rows: DataFrame, key: str, most: int) -> np.ndarray:
 
 def _pivots(rows: DataFrame, key: str, most: int, apart: float = 0.8) -> np.ndarray:
     """At most ``most`` vectors of a sample of four times as many, none with a cosine over ``apart`` to one before it."""
-    sample, kept = _sample(rows, key, 4 * most), []
+    sample, n = _sample(rows, key, 4 * most), 0
+    kept = np.zeros((most, sample.shape[1]))
     for x in sample:
-        if len(kept) < most and not (kept and (np.stack(kept) @ x).max() > apart):
-            kept.append(x)
-    return np.stack(kept) if kept else sample
+        if n < most and not (n and (kept[:n] @ x).max() > apart):
+            kept[n] = x
+            n += 1
+    return kept[:n]
 
 
-def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: int = 8, shared: int = 3, block: int = 512, together: int = 64) -> DataFrame:
+def index_size(vectors: int, least: int = 256, most: int = 4096, length: int = 64) -> tuple[int, int]:
+    """(number of pivots, prefix) for a number of vectors: about ``length`` entries on a list of three pivots of eight, were all alike frequent."""
+    pivots = min(most, max(least, int(np.ceil((336 * vectors / length) ** (1 / 3)))))
+    return pivots, 8 + 2 * max(0, int(np.ceil(np.log2(pivots / 512))))
+
+
+def _candidates(lists: DataFrame, list_block: int) -> DataFrame:
+    """(cell_id, other_id): the cells that meet on a list (label, list), each pair once; a long list meets itself block by block."""
+    many = lists.groupBy("label", "list").agg(F.ceil(F.count("*") / list_block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = lists.join(many, ["label", "list"]).withColumn("own", F.pmod(F.xxhash64("cell_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "list", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "cell_id")
+    other = dealt.withColumnsRenamed({"cell_id": "other_id", "own": "other_own"})
+    return dealt.join(other, ["label", "list", "lo", "hi"]).where("cell_id < other_id AND (lo = hi OR own <> other_own)").select("cell_id", "other_id").distinct()
+
+
+def linked(df: DataFrame, threshold: float = 0.93, pivots: int | None = None, prefix: int | None = None, shared: int = 3, block: int = 512, together: int = 64, list_block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with a vec_id.
 
     Links join rows with equal labels and a cosine of at least ``threshold`` that share ``shared`` of their ``prefix``
     nearest pivots. Rows that repeat a vec_id are vectors of their own that count for it; a null label links nothing.
     """
-    rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")).where("label IS NOT NULL")
+    rows, n_rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where("label IS NOT NULL"))
+    usual = index_size(n_rows)
+    pivots, prefix = pivots or usual[0], prefix or usual[1]
     reference = df.sparkSession.sparkContext.broadcast(_pivots(rows, "vec_id", pivots))
     n_pivots = len(reference.value)
     top, need = min(prefix, n_pivots), min(shared, n_pivots)
@@ -84,7 +109,6 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: in
     indexed = written(first.dropDuplicates(["vec_id", "label", "digest"]).select("vec_id", "label", "m", "cell", "cell_id", "unit"), "vectors")
     cells = written(indexed.groupBy("label", "cell_id", "cell").agg(F.count("*").alias("n")), "cells")
 
-
     def combine(batches):
         for batch in batches:
             sets = [list(combinations(cell, need)) for cell in batch.column("cell").to_pylist()]
@@ -93,9 +117,7 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int = 256, prefix: in
             yield pa.RecordBatch.from_arrays([batch.column("label").take(at), batch.column("cell_id").take(at), pa.array(keys, pa.int64())], ["label", "cell_id", "list"])
 
     lists = written(cells.select("label", "cell_id", "cell").mapInArrow(combine, f"label {label_type}, cell_id long, list long"), "lists") if need else cells.select("label", "cell_id", F.lit(0).alias("list")).limit(0)
-    other = lists.select("label", "list", F.col("cell_id").alias("other_id"))
-    met = lists.join(other, ["label", "list"]).where("cell_id < other_id").select("cell_id", "other_id").distinct()
-    pairs = met.union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
+    pairs = written(_candidates(lists, list_block), "candidates").union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
 
     #: A cell's vectors are dealt into blocks of about ``block``; each pair of blocks meets once. A unit is a left block and about
     #: ``together`` / 4 blocks' worth of the vectors it meets, however many candidates its cell has; a group holds about ``together`` units and
@@ -243,86 +265,79 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
-class Best:
-    """The best rows so far of a block of queries, by approximate score, with ties at the cut."""
-
-    def __init__(self, books: Codebooks, queries: pd.DataFrame, most: int):
-        self.ids, self.most = queries["vec_id"].to_numpy(), most
-        self.tables = books.tables(matrix(queries["unit"]))
-        self.rows = [np.zeros(0, np.int64)] * len(self.ids)
-        self.scores = [np.zeros(0, np.float32)] * len(self.ids)
-        self.cut = np.full(len(self.ids), -np.inf, np.float32)
-
-    def see(self, part: pd.DataFrame, step: int = 16) -> None:
-        ids = part["vec_id"].to_numpy()
-        packed = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(ids), -1)
-        for lo in range(0, len(self.ids), step):
-            about = scan(self.tables[lo : lo + step], packed)
-            about[self.ids[lo : lo + step][:, None] == ids[None, :]] = -np.inf
-            hit = (about >= self.cut[lo : lo + step][:, None]) & (about > -np.inf)
-            for k in range(len(about)):
-                at = np.flatnonzero(hit[k])
-                if len(at):
-                    q = lo + k
-                    scores, rows = np.concatenate([self.scores[q], about[k, at]]), np.concatenate([self.rows[q], ids[at]])
-                    if len(scores) > self.most:
-                        self.cut[q] = np.partition(scores, len(scores) - self.most)[len(scores) - self.most]
-                        keep = scores >= self.cut[q]
-                        scores, rows = scores[keep], rows[keep]
-                    self.scores[q], self.rows[q] = scores, rows
-
-    def result(self) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": np.repeat(self.ids, [len(x) for x in self.rows]), "vec_id": np.concatenate(self.rows)}).astype("int64")
-
-
-def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 256) -> DataFrame:
+def best_of(tables: np.ndarray, packed: np.ndarray, ids: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, approximate score): for each query the ``most`` best codes not of its own id, with ties at the cut."""
+    about = scan(tables, packed)
+    about[own[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > most:
+        cut = np.partition(about, len(ids) - most, axis=1)[:, len(ids) - most]
+        query, code = np.nonzero((about >= cut[:, None]) & (about > -np.inf))
+    else:
+        query, code = np.nonzero(about > -np.inf)
+    return query, code, about[query, code]
+
+
+def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 2048, codes_block: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine for every row whose vec_id is divisible by ``every``.
 
-    All codes are scanned for every query. A task takes a block of queries and lets all codes pass by, batch after batch,
-    keeping for each query what reaches the approximate score of its ``rerank``-th row so far, ties included; the exact
-    cosines of these decide.
+    All codes are scanned for every query, in cells of at most about ``queries_block`` queries and ``codes_block`` codes, which travel packed.
+    A cell gives for each query what reaches the approximate score of its ``rerank``-th code, ties included; over all cells
+    the same cut is made once more, and the exact cosines of what is left decide. Of exact copies the k + 1 with the smallest vec_id
+    are scanned, as no others can be among the k nearest.
     Rows that repeat a vec_id are one candidate (the nearest of them). No row of the query's own vec_id counts.
     """
-    rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    books = Codebooks(found) if len(found := _sample(rows, "vec_id", sample)) else None
-    empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if books is None:
-        return empty
+    rows, n_rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+    if not n_rows:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books = Codebooks(_sample(rows, "vec_id", sample))
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
                 unit = matrix(batch.column("v"))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in books.packed(books.encode(unit))], pa.binary()), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "code", "unit"])
+                columns = ([x.tobytes() for x in books.packed(books.encode(unit))], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(c, pa.binary()) for c in columns), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "code", "digest", "unit"])
 
-    coded = written(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, code binary, unit array<double>"), "codes")
-    asked = coded.where(F.col("vec_id") % every == 0)
+    coded = written(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, code binary, digest binary, unit array<double>"), "codes")
+    asked = coded.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "digest"])
+    n_codes = max(1, -(-n_rows // min(codes_block, max(2048, n_rows // 16))))
     n_queries = max(1, -(-asked.count() // queries_block))
-    ours = coded.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), F.lit(1).alias("side"), "vec_id", "code", F.lit(None).cast("array<double>").alias("unit"))
-    theirs = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("qb"), F.lit(0).alias("side"), "vec_id", F.lit(None).cast("binary").alias("code"), "unit")
-
-    def look(batches):
-        block, queries, state = None, [], None
-        for pdf in batches:
-            for (qb, side), part in pdf.groupby(["qb", "side"], sort=True):
-                if qb != block:
-                    if state is not None:
-                        yield state.result()
-                    block, queries, state = qb, [], None
-                if side == 0:
-                    queries.append(part)
-                elif queries:
-                    state = state or Best(books, pd.concat(queries), rerank)
-                    state.see(part)
-        if state is not None:
-            yield state.result()
-
-    dealt = ours.union(theirs).repartition(n_queries, "qb").sortWithinPartitions("qb", "side")
-    some = written(dealt.mapInPandas(look, "query_id long, vec_id long").distinct(), "scanned")
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))
+    some = coded.select("vec_id", "code", "digest").dropDuplicates(["vec_id", "digest"]).withColumn("nth", first).where(F.col("nth") <= k + 1)
+
+    def packed(rows: DataFrame, name: str, by: str, n: int, column: str, other: str, n_other: int, side: int) -> DataFrame:
+        """One row for each block of rows and each block of the other side."""
+
+        def pack(part: pa.Table) -> pa.Table:
+            data = part.column(column).combine_chunks()
+            data = np.array(data.flatten()).tobytes() if pa.types.is_list(data.type) else b"".join(data.to_pylist())
+            return pa.Table.from_pydict({by: part.column(by).slice(0, 1), "ids": [part.column("vec_id").to_numpy().tobytes()], "data": [data]}, pa.schema([(by, pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+
+        dealt = rows.select("vec_id", column, F.pmod(F.xxhash64("vec_id", "digest"), F.lit(n)).cast("int").alias(by))
+        blocks = written(dealt.groupBy(by).applyInArrow(pack, f"{by} int, ids binary, data binary"), name)
+        return blocks.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).select("qb", "cb", F.lit(side).alias("side"), "ids", "data")
+
+    ours = packed(some, "code_blocks", "cb", n_codes, "code", "qb", n_queries, 0)
+    theirs = packed(asked, "query_blocks", "qb", n_queries, "unit", "cb", n_codes, 1)
+
+    def look(part: pa.Table) -> pa.Table:
+        sides = {r["side"]: (np.frombuffer(r["ids"], np.int64), r["data"]) for r in part.to_pylist()}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        if len(sides) == 2:
+            (ids, codes), (queries, units) = sides[0], sides[1]
+            codes, units = np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(units).reshape(len(queries), -1)
+            for lo in range(0, len(queries), 16):
+                own = queries[lo : lo + 16]
+                query, code, about = best_of(books.tables(units[lo : lo + 16]), codes, ids, own, rerank)
+                found.append((own[query], ids[code], about))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "about"])
+
+    seen = ours.union(theirs).groupBy("qb", "cb").applyInArrow(look, "query_id long, vec_id long, about float")
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("about")))
+    best = written(seen.withColumn("place", place).where(F.col("place") <= rerank).select("query_id", "vec_id").distinct(), "scanned")
     full = coded.select("vec_id", "unit")
-    pairs = some.join(full, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q")), "query_id")
+    pairs = best.join(full, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q")), "query_id")
     score = F.aggregate(F.zip_with("unit", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     best = pairs.select("query_id", "vec_id", score.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    top = best.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.select("query_id", nth.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
