@@ -1,17 +1,18 @@
 """Substring dedup by level-wise doubling: words inside a window that a smaller doc_id also holds are removed.
 
-Level one takes windows of half the length (25 of 50 words) and keeps those that occur in two documents;
-level two extends only these to twice the length and keeps those that occur in two documents again. A longer
-repeat is a run of such windows, so no candidate needs a third level. Level one does not have to look at every
-position: every full window is represented by its smallest half-window hash (all positions that tie for it),
-which equal windows choose alike, so a repeated window always meets its copy through that one. About a
-thirteenth of the positions is shuffled at level one.
+Level one takes windows of a quarter of the length (13 of 50 words) and keeps those that occur in two documents; only windows around
+these are looked at again at twice the length (25), and so on up to the full one. The loop ends with the full length, or as soon as no
+candidate survives a level. A longer repeat is a run of full windows, so no candidate needs a level beyond.
 
-Along goes a hash of all the words that the windows represented by a half-window can hold. If it is the same
-wherever the half-window occurs, all these windows are repeats at once, and only the half-window's hash is handed
-on; windows are extended and shuffled one by one only around half-windows whose surroundings differ.
+No level has to look at every position: a full window is represented by its smallest hash of the level's length (all
+positions that tie for it), which equal windows choose alike, so a repeated window meets its copy through that one at every
+level. About a twentieth of the positions is shuffled at level one.
 
-A hash of 128 bits stands for a full window; half-windows, which only select, have 64 bits.
+Along goes a hash of all the words that the windows represented by a hash can hold. If it is the same
+wherever the hash occurs, all these windows are repeats at once: the hash is settled, and a document later than the first keeps it to find its
+words; windows go on to the next level only around hashes whose surroundings differ.
+
+A hash of 128 bits stands for a full window; shorter ones, which only select, have 64 bits.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none; texts shorter than the
 window lose nothing; a row whose doc_id is null loses nothing and counts for nobody; rows that repeat a doc_id
@@ -43,92 +44,98 @@ def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
     return out
 
 
+def lengths(window: int, levels: int = 3) -> list[int]:
+    """The window lengths of the levels, each about twice the one before, up to the full one."""
+    return sorted({-(-window // (1 << k)) for k in range(levels)})
+
+
 class Windows:
-    """Half-window and full-window hashes of several texts at once."""
+    """Hashes of the windows of each level's length, of several texts at once."""
 
     def __init__(self, window: int):
-        self.window, self.half = window, (window + 1) // 2
+        self.window, self.lengths = window, lengths(window)
         self.words, self.near, self.far = Words(11), Roller(12), Roller(13)
 
-    def half_hashes(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(half-window hash at each position, the smallest one inside the window at each position); top: no window."""
-        n, w, h = len(hashes), self.window, self.half
+    def hashes(self, words: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the window of ``length`` at each position, the smallest one inside the full window at each position); top: no window."""
+        n, w = len(words), self.window
         if n < w:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        at = np.arange(n - h + 1)
-        halves = np.minimum(self.near.ranges(self.near.sums(hashes), at, at + h), _TOP - np.uint64(1))
-        least = _sliding(halves, w - h + 1, np.minimum)
+        at = np.arange(n - length + 1)
+        own = np.minimum(self.near.ranges(self.near.sums(words), at, at + length), _TOP - np.uint64(1))
+        least = _sliding(own, w - length + 1, np.minimum).copy()
         least[owner[: n - w + 1] != owner[w - 1 :]] = _TOP
-        return halves, least
+        return own, least
 
-    def anchors(self, hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, hash of the surroundings, owner) of the half-windows that represent a window."""
-        halves, least = self.half_hashes(hashes, owner)
+    def anchors(self, words: np.ndarray, owner: np.ndarray, counts: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, hash of the surroundings, owner) at each position that represents a full window.
+
+        With ``wanted`` windows only the hashes that represent one of them, but each wherever it represents any, so that
+        surroundings are compared with all that a hash stands for in a document.
+        """
+        own, least = self.hashes(words, owner, length)
         if not len(least):
             return least, least, owner[:0]
-        reach = self.window - self.half
+        reach = self.window - length
         low = np.where(least == _TOP, np.uint64(0), least)
         low = np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)])
-        chosen = np.flatnonzero(_sliding(low, reach + 1, np.maximum) == halves)
+        chosen = np.flatnonzero(_sliding(low, reach + 1, np.maximum) == own)
+        if wanted is not None:
+            chosen = chosen[np.isin(own[chosen], least[wanted])]
         whose = owner[chosen]
         start = np.maximum(chosen - reach, counts[whose])
         end = np.minimum(chosen + self.window, counts[whose + 1])
-        around = mix64(self.far.ranges(self.far.sums(mix64(hashes)), start, end) + (chosen - start).astype(np.uint64))
-        return halves[chosen], around, whose
-
-    def full(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of the windows that start at the positions."""
-        return tuple(r.ranges(r.sums(mix64(hashes) if r is self.far else hashes), at, at + self.window) for r in (self.near, self.far))
+        around = mix64(self.far.ranges(self.far.sums(mix64(words)), start, end) + (chosen - start).astype(np.uint64))
+        return own[chosen], around, whose
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, halves array<long>, gone array<long>): the repeats of each document that a smaller doc_id holds too.
-
-    ``halves`` has half-windows all of whose windows are repeats, ``gone`` the hashes of single windows.
-    """
+    """(doc_id, gone0 array<long>, gone1, ...): for each level the settled hashes of each document that a smaller doc_id holds too."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-
-    def level_one(batches):
-        made = Windows(window)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in texts(batch.column(1)):
-                found, around, whose = made.anchors(*made.words.of(data, offsets))
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(signed(around)), pa.array(ids[lo + whose])], ["half", "around", "doc_id"])
-
-    halves = written(base.mapInArrow(level_one, "half long, around long, doc_id long"), "halves")
-    twice = halves.groupBy("half").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("around") != F.max("around")).alias("mixed")).where("first < last").drop("last")
-    alive = written(halves.select("half", "doc_id").join(written(twice, "twice"), "half").where("mixed OR doc_id > first").groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("mixed"), F.col("half"))).alias("halves"), F.collect_set(F.when(F.col("mixed"), F.col("half"))).alias("alive")), "alive")
-    mixed = alive.where("size(alive) > 0").select("doc_id", "alive")
-    extended, _ = split_by_ids(base, mixed)
-
-    def level_two(batches):
-        made = Windows(window)
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            alive = batch.column("alive")
-            for lo, hi, data, offsets in texts(batch.column("text")):
-                hashes, owner, _ = made.words.of(data, offsets)
-                _, least = made.half_hashes(hashes, owner)
-                if not len(least):
-                    continue
-                bounds = np.searchsorted(owner[: len(least)], np.arange(hi - lo + 1))
-                keep = np.zeros(len(least), bool)
-                for k in range(hi - lo):
-                    part = slice(bounds[k], bounds[k + 1])
-                    if part.stop > part.start:
-                        keep[part] = np.isin(least[part], alive[lo + k].values.to_numpy().view(np.uint64))
-                at = np.flatnonzero(keep & (least != _TOP))
-                if len(at):
-                    near, far = made.full(hashes, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(near)), pa.array(signed(far)), pa.array(ids[lo + owner[at]])], ["near", "far", "doc_id"])
-
-    full = written(extended.join(mixed, "doc_id").mapInArrow(level_two, "near long, far long, doc_id long"), "windows")
-    first = full.groupBy("near", "far").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    gone = full.join(written(first, "first_windows"), ["near", "far"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("near").alias("gone"))
-    return alive.select("doc_id", "halves").join(gone, "doc_id", "left").where("size(halves) > 0 OR gone IS NOT NULL")
+    sizes = lengths(window)
+
+    def look(level):
+        def run(batches):
+            made = Windows(window)
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for lo, hi, data, offsets in texts(batch.column("text")):
+                    words, owner, counts = made.words.of(data, offsets)
+                    wanted = None
+                    if level:
+                        _, least = made.hashes(words, owner, sizes[level - 1])
+                        wanted = np.zeros(len(least), bool)
+                        bounds = np.searchsorted(owner[: len(least)], np.arange(hi - lo + 1))
+                        for k in range(hi - lo):
+                            part = slice(bounds[k], bounds[k + 1])
+                            if part.stop > part.start:
+                                wanted[part] = np.isin(least[part], batch.column("alive")[lo + k].values.to_numpy().view(np.uint64))
+                    found, around, whose = made.anchors(words, owner, counts, sizes[level], wanted)
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(signed(around)), pa.array(ids[lo + whose])], ["hash", "around", "doc_id"])
+
+        return run
+
+    settled, rows = [], base
+    for level in range(len(sizes)):
+        last = level == len(sizes) - 1
+        found = written(rows.mapInArrow(look(level), "hash long, around long, doc_id long"), f"level_{level}")
+        key = ["hash", "around"] if last else ["hash"]
+        mixed = F.lit(False) if last else F.min("around") != F.max("around")
+        twice = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), mixed.alias("mixed")).where("first < last").drop("last")
+        judged = found.select("doc_id", *key).join(written(twice, f"twice_{level}"), key).where("mixed OR doc_id > first").groupBy("doc_id").agg(
+            F.collect_set(F.when(~F.col("mixed"), F.col("hash"))).alias("gone"), F.collect_set(F.when(F.col("mixed"), F.col("hash"))).alias("alive"))
+        judged = written(judged, f"judged_{level}")
+        settled.append(judged.where("size(gone) > 0").select("doc_id", F.lit(level).alias("level"), "gone"))
+        alive = judged.where("size(alive) > 0").select("doc_id", "alive")
+        if last or not alive.limit(1).count():
+            break
+        some, _ = split_by_ids(base, alive)
+        rows = some.join(alive, "doc_id")
+    each = settled[0]
+    for more in settled[1:]:
+        each = each.union(more)
+    return each.groupBy("doc_id").agg(*(F.first(F.when(F.col("level") == k, F.col("gone")), ignorenulls=True).alias(f"gone{k}") for k in range(len(sizes))))
 
 
 def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -139,22 +146,24 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     gone = written(repeated_windows(docs, window), "gone")
     maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone)
-    whole = never.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("halves"), F.lit(None).cast("array<bigint>").alias("gone"))
+    columns = [f"gone{k}" for k in range(len(lengths(window)))]
+    whole = never.select("doc_id", "text", *(F.lit(None).cast("array<bigint>").alias(c) for c in columns))
     both = maybe.join(gone, "doc_id", "left")
 
     def keep(batches):
         made = Windows(window)
         for batch in batches:
             n_words, n_removed, kept, sums = [], [], [], []
-            for text, halves, gone in zip(batch.column("text").cast(pa.large_binary()), batch.column("halves"), batch.column("gone")):
+            for text, *gone in zip(batch.column("text").cast(pa.large_binary()), *(batch.column(c) for c in columns)):
                 whole = text.as_py() or b""
                 words = whole.split()
                 removed = 0
-                if halves.is_valid and len(words) >= window:
+                if any(g.is_valid for g in gone) and len(words) >= window:
                     hashes, owner, _ = made.words.of(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
-                    hit = np.isin(made.half_hashes(hashes, owner)[1], halves.values.to_numpy().view(np.uint64))
-                    if gone.is_valid:
-                        hit |= np.isin(made.full(hashes, np.arange(len(words) - window + 1))[0], gone.values.to_numpy().view(np.uint64))
+                    hit = np.zeros(len(words) - window + 1, bool)
+                    for g, length in zip(gone, made.lengths):
+                        if g.is_valid:
+                            hit |= np.isin(made.hashes(hashes, owner, length)[1], g.values.to_numpy().view(np.uint64))
                     edges = np.zeros(len(words) + 1, np.int64)
                     edges[:-window][hit] += 1
                     edges[window:][hit] -= 1

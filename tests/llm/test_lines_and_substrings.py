@@ -94,6 +94,30 @@ def test_substrings(documents):
         assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_windows(rows, window)
 
 
+@pytest.mark.parametrize("window", [4, 7, 12])
+def test_substrings_of_few_words(documents, window):
+    """Few different words, so that short windows repeat where longer ones don't, also inside one document."""
+    rng = random.Random(window)
+    rows = []
+    for i in range(120):
+        w = [rng.choice("abcd") for _ in range(rng.randint(0, 4 * window))]
+        if i % 2 and rows:
+            part = rng.choice(rows)[1].split()
+            cut = rng.randint(0, len(part))
+            w[rng.randint(0, len(w)) :] = part[cut : cut + rng.randint(0, 2 * window)]
+        rows.append((i, " ".join(w)))
+    got = substrings.drop_repeated_substrings(documents(rows), window)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_windows(rows, window)
+
+
+def test_levels_double_and_end_early(documents, monkeypatch):
+    assert substrings.lengths(50) == [13, 25, 50] and substrings.lengths(2) == [1, 2] and substrings.lengths(1) == [1]
+    seen, plain = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: seen.append(name) or plain(df, name))
+    substrings.drop_repeated_substrings(documents([(i, " ".join(f"w{i}_{k}" for k in range(80))) for i in range(5)]))
+    assert [x for x in seen if x.startswith("level")] == ["level_0"]
+
+
 def test_empty(documents):
     empty = documents([(1, "x")]).where("doc_id < 0")
     assert lines.drop_repeated_lines(empty).count() == 0
