@@ -34,12 +34,46 @@ def outcomes(df: DataFrame, key: str = "key", unit: str = "unit_id", score: str
     return df.join(best, key).withColumn("outcome", out).withColumn("marginal", (F.col("outcome") == "kept") & F.col("_single")).drop("_best", "_single")
 
 
-def islands(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Total length of the union of the intervals of each group: overlaps once, gaps not at all; only start < end counts."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.where(F.col(start) < F.col(end)).withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def running(df: DataFrame, by: list[str], order: list[str], columns: dict[str, tuple[str, Column, bool]], buckets: int | None = None) -> DataFrame:
+    """df with running sums or maxima (name: (sum or max, value, does the row itself count)) of each group, however few groups there are.
+
+    The first order column, a number, is cut into about equal buckets. Each bucket of a group runs on its own, and what the buckets
+    before it come to is added from a table of one row for each bucket of a group. df is read three times, so it should be cheap or written.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = df.select(F.col(order[0]).cast("double").alias("x")).where("x IS NOT NULL")
+    edges = sorted(set(numbers.approxQuantile("x", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order[0]).cast("double"))) if edges else F.lit(0)
+    placed = df.withColumn("_bucket", F.when(F.col(order[0]).isNull(), 0).otherwise(place))
+    fold = {"sum": F.sum, "max": F.max}
+    local = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    totals = placed.groupBy(*by, "_bucket").agg(*(fold[kind](value).alias(f"_{name}") for name, (kind, value, _) in columns.items()))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_bucket").alias("_of"), *(fold[kind](f"_{name}").over(earlier).alias(f"_{name}") for name, (kind, _, _) in columns.items()))
+    inside = placed.select("*", *(fold[kind](value).over(local.rowsBetween(Window.unboundedPreceding, 0 if own else -1)).alias(f"_in_{name}") for name, (kind, value, own) in columns.items()))
+    meet = F.col("_bucket") == F.col("_of")
+    for b in by:
+        meet = meet & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    joined = inside.join(offsets, meet)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = {name: zero(f"_{name}") + zero(f"_in_{name}") if kind == "sum" else F.greatest(f"_{name}", f"_in_{name}") for name, (kind, _, _) in columns.items()}
+    return joined.select(*df.columns, *(value.alias(name) for name, value in out.items()))
+
+
+def islands(df: DataFrame, by: list[str], start: str, end: str, hot: bool = False) -> DataFrame:
+    """Total length of the union of the intervals of each group: overlaps once, gaps not at all; only start < end counts.
+
+    ``hot``: a group may hold a large part of all intervals; then its intervals are spread over tasks by their start.
+    """
+    rows = df.where(F.col(start) < F.col(end))
+    fresh = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0)
+    if hot:
+        marked = running(rows, by, [start, end], {"_before": ("max", F.col(end), False)})
+        marked = running(marked.withColumn("_new", fresh), by, [start, end], {"_island": ("sum", F.col("_new"), True)})
+    else:
+        order = Window.partitionBy(*by).orderBy(start, end)
+        marked = rows.withColumn("_before", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        marked = marked.withColumn("_island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "_island").agg((F.max(end) - F.min(start)).alias("_len")).groupBy(*by).agg(F.sum("_len").alias("length"), F.count("*").alias("islands"))
 
 
@@ -51,10 +85,10 @@ def peak_overlap(df: DataFrame, by: list[str], start: str, end: str) -> DataFram
 
 
 def streaks(df: DataFrame, by: list[str], order: str, gain: str) -> DataFrame:
-    """df with ``streak``: how many rows in a row, up to this one, had no gain."""
-    w = Window.partitionBy(*by).orderBy(order)
-    marked = df.withColumn("_run", F.sum(F.when(F.col(gain) > 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn("streak", F.when(F.col(gain) > 0, 0).otherwise(F.sum(F.when(F.col(gain) > 0, 0).otherwise(1)).over(Window.partitionBy(*by, "_run").orderBy(order)))).drop("_run")
+    """df with ``streak``: how many rows in a row, up to this one, had no gain; a group's rows are spread over tasks."""
+    numbered = running(df, by, [order], {"_nth": ("sum", F.lit(1), True)})
+    marked = running(numbered, by, [order], {"_last": ("max", F.when(F.col(gain) > 0, F.col("_nth")), True)})
+    return marked.withColumn("streak", F.col("_nth") - F.coalesce("_last", F.lit(0))).drop("_nth", "_last")
 
 
 def loss(df: DataFrame, removed: DataFrame, key: str = "key", unit: str = "unit_id", score: str = "score") -> DataFrame:
@@ -70,6 +104,16 @@ def loss(df: DataFrame, removed: DataFrame, key: str = "key", unit: str = "unit_
 
 
 def affordable_prefix(df: DataFrame, by: str, order: str, cost: str, budget) -> DataFrame:
-    """The longest prefix of each group's plan whose summed cost fits the budget."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= F.lit(budget))
+    """The longest prefix of each group's plan whose summed cost fits the budget; costs are not negative."""
+    return running(df, [by], [order], {"spent": ("sum", F.col(cost), True)}).where(F.col("spent") <= F.lit(budget))
+
+
+def depths(df: DataFrame, depth: int, key: str = "key", position: str = "position") -> DataFrame:
+    """depth, keys, rows, lost: what a cut at each depth up to ``depth`` keeps, and the keys of the whole table that it loses.
+
+    A key survives from the smallest position at which it stands; rows beyond ``depth`` survive at none.
+    """
+    first = df.groupBy(key).agg(F.min(position).alias("position")).groupBy("position").agg(F.count("*").alias("keys"))
+    both = df.groupBy(F.col(position).alias("position")).agg(F.count("*").alias("rows")).join(first, "position", "left").where(F.col("position") <= depth)
+    deep = both.select(F.explode(F.sequence(F.greatest("position", F.lit(1)), F.lit(depth))).alias("depth"), "keys", "rows").groupBy("depth").agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"))
+    return deep.crossJoin(first.agg(F.sum("keys").alias("all"))).select("depth", "keys", "rows", (F.col("all") - F.col("keys")).alias("lost"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import experience
 from gristmill.functions import signals as S
 from gristmill.functions.text import blank, c, contains_any, mentions, norm_company
 
@@ -58,14 +59,20 @@ class Profile:
     drop_excluded: bool = False
 
 
+VERDICT = ("score", "matched_skills", "is_fullstack", "years_required", "excluded")
+
+
 def scored(df: DataFrame, profile: Profile, title: str = "title", description: str = "description", company: str = "company") -> DataFrame:
-    """df with score, matched_skills, is_fullstack, years_required, excluded; rows of blocked companies (and, if so set, excluded ones) go."""
+    """df with score, matched_skills, is_fullstack, years_required, excluded; rows of blocked companies (and, if so set, excluded ones) go.
+
+    The verdict comes out of a generator of one row each: a filter on it then stays above, and the optimizer does not evaluate
+    the whole score in the filter and once more in the projection.
+    """
     text = F.concat_ws("\n", F.lower(blank(title)), F.lower(blank(description)))
     if profile.blocklist:
         df = df.where(~norm_company(company).isin([x.lower() for x in profile.blocklist]))
-    df = df.withColumn("years_required", S.required_years(text)).withColumn("excluded", mentions(title, profile.hard_drop) | F.coalesce(F.col("years_required") > profile.max_years, F.lit(False)))
-    if profile.drop_excluded:
-        df = df.where(~F.col("excluded"))
+    own = [x for x in df.columns if x not in VERDICT]
+    df = df.withColumn("years_required", experience.required_years(text)).withColumn("excluded", mentions(title, profile.hard_drop) | F.coalesce(F.col("years_required") > profile.max_years, F.lit(False)))
     df = df.withColumn("_hit", matched_terms(text, list(profile.skills))).withColumn("_bad", matched_terms(text, list(profile.penalties)))
     full = (mentions(text, profile.frontend) & mentions(text, profile.backend)) | mentions(title, profile.fullstack_titles)
     df = df.withColumn("is_fullstack", full)
@@ -77,7 +84,9 @@ def scored(df: DataFrame, profile: Profile, title: str = "title", description: s
         body = F.concat_ws("\n", blank("location"), blank(title), blank(description))
         gap = S.tz_gap(S.eligibility_regions(body), F.concat(S.time_zones(description), F.lit(" "), blank("location")), profile.home_offset)
         score = F.bround(score + S.tz_penalty(gap, profile.tz_penalty)).cast("int")
-    return df.withColumn("score", score.cast("int")).withColumn("matched_skills", F.array_join("_hit", ", ")).drop("_hit", "_bad")
+    verdict = F.struct(score.cast("int").alias("score"), F.array_join("_hit", ", ").alias("matched_skills"), "is_fullstack", "years_required", "excluded")
+    df = df.select(*own, F.inline(F.array(verdict)))
+    return df.where(~F.col("excluded")) if profile.drop_excluded else df
 
 
 def enriched(df: DataFrame, home_offset: float | None = None) -> DataFrame:

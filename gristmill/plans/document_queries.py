@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions.signals import required_years
 from gristmill.operators import documents as D
 from gristmill.registry import query
 from gristmill.sources.tables import table
@@ -187,13 +186,6 @@ def c21_corpus_profiles(spark, sf_dir):
     return rows.select("person", "concept", "docs", F.least(F.lit(5), 1 + F.floor(F.log2(1 + F.col("uses")))).cast("int").alias("weight"))
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g') AS text FROM documents) WHERE false")
-def e4_statements(spark, sf_dir):
-    """Confirmed experience statements; the driver's prose has none, so none come back."""
-    rows = _docs(spark, sf_dir).select("doc_id", "text", required_years("text").alias("y"))
-    return rows.where("y IS NOT NULL").select("doc_id", "text")
-
-
 @query("SELECT o_custkey, round(max(o_totalprice), 2) AS best, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS titles FROM orders WHERE o_orderpriority NOT LIKE '4%' GROUP BY o_custkey")
 def m26_role_keywords(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").where(~F.col("o_orderpriority").like("4%"))

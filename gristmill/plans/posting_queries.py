@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.functions import experience
 from gristmill.functions import signals as S
 from gristmill.functions import text as X
 from gristmill.operators import ranking, scoring
@@ -71,7 +74,57 @@ def e6_penalties(spark, sf_dir):
 
 @query()
 def e3_required_years(spark, sf_dir):
-    return postings(spark, sf_dir).select("arrival", S.required_years("description").alias("years_required"))
+    return postings(spark, sf_dir).select("arrival", experience.required_years("description").alias("years_required"))
+
+
+#: Openings of requirements by part number, with the figure that counts: the size, the size and five, or another one; null for none.
+ASKS = (
+    ("{n}+ years of professional experience.", "p_size"), ("{n} to {n5} years of hands-on experience.", "p_size"), ("Area lead : {n}+ years", "p_size"),
+    ("In business {n} years. Seeking 3 years of experience.", "3"), ("Minimum 2 years of experience is required. Educational qualification: {n} years full time education.", "2"),
+    ("Contract duration: {n} years.", "NULL"), ("{n} years of experience in total, {n5} years of Java experience.", "p_size + 5"), ("Experience of {n} yrs", "p_size"),
+)
+
+
+def _asks(asks=ASKS):
+    """A text per part, by its number, from its size."""
+    texts = [F.concat_ws("", *[{"n": F.col("p_size").cast("string"), "n5": (F.col("p_size") + 5).cast("string")}.get(piece, F.lit(piece)) for piece in re.split("[{}]", text)]) for text, *_ in asks]
+    return F.get(F.array(*texts), F.col("p_partkey") % len(asks))
+
+
+def _by_ask(asks, k: int) -> str:
+    return f"CASE p_partkey % {len(asks)} {' '.join(f'WHEN {i} THEN {a[k]}' for i, a in enumerate(asks))} END"
+
+
+@query(f"SELECT p_partkey, {_by_ask(ASKS, 1)}::INT AS years_required FROM part")
+def e3_years_stated(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", experience.required_years(_asks()).alias("years_required"))
+
+
+#: Requirements by part number: the text and the (place, min, max, type, scope, confidence) of its figures.
+STATEMENTS = (
+    ("{n}+ years of professional experience.", [(0, "p_size", "NULL", "required", "overall", "high")]),
+    ("{n} to {n5} years of hands-on experience.", [(0, "p_size", "p_size + 5", "range", "overall", "high")]),
+    ("Up to {n} years of experience.", [(0, "p_size", "NULL", "maximum", "unknown", "low")]),
+    ("{n}+ years of experience in Salesforce.", [(0, "p_size", "NULL", "required", "skill_specific", "low")]),
+    ("Ideally {n}-{n5} years of experience.", [(0, "p_size", "p_size + 5", "preferred", "overall", "low")]),
+    ("Our team has {n} years of combined experience.", [(0, "p_size", "NULL", "ambiguous", "unknown", "low")]),
+    ("A {n} year degree. Minimum {n5} years of experience, 3+ years React.", [(0, "p_size", "NULL", "not_experience", "unknown", "low"), (1, "p_size + 5", "NULL", "required", "overall", "high"), (2, "3", "NULL", "required", "skill_specific", "low")]),
+    ("The role involves {n} years of experience.", [(0, "p_size", "NULL", "required", "overall", "low")]),
+)
+EXPECTED = ", ".join(f"({k}, {place}, {low.replace('p_size', '0') if low != 'NULL' else 'NULL'}, {'false' if 'p_size' not in low else 'true'}, {'NULL' if high == 'NULL' else 5}, '{kind}', '{about}', '{sure}')" for k, (_, rows) in enumerate(STATEMENTS) for place, low, high, kind, about, sure in rows)
+
+
+@query(f"SELECT p_partkey, place, CASE WHEN relative THEN p_size ELSE 0 END + low AS min_years, p_size + high AS max_years, kind AS requirement_type, about AS scope, sure AS confidence FROM part JOIN (VALUES {EXPECTED}) AS e(k, place, low, relative, high, kind, about, sure) ON p_partkey % {len(STATEMENTS)} = k")
+def e4_statements(spark, sf_dir):
+    """Every figure of years of a text, read and classified."""
+    said = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(experience.statements(_asks(STATEMENTS))).alias("place", "s"))
+    return said.select("p_partkey", "place", *(f"s.{c}" for c in ("min_years", "max_years", "requirement_type", "scope", "confidence")))
+
+
+@query()
+def e4_document_statements(spark, sf_dir):
+    said = postings(spark, sf_dir).select("arrival", F.explode(experience.statements("description")).alias("s"))
+    return said.select("arrival", "s.start", "s.min_years", "s.max_years", "s.requirement_type", "s.scope", "s.confidence", "s.evidence")
 
 
 @query()
@@ -79,6 +132,36 @@ def e7_remote_scope(spark, sf_dir):
     return postings(spark, sf_dir).select("arrival", S.remote_scope("location", "title", "description").alias("remote_scope"))
 
 
+#: Postings by customer number: location, description, and the scope, regions, eligibility, visa answer, contractors, zones and gap they state.
+STATED = (
+    ("Anywhere in the World", "You'll support our US and India customers.", "worldwide", "US, India", "", "", "", "", 0.0),
+    ("Berlin", "This role is not remote; hybrid 3 days onsite.", "onsite", "", "", "", "", "", None),
+    ("Berlin", "Hybrid: 3 days a week in the office. UTC+2 preferred.", "hybrid", "", "", "", "", "UTC+2", 3.5),
+    ("", "Fully remote, with occasional onsite meetups.", "remote", "", "", "", "", "", None),
+    ("Europe, Remote", "We are unable to sponsor visas for this role.", "restricted", "", "", "no", "", "", None),
+    ("", "Remote, but you must reside in Canada. We hire through Deel.", "restricted", "Canada", "Canada", "", "Deel", "", 11.5),
+    ("", "Remote anywhere in the US.", "restricted", "US", "US", "", "", "", 11.5),
+    ("Bengaluru, India", "Employment via our employer of record, Oyster.", "", "", "", "", "EOR, Oyster", "", None),
+    ("Remote (Buenos Aires, Argentina)", "Visa sponsorship and relocation support provided.", "restricted", "", "", "yes", "", "", None),
+    ("", "Great team, competitive pay.", "", "", "", "", "", "", None),
+    ("", "UTC-10 UTC-9 UTC-8; for the United States or EMEA.", "", "US, EMEA", "", "", "", "UTC-10; UTC-9; UTC-8", 13.5),
+    (None, None, "", "", "", "", "", "", None),
+)
+NAMES = ("scope", "regions", "eligibility", "visa", "eor", "timezones", "tz_gap")
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
+
+
+@query(f"SELECT c_custkey, {', '.join(NAMES)} FROM customer JOIN (VALUES {', '.join(f'({k}, ' + ', '.join(map(_literal, row[2:])) + ')' for k, row in enumerate(STATED))}) AS s(k, {', '.join(NAMES)}) ON c_custkey % {len(STATED)} = k")
+def e16_stated_signals(spark, sf_dir):
+    """Scope, regions, eligibility, visa, contractors, zones and gap of stated texts."""
+    at = lambda k: F.get(F.array(*[F.lit(row[k]) for row in STATED]), F.col("c_custkey") % len(STATED))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", at(0).alias("l"), F.lit("Engineer").alias("t"), at(1).alias("d"))
+    return rows.select("c_custkey", S.remote_scope("l", "t", "d").alias("scope"), S.regions("d").alias("regions"), S.eligibility_regions("d").alias("eligibility"), S.visa("d").alias("visa"), S.eor("d").alias("eor"), S.time_zones("d").alias("timezones"), S.tz_gap(S.regions("d"), S.time_zones("d"), 5.5).alias("tz_gap"))
+
+
 @query()
 def e8_regions(spark, sf_dir):
     return postings(spark, sf_dir).select("arrival", S.regions("description").alias("regions"), S.eligibility_regions("description").alias("eligibility"))
@@ -250,13 +333,23 @@ def f6_hard_drop(spark, sf_dir):
 
 @query()
 def f7_experience_ceiling(spark, sf_dir):
-    return postings(spark, sf_dir).where(F.coalesce(S.required_years("description") <= 6, F.lit(True))).select("arrival")
+    return postings(spark, sf_dir).where(F.coalesce(experience.required_years("description") <= 6, F.lit(True))).select("arrival")
+
+
+@query(f"SELECT p_partkey FROM part WHERE coalesce({_by_ask(ASKS, 1)} <= 6, true)")
+def f7_stated_ceiling(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(F.coalesce(experience.required_years(_asks()) <= 6, F.lit(True))).select("p_partkey")
+
+
+CONFIRMED = f"CASE p_partkey % {len(STATEMENTS)} {' '.join(f'WHEN {k} THEN {low}' for k, (_, rows) in enumerate(STATEMENTS) for _, low, _, _, _, sure in rows if sure == 'high')} END"
 
 
-@query("SELECT p_partkey, CASE WHEN p_size IS NULL THEN 'none' WHEN round(p_size - 30 / 12.0, 2) > 30 THEN 'hard_drop' WHEN round(p_size - 30 / 12.0, 2) > 10 THEN 'penalty' ELSE 'none' END AS action FROM part")
+@query(f"SELECT p_partkey, CASE WHEN gap >= 2 THEN 'hard_drop' WHEN gap >= 1 THEN 'penalty' ELSE 'none' END AS action FROM (SELECT p_partkey, round({CONFIRMED} - round(CASE WHEN p_partkey % 9 <> 4 THEN p_partkey % 400 END / 12.0, 2), 2) AS gap FROM part)")
 def f8_experience_gap(spark, sf_dir):
-    gap = F.bround(F.col("p_size") - F.lit(30) / 12.0, 2)
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(gap > 30, "hard_drop").when(gap > 10, "penalty").otherwise("none").alias("action"))
+    """The confirmed minimum of a text against a candidate's months; either may be unknown."""
+    months = F.when(F.col("p_partkey") % 9 != 4, F.col("p_partkey") % 400)
+    rows = table(spark, sf_dir, "part").select("p_partkey", experience.confirmed_minimum(_asks(STATEMENTS))["min_years"].alias("least"), months.alias("months"))
+    return rows.select("p_partkey", experience.gap_action("least", "months").alias("action"))
 
 
 @query(SCORED + " SELECT arrival, score FROM final WHERE score >= 8")

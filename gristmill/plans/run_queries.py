@@ -145,7 +145,7 @@ def a26_interval_union(spark, sf_dir):
 def a27_busy_time(spark, sf_dir):
     minute = F.floor(F.unix_timestamp("ts") / 60)
     spans = table(spark, sf_dir, "events").select("event_type", minute.alias("lo"), (minute + F.floor(F.col("value") * 0.2)).alias("hi"))
-    return funnels.islands(spans, ["event_type"], "lo", "hi").select("event_type", F.col("length").alias("busy"))
+    return funnels.islands(spans, ["event_type"], "lo", "hi", hot=True).select("event_type", F.col("length").alias("busy"))
 
 
 RATES = {"1-URGENT": 0.05, "2-HIGH": 0.04, "3-MEDIUM": 0.03}
@@ -211,7 +211,7 @@ def d13_usefulness(spark, sf_dir):
     return rows.agg(F.count_if(new).alias("new"), F.count_if((F.col("source") == "R") & F.col("base")).alias("replaced"), F.count_if(F.col("source") == "A").alias("retained"), F.max(F.when(new, F.col("score"))).alias("best_new"))
 
 
-@query("SELECT CASE WHEN a AND r THEN 'both' WHEN a THEN 'already-free' ELSE 'paid-only' END AS part, count(*) AS companies, sum(n) AS rows FROM (SELECT l_suppkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) GROUP BY 1")
+@query("SELECT CASE WHEN a AND r THEN 'both' WHEN a THEN 'already-free' ELSE 'paid-only' END AS part, count(*) AS companies, sum(n) AS rows FROM (SELECT l_suppkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1")
 def d14_company_split(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.count("*").alias("n"))
     return rows.groupBy(F.when(F.col("a") & F.col("r"), "both").when(F.col("a"), "already-free").otherwise("paid-only").alias("part")).agg(F.count("*").alias("companies"), F.sum("n").alias("rows"))
@@ -238,7 +238,7 @@ def d17_clashes(spark, sf_dir):
     return part.where("p_type = 'PROMO'").select("p_brand").distinct().join(part.where("p_size > 48").select("p_brand").distinct(), "p_brand", "left_anti")
 
 
-@query(B + ", u AS (SELECT unit_id, keyword, place, list(DISTINCT key) AS keys FROM plan JOIN result USING (unit_id) WHERE plan_index < 2000 GROUP BY ALL) SELECT a.unit_id AS remote, b.unit_id AS twin, len(list_intersect(a.keys, b.keys)) AS shared FROM u a JOIN u b ON a.keyword = b.keyword AND a.place = 0 AND b.place <> 0 AND b.unit_id < a.unit_id")
+@query(B + ", u AS (SELECT unit_id, keyword, place, list(DISTINCT key) AS keys FROM plan JOIN result USING (unit_id) GROUP BY ALL) SELECT a.unit_id AS remote, b.unit_id AS twin, len(list_intersect(a.keys, b.keys)) AS shared FROM u a JOIN u b ON a.keyword = b.keyword AND a.place = 0 AND b.place <> 0 AND b.unit_id < a.unit_id")
 def d18_twins(spark, sf_dir):
     keys = results(spark, sf_dir).groupBy("unit_id").agg(F.collect_set("key").alias("keys"))
     units = plan_units(spark, sf_dir).select("unit_id", "keyword", "place").join(keys, "unit_id")
@@ -277,9 +277,9 @@ def w5_observations(spark, sf_dir):
     first = rows.groupBy("key").agg(F.min("unit_id").alias("first"))
     steps = rows.join(first, "key").groupBy("unit_id").agg(F.count("*").alias("raw"), F.count_if(F.col("first") == F.col("unit_id")).alias("fresh"), F.count_if(F.col("score") >= 25).alias("eligible"))
     new = first.groupBy(F.col("first").alias("unit_id")).agg(F.count("*").alias("new"))
-    w = Window.partitionBy("provider").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, 0)
     units = steps.join(new, "unit_id", "left").join(plan_units(spark, sf_dir).select("unit_id", "provider"), "unit_id")
-    return units.select("unit_id", "raw", "fresh", "eligible", F.sum(F.coalesce("new", F.lit(0))).over(w).alias("found"))
+    found = funnels.running(units, ["provider"], ["unit_id"], {"found": ("sum", F.col("new"), True)})
+    return found.select("unit_id", "raw", "fresh", "eligible", "found")
 
 
 @query(B + f", {GAIN}, {STREAK}, k(k) AS (VALUES (3), (5), (8)) SELECT provider, k, min(plan_index) AS fires_at FROM s JOIN k ON streak >= k GROUP BY 1, 2")
@@ -297,13 +297,7 @@ def w7_counterfactual(spark, sf_dir):
 
 @query(B + ", u AS (SELECT key, unit_id, max(score) AS score FROM result WHERE position <= 3 GROUP BY 1, 2), f AS (SELECT key FROM result GROUP BY key), d AS (SELECT p AS depth, count(DISTINCT key) AS keys, sum(1) AS rows FROM result JOIN (SELECT unnest([1,2,3,4,5,6,7]) AS p) ON position <= p GROUP BY p) SELECT depth, keys, rows, (SELECT count(*) FROM f) - keys AS lost FROM d")
 def w8_depth_report(spark, sf_dir):
-    """What a cut at each depth would keep: a key survives from the smallest position at which it stands."""
-    rows = results(spark, sf_dir)
-    first = rows.groupBy("key").agg(F.min("position").alias("position")).groupBy("position").agg(F.count("*").alias("keys"))
-    both = rows.groupBy("position").agg(F.count("*").alias("rows")).join(first, "position", "left")
-    deep = both.select(F.explode(F.sequence(F.col("position"), F.lit(7))).alias("depth"), "keys", "rows").groupBy("depth").agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"))
-    total = first.agg(F.sum("keys").alias("all"))
-    return deep.crossJoin(F.broadcast(total)).select("depth", "keys", "rows", (F.col("all") - F.col("keys")).alias("lost"))
+    return funnels.depths(results(spark, sf_dir), 7)
 
 
 @query(B + ", o AS (SELECT key, list(DISTINCT provider) AS origins, max(score) AS best FROM result JOIN plan USING (unit_id) GROUP BY key) SELECT count(*) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS lost, count(*) AS keys, max(best) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS best FROM o")
@@ -340,7 +334,7 @@ def t5_resume_ledger(spark, sf_dir):
 @query(R + ", o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY arrival) AS i, arrival, score FROM result WHERE score >= 45) SELECT source, i AS milestone, arrival AS reached_at FROM o WHERE i IN (1, 5, 20)")
 def t4_milestones(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("arrival")
-    return results(spark, sf_dir).where("score >= 45").select("source", F.row_number().over(w).cast("long").alias("milestone"), F.col("arrival").alias("reached_at")).where(F.col("milestone").isin(1, 5, 20))
+    return results(spark, sf_dir).where("score >= 45").select("source", F.row_number().over(w).cast("long").alias("milestone"), F.col("arrival").alias("reached_at")).where((F.col("milestone") <= 20) & F.col("milestone").isin(1, 5, 20))
 
 
 @query(ctes("posting") + " SELECT company, count(*) AS n, arg_max(arrival, (score, -arrival)) AS best FROM posting GROUP BY company")

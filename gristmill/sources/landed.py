@@ -5,6 +5,8 @@ Nothing here fetches; every reader takes columns or paths of what has landed.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +59,20 @@ def html_page(html: Column | str) -> list[Column]:
 
 
 def drifted_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV under a tree, each file by its own header, with the file it came from; a byte-order mark is no part of a name."""
-    df = spark.read.csv(path, header=True, recursiveFileLookup=True, mode="PERMISSIVE", encoding="UTF-8", enforceSchema=False)
-    return df.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in df.columns], F.col("_metadata.file_path").alias("run"))
+    """Every CSV under a tree, each file by its own header, as text columns, with the file it came from (``run``).
+
+    Files are grouped by their first line and each group is read with its own names; columns that a file doesn't have are null. A byte-order
+    mark is no part of a name. Empty files give no rows.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    heads = lines.withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    out = None
+    for head, files in heads.groupBy("head").agg(F.collect_list("file")).orderBy("head").collect():  # as many rows as there are different headers
+        names = [x.strip() for x in next(csv.reader([head.lstrip("\ufeff")]), [])]
+        part = spark.read.csv(files, header=True, schema=", ".join(f"`{x}` string" for x in names), recursiveFileLookup=True, mode="PERMISSIVE", encoding="UTF-8")
+        part = part.select("*", F.col("_metadata.file_path").alias("run"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "run string")
 
 
 def choose_live(live: DataFrame, frozen: DataFrame, least: int = 200) -> DataFrame:
@@ -73,6 +86,6 @@ def export(df: DataFrame, names: dict[str, str], number: str) -> DataFrame:
     return df.select(*[(F.col(c).try_cast("double") if c == number else defused(blank(c))).alias(n) for c, n in names.items()])
 
 
-def write_ranked(df: DataFrame, path: str, kind: str = "json") -> None:
-    """One file, there whole or not at all (the committer renames it last); for ranked lists, not for corpora."""
-    df.coalesce(1).write.mode("overwrite").format(kind).save(path)
+def write_ranked(df: DataFrame, path: str, n: int, kind: str = "json") -> None:
+    """The first n rows of an ordered table as one file, there whole or not at all (the committer renames it last)."""
+    df.limit(n).coalesce(1).write.mode("overwrite").format(kind).save(path)

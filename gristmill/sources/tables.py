@@ -41,7 +41,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "posting": "posting AS (SELECT doc_id AS arrival, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 60) AS title, coalesce(text, '') AS description, source AS company, lang AS location, (doc_id % 53)::INT AS score FROM documents)",
+    "posting": "posting AS (SELECT doc_id AS arrival, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS description, source AS company, lang AS location, (doc_id % 53)::INT AS score FROM documents)",
     "market": "market AS (SELECT (l_orderkey * 8 + l_linenumber) * 10000000000 + l_partkey * 1000 + l_suppkey AS row_id, lower(p_type) || ' ' || p_name AS title, l_quantity::INT AS score, s_name AS company, list_distinct(list_append(string_split(p_name, ' '), lower(p_brand))) AS skills FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)",
     "plan": "plan AS (SELECT o_orderkey AS unit_id, o_orderkey AS plan_index, o_orderpriority AS provider, o_orderstatus AS status, o_totalprice::DECIMAL(18,2) AS ceiling, o_custkey % 40 AS keyword, o_custkey % 7 AS place FROM orders)",
     "result": "result AS (SELECT l_orderkey AS unit_id, (l_orderkey * 8 + l_linenumber) * 10000000000 + l_partkey * 1000 + l_suppkey AS arrival, l_linenumber AS position, l_partkey || '-' || (l_suppkey % 3) AS key, l_quantity::INT AS score, l_returnflag AS source FROM lineitem)",

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.functions import experience
 from gristmill.functions import signals as S
 from gristmill.functions import text as X
 from gristmill.operators import funnels, market, ranking, scoring
@@ -41,7 +42,7 @@ def test_gap(spark, regions, zones, gap):
 
 @pytest.mark.parametrize("text,years", [("8+ years of experience", 8), ("3 years experience and 5 years in Java", 5), ("founded 5 years ago", None), ("minimum 16 years of formal education", None), (None, None)])
 def test_years(spark, text, years):
-    assert one(spark, S.required_years("t"), t=text) == years
+    assert one(spark, experience.required_years("t"), t=text) == years
 
 
 @pytest.mark.parametrize("raw,day", [("2024-02-03T10:00", datetime.date(2024, 2, 3)), ("30+ days ago", datetime.date(2024, 5, 2)), ("2 weeks ago", datetime.date(2024, 5, 18)), ("Just posted", datetime.date(2024, 6, 1)), ("soon", None), ("", None)])
