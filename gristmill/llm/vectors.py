@@ -277,12 +277,13 @@ def best_of(tables: np.ndarray, packed: np.ndarray, ids: np.ndarray, own: np.nda
     return query, code, about[query, code]
 
 
-def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 2048, codes_block: int = 32768) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 2048, codes_block: int = 1 << 18) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine for every row whose vec_id is divisible by ``every``.
 
     All codes are scanned for every query, in cells of at most about ``queries_block`` queries and ``codes_block`` codes, which travel packed.
-    A cell gives for each query what reaches the approximate score of its ``rerank``-th code, ties included; over all cells
-    the same cut is made once more, and the exact cosines of what is left decide. Of exact copies the k + 1 with the smallest vec_id
+    Codes are dealt by a hash, so a cell has about its share of a query's ``rerank`` best; it gives twice that share (and 8 at least) by approximate
+    score, ties included, which keeps what all cells give in proportion to the queries. Over all cells the best ``rerank`` are cut out, with ties,
+    and the exact cosines of these decide. Of exact copies the k + 1 with the smallest vec_id
     are scanned, as no others can be among the k nearest.
     Rows that repeat a vec_id are one candidate (the nearest of them). No row of the query's own vec_id counts.
     """
@@ -320,6 +321,8 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rera
     ours = packed(some, "code_blocks", "cb", n_codes, "code", "qb", n_queries, 0)
     theirs = packed(asked, "query_blocks", "qb", n_queries, "unit", "cb", n_codes, 1)
 
+    share = max(8, -(-2 * rerank // n_codes)) if n_codes > 1 else rerank
+
     def look(part: pa.Table) -> pa.Table:
         sides = {r["side"]: (np.frombuffer(r["ids"], np.int64), r["data"]) for r in part.to_pylist()}
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
@@ -328,7 +331,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rera
             codes, units = np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(units).reshape(len(queries), -1)
             for lo in range(0, len(queries), 16):
                 own = queries[lo : lo + 16]
-                query, code, about = best_of(books.tables(units[lo : lo + 16]), codes, ids, own, rerank)
+                query, code, about = best_of(books.tables(units[lo : lo + 16]), codes, ids, own, share)
                 found.append((own[query], ids[code], about))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "about"])
 
