@@ -1,40 +1,13 @@
-"""Evidence in documents: concept occurrences, sections, status, strength, tiers."""
+"""Concepts of documents, heading lines, and the weight of a tier."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import blank, bounded
 
-#: Cues before an occurrence, tried in this order, and the status they give.
-CUES = (("NEGATED", r"\b(?:no|not|without|never|lacks?)\b[^.]{0,30}$"), ("PLANNED", r"\b(?:plan(?:s|ned|ning)? to|want to|hope to|will)\b[^.]{0,30}$"), ("LEARNING", r"\b(?:learn(?:ing|t|ed)?|stud(?:y|ied|ying)|course|training)\b[^.]{0,30}$"), ("USED", r"\b(?:us(?:e|ed|ing)|built|with|by|of)\b[^.]{0,30}$"))
-SHAPES = ("listed", "mentioned", "described")
-
-
-def occurrences(docs: DataFrame, concepts: dict[str, list[str]], doc: str = "doc_id", text: str = "text", before: int = 40) -> DataFrame:
-    """doc, concept, alias, start, end, context: where aliases stand on boundaries; a match inside a longer one doesn't count.
-
-    One alternation, longest alias first, read once from left to right.
-    """
-    alias = {a.lower(): c for c, names in concepts.items() for a in names}
-    pattern = re.compile(bounded(alias, group=True))
-
-    def find(batches):
-        for pdf in batches:
-            out = []
-            for key, body in zip(pdf[doc], pdf[text]):
-                low = (body or "").lower()
-                out += [(key, alias[m.group(1)], m.group(1), m.start(), m.end(), low[max(0, m.start() - before) : m.start()]) for m in pattern.finditer(low)]
-            yield pd.DataFrame(out, columns=[doc, "concept", "alias", "start", "end", "context"])
-
-    return docs.select(doc, text).mapInPandas(find, f"{doc} {dict(docs.dtypes)[doc]}, concept string, alias string, start long, end long, context string")
-
-
 def concept_set(text: Column | str, concepts: dict[str, list[str]]) -> Column:
     """Distinct concepts of a text, by the same rule, without their places: stays in the JVM."""
     alias = {a.lower(): c for c, names in concepts.items() for a in names}
@@ -43,15 +16,6 @@ def concept_set(text: Column | str, concepts: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda a: F.element_at(table, a))))
 
 
-def status(context: Column | str) -> Column:
-    """NEGATED, PLANNED, LEARNING, USED or MENTIONED by the first cue that the text before an occurrence has."""
-    c = F.col(context) if isinstance(context, str) else context
-    out = F.when(F.lit(False), "")
-    for name, cue in CUES:
-        out = out.when(c.rlike("(?i)" + cue), name)
-    return out.otherwise("MENTIONED")
-
-
 def sections(docs: DataFrame, is_heading, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, line, heading, body: lines with the last heading line before them.
 
@@ -62,17 +26,6 @@ def sections(docs: DataFrame, is_heading, doc: str = "doc_id", text: str = "text
     return lines.withColumn("heading", F.last(F.when(is_heading(F.col("body")), F.col("body")), ignorenulls=True).over(w))
 
 
-def strength(found: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, concept, uses, entries, shape: how often used, in how many sections, and the best shape."""
-    used = F.col("status") == "USED"
-    rank = F.when(used, 3).when(F.col("status") == "MENTIONED", 2).otherwise(1)
-    return found.groupBy(doc, "concept").agg(F.count_if(used).alias("uses"), F.count_if(F.col("status") == "NEGATED").alias("refuted"), F.count("*").alias("n"), F.max(rank).alias("shape"))
-
-
-def tier() -> Column:
-    return F.when((F.col("shape") == 3) & (F.col("uses") >= 3), "CORE").when(F.col("shape") == 3, "STRONG_SECONDARY").when(F.col("n") > F.col("refuted"), "SUPPORTING").otherwise("BACKGROUND")
-
-
 def weight(tier_: Column, separation: Column) -> Column:
     """1 to 5 from a tier's base and how far the market sets the term apart."""
     base = F.when(tier_ == "CORE", 5).when(tier_ == "STRONG_SECONDARY", 4).when(tier_ == "SUPPORTING", 2).otherwise(1)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.operators import documents as D
+from gristmill.operators import evidence as E
+from gristmill.operators.market import separation
 from gristmill.registry import query
+from gristmill.sources.shared import stored
 from gristmill.sources.tables import table
 
 CONCEPTS = {"gpl": ["gnu general public license", "gpl"], "apache": ["apache license", "apache"], "license": ["license"], "mit": ["mit license", "mit"], "article": ["the", "les", "der"], "insult": ["idiot", "stupid", "loser"], "work": ["work"]}
@@ -33,13 +38,17 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _occurrences(spark, sf_dir):
+    return E.occurrences(E.lines(_docs(spark, sf_dir)), CONCEPTS)
+
+
 def _found(spark, sf_dir):
-    return D.occurrences(_docs(spark, sf_dir), CONCEPTS).withColumn("status", D.status("context"))
+    return E.judged(_occurrences(spark, sf_dir))
 
 
 @query(f"WITH {OCC} SELECT doc_id, concept, alias, count(*) AS n FROM occ GROUP BY ALL")
 def c1_concept_occurrences(spark, sf_dir):
-    return D.occurrences(_docs(spark, sf_dir), CONCEPTS).groupBy("doc_id", "concept", "alias").agg(F.count("*").alias("n"))
+    return _occurrences(spark, sf_dir).groupBy("doc_id", "concept", "alias").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OCC}, w(concept, weight) AS (VALUES ('gpl', 3), ('apache', 4), ('license', 2), ('mit', 1), ('article', 1), ('insult', -2), ('work', 1)) SELECT doc_id, sum(weight) AS score, string_agg(concept, ',' ORDER BY concept) AS concepts FROM (SELECT DISTINCT doc_id, concept FROM occ) JOIN w USING (concept) GROUP BY doc_id")
@@ -65,38 +74,41 @@ def c3_status(spark, sf_dir):
 @query()
 def c4_scoped_cues(spark, sf_dir):
     """A cue governs the nearest occurrence after it only."""
-    w = Window.partitionBy("doc_id").orderBy("start")
+    w = Window.partitionBy("doc_id", "line").orderBy("start")
     rows = _found(spark, sf_dir).withColumn("gap", F.col("start") - F.lag("end").over(w))
-    return rows.select("doc_id", "concept", "start", F.when(F.coalesce(F.col("gap") < 30, F.lit(False)), "MENTIONED").otherwise(F.col("status")).alias("status"))
+    return rows.select("doc_id", "concept", "line", "start", F.when(F.coalesce(F.col("gap") < 30, F.lit(False)), "MENTIONED").otherwise(F.col("status")).alias("status"))
 
 
 def _strength(spark, sf_dir):
-    return D.strength(_found(spark, sf_dir))
+    return E.strength(_found(spark, sf_dir))
 
 
 @query()
 def c5_strength(spark, sf_dir):
-    return _strength(spark, sf_dir)
+    return _strength(spark, sf_dir).select("doc_id", "concept", "n", "claimed", "uses", "strength", "entries")
 
 
 @query()
 def c6_tier(spark, sf_dir):
-    return _strength(spark, sf_dir).select("doc_id", "concept", D.tier().alias("tier"))
+    return _strength(spark, sf_dir).select("doc_id", "concept", "tier", "why")
+
+
+def _weights(spark, sf_dir):
+    """doc_id, concept, weight and what it rests on; the evidence is read once for the weights and for the share of documents."""
+    rows = stored(_strength(spark, sf_dir))
+    docs = rows.groupBy("concept").agg(F.count("*").alias("hits")).crossJoin(_docs(spark, sf_dir).agg(F.count("*").alias("seen")))
+    return rows.join(docs, "concept").select("*", D.weight(F.col("tier"), F.coalesce(separation("hits", "seen"), F.lit(3))).alias("weight"))
 
 
 @query()
 def c7_weight(spark, sf_dir):
-    rows = _strength(spark, sf_dir).withColumn("tier", D.tier())
-    docs = rows.groupBy("concept").agg(F.count("*").alias("hits")).crossJoin(F.broadcast(_docs(spark, sf_dir).agg(F.count("*").alias("seen"))))
-    from gristmill.operators.market import separation
-
-    return rows.join(F.broadcast(docs), "concept").select("doc_id", "concept", D.weight(F.col("tier"), F.coalesce(separation("hits", "seen"), F.lit(3))).alias("weight"))
+    return _weights(spark, sf_dir).select("doc_id", "concept", "weight")
 
 
 @query(f"WITH {OCC} SELECT concept, count(*) AS n, count(DISTINCT doc_id) AS docs, (SELECT count(*) FROM hit) - (SELECT count(*) FROM occ) AS shadowed FROM occ GROUP BY concept")
 def c8_assess_all(spark, sf_dir):
     """Counts after longer occurrences have taken shorter ones inside them, and how many were taken."""
-    found = D.occurrences(_docs(spark, sf_dir), CONCEPTS)
+    found = _occurrences(spark, sf_dir)
     per = found.groupBy("concept", "doc_id", "alias").agg(F.count("*").alias("n"))
     inner = {a: sum(1 for b, _ in ALIASES if b != a and f" {b} " in f" {a} " and not a.startswith(f"{b} ")) for a, _ in ALIASES}
     lost = per.agg(F.sum(F.col("n") * F.element_at(F.create_map(*[F.lit(x) for p in inner.items() for x in p]), F.col("alias"))).alias("shadowed"))
@@ -147,10 +159,15 @@ def c15_work_modes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("mode")).agg(F.count("*").alias("asserted"), F.when(F.count("*") >= 2, "strong").otherwise("weak").alias("strength"))
 
 
+@query()
+def c15_document_modes(spark, sf_dir):
+    return E.work_modes(E.work_hits(E.lines(_docs(spark, sf_dir))))
+
+
 @query()
 def c16_attachments(spark, sf_dir):
-    """Occurrences to which a word of use is attached: within 30 characters before, in the same sentence."""
-    return _found(spark, sf_dir).where("status = 'USED'").groupBy("doc_id").agg(F.count("*").alias("attached"))
+    """What a document says was done: clauses in which a verb governs an object, for each kind of work."""
+    return E.work_hits(E.lines(_docs(spark, sf_dir))).groupBy("doc_id", "mode", "kind").agg(F.count("*").alias("attached"))
 
 
 @query("WITH m AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, bool_or(role = 'assistant' AND n >= 2) AS supported, sum(n) < 2 AS thin FROM m GROUP BY conv_id")
@@ -174,8 +191,7 @@ def c19_stated_vs_computed(spark, sf_dir):
 @query()
 def c20_evidence_profile(spark, sf_dir):
     """Weights of every document's concepts from its evidence, with what they rest on."""
-    rows = c7_weight(spark, sf_dir).join(_strength(spark, sf_dir), ["doc_id", "concept"])
-    return rows.select("doc_id", "concept", "weight", F.concat_ws("/", "uses", "n", "shape").alias("rests_on"))
+    return _weights(spark, sf_dir).select("doc_id", "concept", "weight", F.concat_ws("/", "tier", "strength", "entries", "n").alias("rests_on"))
 
 
 @query()
@@ -197,3 +213,64 @@ def a18_macro_f1(spark, sf_dir):
     p, y = F.col("l_quantity") > 25, F.col("l_discount") > 0.04
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("field")).agg(F.count_if(p).alias("p"), F.count_if(y).alias("y"), F.count_if(p & y).alias("tp"))
     return rows.groupBy("field").agg(F.round(F.avg(F.when(F.col("p") + F.col("y") > 0, 2.0 * F.col("tp") / (F.col("p") + F.col("y")))), 6).alias("macro_f1"))
+
+
+#: Documents by part number, with a part's brand, type and size in them, and what they say of each concept:
+#: (concept, statuses, strength, entries, tier, why).
+TOOLS = {"spark": ["spark"], "redis": ["redis"], "kafka": ["kafka"]}
+TOLD = (
+    ("Work Experience\n{p_brand}\n- Built services with spark.\n{p_type} Ltd\n- Developed jobs in spark.", [("spark", "USED,USED", "independent", 2, "CORE", "used at work")]),
+    ("Projects\nTool {p_size} | demo\n- Designed a cache with redis.\nSkills\nredis, kafka", [("redis", "MENTIONED,USED", "substantive", 1, "STRONG_SECONDARY", "built with in a project"), ("kafka", "MENTIONED", "claim", 0, "SUPPORTING", "listed")]),
+    ("Education\nState University\n- Course on kafka.\nSummary\nI plan to use spark.", [("kafka", "LEARNING", "none", 0, "BACKGROUND", "learning"), ("spark", "PLANNED", "none", 0, "BACKGROUND", "planned")]),
+    ("Work Experience\n{p_brand}\n- Evaluated kafka, not adopted.\n- Meetings about redis.", [("kafka", "NEGATED", "none", 0, "BACKGROUND", "rejected"), ("redis", "MENTIONED", "claim", 0, "SUPPORTING", "named")]),
+)
+#: The spans of the same documents: (template, section, entry, first line, lines).
+SPANS = ((0, "work", "p_brand", 1, 2), (0, "work", "p_type || ' Ltd'", 3, 2), (1, "project", "'Tool ' || p_size", 1, 2), (1, "skills", "''", 4, 1), (2, "education", "'State University'", 1, 2), (2, "summary", "''", 4, 1), (3, "work", "p_brand", 1, 3))
+#: What was done in documents of their own: text and (mode, kind, asserted, learning, refuted, delegated, entries, strength).
+DONE = (
+    ("Work Experience\n{p_brand}\n- Built services for payments.\n{p_type} Ltd\n- Developed two apps.", [("development", 2, 0, 0, 0, 2, "strong")]),
+    ("Work Experience\n{p_brand}\n- Authored notes for the module. Coordinated with the developers who built components.", [("consulting", 1, 0, 0, 1, 1, "weak")]),
+    ("Education\n{p_type} College\n- Built scripts.\nSummary\nNever configured workflows.", [("development", 0, 1, 0, 0, 0, "none"), ("configuration", 0, 0, 1, 0, 0, "none")]),
+)
+
+
+def _filled(spark, sf_dir, templates):
+    texts = [F.concat_ws("", *[F.col(piece).cast("string") if piece.startswith("p_") else F.lit(piece) for piece in re.split("[{}]", text)]) for text, _ in templates]
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*texts), F.col("p_partkey") % len(templates)).alias("text"))
+
+
+def _values(templates) -> str:
+    return ", ".join(f"({k}, {', '.join(str(x) if isinstance(x, int) else chr(39) + x + chr(39) for x in row)})" for k, (_, rows) in enumerate(templates) for row in rows)
+
+
+@query("SELECT p_partkey, section, entry, first_line, lines FROM part JOIN (" + " UNION ALL ".join(f"SELECT p_partkey AS q, '{section}' AS section, {entry} AS entry, {first} AS first_line, {n}::BIGINT AS lines FROM part WHERE p_partkey % {len(TOLD)} = {k}" for k, section, entry, first, n in SPANS) + ") ON p_partkey = q")
+def c2_section_spans(spark, sf_dir):
+    return E.sections(_filled(spark, sf_dir, TOLD), "p_partkey")
+
+
+def _told(spark, sf_dir):
+    return E.judged(E.occurrences(E.lines(_filled(spark, sf_dir, TOLD), "p_partkey"), TOOLS))
+
+
+@query(f"SELECT p_partkey, concept, statuses FROM part JOIN (VALUES {_values(TOLD)}) AS t(k, concept, statuses, strength, entries, tier, why) ON p_partkey % {len(TOLD)} = k")
+def c3_told_status(spark, sf_dir):
+    return _told(spark, sf_dir).groupBy("p_partkey", "concept").agg(F.array_join(F.array_sort(F.collect_list("status")), ",").alias("statuses"))
+
+
+@query(f"SELECT p_partkey, concept, strength, entries, tier, why FROM part JOIN (VALUES {_values(TOLD)}) AS t(k, concept, statuses, strength, entries, tier, why) ON p_partkey % {len(TOLD)} = k")
+def c6_told_tiers(spark, sf_dir):
+    return E.strength(_told(spark, sf_dir), "p_partkey").select("p_partkey", "concept", "strength", "entries", "tier", "why")
+
+
+def _modes(spark, sf_dir):
+    return E.work_modes(E.work_hits(E.lines(_filled(spark, sf_dir, DONE), "p_partkey"), doc="p_partkey"), "p_partkey")
+
+
+@query(f"SELECT p_partkey, mode, asserted, learning, refuted, delegated, entries, strength FROM part JOIN (VALUES {_values(DONE)}) AS t(k, mode, asserted, learning, refuted, delegated, entries, strength) ON p_partkey % {len(DONE)} = k")
+def c15_told_modes(spark, sf_dir):
+    return _modes(spark, sf_dir)
+
+
+@query(f"SELECT p_partkey, p_partkey % {len(DONE)} > 0 AS thin, CASE WHEN p_partkey % {len(DONE)} = 0 THEN 'developer' WHEN p_partkey % {len(DONE)} = 1 THEN 'analyst' ELSE '' END AS supported, CASE WHEN p_partkey % {len(DONE)} = 2 THEN 'development' ELSE '' END AS transition FROM part")
+def c17_told_roles(spark, sf_dir):
+    return E.role_record(_modes(spark, sf_dir), {"developer": ("development", True), "analyst": ("consulting", False), "administrator": ("configuration", True)}, "p_partkey")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
 from gristmill.registry import query
 from gristmill.sources import landed
+from gristmill.sources.shared import folder
 from gristmill.sources.tables import ctes, postings, table
 
 BOARD = {"title": ("job.name", "job.title"), "company": ("org",), "location": ("job.places",), "job_url": ("job.url",), "description": ("job.html",)}
@@ -83,19 +82,10 @@ def s10_native_ids(spark, sf_dir):
     return _payloads(spark, sf_dir).select("p_partkey", ids.alias("n")).select("p_partkey", F.col("n")["ref"].alias("ref"), F.col("n")["org"].alias("org"))
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one that the session names."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    where = where or "file://" + tempfile.mkdtemp(prefix="gristmill-")
-    return f"{where.rstrip('/')}/landed-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_nationkey % 3 AS run, n_name, CASE WHEN n_nationkey % 3 <> 1 THEN n_regionkey::VARCHAR END AS n_regionkey, CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey::VARCHAR END AS n_nationkey FROM nation")
 def s11_csv_tree(spark, sf_dir):
     """Three runs with different headers: other columns, another order."""
-    path, nation = _folder(spark), table(spark, sf_dir, "nation")
+    path, nation = folder(spark), table(spark, sf_dir, "nation")
     for k, columns in enumerate((["n_name", "n_regionkey"], ["n_name"], ["n_nationkey", "n_regionkey", "n_name"])):
         nation.where(F.col("n_nationkey") % 3 == k).select(*columns).write.csv(f"{path}/run={k}", header=True)
     rows = landed.drifted_csv(spark, path)
@@ -104,7 +94,7 @@ def s11_csv_tree(spark, sf_dir):
 
 @query("SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1")
 def s12_json_runs(spark, sf_dir):
-    path = _folder(spark)
+    path = folder(spark)
     both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     both.select("n_name", "r_name", F.col("r_name").alias("run")).write.partitionBy("run").json(path)
     rows = spark.read.json(path, schema="n_name string, r_name string").select("*", F.col("_metadata.file_path").alias("f"))
@@ -120,14 +110,14 @@ def s13_frozen_fallback(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, count(DISTINCT p_brand) AS terms, max(p_size) AS high FROM part")
 def s14_freeze(spark, sf_dir):
-    path = _folder(spark)
+    path = folder(spark)
     table(spark, sf_dir, "part").select("p_brand", "p_size").write.parquet(path)
     return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.count_distinct("p_brand").alias("terms"), F.max("p_size").alias("high"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
 def s15_ranked_sink(spark, sf_dir):
-    path = _folder(spark)
+    path = folder(spark)
     landed.write_ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey"), path, 40)
     return spark.read.json(path, schema="o_orderkey long, o_totalprice double")
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from gristmill.plans.source_queries import _folder
 from gristmill.registry import query
+from gristmill.sources.shared import folder
 from gristmill.streaming import jobs
 
 
@@ -18,20 +16,11 @@ def _events(spark, sf_dir):
     return jobs.ingest(spark, path + "*", schema)
 
 
-def _out(spark, stream, mode="append"):
-    """What the stream writes, as Parquet (append) or as the last state of the table (complete)."""
-    base = _folder(spark)
-    if mode == "append":
-        stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(base + "/out")
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
-
-    query_ = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", base + "/state").trigger(availableNow=True).queryName("q" + uuid.uuid4().hex).start()
-    query_.awaitTermination()
-    last = query_.lastProgress["batchId"]
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/{last}")
+def _out(spark, stream):
+    """What the stream appends, as Parquet."""
+    base = folder(spark)
+    stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
 @query("SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS score FROM events")
@@ -42,9 +31,11 @@ def t1_incremental_scores(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events")
 def t2_first_seen(spark, sf_dir):
-    return _out(spark, jobs.only_new(_events(spark, sf_dir).select("user_id"), "user_id"))
+    """A ledger of its own holds what was seen: the stream has no state that grows."""
+    return jobs.ledger(_events(spark, sf_dir).select("user_id"), "user_id", folder(spark))
 
 
 @query("SELECT user_id, max_by(event_type, (value, -event_id)) AS event_type, max(value) AS value FROM events GROUP BY user_id")
 def t3_best_per_key(spark, sf_dir):
-    return _out(spark, jobs.best_per_key(_events(spark, sf_dir), "user_id", "event_type", "value", "event_id"), "complete")
+    """Every batch writes the keys that have changed, and no others."""
+    return jobs.latest(jobs.best_per_key(_events(spark, sf_dir), "user_id", "event_type", "value", "event_id"), "user_id", folder(spark))

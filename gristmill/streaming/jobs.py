@@ -29,3 +29,38 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append")
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def _batches(stream: DataFrame, base: str, mode: str, write) -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def ledger(stream: DataFrame, key: str, base: str) -> DataFrame:
+    """The first row of each key, kept in a table: a batch appends the keys that no earlier batch has appended.
+
+    A batch that is run again overwrites its own part and looks at earlier parts only, so nothing comes twice.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if number:
+            seen = spark.read.schema(f"{key} {dict(stream.dtypes)[key]}, part long").option("basePath", base + "/ledger").parquet(base + "/ledger").where(F.col("part") < number)
+            new = new.join(seen.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{base}/ledger/part={number}")
+
+    _batches(stream, base, "append", write)
+    return spark.read.schema(schema).parquet(base + "/ledger").select(*schema.names)
+
+
+def latest(stream: DataFrame, key: str, base: str) -> DataFrame:
+    """The last row of each key of an aggregation in update mode: batches write what has changed, reading takes the newest."""
+    spark, columns = stream.sparkSession, stream.columns
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/changes/part={number}")
+
+    _batches(stream, base, "update", write)
+    changes = spark.read.parquet(base + "/changes")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), "part").alias("r"))
+    return last.select(*(F.col(f"r.{c}").alias(c) for c in columns))
