@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.operators import market
+from gristmill.operators import guards, market
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, market_rows, table
 
@@ -299,47 +299,106 @@ def _candidates(spark, sf_dir):
     return rows.groupBy("person", "q").agg(F.count("*").alias("n"), F.size(F.collect_set("c_nationkey")).cast("long").alias("companies"))
 
 
-def fail_open(rows, keep, by="person"):
-    """The rows that a rule keeps; all rows of a person of whom it would keep none."""
-    left = F.max(F.when(keep, 1).otherwise(0)).over(Window.partitionBy(by))
-    return rows.withColumn("_left", left).where(keep | (F.col("_left") == 0)).drop("_left")
-
-
 def _guard(rule: str) -> str:
     return f"WITH {CANDIDATES} SELECT person, q FROM cand QUALIFY ({rule}) OR max(CASE WHEN {rule} THEN 1 ELSE 0 END) OVER (PARTITION BY person) = 0"
 
 
-@query(f"WITH {CANDIDATES} SELECT person, q, CASE WHEN len(string_split(q, ' ')) < 2 THEN 'short' WHEN contains(q, '0') THEN 'operator' WHEN n > 12 THEN 'broad' ELSE 'ok' END AS verdict FROM cand")
+#: Searches proposed for people with what the rules ask about them: a family by its word, held titles, orphans; and the people's records.
+GATED, KNOWN = ["machinery"], ("building", "machinery", "household")
+FAMILY = "CASE WHEN split_part(q, ' ', 1) IN " + str(KNOWN) + " THEN split_part(q, ' ', 1) END"
+ASKED = f"{CANDIDATES}, asked AS (SELECT *, {FAMILY} AS family, (person + n) % 5 = 0 AS held, q LIKE '% 3' AS orphan FROM cand)"
+RECORDS = (
+    "sup AS (SELECT person, list(DISTINCT family) AS supported FROM asked WHERE family IS NOT NULL AND n >= 2 GROUP BY person), "
+    "records AS (SELECT p.person, p.person % 7 = 0 AS thin, coalesce(supported, []) AS supported, CASE WHEN p.person % 3 = 0 THEN ['machinery'] ELSE [] END AS transition, p.person % 4 AS other, "
+    "CASE WHEN p.person % 11 = 0 THEN ['machinery'] ELSE [] END AS titles, CASE WHEN p.person % 2 = 0 THEN 'machinery' END AS target FROM (SELECT DISTINCT person FROM asked WHERE person <> 5) p LEFT JOIN sup USING (person))"
+)
+
+
+def _asked(spark, sf_dir):
+    word = F.split_part("q", F.lit(" "), F.lit(1))
+    return _candidates(spark, sf_dir).select("*", F.when(word.isin(*KNOWN), word).alias("family"), ((F.col("person") + F.col("n")) % 5 == 0).alias("held"), F.col("q").like("% 3").alias("orphan"))
+
+
+def _records(asked):
+    some = lambda cond: F.when(cond, F.array(F.lit("machinery"))).otherwise(F.array().cast("array<string>"))
+    person = F.col("person")
+    supported = F.array_sort(F.collect_set(F.when(F.col("n") >= 2, F.col("family"))))
+    return asked.where("person <> 5").groupBy("person").agg(supported.alias("supported")).select("person", (person % 7 == 0).alias("thin"), "supported", some(person % 3 == 0).alias("transition"), (person % 4).alias("other"), some(person % 11 == 0).alias("titles"), F.when(person % 2 == 0, "machinery").alias("target"))
+
+
+def _open(rule: str, rows: str = "asked", columns: str = "person, q") -> str:
+    return f"SELECT {columns} FROM {rows} QUALIFY ({rule}) OR max(CASE WHEN {rule} THEN 1 ELSE 0 END) OVER (PARTITION BY person) = 0"
+
+
+#: Replacements by part: the last two words of a market title for its first two, some with an operator or a level word.
+LEVELS, ROLES = ("large", "economy"), ("widget", "ring")
+FINAL = (
+    "parts AS (SELECT p_partkey % 30 AS person, string_split(lower(p_type) || ' ' || p_name, ' ') AS w, p_size FROM part), "
+    "fin AS (SELECT DISTINCT person, CASE WHEN p_size % 9 = 0 THEN '-' ELSE '' END || w[len(w) - 1] || CASE WHEN p_size % 7 = 0 THEN '' ELSE ' ' || w[len(w)] END AS q, CASE WHEN p_size % 5 > 0 THEN w[1] || ' ' || w[2] END AS fragment, person % 2 = 0 AS exempt FROM parts), "
+    "counted AS (SELECT title, count(*) AS n FROM market GROUP BY title), allq AS (SELECT DISTINCT q FROM fin UNION SELECT DISTINCT fragment FROM fin WHERE fragment IS NOT NULL), "
+    "share AS (SELECT q, coalesce(sum(n), 0) / (SELECT sum(n) FROM counted) AS share FROM allq LEFT JOIN counted ON contains(' ' || title || ' ', ' ' || q || ' ') GROUP BY q)"
+)
+TERMS = lambda column, terms: f"regexp_matches({column}, '(^|[^a-z0-9])({'|'.join(terms)})([^a-z0-9]|$)')"
+RULE = lambda q, share: f"CASE WHEN len(string_split({q}, ' ')) < 2 THEN 'degenerate' WHEN regexp_matches({q}, '(^|\\s)-\\w') THEN 'search_operator' WHEN coalesce({share}, 0) > 0.25 THEN 'catalogue' WHEN {TERMS(q, LEVELS)} THEN 'level_or_entry' WHEN {TERMS(q, ROLES)} AND NOT exempt THEN 'role_term_unexempted' ELSE 'accepted' END"
+
+
+def _final(spark, sf_dir):
+    w = F.split(F.concat_ws(" ", F.lower("p_type"), "p_name"), " ")
+    size, last = F.col("p_size"), F.element_at(w, -1)
+    q = F.concat(F.when(size % 9 == 0, "-").otherwise(""), F.element_at(w, -2), F.when(size % 7 == 0, "").otherwise(F.concat(F.lit(" "), last)))
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 30).alias("person"), q.alias("q"), F.when(size % 5 > 0, F.concat_ws(" ", F.element_at(w, 1), F.element_at(w, 2))).alias("fragment"))
+    return rows.distinct().withColumn("exempt", F.col("person") % 2 == 0)
+
+
+def _shares(spark, sf_dir, queries):
+    asked = queries.select("q").union(queries.select("fragment").where("fragment IS NOT NULL"))
+    return guards.market_share(asked, market_rows(spark, sf_dir).select("title"))
+
+
+@query(M + f", {FINAL} SELECT person, q, {RULE('q', 'share')} AS verdict FROM fin LEFT JOIN share USING (q) WHERE fragment IS NOT NULL")
 def q1_query_contract(spark, sf_dir):
-    verdict = F.when(F.size(F.split("q", " ")) < 2, "short").when(F.col("q").contains("0"), "operator").when(F.col("n") > 12, "broad").otherwise("ok")
-    return _candidates(spark, sf_dir).select("person", "q", verdict.alias("verdict"))
+    queries = _final(spark, sf_dir).where("fragment IS NOT NULL")
+    rows = queries.join(_shares(spark, sf_dir, queries), "q", "left")
+    return rows.select("person", "q", guards.contract("q", F.coalesce("share", F.lit(0.0)), LEVELS, ROLES, F.col("exempt")).alias("verdict"))
+
+
+@query(M + f", {FINAL}, j AS (SELECT f.*, CASE WHEN fragment IS NULL THEN 'own' ELSE {RULE('f.q', 's.share')} END AS rule, {RULE('f.fragment', 't.share')} = 'accepted' AS good FROM fin f LEFT JOIN share s ON f.q = s.q LEFT JOIN share t ON f.fragment = t.q), k AS ({_open("rule IN ('own', 'accepted') OR good", 'j', '*')}) SELECT DISTINCT person, CASE WHEN rule NOT IN ('own', 'accepted') AND good THEN fragment ELSE q END AS q, CASE WHEN rule NOT IN ('own', 'accepted') AND good THEN 'fragment' ELSE rule END AS rule FROM k")
+def q1_revalidated(spark, sf_dir):
+    queries = _final(spark, sf_dir)
+    return guards.revalidated(queries, _shares(spark, sf_dir, queries), LEVELS, ROLES)
 
 
-@query(_guard("n >= 4 AND companies >= 3"))
+@query(f"WITH {ASKED} " + _open("held OR family IS NOT NULL OR (n >= 10 AND companies >= 3)"))
 def q2_thin_family(spark, sf_dir):
-    return fail_open(_candidates(spark, sf_dir), (F.col("n") >= 4) & (F.col("companies") >= 3)).select("person", "q")
+    return guards.without_thin(_asked(spark, sf_dir).withColumnRenamed("n", "postings")).select("person", "q")
 
 
-@query(_guard("q NOT LIKE 'machinery%'"))
+@query(f"WITH {ASKED}, {RECORDS}, o AS (SELECT a.*, thin, supported, transition FROM asked a LEFT JOIN records USING (person)) " + _open("NOT orphan OR NOT coalesce(NOT thin AND len(supported) + len(transition) > 0, false) OR family IS NULL OR coalesce(list_contains(list_concat(supported, transition), family), true)", "o"))
 def q3_orphan_titles(spark, sf_dir):
-    return fail_open(_candidates(spark, sf_dir), ~F.col("q").like("machinery%")).select("person", "q")
+    asked = _asked(spark, sf_dir)
+    return guards.without_orphans(asked, _records(asked)).select("person", "q")
 
 
-@query(_guard("q NOT LIKE 'household%' OR person % 3 = 0"))
+@query(f"WITH {ASKED}, {RECORDS}, o AS (SELECT a.*, r.* EXCLUDE (person) FROM asked a LEFT JOIN records r USING (person)) " + _open("family IS NULL OR family <> 'machinery' OR NOT coalesce(NOT thin AND len(list_filter(supported, lambda x: x <> 'machinery')) > 0 AND other >= 2, false) OR coalesce(list_contains(supported, family), false) OR coalesce(list_contains(titles, family), false) OR (coalesce(target = family, false) AND coalesce(list_contains(transition, family), false))", "o"))
 def q4_family_veto(spark, sf_dir):
-    return fail_open(_candidates(spark, sf_dir), ~F.col("q").like("household%") | (F.col("person") % 3 == 0)).select("person", "q")
+    asked = _asked(spark, sf_dir)
+    return guards.without_vetoed(asked, _records(asked), GATED).select("person", "q")
 
 
-@query(f"WITH {CANDIDATES} SELECT person, q, 'kept' AS reason FROM cand WHERE n >= 4 UNION ALL SELECT person, q, 'restored' FROM cand WHERE n < 4 AND q LIKE 'building%'")
+@query(f"WITH {ASKED} SELECT person, q, max(CASE WHEN held THEN 'held_title' WHEN companies >= 2 THEN 'corroborated_target' END) AS reason FROM asked WHERE n < 2 AND {TERMS('q', ('building', 'machinery'))} AND (held OR companies >= 2) GROUP BY person, q")
 def q5_restore(spark, sf_dir):
-    reason = F.when(F.col("n") >= 4, "kept").when(F.col("q").like("building%"), "restored")
-    return _candidates(spark, sf_dir).select("person", "q", reason.alias("reason")).where("reason IS NOT NULL")
+    asked = _asked(spark, sf_dir)
+    none = asked.select("q").distinct().select("q", F.lit(0.0).alias("share"))
+    rows = asked.select("person", "q", F.when(F.col("held"), "held_title").otherwise("stated_target").alias("source"), (F.col("companies") >= 2).alias("strong"))
+    return guards.restored(rows, asked.where("n >= 2"), none, ("building", "machinery"))
 
 
-@query(f"WITH {CANDIDATES}, u AS (SELECT person, split_part(q, ' ', 1) AS hint, CASE WHEN n >= 6 THEN 1 WHEN n >= 3 THEN 2 ELSE 3 END AS source FROM cand) SELECT person, hint, min(source) AS source FROM u GROUP BY 1, 2")
+@query(f"WITH {ASKED}, src AS (SELECT person, q AS hint, 'held_titles' AS source, 1 AS priority FROM asked WHERE held UNION ALL SELECT person, family, 'role_families', 2 FROM asked WHERE n >= 2 UNION ALL SELECT person, split_part(q, ' ', 1), 'own_hints', 3 FROM asked WHERE companies >= 2), h AS (SELECT person, hint, min_by(source, priority) AS source FROM src WHERE hint IS NOT NULL AND length(hint) >= 5 AND hint <> 'furniture' GROUP BY 1, 2) SELECT * FROM h UNION ALL SELECT DISTINCT person, 'engineer', 'floor' FROM asked WHERE person NOT IN (SELECT person FROM h)")
 def q6_gate_build(spark, sf_dir):
-    source = F.when(F.col("n") >= 6, 1).when(F.col("n") >= 3, 2).otherwise(3)
-    return _candidates(spark, sf_dir).groupBy("person", F.split_part("q", F.lit(" "), F.lit(1)).alias("hint")).agg(F.min(source).alias("source"))
+    asked = _asked(spark, sf_dir)
+    parts = [(F.when(F.col("held"), F.col("q")), "held_titles", 1), (F.when(F.col("n") >= 2, F.col("family")), "role_families", 2), (F.when(F.col("companies") >= 2, F.split_part("q", F.lit(" "), F.lit(1))), "own_hints", 3)]
+    hints = asked.select("person", F.explode(F.array(*[F.struct(h.alias("hint"), F.lit(s).alias("source"), F.lit(p).alias("priority")) for h, s, p in parts])).alias("s")).select("person", "s.*")
+    return guards.title_gate(hints, ["engineer"], ("furniture",))
 
 
 @query(f"WITH {CANDIDATES}, s AS (SELECT person, split_part(q, ' ', 1) AS family, sum(n) AS n FROM cand GROUP BY 1, 2) SELECT person, family, n, n >= 0.25 * sum(n) OVER (PARTITION BY person) AS core FROM s")
@@ -350,7 +409,7 @@ def q7_core_families(spark, sf_dir):
 
 @query(_guard("n >= 100"))
 def q8_fail_open(spark, sf_dir):
-    return fail_open(_candidates(spark, sf_dir), F.col("n") >= 100).select("person", "q")
+    return guards.fail_open(_candidates(spark, sf_dir), F.col("n") >= 100).select("person", "q")
 
 
 @query()
