@@ -95,6 +95,27 @@ def canonical_url(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(path), r"^www\.", "")
 
 
+#: Words of a location that may end a title.
+REMOTE_WORDS = ("remote", "work from home", "hybrid", "onsite", "worldwide")
+
+
+def base_title(title: Column | str, location: Column | str) -> Column:
+    """The title without a copy of its own location (whole, first or last part), or a word of remote work, at its end.
+
+    Places of less than three characters don't count, and at least four characters have to stay.
+    """
+    tidy = lambda x: F.trim(F.regexp_replace(F.trim(blank(x)), r"[)\]]+$", ""))
+
+    def strip(t: Column) -> Column:
+        parts = F.split(tidy(location), ",")
+        ends = F.concat(F.array(tidy(location), F.trim(F.element_at(parts, 1)), F.trim(F.element_at(parts, -1))), F.array(*map(F.lit, REMOTE_WORDS)))
+        cut = lambda e: F.regexp_replace(F.left(t, F.length(t) - F.length(e)), r"[\s,\-–—|/(\[:]+$", "")
+        fits = F.filter(ends, lambda e: (F.length(e) >= 3) & F.endswith(F.lower(t), F.lower(e)) & (F.length(cut(e)) >= 4))
+        return F.coalesce(F.get(F.transform(fits, cut), F.lit(0)), t)
+
+    return once(tidy(title), strip)
+
+
 def job_key(company: Column | str, title: Column | str, url: Column | str | None = None, req: Column | str | None = None) -> Column:
     """Identity of a posting: its requisition, else company and title, else its URL; null if there is none."""
     own, name, link = (F.trim(blank(req)) if req is not None else F.lit("")), (company_key(company), title_key(title)), canonical_url(url) if url is not None else F.lit("")

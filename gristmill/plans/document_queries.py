@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators import audits
 from gristmill.operators import documents as D
 from gristmill.operators import evidence as E
 from gristmill.operators.market import separation
@@ -274,3 +275,46 @@ def c15_told_modes(spark, sf_dir):
 @query(f"SELECT p_partkey, p_partkey % {len(DONE)} > 0 AS thin, CASE WHEN p_partkey % {len(DONE)} = 0 THEN 'developer' WHEN p_partkey % {len(DONE)} = 1 THEN 'analyst' ELSE '' END AS supported, CASE WHEN p_partkey % {len(DONE)} = 2 THEN 'development' ELSE '' END AS transition FROM part")
 def c17_told_roles(spark, sf_dir):
     return E.role_record(_modes(spark, sf_dir), {"developer": ("development", True), "analyst": ("consulting", False), "administrator": ("configuration", True)}, "p_partkey")
+
+
+#: Texts by part number and how the terms stand in them.
+VOCABULARY = ["react", "react native", "soql", "node.js", "sql"]
+SAID = (
+    ("React Native and {p_brand}", "react native=boundary"), ("React and React Native", "react native=boundary;react=boundary"), ("andsoql query {p_size}", "soql=glued"),
+    ("mysql, nodejs", "node.js=boundary:nodejs;sql=glued"), ("reacts to {p_brand}", "react=boundary:reacts"), ("{p_brand} alone", ""),
+)
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(SAID)} {' '.join(f'WHEN {k} THEN {chr(39)}{";".join(sorted(how.split(";")))}{chr(39)}' for k, (_, how) in enumerate(SAID))} END AS hits FROM part")
+def c9_told_terms(spark, sf_dir):
+    rows = _filled(spark, sf_dir, SAID)
+    return rows.select("p_partkey", F.array_join(F.array_sort(F.split(audits.vocabulary_hits("text", VOCABULARY), ";")), ";").alias("hits"))
+
+
+@query("WITH t AS (SELECT p_partkey, p_size, string_split(p_name, ' ') AS w, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', ' / ') ELSE replace(p_name, ' ', '&') END AS term FROM part), known AS (SELECT DISTINCT unnest(w) AS term FROM t WHERE p_size < 3), e AS (SELECT p_partkey, unnest(w) AS x FROM t), f AS (SELECT e.p_partkey, bool_and(k.term IS NOT NULL) AS fine FROM e LEFT JOIN known k ON k.term = e.x GROUP BY 1) SELECT DISTINCT p_partkey, unnest(CASE WHEN fine AND len(w) > 1 THEN w ELSE [lower(term)] END) AS atom FROM t JOIN f USING (p_partkey)")
+def c13_atoms(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    terms = part.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit(" / "))).otherwise(F.replace("p_name", F.lit(" "), F.lit("&"))).alias("term"))
+    return audits.atoms(terms, part.where("p_size < 3").select(F.explode(F.split("p_name", " ")).alias("term")), "p_partkey")
+
+
+@query("WITH v AS (SELECT doc_id, coalesce(text, '') AS text, [source, lang, 'license', 'the', 'of'] AS vals FROM documents), u AS (SELECT doc_id, len(vals) AS n, list_filter(vals, lambda v: NOT CASE WHEN length(regexp_replace(lower(v), '[^a-z0-9]+', '', 'g')) < 4 THEN contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || lower(v) || ' ') ELSE contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), lower(v)) END) AS bad FROM v) SELECT doc_id, 'words' AS field, n AS n_values, CASE WHEN len(bad) <= 0.5 * n THEN array_to_string(bad, ',') ELSE '' END AS dropped, len(bad) > 0.5 * n AS escalate FROM u")
+def c18_values(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", "text", F.lit("words").alias("field"), F.array("source", "lang", F.lit("license"), F.lit("the"), F.lit("of")).alias("values"))
+    return audits.grounding(rows, "doc_id")
+
+
+MONTHS = "s AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS lo, year(o_orderdate) * 12 + month(o_orderdate) + o_orderkey % 20 - 2 AS hi, o_orderstatus <> 'P' AS relevant FROM orders)"
+
+
+@query(f"WITH {MONTHS}, m AS (SELECT o_custkey, unnest(range(lo, hi)) AS month FROM s WHERE relevant AND lo < hi), c AS (SELECT o_custkey, count(DISTINCT month) // 12 AS computed FROM m GROUP BY 1), a AS (SELECT o_custkey, bool_or(relevant AND lo < hi) AS usable FROM s GROUP BY 1) SELECT c_custkey, computed, c_custkey % 12 AS stated, CASE WHEN usable IS NULL THEN CASE WHEN c_custkey % 12 = 0 THEN 'none' ELSE 'escalate' END WHEN NOT usable THEN 'escalate' WHEN computed = c_custkey % 12 THEN 'none' ELSE 'computed' END AS action FROM customer LEFT JOIN a ON o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey")
+def c19_years(spark, sf_dir):
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), month.cast("long").alias("lo"), (month + F.col("o_orderkey") % 20 - 2).alias("hi"), (F.col("o_orderstatus") != "P").alias("relevant"))
+    return audits.years_check(spans, table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 12).alias("years")), "c_custkey")
+
+
+@query("WITH t AS (SELECT p_partkey % 25 AS person, p_partkey AS start, unnest([p_type || ' ' || p_name, p_name || ' ' || lower(p_type)]) AS title FROM part), w AS (SELECT person, start, list_filter(string_split(lower(title), ' '), lambda x: x NOT IN ('promo', 'large')) AS w FROM t) SELECT person, array_to_string(w, ' ') AS keyword, min(start) AS start FROM w WHERE len(w) >= 2 GROUP BY 1, 2")
+def m26_title_keywords(spark, sf_dir):
+    titles = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("person"), F.col("p_partkey").alias("start"), F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" / "), F.col("p_name"), F.lit(" "), F.col("p_type")).alias("title"))
+    return audits.role_keywords(titles, "person", ("promo", "large")).select("person", "keyword", F.col("first.start").alias("start"))

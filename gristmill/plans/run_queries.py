@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.operators import funnels
+from gristmill.operators import audits, funnels
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
 
@@ -341,3 +341,51 @@ def t4_milestones(spark, sf_dir):
 def t6_plan_order(spark, sf_dir):
     """Arrival comes from the plan, so out-of-order results need no buffer: the order is part of the aggregate."""
     return postings(spark, sf_dir).groupBy("company").agg(F.count("*").alias("n"), F.max_by("arrival", F.struct(F.col("score"), -F.col("arrival"))).alias("best"))
+
+
+# ---- audits by their whole rules -----------------------------------------------------------------------------------------------------
+
+DRIFT = "d AS (SELECT year(o_orderdate) AS run, o_orderpriority AS ns, o_custkey % 40 AS id, CASE WHEN o_orderkey % 50 = 0 THEN 'url' ELSE 'ct' END AS kind, 'c' || (o_custkey % 2 + (o_orderkey % 31 = 0)::INT) AS company, o_orderstatus AS title FROM orders WHERE o_orderkey % 3 > 0 OR o_custkey % 40 < 10)"
+
+
+@query(f"WITH {DRIFT}, i AS (SELECT ns, id, count(DISTINCT run) > 1 AS recurs, count(DISTINCT (kind, company, title)) > 1 AS drifts, bool_or(kind <> 'ct') AS other, count(DISTINCT company) = 1 AS c1, count(DISTINCT title) = 1 AS t1, (SELECT count(DISTINCT ns) FROM d e WHERE e.id = d.id) > 1 AS shared FROM d GROUP BY ns, id), w AS (SELECT ns, count(*) FILTER (WHERE n > 1) AS within_run FROM (SELECT ns, id, run, count(DISTINCT (kind, company, title)) AS n FROM d GROUP BY ALL) GROUP BY ns), k AS (SELECT ns, count(*) FILTER (WHERE n > 1) AS several_ids FROM (SELECT ns, kind, company, title, count(DISTINCT id) AS n FROM d GROUP BY ALL) GROUP BY ns) "
+       "SELECT ns, count(*) AS native_ids, count(*) FILTER (WHERE recurs) AS recurring, count(*) FILTER (WHERE recurs AND drifts) AS drifted, count(*) FILTER (WHERE recurs AND drifts AND NOT other AND c1) AS by_title, count(*) FILTER (WHERE recurs AND drifts AND NOT other AND NOT c1 AND t1) AS by_company, count(*) FILTER (WHERE recurs AND drifts AND NOT other AND NOT c1 AND NOT t1) AS by_both, count(*) FILTER (WHERE recurs AND drifts AND other) AS by_kind, count(*) FILTER (WHERE shared) AS shared_ids, any_value(within_run) AS within_run, any_value(several_ids) AS several_ids FROM i JOIN w USING (ns) JOIN k USING (ns) GROUP BY ns")
+def a22_drift_kinds(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0 OR o_custkey % 40 < 10")
+    company = F.concat(F.lit("c"), F.col("o_custkey") % 2 + (F.col("o_orderkey") % 31 == 0).cast("int"))
+    return audits.identity_drift(rows.select(F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("ns"), (F.col("o_custkey") % 40).alias("id"), F.when(F.col("o_orderkey") % 50 == 0, "url").otherwise("ct").alias("kind"), company.alias("company"), F.col("o_orderstatus").alias("title")))
+
+
+@query("WITH r AS (SELECT l_returnflag AS source, l_partkey || '-' || (l_suppkey % 3) AS key, l_suppkey AS url, CASE WHEN l_linenumber < 6 THEN l_shipdate::DATE END AS day FROM lineitem), b AS (SELECT DISTINCT key FROM r WHERE source = 'A'), c AS (SELECT source, key, count(DISTINCT url) > 1 AS collides FROM r GROUP BY 1, 2), k AS (SELECT source, count(*) FILTER (WHERE collides) AS collisions, count(*) FILTER (WHERE key NOT IN (SELECT key FROM b)) AS marginal FROM c GROUP BY source) "
+       "SELECT source, count(*) AS rows, count(*) FILTER (WHERE DATE '1999-06-30' - day BETWEEN 0 AND 14) AS fresh14, count(*) FILTER (WHERE DATE '1999-06-30' - day BETWEEN 0 AND 21) AS fresh21, count(*) FILTER (WHERE day IS NULL) AS undated, count(*) FILTER (WHERE day > DATE '1999-06-30') AS future, any_value(collisions) AS collisions, any_value(marginal) AS marginal FROM r JOIN k USING (source) GROUP BY source")
+def a20_snapshot_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), F.concat_ws("-", F.col("l_partkey"), F.col("l_suppkey") % 3).alias("key"), F.col("l_suppkey").alias("url"), F.when(F.col("l_linenumber") < 6, F.col("l_shipdate").cast("date")).alias("day"))
+    return audits.snapshot(rows, rows.where("source = 'A'"), F.lit("1999-06-30").cast("date"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
+def w1_best_match(spark, sf_dir):
+    from gristmill.operators import ranking
+
+    rows = ranking.top(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, "o_totalprice", "o_orderkey")
+    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 4 > 0 THEN p_size END NULLS LAST, p_retailprice DESC, p_partkey) AS place FROM part ORDER BY place LIMIT 100")
+def w1_least_experience(spark, sf_dir):
+    """Least experience first, unstated last, each tied by score; ranks are of the hundred rows that are left."""
+    order = [F.asc_nulls_last("years"), F.desc("p_retailprice"), F.col("p_partkey")]
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.when(F.col("p_size") % 4 > 0, F.col("p_size")).alias("years")).orderBy(*order).limit(100)
+    return rows.select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+#: Endings of titles by part number, against the location they stand for.
+TITLES = (("{n} - Berlin, Germany", "Berlin, Germany", "{n}"), ("{n} (Berlin)", "Berlin, Germany", "{n}"), ("{n} | Germany", "Berlin, Germany", "{n}"), ("{n}, Remote", "Paris", "{n}"), ("{n} in Rome", "Paris", "{n} in Rome"), ("{n} UK", "UK", "{n} UK"))
+
+
+@query(f"SELECT p_partkey, replace(CASE p_partkey % {len(TITLES)} {' '.join(f'WHEN {k} THEN {chr(39)}{t[2]}{chr(39)}' for k, t in enumerate(TITLES))} END, '{{n}}', p_name) AS base FROM part")
+def e24_own_location(spark, sf_dir):
+    from gristmill.functions.text import base_title
+
+    at = lambda k: F.get(F.array(*[F.lit(t[k]) for t in TITLES]), F.col("p_partkey") % len(TITLES))
+    return table(spark, sf_dir, "part").select("p_partkey", base_title(F.replace(at(0), F.lit("{n}"), F.col("p_name")), at(1)).alias("base"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gristmill.functions import signals as S
 from gristmill.functions import text as X
 from gristmill.registry import query
 from gristmill.sources import landed
@@ -143,3 +144,27 @@ def s18_truncate(spark, sf_dir):
 def s19_ordered_union(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.lit(1).alias("source"), F.col("c_custkey").alias("position"), F.col("c_name").alias("name"))
     return a.unionByName(table(spark, sf_dir, "supplier").select(F.lit(2).alias("source"), F.col("s_suppkey").alias("position"), F.col("s_name").alias("name")))
+
+
+@query("SELECT employer, id, title, CASE WHEN id % 6 < 4 THEN d WHEN id % 6 = 4 THEN DATE '2024-06-01' - (id % 28)::INT END AS day FROM (SELECT o_custkey % 10 AS employer, o_orderkey % 400 AS id, min_by(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY 1, 2) JOIN (SELECT o_orderkey AS id, o_orderdate::DATE AS d FROM orders WHERE o_orderkey < 400) USING (id)")
+def s6_listing_details(spark, sf_dir):
+    """Listing cards joined to their details: the first card of an employer's id wins, and dates come in several forms."""
+    orders = table(spark, sf_dir, "orders")
+    cards = orders.select("o_orderkey", F.to_json(F.struct((F.col("o_custkey") % 10).alias("employer"), (F.col("o_orderkey") % 400).alias("id"), F.col("o_orderpriority").alias("title"))).alias("p"))
+    forms = [F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd'T'HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy")]
+    posted = F.get(F.array(*forms, F.concat(F.lit("Posted "), F.col("o_orderkey") % 28, F.lit(" Days Ago")), F.lit("soon")), (F.col("o_orderkey") % 6))
+    details = orders.where("o_orderkey < 400").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), posted.alias("posted"))).alias("p"))
+    card = cards.select("o_orderkey", *(landed.dig("p", x).cast(t).alias(x) for x, t in (("employer", "long"), ("id", "long"), ("title", "string"))))
+    first = card.groupBy("employer", "id").agg(F.min_by("title", "o_orderkey").alias("title"))
+    detail = details.select(landed.dig("p", "id").cast("long").alias("id"), S.listing_date(landed.dig("p", "posted"), F.lit("2024-06-01").cast("date")).alias("day"))
+    return first.join(detail, "id").select("employer", "id", "title", "day")
+
+
+@query("SELECT 'parts' AS artifact, count(*) AS rows, count(DISTINCT p_brand) AS terms, DATE '2024-06-01' AS day FROM part")
+def s14_provenance(spark, sf_dir):
+    """A frozen table with one row that says what it holds, written beside it."""
+    path = folder(spark)
+    table(spark, sf_dir, "part").select("p_brand", "p_size").write.parquet(path + "/rows")
+    frozen = spark.read.parquet(path + "/rows")
+    frozen.agg(F.lit("parts").alias("artifact"), F.count("*").alias("rows"), F.count_distinct("p_brand").alias("terms"), F.lit("2024-06-01").cast("date").alias("day")).write.parquet(path + "/provenance")
+    return spark.read.parquet(path + "/provenance")
