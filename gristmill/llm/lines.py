@@ -80,7 +80,7 @@ def filter_bits(keys: int, most_bits: int = MOST_BITS) -> int | None:
     return min(most_bits, 1 << max(12, int(BITS_A_KEY * keys - 1).bit_length()))
 
 
-def repeat_filter(docs: DataFrame, bits: int, least: int = 10, together: int = 1 << 20) -> np.ndarray:
+def repeat_filter(docs: DataFrame, bits: int, least: int = 10, together: int = 1 << 18) -> np.ndarray:
     """The merged "seen twice" filter over every line of docs, packed: bits / 8 bytes."""
     cut = min(bits, max(SLICE, bits // SLICES))
 

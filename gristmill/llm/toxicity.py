@@ -170,25 +170,33 @@ def entries_of(word: str, stems: tuple[int, int]) -> tuple[str, ...]:
     return (*(word[:k] for k in range(short, min(long, len(word)) + 1)), *((word,) if len(word) > long else ()))
 
 
-def _counted(rows: DataFrame, find, name: str) -> DataFrame:
+def _counted(rows: DataFrame, find, name: str, together: int = 1 << 15) -> DataFrame:
     """stem, docs1, uses1, docs0, uses0: in how many rows, and how often, what ``find(text)`` gives stands, by label.
 
-    The row of the empty stem has the numbers of rows and of words.
+    The row of the empty stem has the numbers of rows and of words. A task hands its counts on whenever it holds ``together`` stems.
     """
 
     def count(batches):
-        counts = {0: [0, 0, Counter(), Counter()], 1: [0, 0, Counter(), Counter()]}
+        fresh = lambda: {y: [0, 0, Counter(), Counter()] for y in (0, 1)}
+        counts = fresh()
+
+        def rows():
+            for y, (docs_, words_, in_docs, uses) in counts.items():
+                columns = [["", *in_docs], [y] * (len(in_docs) + 1), [docs_, *in_docs.values()], [words_, *(uses[s] for s in in_docs)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["stem", "y", "docs", "uses"])
+
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
                 held = counts[int(y > 0)]
-                n, here = find(text or "")
+                n, here = find(text.as_py() or "")
                 held[0] += 1
                 held[1] += n
                 held[2].update(here.keys())
                 held[3].update(here)
-        for y, (docs_, words_, in_docs, uses) in counts.items():
-            columns = [["", *in_docs], [y] * (len(in_docs) + 1), [docs_, *in_docs.values()], [words_, *(uses[s] for s in in_docs)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["stem", "y", "docs", "uses"])
+                if len(held[2]) > together:
+                    yield from rows()
+                    counts = fresh()
+        yield from rows()
 
     toxic = F.col("y") == 1
     sums = (F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, side in ((1, toxic), (0, ~toxic)) for c in ("docs", "uses"))
