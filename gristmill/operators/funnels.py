@@ -68,6 +68,7 @@ def islands(df: DataFrame, by: list[str], start: str, end: str, hot: bool = Fals
     rows = df.where(F.col(start) < F.col(end))
     fresh = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0)
     if hot:
+        rows = rows.select(*by, start, end).distinct()  # equal intervals would leave the order open
         marked = running(rows, by, [start, end], {"_before": ("max", F.col(end), False)})
         marked = running(marked.withColumn("_new", fresh), by, [start, end], {"_island": ("sum", F.col("_new"), True)})
     else:

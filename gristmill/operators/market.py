@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.funnels import running
+
 #: Least rows behind a term's share, and the shares that part the bands of separation.
 SEEN_LEAST, BANDS = 200, ((0.25, 1), (0.12, 2), (0.04, 3), (0.01, 4))
 REACHABLE = 20
@@ -113,12 +115,18 @@ def keyword_reach(rows: DataFrame, keywords: list[str]) -> DataFrame:
     return hits.groupBy("keyword").agg(F.sum("n").alias("listings"), F.sum("r").alias("reachable"), (F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def suppressed(ranked: DataFrame, by: str, keyword: str, order: str, most: int) -> DataFrame:
+def _bounded_group(pdf: pd.DataFrame, most: int) -> None:
+    if len(pdf) > most:
+        raise ValueError(f"a group has {len(pdf)} rows, more than the {most} that an ordered choice is meant for")
+
+
+def suppressed(ranked: DataFrame, by: str, keyword: str, order: str, most: int, candidates: int = 20_000) -> DataFrame:
     """Greedy choice for each group: in order, a keyword that contains or is contained in a chosen one is left out.
 
-    Groups are candidates of one person, a few hundred rows at most after the floors.
+    Groups are candidates of one person, a few hundred rows after the floors; one of more than ``candidates`` rows raises ValueError.
     """
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded_group(pdf, candidates)
         chosen: list[str] = []
         for word in pdf.sort_values([order, keyword])[keyword]:
             if len(chosen) < most and not any(word in x or x in word for x in chosen):
@@ -129,21 +137,34 @@ def suppressed(ranked: DataFrame, by: str, keyword: str, order: str, most: int)
     return ranked.select(by, keyword, order).groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, {keyword} string, place long")
 
 
-def budget_order(shares: DataFrame) -> DataFrame:
+def budget_order(shares: DataFrame, least_listings: int = 10, least_companies: int = 3, most: int = 20_000) -> DataFrame:
     """person, keyword, place: greedy by the idf-weighted share of skills that a keyword adds to those before it.
 
-    ``shares`` is (person, keyword, skill, share, idf), at most some fifty keywords a person.
+    ``shares`` is (person, keyword, skill, share, idf, listings, companies, held), some fifty keywords a person (of more than ``most``
+    rows: ValueError). Keywords with too few listings or companies wait behind all others, unless fewer than two others
+    are left; of the held titles that do not wait the one that adds most leads; ties go to more listings, then to the later in the alphabet. What
+    adds nothing comes after, in the order of the alphabet.
     """
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded_group(pdf, most)
         table = pdf.pivot_table(index="keyword", columns="skill", values="share", fill_value=0.0).sort_index()
         weight = pdf.groupby("skill")["idf"].first().reindex(table.columns)
-        have, left, out = pd.Series(0.0, index=table.columns), list(table.index), []
+        info = pdf.groupby("keyword")[["listings", "companies", "held"]].first().reindex(table.index)
+        fit = [k for k in table.index if info.listings[k] >= least_listings and info.companies[k] >= least_companies]
+        left = fit if len(fit) >= 2 else list(table.index)
+        thin = [k for k in table.index if k not in left]
+        have, out = pd.Series(0.0, index=table.columns), []
+        leads = [k for k in left if info.held[k]]
         while left:
-            gains = {k: float(((table.loc[k] - have).clip(lower=0) * weight).sum()) for k in left}
-            best = min(left, key=lambda k: (-round(gains[k], 9), k))
+            gains = {k: round(float(((table.loc[k] - have).clip(lower=0) * weight).sum()), 9) for k in left}
+            best = max(leads or left, key=lambda k: (gains[k], info.listings[k], k))
+            if gains[best] <= 0 and not leads:
+                break
+            leads = []
             out.append(best)
             have = have.where(have >= table.loc[best], table.loc[best])
             left.remove(best)
+        out += left + thin
         return pd.DataFrame({"person": [pdf["person"].iloc[0]] * len(out), "keyword": out, "place": range(1, len(out) + 1)})
 
     return shares.groupBy("person").applyInPandas(order, f"person {dict(shares.dtypes)['person']}, keyword string, place long")
@@ -156,8 +177,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     def ranks(column: str, name: str) -> DataFrame:
         values = df.groupBy(column).agg(F.count("*").alias("c"))
-        before = F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-        return values.select(column, (before + (F.col("c") + 1) / 2).alias(name))
+        before = running(values, [], [column], {"before": ("sum", F.col("c"), False)})
+        return before.select(column, (F.col("before") + (F.col("c") + 1) / 2).alias(name))
 
     both = df.select(x, y).join(ranks(x, "rx"), x).join(ranks(y, "ry"), y)
     enough = (F.count("*") >= 3) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)

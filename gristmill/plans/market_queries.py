@@ -187,8 +187,11 @@ def m20_shrunk_shares(spark, sf_dir):
 
 @query()
 def m21_budget_order(spark, sf_dir):
-    shares = m20_shrunk_shares(spark, sf_dir).join(m4_idf(spark, sf_dir), "skill").select(F.lit("all").alias("person"), "keyword", "skill", "share", "idf")
-    return market.budget_order(shares)
+    rows = market_rows(spark, sf_dir)
+    hit = rows.select("company", F.explode(F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("title"), k))).alias("keyword"))
+    bought = hit.groupBy("keyword", "company").agg(F.count("*").alias("n")).groupBy("keyword").agg(F.sum("n").alias("listings"), F.count("*").alias("companies"))
+    shares = m20_shrunk_shares(spark, sf_dir).join(m4_idf(spark, sf_dir), "skill").join(bought, "keyword")
+    return market.budget_order(shares.select(F.lit("all").alias("person"), "keyword", "skill", "share", "idf", "listings", "companies", (F.col("keyword") == "small ring").alias("held")))
 
 
 @query(M + f", {SHARES}, s AS (SELECT keyword, skill, (n + 20 * base) / (m + 20) AS share FROM n JOIN m USING (keyword) JOIN b USING (skill)), o AS (SELECT *, max(share) OVER (PARTITION BY skill ORDER BY keyword ROWS UNBOUNDED PRECEDING) AS best FROM s) SELECT keyword, skill, round(best, 6) AS covered FROM o")
