@@ -118,3 +118,16 @@ def depths(df: DataFrame, depth: int, key: str = "key", position: str = "positio
     both = df.groupBy(F.col(position).alias("position")).agg(F.count("*").alias("rows")).join(first, "position", "left").where(F.col("position") <= depth)
     deep = both.select(F.explode(F.sequence(F.greatest("position", F.lit(1)), F.lit(depth))).alias("depth"), "keys", "rows").groupBy("depth").agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"))
     return deep.crossJoin(first.agg(F.sum("keys").alias("all"))).select("depth", "keys", "rows", (F.col("all") - F.col("keys")).alias("lost"))
+
+
+def removal(origins: DataFrame, scenarios: dict[str, list[str]], top: int = 100) -> DataFrame:
+    """scenario, lost, keys, best, at_risk: what goes when all units of some origins go.
+
+    ``origins`` has key, origins (array) and best. A key is lost only if no origin is left that could stand in; it is at risk if it is one of the ``top`` by
+    best score and is left with fewer.
+    """
+    leaders = origins.select("key", "best").orderBy(F.desc("best"), "key").limit(top).select("key", F.lit(True).alias("leads"))
+    cases = F.array(*[F.struct(F.lit(name).alias("scenario"), F.array(*map(F.lit, gone)).alias("gone")) for name, gone in scenarios.items()])
+    rows = origins.join(leaders, "key", "left").withColumn("c", F.explode(cases)).select("best", F.coalesce("leads", F.lit(False)).alias("leads"), "c.scenario", F.size(F.array_except("origins", "c.gone")).alias("left"), F.size("origins").alias("had"))
+    lost = F.col("left") == 0
+    return rows.groupBy("scenario").agg(F.count_if(lost).alias("lost"), F.count("*").alias("keys"), F.max(F.when(lost, F.col("best"))).alias("best"), F.count_if(F.col("leads") & ~lost & (F.col("left") < F.col("had"))).alias("at_risk"))

@@ -152,7 +152,7 @@ def c14_market_signal(spark, sf_dir):
     seen = customers.groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("seen")).where("seen >= 295").select("key")
     keys = customers.select("c_custkey", F.posexplode(F.array("c_mktsegment", F.lit("ANY"))).alias("pos", "key"))
     known = seen.union(customers.select(F.lit("ANY").alias("key")).limit(1))
-    return keys.join(F.broadcast(known), "key").groupBy("c_custkey").agg(F.min_by("key", "pos").alias("signal"))
+    return keys.join(known, "key").groupBy("c_custkey").agg(F.min_by("key", "pos").alias("signal"))
 
 
 @query("SELECT conv_id, role AS mode, count(*) AS asserted, CASE WHEN count(*) >= 2 THEN 'strong' ELSE 'weak' END AS strength FROM conversations GROUP BY 1, 2")

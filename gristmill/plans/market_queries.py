@@ -93,10 +93,15 @@ def m9_title_words(spark, sf_dir):
     return titles.select("n", F.explode(F.array_distinct(F.split("title", " "))).alias("hint")).groupBy("hint").agg(F.sum("n").alias("n")).where("n >= 50")
 
 
-@query(M + f", {OWNED} SELECT person, skill FROM owned WHERE skill IN (SELECT unnest(skills) FROM market) OR skill = 'gear'")
+CONCEPT_WORDS = ("gear", "skills")
+
+
+@query(M + f", {OWNED} SELECT person, skill FROM owned WHERE skill IN (SELECT unnest(skills) FROM market) OR len(list_intersect(string_split(skill, ' '), {list(CONCEPT_WORDS)})) = 0")
 def m10_clean_skills(spark, sf_dir):
+    """Skills without those that only name a concept, unless the market knows the term."""
     known = market.vocabulary(market_rows(spark, sf_dir)).select("skill", F.lit(True).alias("known"))
-    return people(spark).join(known, "skill", "left").where("known OR skill = 'gear'").select("person", "skill")
+    concept = F.arrays_overlap(F.split("skill", " "), F.array(*map(F.lit, CONCEPT_WORDS)))
+    return people(spark).join(known, "skill", "left").where(F.coalesce("known", F.lit(False)) | ~concept).select("person", "skill")
 
 
 REACH = "k(keyword) AS (VALUES " + ", ".join(f"('{k}')" for k in KEYWORDS) + ")"
@@ -424,3 +429,15 @@ def m22_redundancy_deferral(spark, sf_dir):
     both = titles.select("n", F.explode("hit").alias("a"), "hit").select("n", "a", F.explode("hit").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("both"))
     overlap = both.join(size, "a").select(F.lit("all").alias("person"), "a", "b", (F.col("both") / F.col("size")).alias("share"))
     return market.deferred(m21_budget_order(spark, sf_dir), overlap)
+
+
+@query(M + f", {REACH}, h AS (SELECT DISTINCT keyword, row_id FROM market JOIN k ON contains(title, keyword)), n AS (SELECT keyword, count(*) AS n FROM h GROUP BY 1), p AS (SELECT a.keyword AS a, b.keyword AS b, count(*) AS common FROM h a JOIN h b ON a.row_id = b.row_id AND a.keyword < b.keyword GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(coalesce(common, 0) / (x.n + y.n - coalesce(common, 0))), 6) AS mean_jaccard FROM n x JOIN n y ON x.keyword < y.keyword LEFT JOIN p ON p.a = x.keyword AND p.b = y.keyword")
+def m23_redundancy(spark, sf_dir):
+    """Mean overlap of the listings that the keywords buy, over all pairs of keywords; equal titles are counted first."""
+    hit = F.filter(F.array(*map(F.lit, sorted(KEYWORDS))), lambda k: F.contains(F.col("title"), k))
+    titles = market_rows(spark, sf_dir).groupBy("title").agg(F.count("*").alias("n")).select("n", hit.alias("hit")).where("size(hit) > 0")
+    n = titles.select("n", F.explode("hit").alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
+    both = titles.select("n", F.explode("hit").alias("a"), "hit").select("n", "a", F.explode("hit").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("both"))
+    pairs = n.select(F.col("k").alias("a"), F.col("n").alias("na")).join(n.select(F.col("k").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    shared = F.coalesce("both", F.lit(0))
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(shared / (F.col("na") + F.col("nb") - shared)), 6).alias("mean_jaccard"))

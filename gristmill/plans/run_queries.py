@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.functions.text import job_key
 from gristmill.operators import audits, funnels
+from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
 
@@ -73,7 +75,7 @@ def a17_set_overlap(spark, sf_dir):
     n = sets.select(F.explode("s").alias("a")).groupBy("a").agg(F.count("*").alias("n"))
     pairs = sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
     m = n.select(F.col("a").alias("b"), F.col("n").alias("m"))
-    return pairs.join(F.broadcast(n), "a").join(F.broadcast(m), "b").select("a", "b", "common", F.round(F.col("common") / F.col("n"), 6).alias("directional"), F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("jaccard"))
+    return pairs.join(n, "a").join(m, "b").select("a", "b", "common", F.round(F.col("common") / F.col("n"), 6).alias("directional"), F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("jaccard"))
 
 
 @query("WITH t AS (SELECT source, n_chars > 2000 AS p, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, count(*) FILTER (WHERE p AND y) AS tp, count(*) FILTER (WHERE p) AS pp, count(*) FILTER (WHERE y) AS yy FROM t GROUP BY source) SELECT source, round(tp / nullif(pp, 0), 6) AS precision, round(tp / nullif(yy, 0), 6) AS recall, round(2.0 * tp / nullif(pp + yy, 0), 6) AS f1 FROM c")
@@ -314,7 +316,7 @@ def w10_affordable_prefix(spark, sf_dir):
 
 @query("SELECT r_name, n_name, k, row_number() OVER (PARTITION BY r_name ORDER BY k, n_name) AS i FROM region JOIN nation ON n_regionkey = r_regionkey CROSS JOIN (SELECT unnest(range(0, 6)) AS k) QUALIFY i <= 20")
 def w11_plan_product(spark, sf_dir):
-    places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).withColumn("k", F.col("k").cast("long"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).withColumn("k", F.col("k").cast("long"))
     return places.withColumn("i", F.row_number().over(Window.partitionBy("r_name").orderBy("k", "n_name")).cast("long")).where("i <= 20")
 
 
@@ -389,3 +391,41 @@ def e24_own_location(spark, sf_dir):
 
     at = lambda k: F.get(F.array(*[F.lit(t[k]) for t in TITLES]), F.col("p_partkey") % len(TITLES))
     return table(spark, sf_dir, "part").select("p_partkey", base_title(F.replace(at(0), F.lit("{n}"), F.col("p_name")), at(1)).alias("base"))
+
+
+@query(B + ", o AS (SELECT key, list(DISTINCT provider) AS origins, max(score) AS best FROM result JOIN plan USING (unit_id) GROUP BY key), t AS (SELECT key FROM o ORDER BY best DESC, key LIMIT 50), c(scenario, gone) AS (VALUES ('top two', ['1-URGENT', '2-HIGH']), ('third', ['3-MEDIUM']), ('four', ['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'])), x AS (SELECT scenario, key, best, len(list_filter(origins, lambda p: NOT list_contains(gone, p))) AS rest, len(origins) AS had FROM o CROSS JOIN c) SELECT scenario, count(*) FILTER (WHERE rest = 0) AS lost, count(*) AS keys, max(best) FILTER (WHERE rest = 0) AS best, count(*) FILTER (WHERE rest > 0 AND rest < had AND key IN (SELECT key FROM t)) AS at_risk FROM x GROUP BY scenario")
+def w9_removals(spark, sf_dir):
+    origins = results(spark, sf_dir).join(plan_units(spark, sf_dir).select("unit_id", "provider"), "unit_id").groupBy("key").agg(F.collect_set("provider").alias("origins"), F.max("score").alias("best"))
+    return funnels.removal(origins, {"top two": ["1-URGENT", "2-HIGH"], "third": ["3-MEDIUM"], "four": ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]}, 50)
+
+
+@query(R + ", p AS (SELECT a.source, a.score AS a, b.score AS b FROM result a JOIN result b ON b.unit_id = a.unit_id + 1 AND a.position = b.position), m AS (SELECT source, v, count(*) FILTER (WHERE side = 1) AS na, count(*) FILTER (WHERE side = 2) AS nb FROM (SELECT source, a AS v, 1 AS side FROM p UNION ALL SELECT source, b, 2 FROM p) GROUP BY 1, 2), t AS (SELECT source, count(*) AS pairs, count(*) FILTER (WHERE a = b) AS equal FROM p GROUP BY 1) SELECT source, pairs, equal, round(sum(na * nb) / (pairs::DOUBLE * pairs), 6) AS chance FROM t JOIN m USING (source) GROUP BY source, pairs, equal")
+def a34_agreement_and_chance(spark, sf_dir):
+    """Agreement at equal positions beside what the two sequences' values alone would give: the product of their shares, summed."""
+    rows = results(spark, sf_dir).select("unit_id", "position", "source", "score")
+    pairs = rows.join(rows.select((F.col("unit_id") - 1).alias("unit_id"), "position", F.col("score").alias("other")), ["unit_id", "position"])
+    values = pairs.select("source", F.explode(F.array(F.struct(F.col("score").alias("v"), F.lit(1).alias("side")), F.struct(F.col("other").alias("v"), F.lit(2).alias("side")))).alias("x")).select("source", "x.*")
+    shares = values.groupBy("source", "v").agg(F.count_if(F.col("side") == 1).alias("na"), F.count_if(F.col("side") == 2).alias("nb")).groupBy("source").agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("both"), F.sum("na").alias("pairs"))
+    equal = pairs.groupBy("source").agg(F.count_if(F.col("score") == F.col("other")).alias("equal"))
+    return shares.join(equal, "source").select("source", "pairs", "equal", F.round(F.col("both") / (F.col("pairs").cast("double") * F.col("pairs")), 6).alias("chance"))
+
+
+@query(ctes("posting") + f", l AS (SELECT arrival, {{key}} AS now, CASE WHEN arrival % 10 = 0 THEN 'ct|old|' || arrival ELSE {{key}} END AS stored FROM posting) SELECT CASE WHEN now IS NULL THEN 'unkeyed' WHEN stored = now THEN 'same' ELSE 'changed' END AS verdict, count(*) AS n FROM l GROUP BY 1".replace("{key}", JOB_KEY))
+def a23_recomputed_keys(spark, sf_dir):
+    """Keys of a ledger against the keys that the stored company and title give today."""
+    now = job_key("company", "title")
+    rows = postings(spark, sf_dir).select("arrival", now.alias("now"), F.when(F.col("arrival") % 10 == 0, F.concat(F.lit("ct|old|"), F.col("arrival"))).otherwise(now).alias("stored"))
+    return rows.groupBy(F.when(F.col("now").isNull(), "unkeyed").when(F.col("stored") == F.col("now"), "same").otherwise("changed").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT s_suppkey, lower(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS n, max(l_quantity) AS best FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL), known AS (SELECT lower(replace(s_name, '#', '')) AS token FROM supplier WHERE s_nationkey = 3), s AS (SELECT s_suppkey, best, unnest(list_distinct([replace(n, ' ', ''), replace(n, ' ', '-'), split_part(n, ' ', 1)])) AS slug FROM b) SELECT s_suppkey, slug, best FROM s WHERE s_suppkey NOT IN (SELECT s_suppkey FROM s WHERE slug IN (SELECT token FROM known))")
+def d16_slug_candidates(spark, sf_dir):
+    """Names under which an employer's board may stand, for employers none of whose names is known yet."""
+    best = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_quantity").alias("best"))
+    supplier = table(spark, sf_dir, "supplier")
+    name = F.trim(F.regexp_replace(F.lower("s_name"), "[^a-z0-9]+", " "))
+    slugs = F.array_distinct(F.array(F.replace(name, F.lit(" "), F.lit("")), F.replace(name, F.lit(" "), F.lit("-")), F.split_part(name, F.lit(" "), F.lit(1))))
+    rows = supplier.select("s_suppkey", F.explode(slugs).alias("slug"))
+    known = supplier.where("s_nationkey = 3").select(F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("slug"))
+    covered = rows.join(known, "slug", "left_semi").select("s_suppkey").distinct()
+    return rows.join(covered, "s_suppkey", "left_anti").join(best, "s_suppkey").select("s_suppkey", "slug", "best")

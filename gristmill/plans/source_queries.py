@@ -168,3 +168,17 @@ def s14_provenance(spark, sf_dir):
     frozen = spark.read.parquet(path + "/rows")
     frozen.agg(F.lit("parts").alias("artifact"), F.count("*").alias("rows"), F.count_distinct("p_brand").alias("terms"), F.lit("2024-06-01").cast("date").alias("day")).write.parquet(path + "/provenance")
     return spark.read.parquet(path + "/provenance")
+
+
+@query("SELECT o_custkey, o_orderkey::VARCHAR AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 > 0 THEN 'EUR ' || (o_orderkey % 90 + 10) || ' - ' || (o_orderkey % 90 + 20) || CASE o_orderkey % 2 WHEN 0 THEN ' an hour' ELSE ' a year' END END AS salary, CASE WHEN o_orderkey % 4 = 0 THEN 'Remote' ELSE o_orderstatus || ', Remote' END AS location, 'body ' || o_orderkey || ' x, ' || o_orderstatus AS description, 'UTC' || CASE WHEN o_orderkey % 23 < 11 THEN '-' ELSE '+' END || abs(o_orderkey % 23 - 11) || CASE WHEN o_orderkey % 2 = 1 THEN ':30' ELSE '' END AS timezones FROM orders WHERE o_orderkey % 7 > 0 AND (o_orderkey % 23 <> 11 OR o_orderkey % 2 = 0) AND o_orderstatus <> 'P'")
+def s2_feed_items(spark, sf_dir):
+    """Feeds with lists of items: those without a title go, salaries are composed, offsets become labels."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").where("(o_orderkey % 23 <> 11 OR o_orderkey % 2 = 0) AND o_orderstatus <> 'P'")
+    off = key % 23 - 11
+    half = F.when(key % 2 == 1, F.when(off < 0, -0.5).otherwise(0.5)).otherwise(0.0)
+    pay = F.when(key % 3 > 0, F.struct(F.lit("EUR").alias("cur"), (key % 90 + 10).alias("min"), (key % 90 + 20).alias("max"), F.when(key % 2 == 0, "hour").otherwise("Year").alias("per")))
+    item = F.struct(key.alias("id"), F.when(key % 7 > 0, F.col("o_orderpriority")).alias("position"), F.when(key % 4 > 0, F.col("o_orderstatus")).alias("where"), F.concat(F.lit("<b>body</b> "), key).alias("text"), F.array(F.lit("x"), F.col("o_orderstatus")).alias("tags"), (off + half).alias("offset"), pay.alias("pay"))
+    feeds = orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(item).alias("jobs"))).alias("payload"))
+    rows = landed.feed_rows(feeds, "payload", "jobs", {"title": ("name", "position"), "location": ("where",), "description": ("text",)}, ("pay.cur", "pay.min", "pay.max", "pay.per"), "tags", "offset")
+    return rows.select("o_custkey", "id", "title", "salary", "location", "description", "timezones")

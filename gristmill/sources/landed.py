@@ -36,6 +36,37 @@ def normalized(df: DataFrame, payload: str, mapping: dict[str, tuple[str, ...]],
     return out.withColumn("description", truncated(strip_html("description"), most))
 
 
+def utc_label(hours: Column) -> Column:
+    """UTC+5:30 for 5.5, UTC-8 for -8.0; null stays null."""
+    whole = F.floor(F.abs(hours)).cast("int")
+    minutes = F.round((F.abs(hours) - whole) * 60).cast("int")
+    return F.concat(F.lit("UTC"), F.when(hours < 0, "-").otherwise("+"), whole.cast("string"), F.when(minutes > 0, F.concat(F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))).otherwise(""))
+
+
+#: Words for the period of a salary.
+PERIOD_WORDS = {"hour": "an hour", "month": "a month", "year": "a year"}
+
+
+def feed_rows(df: DataFrame, payload: str, items: str, mapping: dict[str, tuple[str, ...]], salary: tuple[str, str, str, str] | None = None, tags: str | None = None, offset: str | None = None) -> DataFrame:
+    """Items of feeds as postings: one row for each entry of the list at ``items`` that has an id and a title.
+
+    ``salary`` names the paths of currency, low, high and period; ``tags`` a list that is appended to the description; ``offset`` a number of hours from
+    UTC, which becomes a label. Every location says Remote at its end, as feeds hold nothing else.
+    """
+    one = df.select(*df.columns, F.explode(F.from_json(dig(payload, items), "array<string>")).alias("_item"))
+    rows = normalized(one, "_item", mapping).withColumn("id", dig("_item", "id")).where((F.trim(blank("id")) != "") & (F.trim(blank("title")) != ""))
+    if salary:
+        currency, low, high, period = (dig("_item", p) for p in salary)
+        words = F.element_at(F.create_map(*[F.lit(x) for pair in PERIOD_WORDS.items() for x in pair]), F.lower(period))
+        rows = rows.withColumn("salary", F.when(low.isNotNull() | high.isNotNull(), F.concat_ws(" ", currency, F.concat_ws(" - ", low, high), words)))
+    if tags:
+        rows = rows.withColumn("description", F.concat_ws(" ", F.when(F.trim(blank("description")) != "", F.col("description")), flat("_item", tags)))
+    place = F.trim(blank("location"))
+    rows = rows.withColumn("location", F.when(place == "", "Remote").otherwise(F.concat(place, F.lit(", Remote"))))
+    rows = rows.withColumn("timezones", utc_label(dig("_item", offset).try_cast("double")) if offset else F.lit(None).cast("string"))
+    return rows.drop("_item")
+
+
 def native_ids(payload: str, names: dict[str, str]) -> Column:
     """The provider's own identifiers, as a map without missing ones."""
     entries = F.array_compact(F.array(*[F.when(dig(payload, p).isNotNull(), F.struct(F.lit(n).alias("k"), dig(payload, p).alias("v"))) for n, p in names.items()]))
