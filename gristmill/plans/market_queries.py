@@ -431,7 +431,7 @@ def m22_redundancy_deferral(spark, sf_dir):
     return market.deferred(m21_budget_order(spark, sf_dir), overlap)
 
 
-@query(M + f", {REACH}, h AS (SELECT DISTINCT keyword, row_id FROM market JOIN k ON contains(title, keyword)), n AS (SELECT keyword, count(*) AS n FROM h GROUP BY 1), p AS (SELECT a.keyword AS a, b.keyword AS b, count(*) AS common FROM h a JOIN h b ON a.row_id = b.row_id AND a.keyword < b.keyword GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(coalesce(common, 0) / (x.n + y.n - coalesce(common, 0))), 6) AS mean_jaccard FROM n x JOIN n y ON x.keyword < y.keyword LEFT JOIN p ON p.a = x.keyword AND p.b = y.keyword")
+@query(M + f", {REACH}, t AS (SELECT title, count(*) AS c FROM market GROUP BY 1), h AS (SELECT keyword, title, c FROM t JOIN k ON contains(title, keyword)), n AS (SELECT keyword, sum(c) AS n FROM h GROUP BY 1), p AS (SELECT a.keyword AS a, b.keyword AS b, sum(a.c) AS common FROM h a JOIN h b ON a.title = b.title AND a.keyword < b.keyword GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(coalesce(common, 0) / (x.n + y.n - coalesce(common, 0))), 6) AS mean_jaccard FROM n x JOIN n y ON x.keyword < y.keyword LEFT JOIN p ON p.a = x.keyword AND p.b = y.keyword")
 def m23_redundancy(spark, sf_dir):
     """Mean overlap of the listings that the keywords buy, over all pairs of keywords; equal titles are counted first."""
     hit = F.filter(F.array(*map(F.lit, sorted(KEYWORDS))), lambda k: F.contains(F.col("title"), k))
