@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mix64, texts
+from gristmill.llm.common import mix64, texts, written
 from gristmill.llm.toxicity import _logistic, _some, held_out, training_rows
 
 BITS = 16
@@ -99,8 +99,11 @@ def _rows(column: pa.Array, grams: Grams) -> list[np.ndarray]:
     return [x for _, _, data, offsets in texts(column) for x in grams.of(data, offsets)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_rows: int = 20_000, fit_rows: int = 6000, cost: float = 1.0) -> Model:
-    """The model from the labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_rows: int = 20_000, fit_rows: int = 6000, fit_features: int = 20_000_000, cost: float = 1.0) -> Model:
+    """The model from the labelled rows outside the held-out fold.
+
+    The hinge-loss fit takes about ``fit_rows`` rows, or fewer where these have more than ``fit_features`` features in all (four bytes each on the driver).
+    """
     total = labels.count()
     rows = training_rows(docs, labels, label, total, learn_rows).select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
 
@@ -123,8 +126,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", learn_rows
             made = [x.astype(np.int32) for x in _rows(batch.column(1), grams)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(x) for x in made], pa.list_(pa.int32())), batch.column(2)], ["doc_id", "x", "y"])
 
-    some = _some(rows, total, fit_rows).mapInArrow(vectors, "doc_id long, x array<int>, y int")
-    fit = some.toArrow()  # about fit_rows rows of at most a few thousand features
+    some = written(_some(rows, total, fit_rows).mapInArrow(vectors, "doc_id long, x array<int>, y int"), "fit_rows")
+    features = some.agg(F.sum(F.size("x"))).first()[0] or 0
+    fit = _some(some, features, fit_features, seed=8).toArrow()  # bounded in rows and in features
     order = np.argsort(fit.column("doc_id").to_numpy(), kind="stable")
     x = [v.values.to_numpy() if v.is_valid else np.zeros(0, np.int32) for v in fit.column("x")]
     x, y = [x[i] for i in order], fit.column("y").to_numpy()[order].astype(float)

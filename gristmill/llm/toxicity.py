@@ -145,10 +145,10 @@ def held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in ids], bool)
 
 
-def _some(rows: DataFrame, total: int, most: int) -> DataFrame:
+def _some(rows: DataFrame, total: int, most: int, seed: int = 7) -> DataFrame:
     """About ``most`` of the rows, by a hash of doc_id; all if there are no more."""
     parts = 1 << 20
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)) < int(parts * min(1.0, most / max(1, total))))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < int(parts * min(1.0, most / max(1, total))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, total: int, most: int) -> DataFrame:

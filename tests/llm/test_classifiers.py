@@ -149,3 +149,28 @@ def test_large_ids_beside_null(spark, documents):
     got = toxicity.scored(documents(rows), toxicity.Lexicon({"abcd": 1.0})).collect()
     assert {r["doc_id"] for r in got} == {i for i, _ in rows}
     assert {r["doc_id"]: r["held_out"] for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in rows}
+
+
+def test_descent_reaches_the_optimum():
+    """Weights against subgradient descent on the same loss: half the squared norm plus the hinge losses."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 7), replace=False)) for _ in range(80)]
+    y, r = rng.choice([-1.0, 1.0], 80), rng.normal(size=12)
+    x = np.zeros((80, 13))
+    for k, row in enumerate(rows):
+        x[k, row] = r[row] / np.linalg.norm(r[row])
+    x[:, 12] = 1.0
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    w, shift = quality.dual_descent(rows, y, r, passes=2000)
+    best, v = np.inf, np.zeros(13)
+    for k in range(40_000):
+        v = v - (v - (x * y[:, None])[y * (x @ v) < 1].sum(0)) / (k + 10)
+        best = min(best, loss(v))
+    assert loss(np.append(w, shift)) <= best * 1.001
+
+
+def test_features_bound_the_fit(spark, documents):
+    rows, labels = corpus(random.Random(9), 300)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    few, all_ = (quality.learn(documents(rows), marks, fit_features=n) for n in (8000, 20_000_000))
+    assert (few.ratio == all_.ratio).all() and not (few.weights == all_.weights).all()
