@@ -18,7 +18,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read as often as it is used."""
-    path = folder(df.sparkSession)
+    """df, written once and read as often as it is used; the table goes when the session's JVM ends."""
+    path, context = folder(df.sparkSession), df.sparkSession.sparkContext
     df.write.parquet(path)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
