@@ -188,7 +188,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, wi
     number = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = written(pairs.join(number, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / partners)).alias("part")), "dealt")
     members = dealt.select("a", "part", F.col("b").alias("doc_id")).union(dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc_id")))
-    wanted, _ = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"), dealt.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    compared = written(dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct(), "compared")
+    wanted, _ = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"), compared)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shingles, sets = Shingles(width), {}
@@ -246,7 +247,7 @@ def _rest_pairs(docs: DataFrame, reps: DataFrame, buckets: DataFrame, classes: D
     rows = written(buckets.join(many, "key").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", label.alias("label")), "members")
     mixed = written(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
     rows = written(rows.join(mixed, "key"), "mixed_members")
-    longer = written(_long_signatures(docs, rows.select("doc_id").distinct(), k, width), "long")
+    longer = written(_long_signatures(docs, written(rows.select("doc_id").distinct(), "mixed_ids"), k, width), "long")
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.join(longer, "doc_id").join(reps.select("doc_id", "bands"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label", "long", "bands")
