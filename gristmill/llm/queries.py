@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import licenses, lines, neardup, packing, quality, spans, substrings, toxicity, vectors
+from gristmill.llm import languages, licenses, lines, neardup, packing, periods, quality, retrieval, spans, substrings, toxicity, vectors
 from gristmill.llm.common import table
 
 
@@ -60,5 +60,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return periods.collapsed(_documents(spark, sf_dir), plant=True).select(*columns)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return languages.predicted(docs, languages.learn(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(spark.read.parquet(table(sf_dir, "benchmark")), _documents(spark, sf_dir))
+
+
+QUERIES = (
+    op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op8_license_scan,
+    op9_embedding_near_dedup, op10_line_dedup, op11_periodic_runs, op12_language, op13_ranked_search,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_nearest_neighbours, op3_quality, op4_best_fit_packing, op5_sentencepiece_spans, op6_toxicity, op7_substring_dedup, op8_license_scan, op9_embedding_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in QUERIES}

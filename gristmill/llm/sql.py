@@ -59,5 +59,21 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM w LEFT JOIN result ON w.r = result.r"""
 
 
+def ranked_search(items: str = "benchmark", documents: str = "documents", top: int = 10) -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM {items}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM {documents}),
+total AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+v AS (SELECT DISTINCT term FROM q),
+c AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) JOIN v USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY term), total),
+m AS (SELECT r, doc_id, 10 + (90 * len(t)::BIGINT * n_docs) // n_terms AS m FROM d, total WHERE len(t) > 0),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM c JOIN w USING (term) JOIN m USING (r) JOIN q USING (term) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+WHERE rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": substring_dedup(), "op8_license_scan": license_scan(), "op10_line_dedup": line_dedup()}
+    return {"op7_substring_dedup": substring_dedup(), "op8_license_scan": license_scan(), "op10_line_dedup": line_dedup(), "op13_ranked_search": ranked_search()}
