@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -58,6 +58,23 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", least_bit
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
+#: The column that holds what a row carries through an operator untouched, whatever its names.
+CARRIED = "_carried"
+
+
+def carried(names: tuple[str, ...]) -> Column:
+    """The named columns as one, so that none of their names meets an operator's own."""
+    return F.struct(F.lit(True).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names))).alias(CARRIED)
+
+
+def unpacked(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df with the carried columns under their own names; one that df has already raises ValueError."""
+    own = [c for c in df.columns if c != CARRIED]
+    if both := set(own) & set(names):
+        raise ValueError(f"can't carry {sorted(both)}: the operator returns columns of these names")
+    return df.select(*own, *(F.col(f"{CARRIED}.c{k}").alias(c) for k, c in enumerate(names)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(32))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import mix64, split_by_ids, written
+from gristmill.llm.common import CARRIED, carried, mix64, split_by_ids, unpacked, written
 
 #: Bits a key and at most in a filter, of a slice of it at least, number of slices at most, probes for a key.
 BITS_A_KEY, MOST_BITS, SLICE, SLICES, PROBES = 8, 1 << 30, 1 << 19, 256, 2
@@ -151,16 +151,16 @@ def repeated_lines(docs: DataFrame, least: int = 10, most_bits: int = MOST_BITS)
     return rows.join(written(first, "first_lines"), "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (the lines that stay, joined by \\n), kept_sha256 of every document."""
+def drop_repeated_lines(docs: DataFrame, least: int = 10, most_bits: int = MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text (the lines that stay, joined by \\n; null as it is), kept_sha256 of every row, and its ``carry`` columns."""
     dropped = written(repeated_lines(docs, least, most_bits), "dropped")
-    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), dropped)
-    whole = never.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("keys"))
+    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried(carry)), dropped)
+    whole = never.select("doc_id", "text", CARRIED, F.lit(None).cast("array<binary>").alias("keys"))
     both = maybe.join(dropped, "doc_id", "left")
 
     def keep(batches):
         for batch in batches:
-            lines, gone, kept = [], [], []
+            lines, gone, kept, shown = [], [], [], []
             for text, keys in zip(batch.column("text").cast(pa.large_binary()), batch.column("keys")):
                 whole = text.as_py() or b""
                 if keys.is_valid:
@@ -174,10 +174,11 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, most_bits: int = MOST_
                     lines.append(whole.count(b"\n") + 1)
                     gone.append(0)
                 kept.append(whole)
+                shown.append(whole if text.is_valid else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-                ["doc_id", "n_lines", "n_dropped", "text", "kept_sha256"],
+                [batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(shown, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), batch.column(CARRIED)],
+                ["doc_id", "n_lines", "n_dropped", "text", "kept_sha256", CARRIED],
             )
 
-    schema = "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string"
-    return both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema))
+    schema = f"doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string, {CARRIED} {dict(whole.dtypes)[CARRIED]}"
+    return unpacked(both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema)), carry)

@@ -19,7 +19,8 @@ signature (512 coordinates, 0.065 below the threshold: 3.7 standard deviations).
 
 Defined cases: words are separated by ``[\\x20\\x09-\\x0D]``; a text of one to four words has one shingle, all of it;
 texts without words are copies of the same text only; a null text resembles nothing; a row whose doc_id is null takes no part and is
-not returned; rows that repeat a doc_id are one document (its smallest text); other columns are not read.
+not returned; rows that repeat a doc_id are one document with several texts: each of them links
+it, and it stays or goes as a whole; other columns are not read.
 """
 
 from __future__ import annotations

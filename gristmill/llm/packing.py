@@ -129,10 +129,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 
 
 def pack(made: DataFrame, capacity: int = 1024, documents: int = 1024, attention: int = 1024 * 1024, group_pieces: int = 8192, by: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """``made`` with sequence_id and offset: no sequence holds more than any capacity."""
+    """``made`` with sequence_id and offset: no sequence holds more than any capacity. ``made`` is counted and read again, so it should be a written table."""
     n = made.where(F.col("length") < capacity).count()
     groups = max(1, n // group_pieces)
-    part = made.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups)).cast("int"))
+    part = made.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))  # equal rows are dealt out too
     whole = made.where(F.col("length") == capacity)
 
     def place(rows: pa.Table) -> pa.Table:

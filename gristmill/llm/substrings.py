@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Roller, Words, mix64, signed, split_by_ids, texts, written
+from gristmill.llm.common import CARRIED, Roller, Words, carried, mix64, signed, split_by_ids, texts, unpacked, written
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -138,16 +138,16 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     return each.groupBy("doc_id").agg(*(F.first(F.when(F.col("level") == k, F.col("gone")), ignorenulls=True).alias(f"gone{k}") for k in range(len(sizes))))
 
 
-def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, text, kept_sha256 of every document.
+def drop_repeated_substrings(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, text, kept_sha256 of every row, and its ``carry`` columns.
 
-    ``text`` is the input, unchanged, where nothing is removed; else the kept words joined by one space.
+    ``text`` is the input, unchanged (null too), where nothing is removed; else the kept words joined by one space.
     ``kept_sha256`` is always that of the kept words joined by one space.
     """
     gone = written(repeated_windows(docs, window), "gone")
-    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone)
+    maybe, never = split_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried(carry)), gone)
     columns = [f"gone{k}" for k in range(len(lengths(window)))]
-    whole = never.select("doc_id", "text", *(F.lit(None).cast("array<bigint>").alias(c) for c in columns))
+    whole = never.select("doc_id", "text", CARRIED, *(F.lit(None).cast("array<bigint>").alias(c) for c in columns))
     both = maybe.join(gone, "doc_id", "left")
 
     def keep(batches):
@@ -172,12 +172,12 @@ def drop_repeated_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
                 joined = b" ".join([w for w, c in zip(words, covered) if not c] if removed else words)
                 n_words.append(len(words))
                 n_removed.append(removed)
-                kept.append(joined if removed else whole)
+                kept.append(joined if removed else whole if text.is_valid else None)
                 sums.append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sums)],
-                ["doc_id", "n_words", "n_removed", "text", "kept_sha256"],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sums), batch.column(CARRIED)],
+                ["doc_id", "n_words", "n_removed", "text", "kept_sha256", CARRIED],
             )
 
-    schema = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
-    return both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema))
+    schema = f"doc_id long, n_words long, n_removed long, text string, kept_sha256 string, {CARRIED} {dict(whole.dtypes)[CARRIED]}"
+    return unpacked(both.mapInArrow(keep, schema).union(whole.mapInArrow(keep, schema)), carry)

@@ -28,7 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import written
@@ -282,3 +282,14 @@ def scored(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(score), pa.array((score >= limit).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def score_column(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Column:
+    """The score of each row's text as a column, from a broadcast lexicon; a null text is empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the rows learnt from
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t) for t in texts.to_pylist()], pa.float64())
+
+    return score(F.coalesce(F.col(text), F.lit("")))

@@ -68,3 +68,9 @@ def test_classes_match_brute_force(documents):
 
 def test_empty(documents):
     assert neardup.near_duplicates(documents([(1, "x")]).where("doc_id < 0")).count() == 0
+
+
+def test_a_document_has_the_texts_of_all_its_rows(documents):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    got = {r["doc_id"]: (r["cluster_id"], r["kept"]) for r in neardup.near_duplicates(documents([(1, a), (1, b), (2, a), (3, b + " more"), (4, "alone")])).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True)}

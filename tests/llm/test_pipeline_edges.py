@@ -86,3 +86,37 @@ def test_split_by_ids_loses_nothing(spark, documents, bits):
     maybe, never = split_by_ids(docs, ids, least_bits=64, most_bits=bits)
     inside, outside = {r["doc_id"] for r in maybe.collect()}, {r["doc_id"] for r in never.collect()}
     assert set(range(0, 500, 7)) <= inside and None in outside and inside | outside == {*range(500), None} and not inside & outside
+
+
+def bag(df):
+    return sorted(map(tuple, df.select(*corpus_pipeline.COLUMNS).collect()), key=repr)
+
+
+def test_rows_that_repeat_an_id_keep_their_own_texts(spark, folder):
+    """Multisets of whole rows through stages 2 to 4, against what the rules leave of each row."""
+    line, passage = "common line of several documents", " ".join(f"q{k}" for k in range(55))
+    lone = [" ".join(f"{c}{k}" for k in range(30)) for c in "stuvwxyz"]
+    rows = [
+        (1, f"{line}\n{lone[0]}"), (5, f"{line}\nalpha unique one"), (5, f"{line}\nbeta unique two"), (5, "gamma never changes at all"), (5, None), (5, ""), (None, f"{line}\n{lone[1]}"), (None, None),
+        (2, f"{passage} {lone[2]}"), (6, f"{passage} {lone[3]}"), (6, f"{lone[4]} {passage}"), (6, lone[5]), (6, lone[5]), (7, lone[6]), (8, "\n".join(lone[6].split())), (8, lone[7]),
+    ]
+    after = dict(zip([name for name, _ in corpus_pipeline.STAGES[:-1]], [None] * 4))
+    before = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        after[name] = bag(stage(spark, before, folder))
+        before = spark.createDataFrame(after[name], SCHEMA)
+    row = lambda i, t, n=None: (i, t, "en", "s", n if n is not None else None if t is None else len(t))
+    cut = {rows[1][1]: "alpha unique one", rows[2][1]: "beta unique two"}
+    lines_left = [(i, cut.get(t, t)) for i, t in rows]
+    assert after["line dedup"] == sorted((row(*r) for r in lines_left), key=repr)
+    near_left = [(i, t) for i, t in lines_left if i != 8]  # one of its texts is 7's: the document goes with all its rows
+    assert after["MinHash near-dedup"] == sorted((row(*r) for r in near_left), key=repr)
+    words_left = [(i, {rows[9][1]: lone[3], rows[10][1]: lone[4]}.get(t, t)) for i, t in near_left]
+    assert after["substring dedup"] == sorted((row(*r) for r in words_left), key=repr)
+    pieces = corpus_pipeline.pack(spark, spark.createDataFrame(after["substring dedup"], SCHEMA), folder)
+    assert pieces.where("piece = 0").count() == len(words_left)
+
+
+def test_a_carried_name_of_the_operator_is_refused(spark, folder):
+    with pytest.raises(ValueError, match="n_lines"):
+        lines.drop_repeated_lines(documents(spark, [(1, "x")]).withColumn("n_lines", F.lit(1)), carry=("n_lines",))

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gristmill.llm import packing, spans
@@ -184,3 +185,15 @@ def test_empty(documents):
     empty = documents([(1, "x")]).where("doc_id < 0")
     assert packing.pack_documents(empty, BPE, RANKS).count() == 0
     assert spans.encode_documents(empty, MODEL).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark, tmp_path):
+    """A third or all of the pieces may be alike, without a doc_id: no group may get them all."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    spark.range(20_000).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "100L length", "7L ids_crc32").write.parquet(str(tmp_path / "pieces"))
+    made = spark.read.schema(schema).parquet(str(tmp_path / "pieces"))
+    placed = packing.pack(made, group_pieces=1000)
+    groups = [r["n"] for r in placed.groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(groups) == 20_000 and len(groups) == 20 and max(groups) <= 2000
+    used = placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert used[0] <= 1024 and used[1] <= 2000 + len(groups)
