@@ -10,7 +10,8 @@ folder and reads it again as the next stage's docs. All but the last return the
 4. substring dedup: words inside windows of 50 that a smaller doc_id holds too go; unaffected texts stay as they are.
 5. packing: what is left, as pieces in sequences of 1024 tokens.
 
-Rows with a null doc_id pass stages 1 to 4 unchanged in what they hold (they can't be compared by doc_id), except
+Rows that repeat a doc_id are each rewritten by themselves in stages 2 and 4, and go together in stage 3, where a document has the
+texts of all its rows. Rows with a null doc_id pass stages 1 to 4 unchanged in what they hold (they can't be compared by doc_id), except
 where toxic. Texts that lose all lines or words stay as empty documents.
 """
 
@@ -23,6 +24,7 @@ from gristmill.llm import lines, neardup, packing, substrings, toxicity
 from gristmill.llm.common import split_by_ids, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRY = ("lang", "source", "n_chars")
 
 
 def _tokenizer(name: str) -> str:
@@ -33,22 +35,17 @@ def _tokenizer(name: str) -> str:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, spark.read.parquet(table(sf_dir, "labels")))
-    score = F.pandas_udf(lambda texts: texts.map(lexicon.score), "double")
-    return docs.where(score("text") < 0.5).select(*COLUMNS)
+    return docs.where(toxicity.score_column(docs, lexicon) < 0.5).select(*COLUMNS)
 
 
-def _with_texts(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """docs with the texts of ``changed`` (doc_id, text) in place of their own; only documents that change are shuffled."""
-    maybe, never = split_by_ids(docs.select(*COLUMNS), changed)
-    new = changed.groupBy("doc_id").agg(F.first("text").alias("new"), F.lit(True).alias("hit"))
-    joined = maybe.join(new, "doc_id", "left")
-    text = F.when(F.col("hit"), F.col("new")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("hit"), F.length("new").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars")).union(never)
+def _texts(rewritten: DataFrame, changes: str) -> DataFrame:
+    """The columns of documents of rows that an operator has rewritten, each by itself; n_chars follows where something went."""
+    n_chars = F.when(F.col(changes) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rewritten.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_texts(docs, written(lines.drop_repeated_lines(docs).where("n_dropped > 0").select("doc_id", "text"), "new_texts"))
+    return _texts(lines.drop_repeated_lines(docs, carry=CARRY), "n_dropped")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +55,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_texts(docs, written(substrings.drop_repeated_substrings(docs).where("n_removed > 0").select("doc_id", "text"), "new_texts"))
+    return _texts(substrings.drop_repeated_substrings(docs, carry=CARRY), "n_removed")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
