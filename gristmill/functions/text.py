@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,16 +129,53 @@ def job_key(company: Column | str, title: Column | str, url: Column | str | None
     )
 
 
-#: The entities that landed payloads use most.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: A reference to a character: decimal, hexadecimal, or a name of at most 32 characters.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@lru_cache(1)
+def _named() -> tuple[str, int]:
+    """The names of characters with what they stand for, as JSON, and the length of the longest that needs no semicolon."""
+    return json.dumps(html5), max(len(name) for name in html5 if not name.endswith(";"))
+
+
+def _number(ref: Column) -> Column:
+    """The character of a numeric reference: those of Windows-1252 for 128 to 159, U+FFFD for what is none, nothing for controls and non-characters."""
+    digits = F.regexp_replace(F.replace(ref, F.lit(";"), F.lit("")), "^&#", "")
+    hexadecimal = F.regexp_replace(F.substring(digits, 2, 1_000_000), "^0+(?=.)", "")
+    value = F.when(digits.rlike("^[xX]"), F.when(F.length(hexadecimal) < 9, F.conv(hexadecimal, 16, 10))).otherwise(digits)
+    code = F.coalesce(value.try_cast("bigint"), F.lit(1 << 40))
+    old = {c: bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}
+    windows = F.create_map(*[F.lit(x) for c, char in old.items() for x in (c, chr(c) if char == "\ufffd" else char)])
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | code.between(14, 31) | code.isin(11, 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(code.between(0x80, 0x9F), F.element_at(windows, code.cast("int"))).when(none, "\ufffd").when(control, "").otherwise(char)
+
+
+def unescaped(x: Column | str) -> Column:
+    """A text with its references to characters resolved, by number or by name; of an unknown name the longest beginning that is an old name without a
+    semicolon, else it stays as it is."""
+    table, longest = _named()
+    names = F.from_json(F.lit(table), "map<string,string>")
+
+    def word(ref: Column) -> Column:
+        body = F.substring(ref, 2, 40)
+        starts = F.filter(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: (n < F.length(body)) & F.try_element_at(names, F.left(body, n)).isNotNull())
+        n = F.get(starts, F.lit(0))
+        return F.coalesce(F.try_element_at(names, body), F.concat(F.try_element_at(names, F.left(body, n)), F.substring(body, n + 1, F.lit(40))), ref)
+
+    def resolve(text: Column) -> Column:
+        refs = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
+        read = F.transform(refs, lambda r: F.when(r.startswith("&#"), _number(r)).otherwise(word(r)))
+        return F.array_join(F.zip_with(F.split(text, REFERENCE, -1), read, lambda plain, char: F.concat(plain, F.coalesce(char, F.lit("")))), "")
+
+    return F.when(c(x).contains("&"), once(c(x), resolve)).otherwise(c(x))
 
 
 def strip_html(x: Column | str) -> Column:
     """Unescaped, without tags, white space collapsed."""
-    out = blank(x)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(unescaped(blank(x)), "<[^>]*>", " "), r"(?U)\s+", " "))
 
 
 def truncated(x: Column | str, most: int) -> Column:

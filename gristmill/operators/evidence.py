@@ -1,16 +1,17 @@
 """Evidence in documents that have sections: where concepts stand, what a line says about them, and what follows for a whole document.
 
-Documents are exploded into lines once; sections, entries, occurrences, status and shape are columns of lines or of occurrences in
-lines, and all that is said of a document is an aggregate over these. Nothing leaves the JVM.
+Documents are exploded into lines where they are read; sections, entries, occurrences, status and shape are columns of lines or of occurrences in
+lines, and all that is said of a document is an aggregate over these, the only shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.functions.text import blank, bounded, located
 
@@ -22,6 +23,7 @@ HEADINGS = (
     (EDUCATION, r"education(?:al background)?|academics|coursework"), (CERTIFICATION, r"certifications?|licenses|courses"),
 )
 BULLET = r"^\s*[-–—*•]"
+ENTRIES, CAPITALS = (WORK, PROJECT, EDUCATION), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: Cues of the status of an occurrence, in the order in which they are tried, and of its shape.
 NEGATION, PLAN = r"\b(?:no|not|without|never|lacks?|rejected|instead of)\b", r"\b(?:plan(?:s|ned|ning)? to|want(?:s)? to|hop(?:e|es|ing) to|will|would like to)\b"
 STUDY = r"\b(?:learn(?:ing|t|ed)?|stud(?:y|ied|ying)|course(?:work)?|training|bootcamp)\b"
@@ -31,31 +33,49 @@ SHAPES = ("claim", "incidental", "substantive")
 
 
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", headings=HEADINGS) -> DataFrame:
-    """doc, line, body, section, entry: every line with the section and the named entry it belongs to.
+    """doc, line, body, section, entry, heading: every line with the section and the named entry it belongs to.
 
     An entry is the first line of a name (a capital or digit first, under 120 characters, no bullet) after a heading or after bullets, in a section
-    of work, projects or education; after a bullet whose sentence has not ended it is the bullet's next line instead. The windows
-    are over the lines of one document.
+    of work, projects or education; after a bullet whose sentence has not ended it is the bullet's next line instead. All of that is
+    state of one text, carried from line to line where the text is read: no line is shuffled, and rows that repeat or lack an id stand by themselves.
     """
-    split = docs.select(doc, F.posexplode(F.split(blank(text), "\n")).alias("line", "body"))
-    trimmed = F.trim(F.col("body"))
-    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(trimmed), "&", "and"), r"[^a-z ]+", ""))
-    kind = F.when(F.lit(False), "")
-    for name, pattern in headings:
-        kind = kind.when(folded.rlike(f"^(?:{pattern})$"), name)
-    plain = (F.length(trimmed) <= 60) & ~F.col("body").rlike(BULLET) & ~trimmed.rlike(r":.*\S")
-    order = Window.partitionBy(doc).orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = split.withColumn("opens", F.when(plain & (trimmed != ""), kind)).withColumn("bullet", F.col("body").rlike(BULLET))
-    rows = rows.select("*", F.coalesce(F.last("opens", ignorenulls=True).over(so_far), F.lit(OTHER)).alias("section"), F.last(F.when(trimmed != "", F.rtrim(F.col("body"))), ignorenulls=True).over(before).alias("previous"), F.sum((F.col("opens").isNotNull() | F.col("bullet")).cast("int")).over(so_far).alias("block"))
-    rows = rows.withColumn("in_bullet", F.max("bullet").over(Window.partitionBy(doc, "block")))
-    named = F.col("opens").isNull() & ~F.col("bullet") & F.col("section").isin(WORK, PROJECT, EDUCATION) & trimmed.rlike(r"^[A-Z0-9]") & trimmed.rlike("[A-Za-z]") & (F.length(trimmed) < 120)
-    named = named & (~F.col("in_bullet") | F.col("previous").rlike(r"[.;:!?]\s*$"))
-    rows = rows.withColumn("named", named)
-    first = F.sum(F.col("named").cast("int")).over(Window.partitionBy(doc, "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) == 1
-    entry = F.when(F.col("opens").isNotNull(), "").when(F.col("named") & first, F.trim(F.element_at(F.split(trimmed, r"\s*[|–—]\s*"), 1)))
-    return rows.withColumn("entry", F.coalesce(F.last(entry, ignorenulls=True).over(so_far), F.lit(""))).select(doc, "line", "body", "section", "entry", F.col("opens").isNotNull().alias("heading"))
+    kinds = [(name, re.compile(f"(?:{pattern})", re.A)) for name, pattern in headings]
+    bullet_at, ended, apart = re.compile(BULLET), re.compile(r"[.;:!?]\s*$", re.A), re.compile(r"\s*[|–—]\s*", re.A)
+    told, folded = re.compile(r":.*\S", re.A), re.compile(r"[^a-z ]+")
+
+    def opened(body: str, trimmed: str, bullet: bool) -> str | None:
+        if not trimmed or len(trimmed) > 60 or bullet or told.search(trimmed):
+            return None
+        name = folded.sub("", trimmed.lower().replace("&", "and")).strip(" ")
+        return next((kind for kind, pattern in kinds if pattern.fullmatch(name)), None)
+
+    def of(whole: str):
+        section, entry, previous, in_bullet, named_in_block = OTHER, "", None, False, False
+        for k, body in enumerate(whole.split("\n")):
+            trimmed, bullet = body.strip(" "), bool(bullet_at.match(body))
+            kind = opened(body, trimmed, bullet)
+            if kind or bullet:
+                in_bullet, named_in_block = bullet, False
+            if kind:
+                section, entry = kind, ""
+            elif not bullet and section in ENTRIES and trimmed[:1] in CAPITALS and len(trimmed) < 120 and re.search("[A-Za-z]", trimmed) and (not in_bullet or bool(previous and ended.search(previous))):
+                if not named_in_block:
+                    entry = apart.split(trimmed)[0].strip(" ")
+                named_in_block = True
+            yield k, body, section, entry, kind is not None
+            if trimmed:
+                previous = body.rstrip(" ")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [(row, *x) for row, whole in enumerate(part.column(1).to_pylist()) for x in of(whole or "")]
+                at, *rest = zip(*found)
+                columns = [pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *columns], [doc, "line", "body", "section", "entry", "heading"])
+
+    return docs.select(doc, F.col(text).alias("_text")).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, line int, body string, section string, entry string, heading boolean")
 
 
 def sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,19 +99,48 @@ def clause(before: Column | str, after: Column | str, ends: str = r"[.;!?]") ->
     return F.element_at(F.split(before, ends), -1), F.element_at(F.split(after, ends, 2), 1)
 
 
-def judged(found: DataFrame) -> DataFrame:
+#: The verdicts on how far a cue reaches; the first and the last let it govern.
+SAME_ITEM, SIBLING, ITEM_ENDS, NO_COORDINATION, LEAD_IN = "same clause item", "cue sits in a sibling list item", "cue ends its own list item rather than introducing one", "list states no coordination (no and/or)", "lead-in governing a coordinate list"
+
+
+def verdicts(ahead: Column, hit: Column, behind: Column, cue: str) -> Column:
+    """For every match of a cue in the clause around an occurrence, before it and then after it: may the cue govern it, and why (not)?
+
+    A cue with a comma between it and the occurrence stands in another item of a list. It reaches over commas only as the lead-in of the
+    list: nothing of the list before it, no comma right after it, and an and/or further on. After the occurrence it never does.
+    """
+
+    def before(x: Column) -> Column:
+        rest = F.concat(x["after"], hit, behind)
+        return F.when(~x["after"].contains(","), SAME_ITEM).when(x["before"].contains(","), SIBLING).when(x["after"].rlike(r"^\s*[,;]"), ITEM_ENDS).when(~rest.rlike(r"\b(?:and|or)\b"), NO_COORDINATION).otherwise(LEAD_IN)
+
+    def after(x: Column) -> Column:
+        return F.when(x["before"].contains(","), SIBLING).otherwise(SAME_ITEM)
+
+    return F.concat(F.transform(located(ahead, cue, 10_000, 10_000), before), F.transform(located(behind, cue, 10_000, 0), after))
+
+
+def governed(ahead: Column, hit: Column, behind: Column, cue: str) -> Column:
+    """Does some match of a cue govern the occurrence?"""
+    return F.exists(verdicts(ahead, hit, behind, cue), lambda why: why.isin(SAME_ITEM, LEAD_IN))
+
+
+def judged(found: DataFrame, scoped: bool = False) -> DataFrame:
     """Occurrences with status (NEGATED, PLANNED, LEARNING, USED or MENTIONED, the first rule that holds) and shape (0 claim, 1 incidental, 2 substantive).
 
     A denial counts anywhere in the sentence; a plan before the occurrence, or after it up to a comma; learning in sections of education or
-    by a word of it; use by a verb or a word that attaches. A list of skills, a summary or a labelled list of names only claims.
+    by a word of it; use by a verb or a word that attaches. A list of skills, a summary or a labelled list of names only claims. ``scoped``: a cue of
+    denial, plan or learning counts only if it governs the occurrence (``verdicts``).
     """
     ahead, behind = clause("before", "after")
     near = F.element_at(F.split(behind, r",|\b(?:and|but)\b", 2), 1)
     close, follows = clause("before", "after", r"[.;!?,]")
     acts, attached = (ahead.rlike(w) | follows.rlike(w) for w in (ACTION, ATTACHED))
+    told = lambda cue, after=behind: ahead.rlike(cue) | after.rlike(cue)
+    reach = (lambda cue: governed(ahead, F.col("alias"), behind, cue)) if scoped else (lambda cue: F.lit(True))
     status = (
-        F.when(ahead.rlike(NEGATION) | behind.rlike(NEGATION), "NEGATED").when(ahead.rlike(PLAN) | near.rlike(PLAN), "PLANNED")
-        .when(F.col("section").isin(EDUCATION, CERTIFICATION) | ahead.rlike(STUDY) | behind.rlike(STUDY), "LEARNING").when(acts | close.rlike(ATTACHED), "USED").otherwise("MENTIONED")
+        F.when(told(NEGATION) & reach(NEGATION), "NEGATED").when(told(PLAN, near) & reach(PLAN), "PLANNED")
+        .when(F.col("section").isin(EDUCATION, CERTIFICATION) | told(STUDY) & reach(STUDY), "LEARNING").when(acts | close.rlike(ATTACHED), "USED").otherwise("MENTIONED")
     )
     listed = F.col("section").isin(SKILLS, SUMMARY) | F.col("heading") | F.col("body").rlike(r"^\s*[-–—*•]?\s*[A-Z][\w /&]{0,30}:\s")
     return found.withColumn("status", status).withColumn("shape", F.when(listed, 0).when(acts, 2).when(attached, 1).otherwise(0))
@@ -150,19 +199,22 @@ def attached(before: Column, after: Column, verbs: str) -> Column:
 
 
 def work_hits(rows: DataFrame, modes: tuple[Mode, ...] = MODES, doc: str = "doc_id") -> DataFrame:
-    """doc, section, entry, mode, kind (governed or delegated), status, clause: what a document's lines say was done, each clause once for each mode."""
-    out = None
-    for mode in modes:
-        found = rows.where(F.lower(blank("body")).rlike(rf"\b{mode.objects}\b")).withColumn("_o", F.explode(located(F.lower(blank("body")), rf"\b{mode.objects}\b", 10_000, 10_000)))
-        found = found.select("*", F.col("_o.hit").alias("alias"), F.col("_o.before").alias("before"), F.col("_o.after").alias("after"))
-        left, right = clause("before", "after", r"[.;!?]")
-        whole = F.concat(left, F.col("alias"), right)
-        told = found.select("*", left.alias("left"), right.alias("right"), whole.alias("clause")).where(F.col("clause").rlike(rf"\b{mode.verbs}\b"))
-        others = F.col("clause").rlike(DELEGATES) & F.col("clause").rlike(PEOPLE) | F.col("left").rlike(rf"{PEOPLE}\s+(?:who |that )?{mode.verbs}\b")
-        told = judged(told).withColumn("delegated", others).where(F.col("delegated") | attached(F.col("left"), F.col("right"), mode.verbs))
-        hits = told.select(doc, "section", "entry", F.when(F.col("delegated"), CONSULTING).otherwise(mode.name).alias("mode"), F.when(F.col("delegated"), "delegated").otherwise("governed").alias("kind"), "status", "line", "clause")
-        out = hits if out is None else out.union(hits)
-    return out.distinct()
+    """doc, section, entry, mode, kind (governed or delegated), status, clause: what a document's lines say was done, each clause once for each mode.
+
+    The objects of all modes are looked for in one pass over the lines; an object then counts for every mode that has it.
+    """
+    objects = rf"\b(?:{'|'.join(m.objects for m in modes)})\b"
+    named = F.array(*[F.struct(F.lit(m.name).alias("name"), F.lit(rf"^{m.objects}$").alias("objects"), F.lit(rf"\b{m.verbs}\b").alias("verbs")) for m in modes])
+    found = rows.where(F.lower(blank("body")).rlike(objects)).withColumn("_o", F.explode(located(F.lower(blank("body")), objects, 10_000, 10_000)))
+    found = found.select("*", F.col("_o.hit").alias("alias"), F.col("_o.before").alias("before"), F.col("_o.after").alias("after")).drop("_o")
+    left, right = clause("before", "after", r"[.;!?]")
+    told = found.select("*", left.alias("left"), right.alias("right"), F.concat(left, F.col("alias"), right).alias("clause"))
+    told = told.select("*", F.explode(F.filter(named, lambda m: F.regexp_like(F.col("alias"), m["objects"]) & F.regexp_like(F.col("clause"), m["verbs"]))["name"]).alias("_mode"))
+    each = lambda use: F.coalesce(*[F.when(F.col("_mode") == m.name, use(m)) for m in modes])
+    others = F.col("clause").rlike(DELEGATES) & F.col("clause").rlike(PEOPLE) | each(lambda m: F.col("left").rlike(rf"{PEOPLE}\s+(?:who |that )?{m.verbs}\b"))
+    told = judged(told).withColumn("delegated", others).where(F.col("delegated") | each(lambda m: attached(F.col("left"), F.col("right"), m.verbs)))
+    kind = F.when(F.col("delegated"), "delegated").otherwise("governed")
+    return told.select(doc, "section", "entry", F.when(F.col("delegated"), CONSULTING).otherwise(F.col("_mode")).alias("mode"), kind.alias("kind"), "status", "line", "clause").distinct()
 
 
 def work_modes(hits: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.sources.shared import stored
+
 
 def funnel(df: DataFrame, by: str, stages: dict[str, Column]) -> DataFrame:
     """Rows of each group (and of all, by null) and how many satisfy each stage, in one pass."""
@@ -34,48 +36,67 @@ def outcomes(df: DataFrame, key: str = "key", unit: str = "unit_id", score: str
     return df.join(best, key).withColumn("outcome", out).withColumn("marginal", (F.col("outcome") == "kept") & F.col("_single")).drop("_best", "_single")
 
 
+def bucketed(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """df with ``_bucket``: a number that doesn't fall along the order column, with about as many rows in each (spark.sql.shuffle.partitions of them, 4096 at most).
+
+    The cuts are approximate quantiles, a table of one row that is broadcast; a row finds its bucket in two steps of about the
+    square root of their number. Rows without the column's value come first.
+    """
+    n = min(4096, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n < 2:
+        return df.withColumn("_bucket", F.lit(0))
+    x, wide = F.col(order).cast("double"), max(1, round(n**0.5))
+    cuts = df.agg(F.percentile_approx(x, [k / n for k in range(1, n)], 10 * n).alias("_cuts")).select(F.coalesce("_cuts", F.array().cast("array<double>")).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: i % wide == 0))
+    below = lambda a: F.size(F.filter(a, lambda e: e < x))
+    block = F.greatest(below(F.col("_coarse")) - 1, F.lit(0)) * wide
+    place = F.when(x.isNull() | (F.size("_cuts") == 0), 0).otherwise(block + below(F.slice("_cuts", block + 1, F.lit(wide))))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", place.cast("int")).drop("_cuts", "_coarse")
+
+
 def running(df: DataFrame, by: list[str], order: list[str], columns: dict[str, tuple[str, Column, bool]], buckets: int | None = None) -> DataFrame:
     """df with running sums or maxima (name: (sum or max, value, does the row itself count)) of each group, however few groups there are.
 
-    The first order column, a number, is cut into about equal buckets. Each bucket of a group runs on its own, and what the buckets
-    before it come to is added from a table of one row for each bucket of a group. df is read three times, so it should be cheap or written.
+    The first order column, a number, is cut into about equal buckets, and df is written with them once. Each bucket of a group runs on its own, and
+    what the buckets before it come to is added from a table of one row for each bucket of a group.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbers = df.select(F.col(order[0]).cast("double").alias("x")).where("x IS NOT NULL")
-    edges = sorted(set(numbers.approxQuantile("x", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order[0]).cast("double"))) if edges else F.lit(0)
-    placed = df.withColumn("_bucket", F.when(F.col(order[0]).isNull(), 0).otherwise(place))
+    placed = stored(bucketed(df, order[0], buckets))
     fold = {"sum": F.sum, "max": F.max}
     local = Window.partitionBy(*by, "_bucket").orderBy(*order)
     totals = placed.groupBy(*by, "_bucket").agg(*(fold[kind](value).alias(f"_{name}") for name, (kind, value, _) in columns.items()))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_bucket").alias("_of"), *(fold[kind](f"_{name}").over(earlier).alias(f"_{name}") for name, (kind, _, _) in columns.items()))
+    offsets = totals.select(*by, "_bucket", *(fold[kind](f"_{name}").over(earlier).alias(f"_{name}") for name, (kind, _, _) in columns.items()))
     inside = placed.select("*", *(fold[kind](value).over(local.rowsBetween(Window.unboundedPreceding, 0 if own else -1)).alias(f"_in_{name}") for name, (kind, value, own) in columns.items()))
-    meet = F.col("_bucket") == F.col("_of")
-    for b in by:
-        meet = meet & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    joined = inside.join(offsets, meet)
+    joined = _with_bucket_row(inside, offsets, by)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = {name: zero(f"_{name}") + zero(f"_in_{name}") if kind == "sum" else F.greatest(f"_{name}", f"_in_{name}") for name, (kind, _, _) in columns.items()}
     return joined.select(*df.columns, *(value.alias(name) for name, value in out.items()))
 
 
+def _with_bucket_row(rows: DataFrame, buckets: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the other columns of their bucket's row; a null group is a group."""
+    own = buckets.withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_bucket"]})
+    meet = F.col("_bucket") == F.col("_by__bucket")
+    for b in by:
+        meet = meet & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return rows.join(own, meet)
+
+
 def islands(df: DataFrame, by: list[str], start: str, end: str, hot: bool = False) -> DataFrame:
     """Total length of the union of the intervals of each group: overlaps once, gaps not at all; only start < end counts.
 
-    ``hot``: a group may hold a large part of all intervals; then its intervals are spread over tasks by their start.
+    Along the starts, an interval adds what of it lies beyond the largest end before it, and opens an island if it starts
+    beyond that. ``hot``: a group may hold a large part of all intervals; then its intervals are spread over tasks by their start.
     """
-    rows = df.where(F.col(start) < F.col(end))
-    fresh = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0)
+    rows = df.where(F.col(start) < F.col(end)).select(*by, start, end)
     if hot:
-        rows = rows.select(*by, start, end).distinct()  # equal intervals would leave the order open
-        marked = running(rows, by, [start, end], {"_before": ("max", F.col(end), False)})
-        marked = running(marked.withColumn("_new", fresh), by, [start, end], {"_island": ("sum", F.col("_new"), True)})
+        rows = running(rows, by, [start, end], {"_before": ("max", F.col(end), False)})
     else:
         order = Window.partitionBy(*by).orderBy(start, end)
-        marked = rows.withColumn("_before", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        marked = marked.withColumn("_island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_island").agg((F.max(end) - F.min(start)).alias("_len")).groupBy(*by).agg(F.sum("_len").alias("length"), F.count("*").alias("islands"))
+        rows = rows.withColumn("_before", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.col("_before").isNull() | (F.col(start) > F.col("_before"))
+    adds = F.when(fresh, F.col(end) - F.col(start)).when(F.col(end) > F.col("_before"), F.col(end) - F.col("_before"))
+    return rows.groupBy(*by).agg(F.sum(adds).alias("length"), F.count_if(fresh).alias("islands"))
 
 
 def peak_overlap(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -86,10 +107,19 @@ def peak_overlap(df: DataFrame, by: list[str], start: str, end: str) -> DataFram
 
 
 def streaks(df: DataFrame, by: list[str], order: str, gain: str) -> DataFrame:
-    """df with ``streak``: how many rows in a row, up to this one, had no gain; a group's rows are spread over tasks."""
-    numbered = running(df, by, [order], {"_nth": ("sum", F.lit(1), True)})
-    marked = running(numbered, by, [order], {"_last": ("max", F.when(F.col(gain) > 0, F.col("_nth")), True)})
-    return marked.withColumn("streak", F.col("_nth") - F.coalesce("_last", F.lit(0))).drop("_nth", "_last")
+    """df with ``streak``: how many rows in a row, up to this one, had no gain; a group's rows are spread over tasks.
+
+    A bucket hands on how many rows it has and where its last gain stood; a row without a gain before it in its own bucket goes on with
+    what the buckets before it left open.
+    """
+    placed = stored(bucketed(df, order))
+    local = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumn("_i", F.count(F.lit(1)).over(local)).withColumn("_gain", F.when(F.col(gain) > 0, F.col("_i"))).withColumn("_last", F.max("_gain").over(local))
+    totals = inside.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.max("_gain").alias("_at"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_left", F.col("_from") - F.coalesce(F.max(F.col("_from") + F.col("_at")).over(earlier), F.lit(0)))
+    joined = _with_bucket_row(inside, totals.select(*by, "_bucket", "_left"), by)
+    return joined.select(*df.columns, (F.col("_i") - F.coalesce("_last", -F.col("_left"))).alias("streak"))
 
 
 def loss(df: DataFrame, removed: DataFrame, key: str = "key", unit: str = "unit_id", score: str = "score") -> DataFrame:

@@ -143,16 +143,18 @@ def budget_order(shares: DataFrame, least_listings: int = 10, least_companies: i
     ``shares`` is (person, keyword, skill, share, idf, listings, companies, held), some fifty keywords a person (of more than ``most``
     rows: ValueError). Keywords with too few listings or companies wait behind all others, unless fewer than two others
     are left; of the held titles that do not wait the one that adds most leads; ties go to more listings, then to the later in the alphabet. What
-    adds nothing comes after, in the order of the alphabet.
+    adds nothing comes after, in the order of a column ``rank``, if there is one, else of the alphabet.
     """
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         _bounded_group(pdf, most)
         table = pdf.pivot_table(index="keyword", columns="skill", values="share", fill_value=0.0).sort_index()
         weight = pdf.groupby("skill")["idf"].first().reindex(table.columns)
         info = pdf.groupby("keyword")[["listings", "companies", "held"]].first().reindex(table.index)
-        fit = [k for k in table.index if info.listings[k] >= least_listings and info.companies[k] >= least_companies]
-        left = fit if len(fit) >= 2 else list(table.index)
-        thin = [k for k in table.index if k not in left]
+        rank = pdf.groupby("keyword")["rank"].first() if "rank" in pdf else None
+        words = list(table.index) if rank is None else sorted(table.index, key=lambda k: (rank[k], k))
+        fit = [k for k in words if info.listings[k] >= least_listings and info.companies[k] >= least_companies]
+        left = fit if len(fit) >= 2 else words
+        thin = [k for k in words if k not in left]
         have, out = pd.Series(0.0, index=table.columns), []
         leads = [k for k in left if info.held[k]]
         while left:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.operators import audits
 from gristmill.operators import documents as D
@@ -74,10 +73,8 @@ def c3_status(spark, sf_dir):
 
 @query()
 def c4_scoped_cues(spark, sf_dir):
-    """A cue governs the nearest occurrence after it only."""
-    w = Window.partitionBy("doc_id", "line").orderBy("start")
-    rows = _found(spark, sf_dir).withColumn("gap", F.col("start") - F.lag("end").over(w))
-    return rows.select("doc_id", "concept", "line", "start", F.when(F.coalesce(F.col("gap") < 30, F.lit(False)), "MENTIONED").otherwise(F.col("status")).alias("status"))
+    """The status of every occurrence where a cue of denial, plan or learning counts only for what it governs."""
+    return E.judged(_occurrences(spark, sf_dir), scoped=True).groupBy("doc_id", "concept", "status").agg(F.count("*").alias("n"))
 
 
 def _strength(spark, sf_dir):
@@ -263,6 +260,24 @@ def c6_told_tiers(spark, sf_dir):
     return E.strength(_told(spark, sf_dir), "p_partkey").select("p_partkey", "concept", "strength", "entries", "tier", "why")
 
 
+#: Lists by part number, and for kafka in each the status with and without scope and the verdict on the cue of learning.
+LISTED = (
+    ("Learning kafka, spark and redis.", "LEARNING", "LEARNING", E.SAME_ITEM), ("Learning spark, kafka and redis.", "LEARNING", "LEARNING", E.LEAD_IN), ("{p_brand}, Team training, spark, kafka and redis", "LEARNING", "MENTIONED", E.SIBLING),
+    ("Staff training, spark, kafka and redis", "LEARNING", "MENTIONED", E.ITEM_ENDS), ("Learning spark, kafka, redis", "LEARNING", "MENTIONED", E.NO_COORDINATION), ("kafka, redis, {p_brand} training", "LEARNING", "MENTIONED", E.SIBLING),
+    ("Kafka training at {p_brand}", "LEARNING", "LEARNING", E.SAME_ITEM), ("Did not use kafka or spark. Learning redis.", "NEGATED", "NEGATED", ""), ("Ran redis; kafka ({p_size})", "MENTIONED", "MENTIONED", ""),
+)
+
+
+@query(f"SELECT p_partkey, status, scoped, why FROM part JOIN (VALUES {', '.join(str((k, *row[1:])) for k, row in enumerate(LISTED))}) AS t(k, status, scoped, why) ON p_partkey % {len(LISTED)} = k")
+def c4_told_scope(spark, sf_dir):
+    """What scope does to a cue in a list, with the verdict on it."""
+    rows = E.occurrences(E.lines(_filled(spark, sf_dir, [row[:2] for row in LISTED]), "p_partkey"), {"kafka": ["kafka"]})
+    ahead, behind = E.clause("before", "after")
+    why = F.array_join(E.verdicts(ahead, F.col("alias"), behind, E.STUDY), ";")
+    both = E.judged(rows).withColumnRenamed("status", "plain").drop("shape")
+    return E.judged(both, scoped=True).select("p_partkey", F.col("plain").alias("status"), F.col("status").alias("scoped"), why.alias("why"))
+
+
 def _modes(spark, sf_dir):
     return E.work_modes(E.work_hits(E.lines(_filled(spark, sf_dir, DONE), "p_partkey"), doc="p_partkey"), "p_partkey")
 

@@ -124,13 +124,6 @@ def m12_what_it_buys(spark, sf_dir):
     return rows.agg(F.count("*").alias("rows"), F.round(F.avg("score"), 6).alias("relevance"), F.round(F.count_if(~low) / F.count("*"), 6).alias("reachable"), F.count_if(low).alias("waste"), (F.ceil(F.count("*") / 25) * 0.05).alias("spend"))
 
 
-@query(M + f", {OWNED}, o AS (SELECT person, skill, skill NOT IN (SELECT unnest(skills) FROM market) AS bad FROM owned) SELECT person, count(*) AS fields, count(*) FILTER (WHERE bad) AS corrections, count(*) FILTER (WHERE bad) > 0.5 * count(*) AS escalate FROM o GROUP BY person")
-def m13_validation(spark, sf_dir):
-    known = market.vocabulary(market_rows(spark, sf_dir)).select("skill", F.lit(False).alias("bad"))
-    rows = people(spark).join(known, "skill", "left").withColumn("bad", F.coalesce("bad", F.lit(True)))
-    return rows.groupBy("person").agg(F.count("*").alias("fields"), F.count_if("bad").alias("corrections"), (F.count_if("bad") > 0.5 * F.count("*")).alias("escalate"))
-
-
 @query(M + ", e AS (SELECT unnest(skills) AS skill, company, contains(title, 'red') AS bought FROM market) SELECT skill, count(*) AS listings, count(DISTINCT company) AS employers, round(count(*) FILTER (WHERE bought) / count(*), 6) AS share FROM e GROUP BY skill HAVING count(*) >= 15 AND count(DISTINCT company) >= 8 AND count(*) FILTER (WHERE bought) < 0.1 * count(*)")
 def m14_orphan_skills(spark, sf_dir):
     e = market_rows(spark, sf_dir).select(F.explode("skills").alias("skill"), "company", F.col("title").contains("red").alias("bought"))
@@ -147,14 +140,6 @@ def m15_skill_lift(spark, sf_dir):
     return e.crossJoin(F.broadcast(sizes)).select("skill", F.round((F.col("k") / F.col("own")) / (F.col("n") / F.col("total")), 6).alias("lift"))
 
 
-@query()
-def m16_skill_candidates(spark, sf_dir):
-    rows = market_rows(spark, sf_dir)
-    found = market.lift(rows, rows.where(F.array_contains("skills", "bolt")).select("row_id"), SENIOR).where("weight >= 3 AND companies >= 2").orderBy(F.desc("lift"), F.desc("weight"), "fragment").limit(80)
-    ranked = found.select(F.lit("bolt").alias("skill"), F.col("fragment").alias("keyword"), (-F.col("lift")).alias("quality"))
-    return market.suppressed(ranked, "skill", "keyword", "quality", 10)
-
-
 @query(M + ", v AS (SELECT skill, count(*) AS n FROM (SELECT unnest(skills) AS skill FROM market) GROUP BY 1) SELECT skill, round(n / (SELECT count(*) FROM market) * ln((SELECT count(*) FROM market) / (1 + n)), 6) AS evidence, n >= 20 AND ln((SELECT count(*) FROM market) / (1 + n)) >= 1.2 AS worth FROM v")
 def m17_anchor_evidence(spark, sf_dir):
     rows = market_rows(spark, sf_dir)
@@ -163,18 +148,6 @@ def m17_anchor_evidence(spark, sf_dir):
     return v.select("skill", F.round(F.col("n") / F.col("total") * weight, 6).alias("evidence"), ((F.col("n") >= 20) & (weight >= 1.2)).alias("worth"))
 
 
-@query(M + ", e AS (SELECT unnest(skills) AS skill, company FROM market), c AS (SELECT company, skill, count(*) AS n FROM e GROUP BY 1, 2) SELECT company, skill, n FROM c QUALIFY row_number() OVER (PARTITION BY company ORDER BY n DESC, skill) <= 2")
-def m18_capped_selection(spark, sf_dir):
-    c = market_rows(spark, sf_dir).select("company", F.explode("skills").alias("skill")).groupBy("company", "skill").agg(F.count("*").alias("n"))
-    return c.withColumn("i", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("n"), "skill"))).where("i <= 2").drop("i")
-
-
-@query(M + ", t AS (SELECT title AS k, 1 AS tier, max(score) AS s FROM market WHERE company < 'Supplier#000000020' GROUP BY 1 UNION ALL SELECT title, 2, max(score) FROM market WHERE score >= 40 GROUP BY 1 UNION ALL SELECT title, 3, max(score) FROM market GROUP BY 1) SELECT k AS keyword, min(tier) AS tier FROM t GROUP BY k")
-def m19_tiers(spark, sf_dir):
-    tier = F.when(F.col("company") < "Supplier#000000020", 1).when(F.col("score") >= 40, 2).otherwise(3)
-    return market_rows(spark, sf_dir).groupBy(F.col("title").alias("keyword")).agg(F.min(tier).alias("tier"))
-
-
 SHARES = f"{REACH}, e AS (SELECT row_id, title, unnest(skills) AS skill FROM market), b AS (SELECT skill, count(*) / (SELECT count(*) FROM market) AS base FROM e GROUP BY 1), m AS (SELECT keyword, count(*) AS m FROM market JOIN k ON contains(title, keyword) GROUP BY 1), n AS (SELECT keyword, skill, count(*) AS n FROM e JOIN k ON contains(title, keyword) GROUP BY 1, 2)"
 
 
@@ -212,13 +185,6 @@ def m24_size_curve(spark, sf_dir):
     return rows.select("p", "score", F.explode("skills").alias("skill")).groupBy("p").agg(F.approx_count_distinct("skill").alias("skills"), F.count("*").alias("uses"), F.avg("score").alias("mean"))
 
 
-@query(M + f", {MATCH} SELECT person, company, count(*) AS rows FROM k JOIN market USING (row_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY person ORDER BY count(*) DESC, company) <= 3")
-def m25_people_by_market(spark, sf_dir):
-    rows = market_rows(spark, sf_dir)
-    per = market.matching_rows(rows, people(spark)).join(rows.select("row_id", "company"), "row_id").groupBy("person", "company").agg(F.count("*").alias("rows"))
-    return per.withColumn("i", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("rows"), "company"))).where("i <= 3").drop("i")
-
-
 @query(M + ", a AS (SELECT DISTINCT row_id FROM market WHERE contains(title, 'red')), b AS (SELECT DISTINCT row_id FROM market WHERE contains(title, 'widget')) SELECT (SELECT count(*) FROM a JOIN b USING (row_id)) AS common, round((SELECT count(*) FROM a JOIN b USING (row_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard")
 def m27_stability(spark, sf_dir):
     rows = market_rows(spark, sf_dir).select("row_id", F.col("title").contains("red").alias("a"), F.col("title").contains("widget").alias("b")).groupBy("row_id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))

@@ -80,8 +80,8 @@ def e3_required_years(spark, sf_dir):
 #: Openings of requirements by part number, with the figure that counts: the size, the size and five, or another one; null for none.
 ASKS = (
     ("{n}+ years of professional experience.", "p_size"), ("{n} to {n5} years of hands-on experience.", "p_size"), ("Area lead : {n}+ years", "p_size"),
-    ("In business {n} years. Seeking 3 years of experience.", "3"), ("Minimum 2 years of experience is required. Educational qualification: {n} years full time education.", "2"),
-    ("Contract duration: {n} years.", "NULL"), ("{n} years of experience in total, {n5} years of Java experience.", "p_size + 5"), ("Experience of {n} yrs", "p_size"),
+    ("The firm is {n} years old. We look for 3 years of experience.", "3"), ("You bring 2 years of experience at least. Degree course: {n} years full time.", "2"),
+    ("Term of the contract: {n} years.", "NULL"), ("{n} years of experience in total, {n5} years of Java experience.", "p_size + 5"), ("Experience of {n} yrs", "p_size"),
 )
 
 
@@ -105,11 +105,11 @@ STATEMENTS = (
     ("{n}+ years of professional experience.", [(0, "p_size", "NULL", "required", "overall", "high")]),
     ("{n} to {n5} years of hands-on experience.", [(0, "p_size", "p_size + 5", "range", "overall", "high")]),
     ("Up to {n} years of experience.", [(0, "p_size", "NULL", "maximum", "unknown", "low")]),
-    ("{n}+ years of experience in Salesforce.", [(0, "p_size", "NULL", "required", "skill_specific", "low")]),
+    ("{n}+ years of experience in Terraform.", [(0, "p_size", "NULL", "required", "skill_specific", "low")]),
     ("Ideally {n}-{n5} years of experience.", [(0, "p_size", "p_size + 5", "preferred", "overall", "low")]),
-    ("Our team has {n} years of combined experience.", [(0, "p_size", "NULL", "ambiguous", "unknown", "low")]),
-    ("A {n} year degree. Minimum {n5} years of experience, 3+ years React.", [(0, "p_size", "NULL", "not_experience", "unknown", "low"), (1, "p_size + 5", "NULL", "required", "overall", "high"), (2, "3", "NULL", "required", "skill_specific", "low")]),
-    ("The role involves {n} years of experience.", [(0, "p_size", "NULL", "required", "overall", "low")]),
+    ("Together we have {n} years of combined experience.", [(0, "p_size", "NULL", "ambiguous", "unknown", "low")]),
+    ("A {n} year degree. At least {n5} years of experience, 3+ years React.", [(0, "p_size", "NULL", "not_experience", "unknown", "low"), (1, "p_size + 5", "NULL", "required", "overall", "high"), (2, "3", "NULL", "required", "skill_specific", "low")]),
+    ("This post asks for {n} years of experience.", [(0, "p_size", "NULL", "required", "overall", "low")]),
 )
 EXPECTED = ", ".join(f"({k}, {place}, {low.replace('p_size', '0') if low != 'NULL' else 'NULL'}, {'false' if 'p_size' not in low else 'true'}, {'NULL' if high == 'NULL' else 5}, '{kind}', '{about}', '{sure}')" for k, (_, rows) in enumerate(STATEMENTS) for place, low, high, kind, about, sure in rows)
 
@@ -134,16 +134,16 @@ def e7_remote_scope(spark, sf_dir):
 
 #: Postings by customer number: location, description, and the scope, regions, eligibility, visa answer, contractors, zones and gap they state.
 STATED = (
-    ("Anywhere in the World", "You'll support our US and India customers.", "worldwide", "US, India", "", "", "", "", 0.0),
-    ("Berlin", "This role is not remote; hybrid 3 days onsite.", "onsite", "", "", "", "", "", None),
-    ("Berlin", "Hybrid: 3 days a week in the office. UTC+2 preferred.", "hybrid", "", "", "", "", "UTC+2", 3.5),
-    ("", "Fully remote, with occasional onsite meetups.", "remote", "", "", "", "", "", None),
-    ("Europe, Remote", "We are unable to sponsor visas for this role.", "restricted", "", "", "no", "", "", None),
-    ("", "Remote, but you must reside in Canada. We hire through Deel.", "restricted", "Canada", "Canada", "", "Deel", "", 11.5),
+    ("Anywhere in the World", "Your clients sit in the US and India.", "worldwide", "US, India", "", "", "", "", 0.0),
+    ("Berlin", "The desk is in town and the post is not remote; hybrid weeks, onsite days.", "onsite", "", "", "", "", "", None),
+    ("Berlin", "Hybrid, with 2 days in the office. UTC+2 preferred.", "hybrid", "", "", "", "", "UTC+2", 3.5),
+    ("", "We are fully remote and meet onsite twice a year.", "remote", "", "", "", "", "", None),
+    ("Europe, Remote", "Sadly we cannot sponsor anyone.", "restricted", "", "", "no", "", "", None),
+    ("", "Remote, yet you must reside in Canada; contracts run via Deel.", "restricted", "Canada", "Canada", "", "Deel", "", 11.5),
     ("", "Remote anywhere in the US.", "restricted", "US", "US", "", "", "", 11.5),
-    ("Bengaluru, India", "Employment via our employer of record, Oyster.", "", "", "", "", "EOR, Oyster", "", None),
-    ("Remote (Buenos Aires, Argentina)", "Visa sponsorship and relocation support provided.", "restricted", "", "", "yes", "", "", None),
-    ("", "Great team, competitive pay.", "", "", "", "", "", "", None),
+    ("Bengaluru, India", "Your contract is with an employer of record, Oyster.", "", "", "", "", "EOR, Oyster", "", None),
+    ("Remote (Buenos Aires, Argentina)", "Visa sponsorship comes with the job.", "restricted", "", "", "yes", "", "", None),
+    ("", "Nice people and good coffee.", "", "", "", "", "", "", None),
     ("", "UTC-10 UTC-9 UTC-8; for the United States or EMEA.", "", "US, EMEA", "", "", "", "UTC-10; UTC-9; UTC-8", 13.5),
     (None, None, "", "", "", "", "", "", None),
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import job_key
-from gristmill.operators import audits, funnels
+from gristmill.operators import audits, counterfactuals, funnels
 from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
@@ -272,16 +272,34 @@ def w4_streaks(spark, sf_dir):
     return funnels.streaks(_gains(spark, sf_dir), ["provider"], "plan_index", "gain").select("provider", "plan_index", "streak")
 
 
-@query(B + ", n AS (SELECT key, min(unit_id) AS first FROM result GROUP BY key) SELECT r.unit_id, count(*) AS raw, count(*) FILTER (WHERE n.first = r.unit_id) AS fresh, count(*) FILTER (WHERE score >= 25) AS eligible, sum(count(DISTINCT key) FILTER (WHERE n.first = r.unit_id)) OVER (PARTITION BY provider ORDER BY r.unit_id ROWS UNBOUNDED PRECEDING) AS found FROM result r JOIN n USING (key) JOIN plan p ON p.unit_id = r.unit_id GROUP BY r.unit_id, provider")
+#: Searches of a month and a provider as units of a plan, and what they brought; lines flagged A are free.
+UNITS = "o AS (SELECT o_orderkey, o_orderpriority AS provider, (year(o_orderdate) * 12 + month(o_orderdate)) * 5 + ascii(o_orderpriority) AS unit_id, o_totalprice::DECIMAL(18,2) AS ceiling FROM orders WHERE o_orderdate IS NOT NULL), u AS (SELECT unit_id, unit_id AS plan_index, provider, sum(ceiling)::DECIMAL(28,2) AS ceiling FROM o GROUP BY 1, 2, 3), b AS (SELECT r.key, CASE WHEN source <> 'A' THEN o.unit_id END AS unit_id, score, arrival, position, CASE WHEN source <> 'A' THEN provider END AS provider FROM result r JOIN o ON r.unit_id = o_orderkey)"
+TOP, DEPTH = 20, 6
+
+
+def _bought(spark, sf_dir):
+    """(rows, units) of UNITS."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").select("o_orderkey", F.col("o_orderpriority").alias("provider"), ((F.year("o_orderdate") * 12 + F.month("o_orderdate")) * 5 + F.ascii("o_orderpriority")).cast("long").alias("search"), F.col("o_totalprice").cast("decimal(18,2)").alias("ceiling"))
+    units = orders.groupBy(F.col("search").alias("unit_id"), F.col("search").alias("plan_index"), "provider").agg(F.sum("ceiling").alias("ceiling"))
+    rows = results(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("unit_id"), "search"), "unit_id")
+    return rows.select("key", F.when(F.col("source") != "A", F.col("search")).alias("unit_id"), "score", "arrival", "position"), units
+
+
+#: The state after each step: what stands in the top, with the rank and the first unit of each key.
+STEPS = f"p AS (SELECT key, unit_id, score, arrival FROM b WHERE unit_id IS NOT NULL), born AS (SELECT key, min(unit_id) AS born FROM p GROUP BY key), best AS (SELECT u.unit_id AS step, key, max((score, -arrival)) AS v FROM u JOIN p ON p.unit_id <= u.unit_id GROUP BY 1, 2), t AS (SELECT step, key, row_number() OVER (PARTITION BY step ORDER BY v DESC) AS i FROM best QUALIFY i <= {TOP}), s AS (SELECT unit_id AS step, lag(unit_id) OVER (ORDER BY unit_id) AS was FROM u)"
+
+
+@query(B + f", {UNITS}, {STEPS}, c AS (SELECT s.step, n.key, n.i, o.i AS old, born FROM s JOIN t n ON n.step = s.step JOIN born ON born.key = n.key LEFT JOIN t o ON o.step = s.was AND o.key = n.key), g AS (SELECT s.step, count(*) AS displaced FROM s JOIN t o ON o.step = s.was WHERE NOT EXISTS (FROM t n WHERE n.step = s.step AND n.key = o.key) GROUP BY 1), raw AS (SELECT unit_id, count(*) AS raw, count(*) FILTER (WHERE score >= 25) AS eligible, count(DISTINCT key) FILTER (WHERE born = unit_id) AS fresh FROM p JOIN born USING (key) GROUP BY 1) SELECT u.unit_id, coalesce(any_value(raw), 0) AS raw, coalesce(any_value(eligible), 0) AS eligible, coalesce(any_value(fresh), 0) AS fresh, count(c.key) FILTER (WHERE old IS NULL) AS entered, coalesce(any_value(displaced), 0) AS displaced, count(c.key) FILTER (WHERE old <> i) AS moved, count(c.key) FILTER (WHERE old IS NULL AND born = c.step) AS entered_new FROM u LEFT JOIN c ON c.step = unit_id LEFT JOIN g ON g.step = unit_id LEFT JOIN raw ON raw.unit_id = u.unit_id GROUP BY u.unit_id")
 def w5_observations(spark, sf_dir):
-    """What each step of a provider's plan added: prefix counts come from first arrivals, not from re-ranking every prefix."""
-    rows = results(spark, sf_dir)
+    """What each step of the plan brought, and what it changed in the top of all steps up to it."""
+    rows, units = _bought(spark, sf_dir)
+    rows = rows.where("unit_id IS NOT NULL")
     first = rows.groupBy("key").agg(F.min("unit_id").alias("first"))
-    steps = rows.join(first, "key").groupBy("unit_id").agg(F.count("*").alias("raw"), F.count_if(F.col("first") == F.col("unit_id")).alias("fresh"), F.count_if(F.col("score") >= 25).alias("eligible"))
-    new = first.groupBy(F.col("first").alias("unit_id")).agg(F.count("*").alias("new"))
-    units = steps.join(new, "unit_id", "left").join(plan_units(spark, sf_dir).select("unit_id", "provider"), "unit_id")
-    found = funnels.running(units, ["provider"], ["unit_id"], {"found": ("sum", F.col("new"), True)})
-    return found.select("unit_id", "raw", "fresh", "eligible", "found")
+    new = first.groupBy(F.col("first").alias("unit_id")).agg(F.count("*").alias("fresh"))
+    brought = rows.groupBy("unit_id").agg(F.count("*").alias("raw"), F.count_if(F.col("score") >= 25).alias("eligible")).join(new, "unit_id", "left")
+    steps = counterfactuals.steps_of_top(rows.withColumnRenamed("unit_id", "step"), units.select(F.col("unit_id").alias("step")), [], TOP)
+    steps = steps.select(F.col("step").cast("long").alias("unit_id"), "entered", "displaced", "moved", "entered_new")
+    return steps.join(brought, "unit_id", "left").select("unit_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "eligible", "fresh")), "entered", "displaced", "moved", "entered_new")
 
 
 @query(B + f", {GAIN}, {STREAK}, k(k) AS (VALUES (3), (5), (8)) SELECT provider, k, min(plan_index) AS fires_at FROM s JOIN k ON streak >= k GROUP BY 1, 2")
@@ -291,15 +309,23 @@ def w6_stop_policies(spark, sf_dir):
     return fired.groupBy("provider", "k").agg(F.min("plan_index").alias("fires_at"))
 
 
-@query(B + ", u AS (SELECT key, unit_id, max(score) AS score FROM result GROUP BY 1, 2), t AS (SELECT key, count(*) AS units, max(score) AS best FROM u GROUP BY key), h AS (SELECT p.provider AS scenario, key, count(*) AS gone FROM u JOIN plan p USING (unit_id) GROUP BY 1, 2) SELECT scenario, count(*) AS lost, max(best) AS best_lost FROM h JOIN t USING (key) WHERE gone = units GROUP BY scenario")
+FULL = "whole AS (SELECT key, row_number() OVER (ORDER BY max((score, -arrival)) DESC) AS rank, count(DISTINCT unit_id) = 1 AND count(*) = count(unit_id) AS alone FROM b GROUP BY key)"
+#: For each scenario and key the best row that is left (v), ranked anew; then what is lost.
+LOSS = f"again AS (SELECT *, row_number() OVER (PARTITION BY scenario, unit_id, provider, depth ORDER BY v DESC) AS i FROM left_over), loss AS (SELECT k.scenario, k.unit_id, k.provider, k.depth, count(*) FILTER (WHERE i IS NULL) AS lost, count(*) FILTER (WHERE i IS NULL AND alone) AS marginal_lost, count(*) FILTER (WHERE rank <= {TOP} AND (i IS NULL OR i > {TOP})) AS top_lost, min(rank) FILTER (WHERE i IS NULL) AS best_lost_rank FROM (SELECT * FROM cases, whole) k LEFT JOIN again a ON a.key = k.key AND a.scenario = k.scenario AND a.unit_id IS NOT DISTINCT FROM k.unit_id AND a.provider IS NOT DISTINCT FROM k.provider AND a.depth IS NOT DISTINCT FROM k.depth GROUP BY ALL)"
+
+
+@query(B + f", {UNITS}, {FULL}, cases AS (SELECT DISTINCT 'x' AS scenario, 0 AS unit_id, provider, 0 AS depth FROM u), left_over AS (SELECT scenario, c.unit_id, c.provider, depth, key, max((score, -arrival)) AS v FROM cases c JOIN b ON b.provider IS DISTINCT FROM c.provider GROUP BY ALL), {LOSS} SELECT provider, lost, marginal_lost, top_lost, best_lost_rank FROM loss")
 def w7_counterfactual(spark, sf_dir):
-    removed = plan_units(spark, sf_dir).select("unit_id", F.col("provider").alias("scenario"))
-    return funnels.loss(results(spark, sf_dir), removed)
+    """What the result lacks without each provider alone."""
+    rows, units = _bought(spark, sf_dir)
+    named = rows.join(units.select("unit_id", "provider"), "unit_id", "left")
+    return counterfactuals.skipped(named, TOP, "provider")
 
 
-@query(B + ", u AS (SELECT key, unit_id, max(score) AS score FROM result WHERE position <= 3 GROUP BY 1, 2), f AS (SELECT key FROM result GROUP BY key), d AS (SELECT p AS depth, count(DISTINCT key) AS keys, sum(1) AS rows FROM result JOIN (SELECT unnest([1,2,3,4,5,6,7]) AS p) ON position <= p GROUP BY p) SELECT depth, keys, rows, (SELECT count(*) FROM f) - keys AS lost FROM d")
+@query(B + f", {UNITS}, {FULL}, cases AS (SELECT 'stop-after' AS scenario, unit_id, provider, NULL::INT AS depth, plan_index FROM u UNION ALL SELECT 'skip-alone', unit_id, provider, NULL, plan_index FROM u UNION ALL SELECT 'depth', NULL, provider, depth, NULL FROM (SELECT DISTINCT provider FROM u), (SELECT unnest(range(1, {DEPTH + 1}))::INT AS depth)), left_over AS (SELECT scenario, c.unit_id, c.provider, depth, key, max((score, -arrival)) AS v FROM cases c JOIN b ON CASE scenario WHEN 'stop-after' THEN coalesce(b.unit_id <= c.unit_id, true) WHEN 'skip-alone' THEN b.unit_id IS DISTINCT FROM c.unit_id ELSE b.provider IS DISTINCT FROM c.provider OR position <= depth END GROUP BY ALL), {LOSS} SELECT loss.*, CASE scenario WHEN 'stop-after' THEN (SELECT coalesce(sum(ceiling), 0) FROM u WHERE u.unit_id > loss.unit_id) WHEN 'skip-alone' THEN (SELECT sum(ceiling) FROM u WHERE u.unit_id = loss.unit_id) ELSE 0 END AS exposure_avoided FROM loss")
 def w8_depth_report(spark, sf_dir):
-    return funnels.depths(results(spark, sf_dir), 7)
+    """Every unit's stop-after and skip-alone, and every provider's depths: lost keys, top losses and exposure."""
+    return counterfactuals.report(*_bought(spark, sf_dir), DEPTH, TOP)
 
 
 @query(B + ", o AS (SELECT key, list(DISTINCT provider) AS origins, max(score) AS best FROM result JOIN plan USING (unit_id) GROUP BY key) SELECT count(*) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS lost, count(*) AS keys, max(best) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS best FROM o")

@@ -62,8 +62,9 @@ def s7_html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", title, lang, links)
 
 
+#: The references that the driver's pages hold.
 UNESCAPED = "coalesce(html, '')"
-for _name, _char in X.ENTITIES:
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     UNESCAPED = f"replace({UNESCAPED}, '{_name}', {chr(39) + (_char if _char != chr(39) else chr(39) * 2) + chr(39)})"
 
 
@@ -182,3 +183,54 @@ def s2_feed_items(spark, sf_dir):
     feeds = orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(item).alias("jobs"))).alias("payload"))
     rows = landed.feed_rows(feeds, "payload", "jobs", {"title": ("name", "position"), "location": ("where",), "description": ("text",)}, ("pay.cur", "pay.min", "pay.max", "pay.per"), "tags", "offset")
     return rows.select("o_custkey", "id", "title", "salary", "location", "description", "timezones")
+
+
+#: References by part number and what they stand for; a name that is none, one cut short, one twice escaped, and numbers of many kinds.
+REFERENCES = (("caf&eacute; &amp;lt;", "café &lt;"), ("&NotEqualTilde; &notit; &notin;", "≂̸ ¬it; ∉"), ("&#x1F926;&#128; &#0;|&#xD800;|&#1;", "🤦€ \ufffd|\ufffd|"), ("AT&T &unknown; &copy 9 &#;", "AT&T &unknown; © 9 &#;"), ("&#65;&#66&#x43 &frac12;x&thinsp;", "ABC ½x\u2009"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN '{y}'" for k, (_, y) in enumerate(REFERENCES)) + " END || CASE WHEN p_partkey > 31 THEN chr(p_partkey::INT) ELSE '' END || p_size AS text FROM part WHERE p_partkey NOT BETWEEN 127 AND 159")
+def s8_entities(spark, sf_dir):
+    """Named and numeric references of every kind, and one of each part's own number."""
+    part = table(spark, sf_dir, "part").where("p_partkey NOT BETWEEN 127 AND 159")
+    raw = F.concat(F.get(F.array(*[F.lit(x) for x, _ in REFERENCES]), F.col("p_partkey") % 5), F.when(F.col("p_partkey") > 31, F.concat(F.lit("&#"), F.col("p_partkey"), F.lit(";"))).otherwise(""), F.col("p_size").cast("string"))
+    return part.select("p_partkey", X.unescaped(raw).alias("text"))
+
+
+#: Pages by part number: the embedded block, what is printed, and the answer to (description, year of the date).
+LD = '<script type="application/ld+json">{}</script>'
+PAGES = (
+    (LD.format('{"@type": "JobPosting", "description": "&lt;p&gt;Makes {p_name} &amp; more&lt;/p&gt;", "datePosted": "2023-4-9"}'), "<b>Date posted:</b> 12/31/2020", "'Makes ' || p_name || ' & more'", "DATE '2023-04-09'"),
+    (LD.format('{"@type": "Organization"}') + LD.format('{"@graph": [{"@type": "WebPage"}, {"@type": "JobPosting", "description": "graph {p_brand}", "datePosted": "2022-11-02T08:00"}]}'), "", "'graph ' || p_brand", "DATE '2022-11-02'"),
+    (LD.format('{"@type": "JobPosting", "description": "cut') + LD.format('[{"@type": ["Thing", "JobPosting"], "description": "list"}]'), "<b> Date posted: </b> 2/3/2021", "'list'", "DATE '2021-02-03'"),
+    ("<p>no block</p>", "<b>Date posted:</b> 13/45/2021", "''", "NULL"), (LD.format("not json"), "<b>date POSTED:</b>\n7/4/2019", "''", "DATE '2019-07-04'"), (None, "", "''", "NULL"),
+)
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CASE p_partkey % 6 {' '.join(f'WHEN {k} THEN {row[at]}' for k, row in enumerate(PAGES))} END AS {name}" for at, name in ((2, "description"), (3, "date_posted"))) + ", p_partkey % 6 < 5 AND p_size <> 7 AS live, CASE WHEN p_partkey % 6 < 5 THEN 'R-' || p_partkey ELSE '' END AS req, CASE WHEN p_partkey % 6 < 5 THEN 'A' || p_size ELSE '' END AS apply_req, CASE WHEN p_partkey % 6 < 5 AND p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS grade FROM part")
+def s7_job_pages(spark, sf_dir):
+    """Job pages with embedded postings (plain, in a graph, in a list, cut off, none at all), printed dates, grades and pages that are gone."""
+    part = table(spark, sf_dir, "part")
+
+    def filled(text):
+        return F.lit(None).cast("string") if text is None else F.replace(F.replace(F.lit(text), F.lit("{p_name}"), F.col("p_name")), F.lit("{p_brand}"), F.col("p_brand"))
+
+    more = F.concat(F.lit("<b>Requisition number:</b> R-"), F.col("p_partkey"), F.lit('<a href="/x/jobapply.ftl?job=A'), F.col("p_size"), F.lit('&y">'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"Name":"Grade","RawValue":"'), F.col("p_size"), F.lit('"}'))).otherwise(""))
+    html = F.concat(F.get(F.array(*[filled(row[0]) for row in PAGES]), F.col("p_partkey") % 6), F.get(F.array(*[F.lit(row[1]) for row in PAGES]), F.col("p_partkey") % 6), more)
+    pages = part.select("p_partkey", html.alias("html"), F.when(F.col("p_size") == 7, 404).otherwise(200).alias("http"))
+    return pages.select("p_partkey", *landed.job_page("html", "http"))
+
+
+@query("SELECT 'customers' AS source, 0 AS registry, 'row' AS kind, c_nationkey AS nation, count(*) AS n FROM customer WHERE c_custkey % 9 > 1 GROUP BY 4 UNION ALL SELECT 'customers', 0, CASE WHEN c_custkey % 9 = 0 THEN 'malformed' ELSE 'missing' END, NULL, count(*) FROM customer WHERE c_custkey % 9 <= 1 GROUP BY 3 UNION ALL SELECT 'nowhere', 1, 'unreadable', NULL, 1 UNION ALL SELECT 'suppliers', 2, 'row', s_nationkey, count(*) FROM supplier GROUP BY 4")
+def s19_isolated_sources(spark, sf_dir):
+    """A source with broken payloads and one that isn't there leave the others whole, and are rows of errors."""
+    made = lambda t, key, nation: table(spark, sf_dir, t).select(F.col(key).alias("position"), F.to_json(F.struct(F.col(nation).alias("nation"))).alias("payload"))
+
+    def customers():
+        spoilt = F.when(F.col("position") % 9 == 0, F.lit("{oops")).when(F.col("position") % 9 > 1, F.col("payload"))
+        return made("customer", "c_custkey", "c_nationkey").withColumn("payload", spoilt)
+
+    sources = [("customers", customers), ("nowhere", lambda: spark.read.parquet(f"{sf_dir}/nowhere.parquet")), ("suppliers", lambda: made("supplier", "s_suppkey", "s_nationkey"))]
+    rows, errors = landed.ordered_union(spark, sources, "nation int")
+    both = rows.select("source", "registry", F.lit("row").alias("kind"), "nation").unionByName(errors.select("source", "registry", F.col("category").alias("kind"), F.lit(None).cast("int").alias("nation")))
+    return both.groupBy("source", "registry", "kind", "nation").agg(F.count("*").alias("n"))

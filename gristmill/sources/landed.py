@@ -5,12 +5,14 @@ Nothing here fetches; every reader takes columns or paths of what has landed.
 
 from __future__ import annotations
 
-import csv
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import blank, strip_html, truncated
+from gristmill.sources.shared import stored
 
 FIELDS = ("title", "company", "location", "salary", "posted_raw", "job_url", "description")
 
@@ -89,21 +91,92 @@ def html_page(html: Column | str) -> list[Column]:
     return [F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, r'(?i)<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_count(h, F.lit(r"(?i)<a href=")).cast("long").alias("links"), strip_html(body).alias("text")]
 
 
-def drifted_csv(spark: SparkSession, path: str) -> DataFrame:
+#: Where a job page states its requisition, grade, application and printed date.
+REQUISITION, GRADE, APPLICATION = r"(?i)<b>\s*Requisition number:\s*</b>\s*([A-Za-z0-9-]+)", r'"Name":"Grade","RawValue":"(\d+)"', r"jobapply\.ftl\?job=([A-Za-z0-9-]+)"
+PRINTED = r"(?i)<b>\s*Date posted:\s*</b>\s*(\d{1,2}/\d{1,2}/\d{4})"
+EMBEDDED = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+_POSTING = "`@type`: string, description: string, datePosted: string"
+
+
+def embedded_posting(html: Column | str) -> Column:
+    """The first JobPosting in the embedded JSON of a page, as a struct of @type, description and datePosted; null if there is none.
+
+    Every block is read: an object, a list of them, or an object with a ``@graph`` list; a block that isn't JSON holds nothing and
+    hides none of the others.
+    """
+    blocks = F.regexp_extract_all(blank(html), F.lit(EMBEDDED), F.lit(1))
+    read = F.filter(F.transform(blocks, lambda b: F.from_json(F.trim(b), f"array<struct<{_POSTING}, `@graph`: array<struct<{_POSTING}>>>>")), lambda b: b.isNotNull())
+    own = lambda x: F.struct(x["@type"].alias("@type"), x["description"].alias("description"), x["datePosted"].alias("datePosted"))
+    items = F.flatten(F.transform(F.flatten(read), lambda x: F.concat(F.array(own(x)), F.coalesce(x["@graph"], F.array().cast(f"array<struct<{_POSTING}>>")))))
+    return F.get(F.filter(items, lambda x: F.coalesce(x["@type"].rlike(r'(?:^|")JobPosting(?:$|")'), F.lit(False))), F.lit(0))
+
+
+def job_page(html: Column | str, status: Column | str | None = None) -> list[Column]:
+    """live, description, date_posted, req, apply_req, grade of a job's page.
+
+    The description is the embedded posting's, without markup; its date counts before the printed one; both are null where they can't be read. A page that isn't there (null,
+    or with ``status`` 404) is not live.
+    """
+    page = blank(html)
+    gone = (F.col(html) if isinstance(html, str) else html).isNull()
+    if status is not None:
+        gone = gone | F.coalesce((F.col(status) if isinstance(status, str) else status) == 404, F.lit(False))
+    posting = embedded_posting(page)
+    stated = F.try_to_date(F.regexp_extract(posting["datePosted"], r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?!\d)", 1), "yyyy-M-d")
+    printed = F.try_to_date(F.regexp_extract(page, PRINTED, 1), "M/d/yyyy")
+    return [(~gone).alias("live"), strip_html(posting["description"]).alias("description"), F.coalesce(stated, printed).alias("date_posted"),
+            *(F.regexp_extract(page, pattern, 1).alias(name) for name, pattern in (("req", REQUISITION), ("apply_req", APPLICATION), ("grade", GRADE)))]
+
+
+def drifted_csv(spark: SparkSession, path: str, most_columns: int = 5000) -> DataFrame:
     """Every CSV under a tree, each file by its own header, as text columns, with the file it came from (``run``).
 
-    Files are grouped by their first line and each group is read with its own names; columns that a file doesn't have are null. A byte-order
-    mark is no part of a name. Empty files give no rows.
+    One scan of lines meets a table of one header a file, in whichever way Spark joins them; only the names of columns come to the driver, and more than
+    ``most_columns`` of them raise ValueError. Columns that a file doesn't have are null; of several with one name the first counts; a
+    byte-order mark is no part of a name; names are trimmed and those without one are left out. A line that repeats its file's header is no row; empty lines and
+    files give none. A record is a line.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("run"), F.col("_metadata.file_block_start").alias("_at")).where("value <> ''")
+    heads = lines.where("_at = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("run").agg(F.min_by("value", "_n").alias("_head"))
+    bare = F.regexp_replace("_head", "^\ufeff", "")
+    wide = heads.agg(F.max(F.length("_head") - F.length(F.replace("_head", F.lit(","), F.lit(""))))).first()[0]
+    fields = ", ".join(f"c{k} string" for k in range((wide or 0) + 1))
+    row = lambda x: F.array(*[F.from_csv(x, F.lit(fields))[f"c{k}"] for k in range((wide or 0) + 1)])
+    heads = stored(heads.select("run", "_head", F.transform(row(bare), lambda x: F.trim(blank(x))).alias("_names")))
+    names = sorted(r[0] for r in heads.select(F.explode("_names").alias("x")).where("x <> ''").distinct().limit(most_columns + 1).collect())
+    if len(names) > most_columns:
+        raise ValueError(f"more than {most_columns} columns")
+    rows = lines.join(heads, "run").where("NOT (_at = 0 AND value = _head)").select("run", "_names", row(F.col("value")).alias("_values"))
+    return rows.select("run", *[F.get("_values", F.array_position("_names", x).cast("int") - 1).alias(x) for x in names])
+
+
+def ordered_union(spark: SparkSession, sources: list[tuple[str, Callable[[], DataFrame]]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of several sources of JSON payloads, in the order of their registry.
+
+    A source is a name and what reads its (position, payload); payloads are read by ``schema``. Rows have source, registry, position and the fields of the
+    schema. A source that can't be read, and every payload that isn't an object, become rows of errors (source, registry, position, category, detail)
+    and stop no other source.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
-    heads = lines.withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("head"))
-    out = None
-    for head, files in heads.groupBy("head").agg(F.collect_list("file")).orderBy("head").collect():  # as many rows as there are different headers
-        names = [x.strip() for x in next(csv.reader([head.lstrip("\ufeff")]), [])]
-        part = spark.read.csv(files, header=True, schema=", ".join(f"`{x}` string" for x in names), recursiveFileLookup=True, mode="PERMISSIVE", encoding="UTF-8")
-        part = part.select("*", F.col("_metadata.file_path").alias("run"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "run string")
+    rows = errors = None
+    for k, (name, read) in enumerate(sources):
+        own = [F.lit(name).alias("source"), F.lit(k).alias("registry")]
+        try:
+            payloads = read().select(*own, F.col("position").cast("long").alias("position"), F.col("payload").cast("string").alias("payload"))
+        except (AnalysisException, OSError, ValueError) as e:
+            lost = spark.createDataFrame([(name, k, None, "unreadable", str(e).split("\n")[0][:200])], ERRORS)
+            errors = lost if errors is None else errors.unionByName(lost)
+            continue
+        parsed = payloads.withColumn("_r", F.from_json("payload", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+        bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+        good = parsed.where(~bad).select("source", "registry", "position", "_r.*").drop("_corrupt")
+        broken = parsed.where(bad).select("source", "registry", "position", F.when(F.col("payload").isNull(), "missing").otherwise("malformed").alias("category"), F.left("payload", F.lit(200)).alias("detail"))
+        rows = good if rows is None else rows.unionByName(good)
+        errors = broken if errors is None else errors.unionByName(broken)
+    empty = lambda s: spark.createDataFrame([], s)
+    return rows if rows is not None else empty(f"source string, registry int, position long, {schema}"), errors if errors is not None else empty(ERRORS)
+
+
+ERRORS = "source string, registry int, position long, category string, detail string"
 
 
 def choose_live(live: DataFrame, frozen: DataFrame, least: int = 200) -> DataFrame:
