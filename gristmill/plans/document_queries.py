@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import audits
+from gristmill.operators import audits, gate
 from gristmill.operators import documents as D
 from gristmill.operators import evidence as E
 from gristmill.operators.market import separation
@@ -58,14 +58,6 @@ def e2_concept_score(spark, sf_dir):
     return rows.select("doc_id", F.aggregate("c", F.lit(0), lambda a, x: a + F.element_at(weights, x)).cast("long").alias("score"), F.array_join("c", ",").alias("concepts"))
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line, unnest(p) AS body FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
-h AS (SELECT *, last_value(CASE WHEN length(body) BETWEEN 1 AND 30 THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS heading FROM l)
-SELECT doc_id, heading, count(*) AS lines, min(line) AS first_line FROM h GROUP BY ALL""")
-def c2_sections(spark, sf_dir):
-    rows = D.sections(_docs(spark, sf_dir), lambda b: F.length(b).between(1, 30))
-    return rows.groupBy("doc_id", "heading").agg(F.count("*").alias("lines"), F.min("line").cast("long").alias("first_line"))
-
-
 @query()
 def c3_status(spark, sf_dir):
     return _found(spark, sf_dir).groupBy("doc_id", "concept", "status").agg(F.count("*").alias("n"))
@@ -113,36 +105,6 @@ def c8_assess_all(spark, sf_dir):
     return per.groupBy("concept", "doc_id").agg(F.sum("n").alias("n")).groupBy("concept").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).crossJoin(F.broadcast(lost))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '(^|[^a-z0-9])license')) AS boundary, len(regexp_extract_all(lower(coalesce(text, '')), 'license')) AS any_place FROM documents WHERE contains(lower(text), 'license')")
-def c9_vocabulary_scan(spark, sf_dir):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return _docs(spark, sf_dir).where(low.contains("license")).select("doc_id", F.regexp_count(low, F.lit("(^|[^a-z0-9])license")).cast("long").alias("boundary"), F.regexp_count(low, F.lit("license")).cast("long").alias("any_place"))
-
-
-@query("SELECT doc_id FROM (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '(^|[^a-z0-9])license')) AS n FROM documents) WHERE n >= 1 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def c10_structural_gate(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return c9_vocabulary_scan(spark, sf_dir).where("boundary >= 1").join(good, "doc_id", "left_semi").select("doc_id")
-
-
-@query("SELECT conv_id, least(5, greatest(1, count(DISTINCT role) + (count(*) > 2)::INT + (max(length(text)) > 400)::INT)) AS centrality FROM conversations GROUP BY conv_id")
-def c11_centrality(spark, sf_dir):
-    flag = lambda c: c.cast("int")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.least(F.lit(5), F.greatest(F.lit(1), F.size(F.collect_set("role")) + flag(F.count("*") > 2) + flag(F.max(F.length("text")) > 400))).cast("long").alias("centrality"))
-
-
-@query("SELECT DISTINCT p_brand AS term FROM part WHERE p_size > 45 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_type = 'PROMO' AND p_size < 3)")
-def c12_widen(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return part.where("p_size > 45").select(F.col("p_brand").alias("term")).distinct().join(part.where("p_type = 'PROMO' AND p_size < 3").select(F.col("p_brand").alias("term")).distinct(), "term", "left_anti")
-
-
-@query("WITH e AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS atom FROM part), known AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS atom FROM part WHERE p_size < 25) SELECT e.p_partkey, e.atom FROM e JOIN known USING (atom)")
-def c13_identities(spark, sf_dir):
-    atoms = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("atom"))
-    return atoms.select("p_partkey", "atom").join(atoms.where("p_size < 25").select("atom").distinct(), "atom")
-
-
 @query("WITH k AS (SELECT c_custkey, 1 AS pos, c_mktsegment AS key FROM customer UNION ALL SELECT c_custkey, 2, 'ANY' FROM customer), m AS (SELECT c_mktsegment AS key, count(*) AS seen FROM customer GROUP BY 1 HAVING count(*) >= 295 UNION ALL SELECT 'ANY', count(*) FROM customer) SELECT c_custkey, min_by(m.key, pos) AS signal FROM k JOIN m ON k.key = m.key GROUP BY c_custkey")
 def c14_market_signal(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -152,11 +114,6 @@ def c14_market_signal(spark, sf_dir):
     return keys.join(known, "key").groupBy("c_custkey").agg(F.min_by("key", "pos").alias("signal"))
 
 
-@query("SELECT conv_id, role AS mode, count(*) AS asserted, CASE WHEN count(*) >= 2 THEN 'strong' ELSE 'weak' END AS strength FROM conversations GROUP BY 1, 2")
-def c15_work_modes(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("mode")).agg(F.count("*").alias("asserted"), F.when(F.count("*") >= 2, "strong").otherwise("weak").alias("strength"))
-
-
 @query()
 def c15_document_modes(spark, sf_dir):
     return E.work_modes(E.work_hits(E.lines(_docs(spark, sf_dir))))
@@ -168,24 +125,6 @@ def c16_attachments(spark, sf_dir):
     return E.work_hits(E.lines(_docs(spark, sf_dir))).groupBy("doc_id", "mode", "kind").agg(F.count("*").alias("attached"))
 
 
-@query("WITH m AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, bool_or(role = 'assistant' AND n >= 2) AS supported, sum(n) < 2 AS thin FROM m GROUP BY conv_id")
-def c17_role_record(spark, sf_dir):
-    modes = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
-    return modes.groupBy("conv_id").agg(F.bool_or((F.col("role") == "assistant") & (F.col("n") >= 2)).alias("supported"), (F.sum("n") < 2).alias("thin"))
-
-
-@query("SELECT conv_id, turn, contains(lower(text), 'the') AS grounded, length(text) < 200 AS short FROM conversations")
-def c18_grounding(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").contains("the").alias("grounded"), (F.length("text") < 200).alias("short"))
-
-
-@query("SELECT o_custkey, sum(len) AS computed, max(stated) AS stated, sum(len) <> max(stated) AS corrected FROM (SELECT o_custkey, o_orderstatus, max(year(o_orderdate)) - min(year(o_orderdate)) + 1 AS len, count(*) AS stated FROM orders GROUP BY 1, 2) GROUP BY o_custkey")
-def c19_stated_vs_computed(spark, sf_dir):
-    year = F.year("o_orderdate")
-    runs = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg((F.max(year) - F.min(year) + 1).cast("long").alias("len"), F.count("*").alias("stated"))
-    return runs.groupBy("o_custkey").agg(F.sum("len").alias("computed"), F.max("stated").alias("stated"), (F.sum("len") != F.max("stated")).alias("corrected"))
-
-
 @query()
 def c20_evidence_profile(spark, sf_dir):
     """Weights of every document's concepts from its evidence, with what they rest on."""
@@ -200,12 +139,6 @@ def c21_corpus_profiles(spark, sf_dir):
     return rows.select("person", "concept", "docs", F.least(F.lit(5), 1 + F.floor(F.log2(1 + F.col("uses")))).cast("int").alias("weight"))
 
 
-@query("SELECT o_custkey, round(max(o_totalprice), 2) AS best, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS titles FROM orders WHERE o_orderpriority NOT LIKE '4%' GROUP BY o_custkey")
-def m26_role_keywords(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where(~F.col("o_orderpriority").like("4%"))
-    return rows.groupBy("o_custkey").agg(F.round(F.max("o_totalprice"), 2).alias("best"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("titles"))
-
-
 @query("WITH p AS (SELECT l_orderkey AS doc, l_returnflag AS field, count(*) FILTER (WHERE l_quantity > 25) AS p, count(*) FILTER (WHERE l_discount > 0.04) AS y, count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.04) AS tp FROM lineitem GROUP BY 1, 2) SELECT field, round(avg(CASE WHEN p + y > 0 THEN 2.0 * tp / (p + y) END), 6) AS macro_f1 FROM p GROUP BY field")
 def a18_macro_f1(spark, sf_dir):
     p, y = F.col("l_quantity") > 25, F.col("l_discount") > 0.04
@@ -333,3 +266,41 @@ def c19_years(spark, sf_dir):
 def m26_title_keywords(spark, sf_dir):
     titles = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("person"), F.col("p_partkey").alias("start"), F.concat(F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" / "), F.col("p_name"), F.lit(" "), F.col("p_type")).alias("title"))
     return audits.role_keywords(titles, "person", ("promo", "large")).select("person", "keyword", F.col("first.start").alias("start"))
+
+
+#: Documents by part number: what the gate keeps of them, with why, centrality and what that rests on; first what a profile has already.
+KNOWN = ["natural language processing", "nlp", "react", "react native", "sql", "kafka", "node.js"]
+CLAIMS = (
+    ("Skills\nkafka, react\nWork Experience\n{p_brand}\n- Used kafka with sql.", [("kafka", "listed under skills", 5, "listed under skills, named more than once, used in experience or projects"), ("react", "listed under skills", 3, "listed under skills")]),
+    ("Skills\nNLP\nProjects\n{p_brand}\n- Natural language processing of {p_size} texts.", [("nlp", "listed under skills", 3, "listed under skills"), ("natural language processing", "its expansion 'nlp' is listed under skills", 4, "listed under skills, used in experience or projects")]),
+    ("Summary\nsql, and more sql at {p_brand}.\nMysql; react native", [("sql", "named more than once", 3, "named more than once, used in experience or projects")]),
+    ("Work Experience\n{p_brand}\n- andkafka and kafka once, nodejs twice: nodejs", [("kafka", "named more than once", 3, "named more than once, used in experience or projects")]),
+    ("nothing at {p_brand}", []),
+)
+_Q = lambda x: "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
+KEPT = "kept(k, term, why, centrality, rests_on) AS (VALUES " + ", ".join(f"({k}, {', '.join(map(_Q, row))})" for k, (_, rows) in enumerate(CLAIMS) for row in rows) + ")"
+
+
+def _kept(spark, sf_dir):
+    found = gate.hits(_filled(spark, sf_dir, CLAIMS), KNOWN, "p_partkey")
+    return gate.gated(found, gate.abbreviations(gate.vocabulary_of(spark, KNOWN)), "p_partkey")
+
+
+@query(f"WITH {KEPT} SELECT p_partkey, term, why FROM part JOIN kept ON p_partkey % {len(CLAIMS)} = k")
+def c10_structural_gate(spark, sf_dir):
+    """The terms that documents really claim, each with its reason."""
+    return _kept(spark, sf_dir).select("p_partkey", "term", "why")
+
+
+@query(f"WITH {KEPT} SELECT p_partkey, term, centrality, rests_on FROM part JOIN kept ON p_partkey % {len(CLAIMS)} = k")
+def c11_centrality(spark, sf_dir):
+    """How central each of them is to its document, and what that rests on."""
+    return _kept(spark, sf_dir).select("p_partkey", "term", "centrality", "rests_on")
+
+
+@query(f"WITH {KEPT}, own AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'kafka' ELSE 'sql' END AS term, 4 AS weight FROM part) SELECT p_partkey, term, weight, '' AS added FROM own UNION ALL SELECT p_partkey, term, centrality, why FROM part JOIN kept ON p_partkey % {len(CLAIMS)} = k WHERE term <> CASE WHEN p_size % 2 = 0 THEN 'kafka' ELSE 'sql' END")
+def c12_widen(spark, sf_dir):
+    """Profiles with what their documents claim beside it."""
+    own = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "Kafka ").otherwise(" SQL").alias("raw"))
+    wide = gate.widened(own.select("p_partkey", F.col("raw").alias("term"), F.lit(4).alias("weight")), _kept(spark, sf_dir), "p_partkey")
+    return wide.select("p_partkey", F.trim(F.lower("term")).alias("term"), "weight", "added")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions import experience
+from gristmill.functions import resume as R
 from gristmill.functions import signals as S
 from gristmill.functions import text as X
-from gristmill.operators import ranking, scoring
+from gristmill.operators import chain, ranking, scoring
+from gristmill.operators.chain import Settings
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, postings, table
 
@@ -221,12 +223,6 @@ def e16_enrich(spark, sf_dir):
     return scoring.enriched(postings(spark, sf_dir), 5.5).drop("description")
 
 
-@query(SCORED + " SELECT arrival, title, company, location, score, matched_skills, is_fullstack, CASE WHEN score >= 12 THEN 'high' WHEN score >= 6 THEN 'medium' ELSE 'low' END AS tier FROM final")
-def e18_output(spark, sf_dir):
-    tier = F.when(F.col("score") >= 12, "high").when(F.col("score") >= 6, "medium").otherwise("low")
-    return scored_postings(spark, sf_dir).select("arrival", "title", "company", "location", "score", "matched_skills", "is_fullstack", tier.alias("tier"))
-
-
 @query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age, CASE WHEN date_diff('day', o_orderdate::DATE, DATE '2002-01-01') <= 365 THEN 'this year' ELSE 'older' END AS label FROM orders")
 def e19_posting_age(spark, sf_dir):
     on = S.posted_on(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"), F.lit("2002-01-01").cast("date"))
@@ -262,13 +258,6 @@ def e23_native_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", rx, 1).alias("native_id"), F.col("url").rlike(rx).alias("valid"))
 
 
-@query("SELECT p_partkey, CASE WHEN ends_with(p_name, ' ' || split_part(p_name, ' ', 2)) THEN left(p_name, length(p_name) - length(split_part(p_name, ' ', 2)) - 1) ELSE p_name END AS base FROM part")
-def e24_base_title(spark, sf_dir):
-    tail = F.concat(F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)))
-    base = F.when(F.endswith("p_name", tail), F.left("p_name", F.length("p_name") - F.length(tail))).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"))
-
-
 @query("SELECT o_orderkey, left(sha256(o_orderpriority || chr(31) || o_custkey), 12) AS query_fp, left(sha256(o_orderpriority), 12) AS keyword_fp FROM orders")
 def e25_fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.fingerprint("o_orderpriority", F.col("o_custkey").cast("string")).alias("query_fp"), X.fingerprint("o_orderpriority").alias("keyword_fp"))
@@ -279,17 +268,107 @@ def e26_mismatch(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("red", "widget", "bolt")))).alias("title_matches"))
 
 
-@query("SELECT o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) AS month_index FROM orders")
+#: Months by order number: how they are written, and what is read.
+MONTHS = (
+    ("strftime(o_orderdate, '%b %Y')", "m"), ("strftime(o_orderdate, '%Y-%m')", "m"), ("'Present'", "24017"), ("'15 ' || strftime(o_orderdate, '%B %Y')", "m"), ("strftime(o_orderdate, '%m/%Y')", "m"),
+    ("strftime(o_orderdate, '%Y') || '-19'", "NULL"), ("strftime(o_orderdate, '%Y')", "year(o_orderdate) * 12 + 1"), ("'soon'", "NULL"), ("''", "NULL"), ("strftime(o_orderdate, '%b, %Y - ') || '2150'", "m"),
+)
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % {len(MONTHS)} {' '.join(f'WHEN {k} THEN {right}' for k, (_, right) in enumerate(MONTHS))} END AS month_index FROM (SELECT *, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders)")
 def e27_month_parse(spark, sf_dir):
-    text = F.date_format("o_orderdate", "MMM yyyy")
-    number = F.element_at(F.create_map(*[F.lit(x) for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1) for x in (m, k)]), F.lower(F.substring(text, 1, 3)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.regexp_extract(text, r"(\d{4})", 1).cast("long") * 12 + number).alias("month_index"))
+    """Months as people write them: by name or number, with a day, with nothing but a year, today, and what can't be one."""
+    at = lambda form: F.date_format("o_orderdate", form)
+    forms = [at("MMM yyyy"), at("yyyy-MM"), F.lit(" Present "), F.concat(F.lit("15 "), at("MMMM yyyy")), at("MM/yyyy"), F.concat(at("yyyy"), F.lit("-19")), at("yyyy"), F.lit("soon"), F.lit(""), F.concat(at("MMM, yyyy - "), F.lit("2150"))]
+    text = F.get(F.array(*forms), F.col("o_orderkey") % len(forms))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.month_index(text, F.lit("2001-05-20").cast("date")).alias("month_index"))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:2], '; ') AS items FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS l FROM part)")
+@query("SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:3], '; ') AS items FROM (SELECT p_partkey, [p_name, 'x' || p_size || ' y', repeat('z', 30), lower(p_type), p_type] AS l FROM part)")
 def e28_list_hygiene(spark, sf_dir):
-    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_name")), " ")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_distinct(words), 1, 2), "; ").alias("items"))
+    """Lists of strings cleaned: control characters and white space, repeats in another case, blanks, caps of items and of characters."""
+    values = F.array(F.concat(F.lit("\t"), F.upper("p_name"), F.lit("\x07")), F.lit(None).cast("string"), F.concat(F.lit("  x"), F.col("p_size"), F.lit("\r\n y ")), F.col("p_name"), F.lit(" \n "), F.repeat(F.lit("z"), 400), F.lower("p_type"), F.col("p_type"))
+    named = F.transform(values, lambda v, i: F.when(i == 0, F.concat(F.lit("\t"), F.col("p_name"), F.lit("\x07"))).otherwise(v))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(R.signal_list(named, 3, 30), "; ").alias("items"))
+
+
+# ---- the whole chain -----------------------------------------------------------------------------------------------------------
+
+#: Postings by customer number: STATED texts with pay, dates and requirements of many kinds. For each text its score by CHAIN.
+CHAIN = scoring.Profile({"remote": 4, "clients": 3, "desk": 2, "contract": 6, "utc": 5}, {"twice": -3}, hard_drop=("principal",), soft_drop=("junior",), blocklist=("BUILDING",), max_years=8)
+LIMITS = Settings(min_score=2, max_age_days=20, min_comp_usd=40_000, remote_scopes=("worldwide", "remote"), home_regions=("India", "EMEA"), drop_no_visa=True, require_eor=False, drop_excluded=True)
+ON_SITE = Settings(min_score=0, drop_undated=True, max_age_days=25, on_site_only=True, home_country=("berlin", "india"))
+
+
+def _chain_score(text: str | None) -> int:
+    low = (text or "").lower()
+    return sum(w for t, w in (CHAIN.skills | CHAIN.penalties).items() if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", low))
+
+
+def _chain_row(k: int) -> str:
+    place, text, scope, regions, eligibility, visa, eor, zones, _ = STATED[k]
+    head = "Europe" if place == "Europe, Remote" else "India" if place and "India" in place and "remote" in place.lower() else ""
+    remote_regions = head or ("" if scope == "worldwide" else eligibility)
+    return f"({k}, {_literal(place)}, {_literal(text)}, '{scope}', '{remote_regions}', '{visa}', '{eor}', '{zones}', {_chain_score(text)})"
+
+
+CHAINED = (
+    f"s(k, place, said, scope, regions, visa, eor, zones, base) AS (VALUES {', '.join(map(_chain_row, range(len(STATED))))}), "
+    "p AS (SELECT c_custkey AS id, c_mktsegment AS company, CASE WHEN c_custkey % 17 = 0 THEN 'Principal Engineer' WHEN c_custkey % 17 = 1 THEN 'Junior Engineer' ELSE 'Engineer' END AS title, "
+    "(c_custkey * 7) % 31 AS age, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 20 + c_custkey % 40 END AS pay, c_custkey % 13 AS years, s.* FROM customer JOIN s ON c_custkey % 12 = k WHERE c_mktsegment <> 'BUILDING'), "
+    "q AS (SELECT *, base + CASE WHEN title LIKE 'Junior%' THEN -4 ELSE 0 END AS score, title LIKE 'Principal%' OR years > 8 AS excluded, scope IN ('worldwide', 'remote', 'restricted') AS remote, id % 23 = 0 AS undated, id % 5 = 0 AS hires_home FROM p)"
+)
+
+
+def _chain_postings(spark, sf_dir):
+    key = F.col("c_custkey")
+    at = lambda k: F.get(F.array(*[F.lit(row[k]) for row in STATED]), key % len(STATED))
+    title = F.when(key % 17 == 0, "Principal Engineer").when(key % 17 == 1, "Junior Engineer").otherwise("Engineer")
+    asks = F.when(key % 13 > 0, F.concat((key % 13).cast("string"), F.lit("+ years of experience needed.")))
+    return table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.col("c_mktsegment").alias("company"), title.alias("title"), at(0).alias("location"), F.concat_ws("\n", at(1), asks).alias("description"), F.when(key % 9 > 0, F.concat(F.lit("USD "), 20 + key % 40, F.lit("k a year"))).alias("salary"),
+        F.when(key % 23 == 0, "whenever").otherwise(F.concat(((key * 7) % 31).cast("string"), F.lit(" days ago"))).alias("posted_raw"), F.when(key % 5 == 0, "yes").alias("hires_home"), F.lit("board:x").alias("source"), F.concat(F.lit("http://j/"), key).alias("job_url"), F.lit("stated elsewhere").alias("experience"))
+
+
+AS_OF = "2024-06-01"
+STAGED = "CASE WHEN excluded THEN 'excluded' WHEN score < 2 THEN 'score' WHEN NOT undated AND age > 20 THEN 'stale' WHEN pay < 40 THEN 'salary' WHEN NOT (scope IN ('worldwide', 'remote') OR scope = 'restricted' AND (hires_home OR regions IN ('India', 'EMEA'))) THEN 'unreachable' WHEN visa = 'no' THEN 'visa' END"
+
+
+@query(f"WITH {CHAINED} SELECT id, score + CASE WHEN excluded THEN -20 ELSE 0 END AS score, {STAGED} AS drop_stage FROM q")
+def f15_all_stages(spark, sf_dir):
+    """The first filter that each posting fails: exclusion, score, age, pay, reach, visa, contractor, arrangement, place."""
+    rows = chain.staged(_chain_postings(spark, sf_dir), CHAIN, LIMITS, F.lit(AS_OF).cast("date"))
+    return rows.select("id", "score", "drop_stage")
+
+
+@query(f"WITH {CHAINED}, d AS (SELECT *, {STAGED} AS stage FROM q), n(place, name) AS (VALUES (0, 'excluded'), (1, 'score'), (2, 'stale'), (3, 'salary'), (4, 'unreachable'), (5, 'visa'), (6, 'eor'), (7, 'arrangement'), (8, 'geography')), e AS (SELECT d.*, coalesce((SELECT place FROM n WHERE name = stage), 9) AS last FROM d) SELECT name AS stage, count(*) AS entered, count(*) FILTER (WHERE last = n.place) AS dropped, count(*) FILTER (WHERE name = 'unreachable' AND last > n.place AND scope = 'restricted') AS rescued FROM e JOIN n ON last >= n.place GROUP BY 1")
+def f15_stage_counts(spark, sf_dir):
+    """How many postings came to each filter, went there, or were reachable only from home."""
+    return chain.counts(chain.staged(_chain_postings(spark, sf_dir), CHAIN, LIMITS, F.lit(AS_OF).cast("date")))
+
+
+@query(f"WITH {CHAINED} SELECT CASE WHEN excluded THEN 'excluded' WHEN score < 0 THEN 'score' WHEN undated OR age > 25 THEN 'stale' WHEN remote THEN 'arrangement' WHEN coalesce(place, '') <> '' AND NOT regexp_matches(lower(place), '(^|[^a-z0-9])(berlin|india)([^a-z0-9]|$)') THEN 'geography' END AS drop_stage, count(*) AS n FROM q GROUP BY 1")
+def f15_on_site_chain(spark, sf_dir):
+    """The chain of someone who looks for work on site, near home, and drops what has no date."""
+    rows = chain.staged(_chain_postings(spark, sf_dir), CHAIN, ON_SITE, F.lit(AS_OF).cast("date"))
+    return rows.groupBy("drop_stage").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHAINED}, m AS (SELECT *, list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(coalesce(said, {chr(39)}{chr(39)})), {chr(39)}(^|[^a-z0-9]){t}([^a-z0-9]|$){chr(39)}) THEN {chr(39)}{t}{chr(39)} END' for t in CHAIN.skills)}], lambda x: x IS NOT NULL) AS hit FROM q) SELECT score + CASE WHEN excluded THEN -20 ELSE 0 END AS score, array_to_string(hit, ', ') AS matched_skills, false AS is_fullstack, title, company, coalesce(place, '') AS location, remote AS \"remote?\", scope AS remote_scope, CASE WHEN hires_home THEN 'yes' ELSE '' END AS hires_home, '' AS tz_gap, regions AS remote_regions, visa, eor, zones AS timezones, CASE WHEN years > 0 THEN years || '+' ELSE 'stated elsewhere' END AS experience_required, coalesce('USD ' || pay || 'k a year', '') AS salary, '' AS hr_email, '' AS hr_phone, 'board:x' AS source_site, 'http://j/' || id AS apply_url, CASE WHEN undated THEN 'whenever' ELSE age || ' days ago' END AS date_posted, '' AS req_number, '' AS grade, '' AS verified_live, '' AS search_query, '' AS search_rank FROM m")
+def e18_output_columns(spark, sf_dir):
+    """The 26 columns of the output."""
+    return chain.output(chain.staged(_chain_postings(spark, sf_dir), CHAIN, LIMITS, F.lit(AS_OF).cast("date")))
+
+
+@query("WITH s AS (SELECT o_orderkey, o_orderpriority AS company, CASE WHEN o_orderkey % 7 = 0 THEN 'Principal X' ELSE 'X' END AS title, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'worldwide' WHEN 2 THEN 'restricted' WHEN 3 THEN 'onsite' ELSE '' END AS scope, CASE o_orderkey % 4 WHEN 0 THEN 9 WHEN 1 THEN 2 END AS years, o_orderkey % 3 = 0 AS home, (o_orderkey * 5) % 29 AS age, o_orderkey % 11 = 0 AS undated FROM orders) SELECT o_orderkey FROM s WHERE company <> '5-LOW' AND (scope IS NULL OR scope = 'worldwide' OR scope = 'restricted' AND home) AND (undated OR age <= 20) AND title = 'X' AND coalesce(years <= 8, true)")
+def f16_stored_rows(spark, sf_dir):
+    """Stored rows that today's settings would still report."""
+    key = F.col("o_orderkey")
+    stored = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("company"), F.when(key % 7 == 0, "Principal X").otherwise("X").alias("title"), F.get(F.array(F.lit(None), *map(F.lit, ("worldwide", "restricted", "onsite", ""))), key % 5).alias("remote_scope"), F.lit("US").alias("remote_regions"),
+        F.get(F.array(*map(F.lit, ("9+", " 2-4 Yrs", "Full Time", ""))), key % 4).alias("experience_required"), F.when(key % 3 == 0, "true").otherwise("").alias("hires_home"), F.when(key % 11 == 0, "n/a").otherwise(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), ((key * 5) % 29).cast("int")), "yyyy-MM-dd")).alias("date_posted"))
+    settings = Settings(max_age_days=20, remote_scopes=("worldwide", "remote"), blocklist=("5 low",), hard_drop=("principal",), max_years=8)
+    return chain.applyable(stored, settings, F.lit(AS_OF).cast("date")).select("o_orderkey")
 
 
 # ---- filters -----------------------------------------------------------------------------------------------------------------
@@ -395,12 +474,6 @@ def f15_filter_chain(spark, sf_dir):
     return scored_postings(spark, sf_dir).groupBy(stage.alias("drop_stage")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query(ctes("posting") + f" SELECT arrival FROM posting WHERE company NOT IN {BLOCKED} AND NOT {_any_of('lower(title)', HARD)} AND coalesce(try_cast(nullif(regexp_extract(title, '(\\d+)', 1), '') AS INT) <= 6, true)")
-def f16_reapply(spark, sf_dir):
-    years = F.regexp_extract("title", r"(\d+)", 1).try_cast("int")
-    return postings(spark, sf_dir).where(~X.norm_company("company").isin(*BLOCKED) & ~X.mentions("title", HARD) & F.coalesce(years <= 6, F.lit(True))).select("arrival")
-
-
 @query(ctes("posting") + " SELECT arrival, score FROM posting WHERE score >= 20 AND starts_with(company, 'src1') AND contains(lower(title || ' ' || description), 'license')")
 def f17_screen_view(spark, sf_dir):
     rows = postings(spark, sf_dir).where((F.col("score") >= 20) & F.col("company").startswith("src1"))

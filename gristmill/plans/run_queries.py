@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import job_key
-from gristmill.operators import audits, counterfactuals, funnels
+from gristmill.operators import audits, counterfactuals, funnels, overlap
 from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
@@ -92,31 +92,11 @@ def a19_board_hygiene(spark, sf_dir):
     return titles.groupBy("board").agg(F.count("*").alias("titles"), F.max("span").alias("max_span"), F.round(F.sum(F.when(F.col("span") > 1, F.col("n"))) / F.sum("n"), 6).alias("spanning_share"), F.round(F.count("*") / F.sum("n"), 6).alias("collapse_ratio"))
 
 
-@query("SELECT o_orderpriority AS source, count(*) AS rows, count(*) FILTER (WHERE date_diff('day', o_orderdate::DATE, DATE '1999-06-30') BETWEEN 0 AND 14) AS fresh14, count(*) FILTER (WHERE date_diff('day', o_orderdate::DATE, DATE '1999-06-30') BETWEEN 0 AND 21) AS fresh21, count(*) FILTER (WHERE o_orderdate IS NULL) AS undated, count(*) FILTER (WHERE o_orderdate::DATE > DATE '1999-06-30') AS future FROM orders GROUP BY 1")
-def a20_snapshot(spark, sf_dir):
-    age = F.datediff(F.lit("1999-06-30").cast("date"), F.col("o_orderdate").cast("date"))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("rows"), F.count_if(age.between(0, 14)).alias("fresh14"), F.count_if(age.between(0, 21)).alias("fresh21"), F.count_if(F.col("o_orderdate").isNull()).alias("undated"), F.count_if(age < 0).alias("future"))
-
-
 @query(R + " SELECT source, count(*) AS n, sum(score) AS total, min(score) AS low, quantile_cont(score, 0.5) AS median, max(score) AS high, quantile_disc(score, 0.95)::DOUBLE AS p95 FROM result GROUP BY source")
 def a21_distributions(spark, sf_dir):
     return results(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.min("score").alias("low"), F.percentile("score", 0.5).alias("median"), F.max("score").alias("high"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY score)").alias("p95"))
 
 
-@query("SELECT o_custkey AS id, count(DISTINCT o_orderpriority) AS keys, count(DISTINCT year(o_orderdate)) AS runs FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
-def a22_identity_drift(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.size(F.collect_set("o_orderpriority")).cast("long").alias("keys"), F.size(F.collect_set(F.year("o_orderdate"))).cast("long").alias("runs"))
-    return ids.where("keys > 1")
-
-
-@query("SELECT same, count(*) AS n FROM (SELECT lower(c_mktsegment) = trim(regexp_replace(lower(c_mktsegment || '!'), '[^a-z0-9]+', ' ', 'g')) AS same FROM customer) GROUP BY same")
-def a23_ledger_check(spark, sf_dir):
-    from gristmill.functions.text import norm_key
-
-    same = F.lower("c_mktsegment") == norm_key(F.concat("c_mktsegment", F.lit("!")))
-    return table(spark, sf_dir, "customer").groupBy(same.alias("same")).agg(F.count("*").alias("n"))
-
-
 @query(R + ", g AS (SELECT source, key, count(*) AS n, count(DISTINCT unit_id) AS ids FROM result GROUP BY 1, 2) SELECT source, sum(n) AS rows, sum(n) - count(*) AS collapsed, count(*) FILTER (WHERE ids > 1) AS several_ids, round((sum(n) - count(*)) / sum(n), 6) AS ratio FROM g GROUP BY source")
 def a24_collapsed(spark, sf_dir):
     g = results(spark, sf_dir).groupBy("source", "key").agg(F.count("*").alias("n"), (F.min("unit_id") < F.max("unit_id")).alias("several"))
@@ -179,13 +159,6 @@ def a33_two_systems(spark, sf_dir):
     return rows.groupBy("source", F.when(a & b, "both").when(a, "only-a").when(b, "only-b").otherwise("both-wrong").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(R + " SELECT a.source, count(*) AS pairs, count(*) FILTER (WHERE a.score = b.score) AS equal FROM result a JOIN result b ON b.unit_id = a.unit_id + 1 AND a.position = b.position GROUP BY a.source")
-def a34_positional_agreement(spark, sf_dir):
-    rows = results(spark, sf_dir).select("unit_id", "position", "source", "score")
-    other = rows.select((F.col("unit_id") - 1).alias("unit_id"), "position", F.col("score").alias("other"))
-    return rows.join(other, ["unit_id", "position"]).groupBy("source").agg(F.count("*").alias("pairs"), F.count_if(F.col("score") == F.col("other")).alias("equal"))
-
-
 @query(P + " SELECT provider, sum(ceiling) FILTER (WHERE status <> 'F') AS remaining, min(ceiling) FILTER (WHERE ceiling > 0) AS cheapest FROM plan GROUP BY provider")
 def a35_outstanding(spark, sf_dir):
     c = F.col("ceiling")
@@ -227,13 +200,6 @@ def d15_rescore(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct(score, -F.col("event_id"))).alias("best"))
 
 
-@query("SELECT s_suppkey, replace(lower(s_name), '#', '-') AS slug, best FROM supplier JOIN (SELECT l_suppkey, max(l_quantity) AS best FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey WHERE s_nationkey <> 3")
-def d16_uncovered_companies(spark, sf_dir):
-    covered = table(spark, sf_dir, "nation").where("n_nationkey = 3").select(F.col("n_nationkey").alias("s_nationkey"))
-    best = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_quantity").alias("best"))
-    return table(spark, sf_dir, "supplier").join(covered, "s_nationkey", "left_anti").join(best, "s_suppkey").select("s_suppkey", F.replace(F.lower("s_name"), F.lit("#"), F.lit("-")).alias("slug"), "best")
-
-
 @query("SELECT DISTINCT p_brand FROM part WHERE p_type = 'PROMO' AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48)")
 def d17_clashes(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -248,10 +214,20 @@ def d18_twins(spark, sf_dir):
     return units.where("place = 0").join(b, "keyword").where("twin < unit_id").select(F.col("unit_id").alias("remote"), "twin", F.size(F.array_intersect("keys", "other")).cast("long").alias("shared"))
 
 
-@query("WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS w FROM part) SELECT a.p_name AS a, b.p_name AS b FROM p a JOIN p b ON a.w[1] = b.w[1] AND a.p_name < b.p_name")
+#: Parts as searches: sites, keywords, places of markets, with and without remote.
+SEARCHES = "s AS (SELECT p_partkey AS id, 'site' || p_size % 2 AS site, CASE p_size % 4 WHEN 0 THEN p_name || ' developer' WHEN 1 THEN split_part(p_name, ' ', 2) WHEN 2 THEN p_name ELSE split_part(p_name, ' ', 1) || ' engineer' END AS keyword, '' AS company, p_partkey % 9 AS place, CASE WHEN p_partkey % 9 < 7 THEN p_partkey % 9 % 3 END AS market, p_partkey % 5 = 0 AS remote FROM part UNION ALL SELECT -1 - n_nationkey, 'site0', 'Developer', '', n_nationkey % 9, 0, false FROM nation WHERE n_nationkey < 4)"
+BARE = "list_filter(string_split(lower(keyword), ' '), lambda x: x NOT IN ('developer', 'engineer'))"
+
+
+@query(f"WITH {SEARCHES}, w AS (SELECT *, {BARE} AS w FROM s), p AS (SELECT a.site, a.company, a.place AS pa, b.place AS pb, a.market, a.market IS NOT DISTINCT FROM b.market AS same, a.keyword AS ka, b.keyword AS kb, a.remote <> b.remote AS apart, len(list_intersect(a.w, b.w)) AS common, len(a.w) AS na, len(b.w) AS nb FROM w a JOIN w b ON a.site = b.site AND a.company = b.company AND a.id < b.id), o AS (SELECT 'structural' AS kind, site, company, market::VARCHAR AS place, ka AS a, ka AS b FROM p WHERE ka = kb AND pa <> pb AND same AND market IS NOT NULL UNION ALL SELECT 'remote', site, company, pa::VARCHAR, ka, ka FROM p WHERE ka = kb AND pa = pb AND apart UNION ALL SELECT 'nested', site, company, pa::VARCHAR, CASE WHEN na < nb OR na = nb AND ka < kb THEN ka ELSE kb END, CASE WHEN na < nb OR na = nb AND ka < kb THEN kb ELSE ka END FROM p WHERE ka <> kb AND pa = pb AND common = least(na, nb)) SELECT kind, site, company, place, a, b, count(*) AS pairs FROM o GROUP BY ALL")
 def d19_plan_overlap(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w"), F.col("p_name").alias("a")).distinct()
-    return names.join(names.select("w", F.col("a").alias("b")), "w").where("a < b").select("a", "b")
+    """Searches that may bring the same rows, of three kinds, with the number of their pairs."""
+    part, size, key = table(spark, sf_dir, "part"), F.col("p_size"), F.col("p_partkey")
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    keyword = F.when(size % 4 == 0, F.concat("p_name", F.lit(" developer"))).when(size % 4 == 1, word(2)).when(size % 4 == 2, F.col("p_name")).otherwise(F.concat(word(1), F.lit(" engineer")))
+    searches = part.select(F.concat(F.lit("site"), size % 2).alias("site"), keyword.alias("keyword"), F.lit("").alias("company"), (key % 9).cast("string").alias("place"), F.when(key % 9 < 7, key % 9 % 3).cast("string").alias("market"), (key % 5 == 0).alias("remote"))
+    plain = table(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.lit("site0").alias("site"), F.lit("Developer").alias("keyword"), F.lit("").alias("company"), (F.col("n_nationkey") % 9).cast("string").alias("place"), F.lit("0").alias("market"), F.lit(False).alias("remote"))
+    return overlap.plan_overlap(searches.union(plain))
 
 
 # ---- plan order --------------------------------------------------------------------------------------------------------------------
@@ -328,13 +304,6 @@ def w8_depth_report(spark, sf_dir):
     return counterfactuals.report(*_bought(spark, sf_dir), DEPTH, TOP)
 
 
-@query(B + ", o AS (SELECT key, list(DISTINCT provider) AS origins, max(score) AS best FROM result JOIN plan USING (unit_id) GROUP BY key) SELECT count(*) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS lost, count(*) AS keys, max(best) FILTER (WHERE len(list_filter(origins, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0) AS best FROM o")
-def w9_removal_loss(spark, sf_dir):
-    origins = results(spark, sf_dir).join(plan_units(spark, sf_dir).select("unit_id", "provider"), "unit_id").groupBy("key").agg(F.collect_set("provider").alias("origins"), F.max("score").alias("best"))
-    gone = F.size(F.array_except("origins", F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))) == 0
-    return origins.agg(F.count_if(gone).alias("lost"), F.count("*").alias("keys"), F.max(F.when(gone, F.col("best"))).alias("best"))
-
-
 @query(P + ", s AS (SELECT provider, plan_index, sum(ceiling) OVER (PARTITION BY provider ORDER BY plan_index ROWS UNBOUNDED PRECEDING) AS spent FROM plan) SELECT provider, plan_index, spent FROM s WHERE spent <= 5000000")
 def w10_affordable_prefix(spark, sf_dir):
     return funnels.affordable_prefix(plan_units(spark, sf_dir), "provider", "plan_index", "ceiling", 5_000_000).select("provider", "plan_index", "spent")

@@ -26,13 +26,6 @@ def s1_board_payloads(spark, sf_dir):
     return landed.normalized(_payloads(spark, sf_dir), "payload", BOARD).select("p_partkey", "title", "company", "location", F.col("description"))
 
 
-@query("SELECT o_orderkey, 'USD ' || round(o_totalprice, 0)::BIGINT || ' per year' AS salary, 'UTC' || CASE WHEN o_custkey % 5 < 2 THEN '-' ELSE '+' END || (o_custkey % 12) || ':30' AS timezone, o_orderpriority || ', Remote' AS location FROM orders WHERE o_orderstatus <> 'P'")
-def s2_feed_payloads(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.to_json(F.struct(F.round("o_totalprice", 0).cast("long").alias("max"), (F.col("o_custkey") % 12).alias("off"), (F.col("o_custkey") % 5 < 2).alias("west"), F.col("o_orderpriority").alias("tag"))).alias("p"))
-    sign = F.when(landed.dig("p", "west") == "true", "-").otherwise("+")
-    return orders.select("o_orderkey", F.concat(F.lit("USD "), landed.dig("p", "max"), F.lit(" per year")).alias("salary"), F.concat(F.lit("UTC"), sign, landed.dig("p", "off"), F.lit(":30")).alias("timezone"), F.concat(landed.dig("p", "tag"), F.lit(", Remote")).alias("location"))
-
-
 @query("SELECT s_suppkey, s_name AS company, 'Role ' || s_suppkey AS title, 'a, b' || (s_suppkey % 3) AS categories, 'http://x/' || s_suppkey AS link FROM supplier")
 def s3_rss_items(spark, sf_dir):
     xml = F.concat(F.lit("<item><title>"), F.col("s_name"), F.lit(": Role "), F.col("s_suppkey"), F.lit("</title><link>http://x/"), F.col("s_suppkey"), F.lit("</link><category>a</category><category>b"), F.col("s_suppkey") % 3, F.lit("</category></item>"))
@@ -50,12 +43,6 @@ def s5_nested_marketplace(spark, sf_dir):
     return rows.select("p_partkey", landed.flat("payload", "job.places").alias("places"), F.coalesce(landed.dig("payload", "job.url"), F.concat(F.lit("http://jobs/"), landed.dig("payload", "job.ref.id"))).alias("url"))
 
 
-@query("SELECT o_custkey AS employer, min(o_orderkey) AS first_id, count(DISTINCT o_orderdate) AS dates FROM orders GROUP BY 1")
-def s6_employer_sites(spark, sf_dir):
-    day = F.coalesce(F.try_to_date(F.date_format("o_orderdate", "dd/MM/yyyy"), "yyyy-MM-dd"), F.try_to_date(F.date_format("o_orderdate", "dd/MM/yyyy"), "dd/MM/yyyy"))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("employer")).agg(F.min("o_orderkey").alias("first_id"), F.count_distinct(day).alias("dates"))
-
-
 @query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '(?i)<a href=')) AS links FROM pages")
 def s7_html_pages(spark, sf_dir):
     title, lang, links, _ = landed.html_page("html")
