@@ -315,12 +315,6 @@ def w11_plan_product(spark, sf_dir):
     return places.withColumn("i", F.row_number().over(Window.partitionBy("r_name").orderBy("k", "n_name")).cast("long")).where("i <= 20")
 
 
-@query("SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events QUALIFY before IS NOT NULL AND before <> event_type")
-def t7_transitions(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("before")).where("before <> event_type")
-
-
 @query("SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts::DATE = DATE '2024-01-05')")
 def t5_resume_ledger(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -328,12 +322,6 @@ def t5_resume_ledger(spark, sf_dir):
     return events.groupBy("user_id").agg(F.count("*").alias("n")).join(done, "user_id", "left_anti")
 
 
-@query(R + ", o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY arrival) AS i, arrival, score FROM result WHERE score >= 45) SELECT source, i AS milestone, arrival AS reached_at FROM o WHERE i IN (1, 5, 20)")
-def t4_milestones(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("arrival")
-    return results(spark, sf_dir).where("score >= 45").select("source", F.row_number().over(w).cast("long").alias("milestone"), F.col("arrival").alias("reached_at")).where((F.col("milestone") <= 20) & F.col("milestone").isin(1, 5, 20))
-
-
 @query(ctes("posting") + " SELECT company, count(*) AS n, arg_max(arrival, (score, -arrival)) AS best FROM posting GROUP BY company")
 def t6_plan_order(spark, sf_dir):
     """Arrival comes from the plan, so out-of-order results need no buffer: the order is part of the aggregate."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gristmill.registry import query
 from gristmill.sources.shared import folder
+from gristmill.sources.tables import ctes
 from gristmill.streaming import jobs
 
 
@@ -39,3 +40,21 @@ def t2_first_seen(spark, sf_dir):
 def t3_best_per_key(spark, sf_dir):
     """Every batch writes the keys that have changed, and no others."""
     return jobs.latest(jobs.best_per_key(_events(spark, sf_dir), "user_id", "event_type", "value", "event_id"), "user_id", folder(spark))
+
+
+@query(ctes("result") + ", o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY arrival) AS i, arrival FROM result WHERE score >= 45) SELECT source, i AS milestone, arrival AS reached_at FROM o WHERE i IN (1, 5, 20)")
+def t4_milestones(spark, sf_dir):
+    """The first, fifth and twentieth good row of each source, out of a running count that batches carry on."""
+    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    lines = jobs.ingest(spark, path + "*", spark.read.parquet(path).schema)
+    arrival = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    good = lines.where(F.col("l_quantity").cast("int") >= 45).select(F.col("l_returnflag").alias("source"), arrival.alias("arrival"))
+    return jobs.milestones(good, "source", "arrival", (1, 5, 20), folder(spark))
+
+
+@query("SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events QUALIFY before IS NOT NULL AND before <> event_type")
+def t7_transitions(spark, sf_dir):
+    """Every change of a user's kind of event, in the order of the events' times, taken an hour behind the latest."""
+    stream, base = _events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), folder(spark)
+    jobs.transitions(stream, "user_id", "ts", "event_id", "event_type", base, "1 HOUR")
+    return jobs.settled(spark, dict(stream.dtypes), ("user_id", "ts", "event_id", "event_type"), base)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ingest(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -64,3 +65,82 @@ def latest(stream: DataFrame, key: str, base: str) -> DataFrame:
     changes = spark.read.parquet(base + "/changes")
     last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), "part").alias("r"))
     return last.select(*(F.col(f"r.{c}").alias(c) for c in columns))
+
+
+def _parts(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+    """What batches before ``number`` have written under a path, with the number of the batch as ``part``."""
+    if not number:
+        return spark.createDataFrame([], f"{schema}, part long")
+    return spark.read.schema(f"{schema}, part long").option("basePath", path).parquet(path).where(F.col("part") < number)
+
+
+def milestones(stream: DataFrame, by: str, order: str, thresholds: tuple[int, ...], base: str) -> DataFrame:
+    """by, milestone, reached_at: the row of each group at which its count of rows first reached a threshold, each once.
+
+    Counts of earlier batches are a table of one row for each group of a batch; a batch emits the thresholds that it crosses, with the value of ``order`` of the row
+    that crosses (rows of a batch in that order, after those of earlier batches). A batch that is run again overwrites its own parts, and later or late rows
+    never emit a threshold again.
+    """
+    spark, kinds = stream.sparkSession, dict(stream.dtypes)
+    most = max(thresholds)
+    counted, out = f"{by} {kinds[by]}, n long", f"{by} {kinds[by]}, milestone long, reached_at {kinds[order]}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = _parts(spark, base + "/counts", counted, number).groupBy(by).agg(F.sum("n").alias("before"))
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+        first = batch.select(by, order).withColumn("i", rank).where(F.col("i") <= most)
+        placed = first.join(before, first[by].eqNullSafe(before[by]), "left").select(first[by], order, (F.col("i") + F.coalesce("before", F.lit(0))).alias("milestone"))
+        placed.where(F.col("milestone").isin(*thresholds)).select(by, F.col("milestone").cast("long").alias("milestone"), F.col(order).alias("reached_at")).write.mode("overwrite").parquet(f"{base}/reached/part={number}")
+        batch.groupBy(by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/counts/part={number}")
+
+    _batches(stream.select(by, order), base, "append", write)
+    return spark.read.schema(out).parquet(base + "/reached").select(by, "milestone", "reached_at")
+
+
+def transitions(stream: DataFrame, key: str, at: str, tie: str, value: str, base: str, delay: str = "0 seconds") -> DataFrame:
+    """key, tie, value, before: every change of a key's value along (at, tie), each once, though rows may come late by up to ``delay``.
+
+    Rows wait in a table until the largest time seen is ``delay`` beyond theirs; then they are taken in order, after the last row that their key had. What comes
+    later than that goes to a table ``late`` and changes nothing. Batches that are run again overwrite their own parts. ``settled`` takes
+    what still waits, when no more is to come.
+    """
+    _batches(stream.select(key, at, tie, value), base, "append", lambda batch, number: _settle(batch, number, (key, at, tie, value), base, delay))
+    return emitted(stream.sparkSession, dict(stream.dtypes), (key, at, tie, value), base)
+
+
+def settled(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str, str, str], base: str) -> DataFrame:
+    """The transitions when what still waits is taken too."""
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    mark = spark.read.parquet(base + "/marks").agg(F.max("part")).first()[0]
+    if mark is not None:
+        _settle(spark.createDataFrame([], schema), mark + 1, columns, base, None)
+    return emitted(spark, kinds, columns, base)
+
+
+def emitted(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str, str, str], base: str) -> DataFrame:
+    key, _, tie, value = columns
+    return spark.read.schema(f"{key} {kinds[key]}, {tie} {kinds[tie]}, {value} {kinds[value]}, before {kinds[value]}").parquet(base + "/emitted").select(key, tie, value, "before")
+
+
+def _settle(batch: DataFrame, number: int, columns: tuple[str, str, str, str], base: str, delay: str | None) -> None:
+    spark, kinds = batch.sparkSession, dict(batch.dtypes)
+    key, at, tie, value = columns
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    marks = _parts(spark, base + "/marks", f"high {kinds[at]}, bound {kinds[at]}", number)
+    passed, high = marks.agg(F.max("bound"), F.max("high")).first()
+    now = batch.agg(F.max(at)).first()[0]
+    high = max((x for x in (high, now) if x is not None), default=None)
+    edge = F.lit(high).cast(kinds[at])
+    bound = edge if delay is None or high is None else edge - F.expr(f"INTERVAL {delay}")
+    open_ = F.col(at) > F.lit(passed).cast(kinds[at]) if passed is not None else F.lit(True)
+    waiting = _parts(spark, base + "/waiting", schema, number).where(F.col("part") == number - 1).select(*columns)
+    batch.where(~open_).write.mode("overwrite").parquet(f"{base}/late/part={number}")
+    rows = batch.where(open_).select(*columns).union(waiting)
+    rows.where(~(F.col(at) <= bound)).write.mode("overwrite").parquet(f"{base}/waiting/part={number}")
+    ready = rows.where(F.col(at) <= bound).withColumn("_old", F.lit(False))
+    last = _parts(spark, base + "/last", schema, number).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*", F.lit(True).alias("_old"))
+    both = last.join(ready.select(key).distinct(), key, "left_semi").select(*columns, "_old").union(ready)
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(F.desc("_old"), at, tie))
+    both.withColumn("before", before).where(~F.col("_old") & (F.col("before") != F.col(value))).select(key, tie, value, "before").write.mode("overwrite").parquet(f"{base}/emitted/part={number}")
+    ready.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{base}/last/part={number}")
+    spark.range(1).select(edge.alias("high"), bound.alias("bound")).write.mode("overwrite").parquet(f"{base}/marks/part={number}")
