@@ -109,12 +109,31 @@ def transitions(stream: DataFrame, key: str, at: str, tie: str, value: str, base
 
 
 def settled(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str, str, str], base: str) -> DataFrame:
-    """The transitions when what still waits is taken too."""
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    """The transitions so far and those of what still waits; nothing is written, so the stream can go on."""
+    done = emitted(spark, kinds, columns, base)
     mark = spark.read.parquet(base + "/marks").agg(F.max("part")).first()[0]
-    if mark is not None:
-        _settle(spark.createDataFrame([], schema), mark + 1, columns, base, None)
-    return emitted(spark, kinds, columns, base)
+    if mark is None:
+        return done
+    waiting = _parts(spark, base + "/waiting", _schema(kinds, columns), mark + 1).where(F.col("part") == mark).select(*columns)
+    return done.union(_changes(waiting, _last(spark, kinds, columns, base, mark + 1), columns))
+
+
+def _schema(kinds: dict[str, str], columns: tuple[str, str, str, str]) -> str:
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
+def _last(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str, str, str], base: str, number: int) -> DataFrame:
+    """The last row that each key had before a batch."""
+    key, at, tie, _ = columns
+    return _parts(spark, base + "/last", _schema(kinds, columns), number).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*")
+
+
+def _changes(ready: DataFrame, last: DataFrame, columns: tuple[str, str, str, str]) -> DataFrame:
+    """key, tie, value, before of the rows whose value differs from the one before, which for the first is the key's last row."""
+    key, at, tie, value = columns
+    both = last.join(ready.select(key).distinct(), key, "left_semi").select(*columns, F.lit(True).alias("_old")).union(ready.select(*columns, F.lit(False)))
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(F.desc("_old"), at, tie))
+    return both.withColumn("before", before).where(~F.col("_old") & (F.col("before") != F.col(value))).select(key, tie, value, "before")
 
 
 def emitted(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str, str, str], base: str) -> DataFrame:
@@ -122,25 +141,21 @@ def emitted(spark: SparkSession, kinds: dict[str, str], columns: tuple[str, str,
     return spark.read.schema(f"{key} {kinds[key]}, {tie} {kinds[tie]}, {value} {kinds[value]}, before {kinds[value]}").parquet(base + "/emitted").select(key, tie, value, "before")
 
 
-def _settle(batch: DataFrame, number: int, columns: tuple[str, str, str, str], base: str, delay: str | None) -> None:
+def _settle(batch: DataFrame, number: int, columns: tuple[str, str, str, str], base: str, delay: str) -> None:
     spark, kinds = batch.sparkSession, dict(batch.dtypes)
-    key, at, tie, value = columns
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    key, at, tie, _ = columns
     marks = _parts(spark, base + "/marks", f"high {kinds[at]}, bound {kinds[at]}", number)
     passed, high = marks.agg(F.max("bound"), F.max("high")).first()
     now = batch.agg(F.max(at)).first()[0]
-    high = max((x for x in (high, now) if x is not None), default=None)
-    edge = F.lit(high).cast(kinds[at])
-    bound = edge if delay is None or high is None else edge - F.expr(f"INTERVAL {delay}")
+    edge = F.lit(max((x for x in (high, now) if x is not None), default=None)).cast(kinds[at])
+    bound = edge - F.expr(f"INTERVAL {delay}")
     open_ = F.col(at) > F.lit(passed).cast(kinds[at]) if passed is not None else F.lit(True)
-    waiting = _parts(spark, base + "/waiting", schema, number).where(F.col("part") == number - 1).select(*columns)
-    batch.where(~open_).write.mode("overwrite").parquet(f"{base}/late/part={number}")
+    waiting = _parts(spark, base + "/waiting", _schema(kinds, columns), number).where(F.col("part") == number - 1).select(*columns)
     rows = batch.where(open_).select(*columns).union(waiting)
-    rows.where(~(F.col(at) <= bound)).write.mode("overwrite").parquet(f"{base}/waiting/part={number}")
-    ready = rows.where(F.col(at) <= bound).withColumn("_old", F.lit(False))
-    last = _parts(spark, base + "/last", schema, number).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*", F.lit(True).alias("_old"))
-    both = last.join(ready.select(key).distinct(), key, "left_semi").select(*columns, "_old").union(ready)
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(F.desc("_old"), at, tie))
-    both.withColumn("before", before).where(~F.col("_old") & (F.col("before") != F.col(value))).select(key, tie, value, "before").write.mode("overwrite").parquet(f"{base}/emitted/part={number}")
-    ready.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{base}/last/part={number}")
-    spark.range(1).select(edge.alias("high"), bound.alias("bound")).write.mode("overwrite").parquet(f"{base}/marks/part={number}")
+    ready = rows.where(F.col(at) <= bound)
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{base}/{name}/part={number}")
+    put(batch.where(~open_), "late")
+    put(rows.where(~(F.col(at) <= bound)), "waiting")
+    put(_changes(ready, _last(spark, kinds, columns, base, number), columns), "emitted")
+    put(ready.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("r")).select("r.*"), "last")
+    put(spark.range(1).select(edge.alias("high"), bound.alias("bound")), "marks")

@@ -48,4 +48,4 @@ def test_transitions_with_late_rows(spark, tmp_path):
     spark.createDataFrame([("x", T0, 1000, "other")], schema).coalesce(1).write.mode("append").parquet(path)  # too late: kept apart
     jobs.transitions(jobs.ingest(spark, path, schema), "k", "ts", "id", "v", base, "30 MINUTES")
     assert spark.read.parquet(base + "/late").where("id = 1000").count() == 1
-    assert sorted(map(tuple, jobs.emitted(spark, dict(stream.dtypes), ("k", "ts", "id", "v"), base).collect())) == final
+    assert sorted(map(tuple, jobs.settled(spark, dict(stream.dtypes), ("k", "ts", "id", "v"), base).collect())) == final
