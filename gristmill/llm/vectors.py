@@ -5,10 +5,12 @@ length than most (of equally frequent lengths the larger).
 
 **Pivot permutations.** Reference vectors (pivots) come from a bounded sample, none close to another, so that a dense
 group cannot supply all the pivots near it. A vector is described by its ``prefix`` nearest pivots in order; vectors
-of a label with the same set of prefix pivots form a cell. Inverted lists retrieve what cells share: to find cells with
-at least ``shared`` common pivots, a list stands for a combination of that many pivots, and two cells on one list
-are candidates. Exact copies are collapsed first and counted. The number of pivots grows with the cube root of that of vectors,
-which keeps the lists of combinations of three about as long at any size, and the prefix with the pivots; a list that is long all the same
+of a label with the same nearest pivot and the same others behind it form a cell. Inverted lists say which cells hold a pivot: as cells are to have at least ``shared``
+pivots in common, a list stands for so many of them together, and the lists on which two cells meet count what they share (s common pivots meet
+on as many lists as there are choices of ``shared`` among s). Two cells are candidates if they share more than ``shared`` pivots, or just so many with the nearest pivot
+of either among them: there the order of the permutation decides, as a pivot that is nearest to one of two close vectors is seldom far behind for the other.
+Exact copies are collapsed first and counted. The number of pivots grows with the cube root of that of vectors,
+which keeps the lists of three about as long at any size, and the prefix with the pivots; a list that is long all the same
 meets itself in pairs of blocks, so no task has a whole one. Candidates are verified exactly, in double precision, block of a cell
 against block of a cell.
 
@@ -72,20 +74,25 @@ def index_size(vectors: int, least: int = 256, most: int = 4096, length: int = 6
     return pivots, 8 + 2 * max(0, int(np.ceil(np.log2(pivots / 512))))
 
 
-def _candidates(lists: DataFrame, list_block: int) -> DataFrame:
-    """(cell_id, other_id): the cells that meet on a list (label, list), each pair once; a long list meets itself block by block."""
+def _candidates(lists: DataFrame, list_block: int, shared: int) -> DataFrame:
+    """(cell_id, other_id, lists): the cells that meet on lists (label, list), each pair once, and on how many; a long list meets itself block by block.
+
+    A pair that shares no more than ``shared`` pivots (then it meets on one list) needs the nearest pivot of either among them.
+    """
     many = lists.groupBy("label", "list").agg(F.ceil(F.count("*") / list_block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     dealt = lists.join(many, ["label", "list"]).withColumn("own", F.pmod(F.xxhash64("cell_id"), "blocks").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "list", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "cell_id")
-    other = dealt.withColumnsRenamed({"cell_id": "other_id", "own": "other_own"})
-    return dealt.join(other, ["label", "list", "lo", "hi"]).where("cell_id < other_id AND (lo = hi OR own <> other_own)").select("cell_id", "other_id").distinct()
+    dealt = dealt.select("label", "list", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "cell_id", "nearest")
+    other = dealt.withColumnsRenamed({"cell_id": "other_id", "own": "other_own", "nearest": "other_nearest"})
+    met = dealt.join(other, ["label", "list", "lo", "hi"]).where("cell_id < other_id AND (lo = hi OR own <> other_own)")
+    counted = met.groupBy("cell_id", "other_id").agg(F.count("*").alias("lists"), F.bool_or("nearest").alias("a"), F.bool_or("other_nearest").alias("b"))
+    return counted.where((F.col("lists") > shared) | F.col("a") | F.col("b")).select("cell_id", "other_id", "lists")
 
 
 def linked(df: DataFrame, threshold: float = 0.93, pivots: int | None = None, prefix: int | None = None, shared: int = 3, block: int = 512, together: int = 64, list_block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with a vec_id.
 
-    Links join rows with equal labels and a cosine of at least ``threshold`` that share ``shared`` of their ``prefix``
-    nearest pivots. Rows that repeat a vec_id are vectors of their own that count for it; a null label links nothing.
+    Links join rows with equal labels and a cosine of at least ``threshold`` that share more than ``shared`` of their ``prefix``
+    nearest pivots, or ``shared`` with the nearest of either among them. Rows that repeat a vec_id are vectors of their own that count for it; a null label links nothing.
     """
     rows, n_rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where("label IS NOT NULL"))
     usual = index_size(n_rows)
@@ -98,7 +105,8 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int | None = None, pr
         for batch in batches:
             if batch.num_rows:
                 unit = matrix(batch.column("v"))
-                cell = np.sort(np.argsort(-(unit @ reference.value.T), axis=1, kind="stable")[:, :top], axis=1).astype(np.int32)
+                order = np.argsort(-(unit @ reference.value.T), axis=1, kind="stable")[:, :top].astype(np.int32)
+                cell = np.concatenate([order[:, :1], np.sort(order[:, 1:], axis=1)], axis=1)  # the nearest pivot, then those behind it
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit]
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(digest, pa.binary()), pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "label", "digest", "cell", "unit"])
 
@@ -111,13 +119,15 @@ def linked(df: DataFrame, threshold: float = 0.93, pivots: int | None = None, pr
 
     def combine(batches):
         for batch in batches:
-            sets = [list(combinations(cell, need)) for cell in batch.column("cell").to_pylist()]
+            cells = batch.column("cell").to_pylist()
+            sets = [list(combinations(sorted(cell), need)) for cell in cells]
+            nearest = [cell[0] in some for cell, part in zip(cells, sets) for some in part]
             at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
             keys = np.array([x for part in sets for x in part], np.int64).reshape(-1, need) @ (max(1, n_pivots) ** np.arange(need))
-            yield pa.RecordBatch.from_arrays([batch.column("label").take(at), batch.column("cell_id").take(at), pa.array(keys, pa.int64())], ["label", "cell_id", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column("label").take(at), batch.column("cell_id").take(at), pa.array(keys, pa.int64()), pa.array(nearest, pa.bool_())], ["label", "cell_id", "list", "nearest"])
 
-    lists = written(cells.select("label", "cell_id", "cell").mapInArrow(combine, f"label {label_type}, cell_id long, list long"), "lists") if need else cells.select("label", "cell_id", F.lit(0).alias("list")).limit(0)
-    pairs = written(_candidates(lists, list_block), "candidates").union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
+    lists = written(cells.select("label", "cell_id", "cell").mapInArrow(combine, f"label {label_type}, cell_id long, list long, nearest boolean"), "lists") if need else cells.select("label", "cell_id", F.lit(0).alias("list"), F.lit(True).alias("nearest")).limit(0)
+    pairs = written(_candidates(lists, list_block, need).select("cell_id", "other_id"), "candidates").union(cells.select("cell_id", F.col("cell_id").alias("other_id")))
 
     #: A cell's vectors are dealt into blocks of about ``block``; each pair of blocks meets once. A unit is a left block and about
     #: ``together`` / 4 blocks' worth of the vectors it meets, however many candidates its cell has; a group holds about ``together`` units and
