@@ -7,10 +7,12 @@ the row's distinct terms and combining counts before the shuffle.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.audits import variants
 from gristmill.operators.funnels import running
 
 #: Least rows behind a term's share, and the shares that part the bands of separation.
@@ -202,3 +204,66 @@ def deferred(ranked: DataFrame, overlap: DataFrame, most: float = 0.5) -> DataFr
         return pd.DataFrame({"person": [pdf["person"].iloc[0]] * len(both), "keyword": both, "place": range(1, len(both) + 1)})
 
     return ranked.join(near, ["person", "keyword"], "left").groupBy("person").applyInPandas(order, f"person {dict(ranked.dtypes)['person']}, keyword string, place long")
+
+
+def surface_forms(terms: DataFrame, term: str = "skill") -> DataFrame:
+    """(term, form): every other spelling of distinct terms by string rules alone (joined, spaced, hyphened, in brackets, without a runtime's suffix, singular or plural)."""
+
+    def spell(batches):
+        for batch in batches:
+            found = [(t, v) for t in batch.column(0).to_pylist() for v in variants(t) if v != t.lower()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], [term, "form"])
+
+    return terms.select(term).distinct().mapInArrow(spell, f"{term} string, form string")
+
+
+def expanded(rows: DataFrame, least: int = 5, least_lift: float = 0.0) -> DataFrame:
+    """skill, form, listings, together, lift: the other spellings of every skill that the market uses in ``least`` rows, with how much more often than by chance both stand in one row.
+
+    Spellings meet the vocabulary by an equi-join; pairs of skills are counted only where one is a spelling of the other.
+    """
+    terms = rows.select(F.explode(F.array_distinct("skills")).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    pairs = surface_forms(terms).join(terms.select(F.col("skill").alias("form"), F.col("n").alias("listings")).where(F.col("listings") >= least), "form")
+    grouped = rows.groupBy(F.array_sort(F.array_distinct("skills")).alias("skills")).agg(F.count("*").alias("c"))
+    each = grouped.select("c", "skills", F.explode("skills").alias("skill")).join(pairs.select("skill", "form"), "skill")
+    together = each.where(F.array_contains("skills", F.col("form"))).groupBy("skill", "form").agg(F.sum("c").alias("together"))
+    total = grouped.agg(F.sum("c").alias("total"))
+    out = pairs.join(together, ["skill", "form"], "left").na.fill(0, ["together"]).join(terms, "skill").crossJoin(F.broadcast(total))
+    return out.select("skill", "form", "listings", "together", (F.col("together") * F.col("total") / (F.col("n") * F.col("listings"))).alias("lift")).where(F.col("lift") >= least_lift)
+
+
+def nested_sample(rows: DataFrame, fraction: float, key: str = "row_id") -> DataFrame:
+    """About a fraction of the rows, chosen by a digest of their key: a smaller sample is part of every larger one."""
+    return rows.where(F.left(F.md5(F.col(key).cast("string")), F.lit(4)) < f"{round(fraction * 65536):04x}") if fraction < 1 else rows
+
+
+def size_curve(rows: DataFrame, fractions: tuple[float, ...], seniority=(), least_companies: int = 5) -> DataFrame:
+    """fraction, rows, skills, fragments, recall, error: what a corpus of each size knows, against the whole.
+
+    fragments: those of ``least_companies`` employers or more; recall: how many of the whole corpus's they find; error: the mean difference of the shares of skills.
+    """
+    whole = fragment_index(rows, seniority).where(F.col("companies") >= least_companies).select("fragment", F.lit(True).alias("known"))
+    total = rows.agg(F.count("*").alias("total"))
+    right = vocabulary(rows).crossJoin(F.broadcast(total)).select("skill", (F.col("n") / F.col("total")).alias("share"))
+    out = None
+    for fraction in fractions:
+        part = nested_sample(rows, fraction)
+        size = part.agg(F.count("*").alias("rows"))
+        found = fragment_index(part, seniority).where(F.col("companies") >= least_companies).select("fragment", F.lit(True).alias("found"))
+        met = whole.join(found, "fragment", "full").agg(F.count("found").alias("fragments"), (F.count_if(F.col("found") & F.col("known")) / F.count("known")).alias("recall"))
+        uses = right.join(vocabulary(part), "skill", "left").crossJoin(F.broadcast(size)).agg(F.count("n").alias("skills"), F.avg(F.abs(F.coalesce(F.col("n") / F.col("rows"), F.lit(0.0)) - F.col("share"))).alias("error"))
+        one = size.crossJoin(met).crossJoin(uses).select(F.lit(fraction).alias("fraction"), "rows", "skills", "fragments", "recall", "error")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def held_out(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """person, rows, kept: how many rows a market has, and how many would be left had none that names a person's skills been seen.
+
+    Rows with equal skills are counted first; a person meets the sets of skills by an equi-join on skills.
+    """
+    sets = rows.groupBy(F.array_sort(F.array_distinct("skills")).alias("skills")).agg(F.count("*").alias("c"))
+    met = sets.select("skills", "c", F.explode("skills").alias("skill")).join(owned.select("person", "skill").distinct(), "skill").select("person", "skills", "c").distinct()
+    gone = met.groupBy("person").agg(F.sum("c").alias("gone"))
+    total = sets.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
+    return owned.select("person").distinct().join(gone, "person", "left").crossJoin(F.broadcast(total)).select("person", "rows", (F.col("rows") - F.coalesce("gone", F.lit(0))).alias("kept"))

@@ -178,11 +178,22 @@ def m23_prefix_coverage(spark, sf_dir):
     return m20_shrunk_shares(spark, sf_dir).select("keyword", "skill", F.round(F.max("share").over(w), 6).alias("covered"))
 
 
-@query()
+FRACTIONS = (0.05, 0.25, 0.5, 1.0)
+_AT = ", ".join(f"({f}, '{round(f * 65536):04x}')" for f in FRACTIONS if f < 1)
+SIZES = f"cuts(fraction, bound) AS (VALUES {_AT}, (1.0, 'g')), sm AS (SELECT fraction, market.* FROM market JOIN cuts ON left(md5(row_id::VARCHAR), 4) < bound), fr AS (SELECT fraction, company, unnest(list_distinct(list_concat(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END))) AS fragment FROM (SELECT fraction, company, list_filter(string_split(title, ' '), lambda x: x NOT IN {SENIOR}) AS w FROM sm)), ok AS (SELECT fraction, fragment FROM fr GROUP BY 1, 2 HAVING count(DISTINCT company) >= 5), z AS (SELECT fraction, count(*) AS rows FROM sm GROUP BY 1), u AS (SELECT fraction, skill, count(*) AS n FROM (SELECT fraction, unnest(skills) AS skill FROM sm) GROUP BY 1, 2)"
+
+
+@query(M + f", {SIZES}, w AS (SELECT skill, n / rows AS share FROM u JOIN z USING (fraction) WHERE fraction = 1), e AS (SELECT z.fraction, avg(abs(coalesce(u.n / rows, 0) - share)) AS error, count(u.n) AS skills FROM z CROSS JOIN w LEFT JOIN u ON u.fraction = z.fraction AND u.skill = w.skill GROUP BY 1) SELECT z.fraction::DOUBLE AS fraction, rows, skills, count(ok.fragment) AS fragments, round(count(ok.fragment) FILTER (WHERE ok.fragment IN (SELECT fragment FROM ok WHERE fraction = 1)) / (SELECT count(*) FROM ok WHERE fraction = 1), 6) AS recall, round(error, 6) AS error FROM z JOIN e USING (fraction) LEFT JOIN ok USING (fraction) GROUP BY z.fraction, rows, skills, error")
 def m24_size_curve(spark, sf_dir):
-    """Vocabulary and relevance on samples of the market, by a hash of the row: a sampling operator."""
-    rows = market_rows(spark, sf_dir).withColumn("p", F.explode(F.array(F.lit(10), F.lit(25), F.lit(50), F.lit(100)))).where(F.pmod(F.xxhash64("row_id"), F.lit(100)) < F.col("p"))
-    return rows.select("p", "score", F.explode("skills").alias("skill")).groupBy("p").agg(F.approx_count_distinct("skill").alias("skills"), F.count("*").alias("uses"), F.avg("score").alias("mean"))
+    """What samples of the market know, against the whole: a sampling operator."""
+    found = market.size_curve(market_rows(spark, sf_dir), FRACTIONS, SENIOR)
+    return found.select("fraction", "rows", "skills", "fragments", F.round("recall", 6).alias("recall"), F.round("error", 6).alias("error"))
+
+
+@query(M + f", {OWNED}, o AS (SELECT person, list(skill) AS own FROM owned GROUP BY 1) SELECT person, (SELECT count(*) FROM market) AS rows, count(*) AS kept FROM o JOIN market ON len(list_intersect(skills, own)) = 0 GROUP BY person")
+def m24_held_out(spark, sf_dir):
+    """What of the market would be left for each person had their field never been seen."""
+    return market.held_out(market_rows(spark, sf_dir), people(spark))
 
 
 @query(M + ", a AS (SELECT DISTINCT row_id FROM market WHERE contains(title, 'red')), b AS (SELECT DISTINCT row_id FROM market WHERE contains(title, 'widget')) SELECT (SELECT count(*) FROM a JOIN b USING (row_id)) AS common, round((SELECT count(*) FROM a JOIN b USING (row_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard")
@@ -407,3 +418,20 @@ def m23_redundancy(spark, sf_dir):
     pairs = n.select(F.col("k").alias("a"), F.col("n").alias("na")).join(n.select(F.col("k").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
     shared = F.coalesce("both", F.lit(0))
     return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(shared / (F.col("na") + F.col("nb") - shared)), 6).alias("mean_jaccard"))
+
+
+def _spelled(spark, sf_dir):
+    """Order lines as market rows whose skills are written in two ways: singular, plural, or both."""
+    items, part = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    words, line = F.split("p_name", " "), F.col("l_linenumber")
+    plural = F.transform(words, lambda w: F.concat(w, F.lit("s")))
+    return items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.when(line % 5 == 0, F.concat(words, plural)).when(line % 2 == 0, plural).otherwise(words).alias("skills"))
+
+
+SPELLED = "r AS (SELECT row_number() OVER () AS id, CASE WHEN l_linenumber % 5 = 0 THEN list_concat(w, list_transform(w, lambda x: x || 's')) WHEN l_linenumber % 2 = 0 THEN list_transform(w, lambda x: x || 's') ELSE w END AS skills FROM (SELECT l_linenumber, string_split(p_name, ' ') AS w FROM lineitem JOIN part ON l_partkey = p_partkey)), e AS (SELECT id, unnest(skills) AS skill FROM r), n AS (SELECT skill, count(*) AS n FROM e GROUP BY 1)"
+
+
+@query(f"WITH {SPELLED}, f AS (SELECT a.skill, b.skill AS form, a.n, b.n AS listings FROM n a JOIN n b ON b.skill = a.skill || 's' OR a.skill = b.skill || 's' WHERE b.n >= 5), t AS (SELECT f.skill, f.form, count(*) AS together FROM f JOIN e x ON x.skill = f.skill JOIN e y ON y.skill = f.form AND y.id = x.id GROUP BY 1, 2) SELECT skill, form, listings, coalesce(together, 0) AS together, round(coalesce(together, 0) * (SELECT count(*) FROM r) / (n * listings), 6) AS lift FROM f LEFT JOIN t USING (skill, form)")
+def a30_surface_variants(spark, sf_dir):
+    """The other spellings of every skill that the market uses, with how often both stand together."""
+    return market.expanded(_spelled(spark, sf_dir)).select("skill", "form", "listings", "together", F.round("lift", 6).alias("lift"))

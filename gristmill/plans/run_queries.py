@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import job_key
-from gristmill.operators import audits, counterfactuals, funnels, overlap
+from gristmill.operators import audits, comparison, counterfactuals, funnels, overlap
 from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
@@ -152,11 +152,35 @@ def a32_peak_concurrency(spark, sf_dir):
     return funnels.peak_overlap(_spans(spark, sf_dir), ["user_id"], "lo", "hi")
 
 
-@query("WITH t AS (SELECT source, n_chars > 1500 AS a, doc_id % 3 > 0 AS b, quality = 1 AS y FROM documents JOIN labels USING (doc_id)) SELECT source, CASE WHEN a = y AND b = y THEN 'both' WHEN a = y THEN 'only-a' WHEN b = y THEN 'only-b' ELSE 'both-wrong' END AS category, count(*) AS n FROM t GROUP BY 1, 2")
+#: Order lines as what two systems read in documents (orders), by group (return flag), beside the truth.
+TOLD = "cells AS (SELECT DISTINCT l_orderkey AS doc, l_returnflag AS grp FROM lineitem), v AS (SELECT l_orderkey AS doc, l_returnflag AS grp, l_partkey AS value, l_discount > 0.01 AS t, CASE WHEN l_orderkey % 3 = 0 THEN l_discount > 0.01 ELSE l_quantity > 10 END AS a, CASE WHEN l_orderkey % 3 = 1 THEN l_quantity > 10 WHEN l_orderkey % 3 = 0 THEN l_quantity > 20 ELSE l_discount > 0.01 END AS b FROM lineitem), x AS (SELECT doc, grp, value, bool_or(t) AS t, bool_or(a) AS a, bool_or(b) AS b FROM v GROUP BY 1, 2, 3), k AS (SELECT doc, grp, bool_and(t = a) AS a_ok, bool_and(t = b) AS b_ok, bool_and(a = b) AS same FROM x GROUP BY 1, 2), c AS (SELECT doc, grp, CASE WHEN doc % 13 > 0 THEN a_ok END AS a_ok, CASE WHEN doc % 13 > 0 THEN b_ok END AS b_ok, CASE WHEN doc % 13 = 0 THEN 'unscorable' WHEN a_ok AND b_ok THEN 'both correct' WHEN a_ok THEN 'a correct / b wrong' WHEN b_ok THEN 'a wrong / b correct' WHEN same THEN 'both wrong, same way' ELSE 'both wrong, differently' END AS category FROM k)"
+DRIVING = ("A", "R")
+
+
+def _verdicts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("grp"), F.concat(F.lit(" P "), F.col("l_partkey")).alias("value"), "l_discount", "l_quantity")
+    right, large, third = F.col("l_discount") > 0.01, F.col("l_quantity") > 10, F.col("doc") % 3
+    a = lines.where(F.when(third == 0, right).otherwise(large)).withColumn("value", F.lower("value"))
+    b = lines.where(F.when(third == 1, large).when(third == 0, F.col("l_quantity") > 20).otherwise(right)).withColumn("value", F.replace("value", F.lit(" P "), F.lit("p  ")))
+    return comparison.aligned(lines.select("doc", "grp").distinct(), lines.where(right), a, b, lines.where("doc % 13 = 0").select("doc"))
+
+
+@query(f"WITH {TOLD} SELECT grp, category, count(*) AS n FROM c GROUP BY 1, 2")
 def a33_two_systems(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") > 1500).alias("a"), (F.col("doc_id") % 3 > 0).alias("b")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("y")), "doc_id")
-    a, b = F.col("a") == F.col("y"), F.col("b") == F.col("y")
-    return rows.groupBy("source", F.when(a & b, "both").when(a, "only-a").when(b, "only-b").otherwise("both-wrong").alias("category")).agg(F.count("*").alias("n"))
+    """What two systems read against the truth, by group: both right, one, or both wrong in the same way or not."""
+    return comparison.by_group(_verdicts(spark, sf_dir))
+
+
+@query(f"WITH {TOLD}, d AS (SELECT doc, bool_and(a_ok) AS a, bool_and(b_ok) AS b, count(*) FILTER (WHERE a_ok AND NOT b_ok) AS worse, count(*) FILTER (WHERE a_ok) AS na, count(*) FILTER (WHERE b_ok) AS nb FROM c WHERE grp IN {DRIVING} AND a_ok IS NOT NULL GROUP BY 1) SELECT count(*) AS documents, count(*) FILTER (WHERE a) AS a_correct, count(*) FILTER (WHERE b) AS b_correct, count(*) FILTER (WHERE a AND b) AS both_correct, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither, sum(worse) AS regressions, sum(nb) >= sum(na) AND sum(worse) = 0 AS qualifies FROM d")
+def a33_totals(spark, sf_dir):
+    """How many documents each system has right in all groups that count, and whether the second may replace the first."""
+    return comparison.totals(_verdicts(spark, sf_dir), DRIVING)
+
+
+@query(f"WITH {TOLD} SELECT doc, grp FROM c WHERE grp IN {DRIVING} AND category = 'a correct / b wrong'")
+def a33_regressions(spark, sf_dir):
+    """Where the first system is right and the second is not."""
+    return comparison.regressions(_verdicts(spark, sf_dir), DRIVING)
 
 
 @query(P + " SELECT provider, sum(ceiling) FILTER (WHERE status <> 'F') AS remaining, min(ceiling) FILTER (WHERE ceiling > 0) AS cheapest FROM plan GROUP BY provider")
