@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import job_key
-from gristmill.operators import audits, comparison, counterfactuals, funnels, overlap
+from gristmill.operators import audits, comparison, counterfactuals, funnels, inventories, overlap
 from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
 from gristmill.sources.tables import ctes, plan_units, postings, results, table
@@ -20,12 +20,26 @@ def a1_funnel_by_source(spark, sf_dir):
     return funnels.funnel(results(spark, sf_dir), "source", {"gated": at(10), "eligible": at(25), "final": at(45)})
 
 
-@query(R + ", f AS (SELECT key, min_by(source, arrival) AS source FROM result GROUP BY key) SELECT r.source, count(*) AS rows, count(DISTINCT key) AS keys, (SELECT count(*) FROM f WHERE f.source = r.source) AS newly FROM result r GROUP BY r.source")
-def a2_identity_profile(spark, sf_dir):
+#: Results some of which have no key and not all identifiers of their own.
+NAMED = "i AS (SELECT source, arrival, CASE WHEN position = 7 THEN NULL ELSE key END AS key, CASE WHEN position > 1 THEN 'r' || arrival END AS ref, CASE WHEN unit_id % 3 = 0 THEN '' ELSE 'x' END AS org FROM result)"
+
+
+def _named(spark, sf_dir):
     rows = results(spark, sf_dir)
-    newly = rows.groupBy("key").agg(F.min_by("source", "arrival").alias("source")).groupBy("source").agg(F.count("*").alias("newly"))
-    keys = rows.groupBy("source", "key").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"))
-    return keys.join(newly, "source", "left").select("source", "rows", "keys", F.coalesce("newly", F.lit(0)).alias("newly"))
+    native = F.map_filter(F.create_map(F.lit("ref"), F.when(F.col("position") > 1, F.concat(F.lit("r"), "arrival")), F.lit("org"), F.when(F.col("unit_id") % 3 == 0, "").otherwise("x")), lambda _, v: v.isNotNull())
+    return rows.select("source", "arrival", F.when(F.col("position") != 7, F.col("key")).alias("key"), native.alias("native"))
+
+
+@query(R + f", {NAMED}, f AS (SELECT key, min_by(source, arrival) AS source FROM i WHERE key IS NOT NULL GROUP BY key) SELECT source, count(*) AS rows, count(DISTINCT key) AS keys, (SELECT count(*) FROM f WHERE f.source = i.source) AS newly, count(*) FILTER (WHERE key IS NULL) AS unkeyed FROM i GROUP BY source")
+def a2_identity_profile(spark, sf_dir):
+    """Rows, keys, keys that no earlier source had, and rows without a key, by source."""
+    return inventories.identity(_named(spark, sf_dir))
+
+
+@query(R + f", {NAMED} SELECT source, 'ref' AS field, count(ref) AS filled FROM i GROUP BY 1 UNION ALL SELECT source, 'org', count(*) FILTER (WHERE org <> '') FROM i GROUP BY 1")
+def a2_native_fill(spark, sf_dir):
+    """How many rows of a source carry each of its own identifiers."""
+    return inventories.native_fill(_named(spark, sf_dir))
 
 
 @query(R + ", c AS (SELECT *, CASE WHEN arrival = min(arrival) OVER (PARTITION BY key) THEN 'new' WHEN arrival > min(arrival) OVER (PARTITION BY key, unit_id) THEN 'repeat-in-unit' ELSE 'repeat-of-earlier' END AS acquired FROM result) SELECT source, acquired, count(*) AS n FROM c GROUP BY 1, 2")
@@ -33,12 +47,6 @@ def a3_acquired(spark, sf_dir):
     return funnels.acquired(results(spark, sf_dir)).groupBy("source", "acquired").agg(F.count("*").alias("n"))
 
 
-@query(R + """, b AS (SELECT key, max_by(arrival, (score, -arrival)) AS ba, max_by(unit_id, (score, -arrival)) AS bu, min(unit_id) = max(unit_id) AS single FROM result GROUP BY key)
-SELECT outcome, marginal, count(*) AS n FROM (SELECT CASE WHEN arrival = ba THEN 'kept' WHEN unit_id = bu THEN 'same-unit' ELSE 'other-unit' END AS outcome, arrival = ba AND single AS marginal FROM result JOIN b USING (key)) GROUP BY 1, 2""")
-def a4_dedupe_outcome(spark, sf_dir):
-    return funnels.outcomes(results(spark, sf_dir)).groupBy("outcome", "marginal").agg(F.count("*").alias("n"))
-
-
 @query(R + " SELECT unit_id, string_agg(position || CASE WHEN score >= 45 THEN 'F' WHEN score >= 25 THEN 'E' ELSE 'r' END, ' ' ORDER BY position, CASE WHEN score >= 45 THEN 'F' WHEN score >= 25 THEN 'E' ELSE 'r' END) AS trace FROM result GROUP BY unit_id")
 def a5_reach_trace(spark, sf_dir):
     token = F.concat(F.col("position"), F.when(F.col("score") >= 45, "F").when(F.col("score") >= 25, "E").otherwise("r"))
@@ -197,17 +205,25 @@ def a36_history(spark, sf_dir):
 # ---- inventories -----------------------------------------------------------------------------------------------------------------
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') SELECT count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b FROM a FULL JOIN b USING (k)")
+#: Order lines as candidates (R) and production (A): some without a key or an identifier of their own.
+STOCK = "l AS (SELECT 'b' || (l_suppkey % 5) AS board, 'p' || (l_suppkey % 4) AS provider, CASE WHEN l_partkey % 17 > 0 THEN l_partkey || '-' || (l_suppkey % 3) END AS key, CASE WHEN l_linenumber > 1 THEN 'n' || (l_orderkey % 500) END AS native, l_returnflag AS f FROM lineitem), c AS (SELECT * FROM l WHERE f = 'R'), p AS (SELECT DISTINCT provider, key, native FROM l WHERE f = 'A')"
+
+
+@query(f"WITH {STOCK}, m AS (SELECT c.*, c.key IN (SELECT key FROM p WHERE key IS NOT NULL) AS k, EXISTS (FROM p WHERE p.key = c.key AND p.provider = c.provider AND p.native = c.native) AS same, c.native IS NOT NULL AND EXISTS (FROM p WHERE p.key = c.key AND p.provider = c.provider AND p.native IS NOT NULL) AS rival, EXISTS (FROM p WHERE p.provider = c.provider AND p.native = c.native) AS n FROM c) SELECT board, count(*) AS gated, count(*) FILTER (WHERE key IS NULL) AS unkeyed, count(native) AS native_id, count(*) FILTER (WHERE k) AS key_overlap, count(*) FILTER (WHERE k AND same) AS key_and_native, count(*) FILTER (WHERE k AND NOT same AND rival) AS key_native_distinct, count(*) FILTER (WHERE k AND NOT same AND NOT rival) AS key_not_comparable, count(*) FILTER (WHERE n) AS native_overlap, count(*) FILTER (WHERE n AND NOT same) AS native_key_distinct, count(DISTINCT key) AS source_unique FROM m GROUP BY board")
 def d12_inventory_overlap(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R")).groupBy("l_partkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("b"))
-    return rows.agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
+    """What each board shares with production by key and by native identity, and where the two disagree or can't be compared."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("b"), F.col("l_suppkey") % 5).alias("board"), F.concat(F.lit("p"), F.col("l_suppkey") % 4).alias("provider"), F.when(F.col("l_partkey") % 17 > 0, F.concat_ws("-", "l_partkey", F.col("l_suppkey") % 3)).alias("key"),
+        F.when(F.col("l_linenumber") > 1, F.concat(F.lit("n"), F.col("l_orderkey") % 500)).alias("native"), "l_returnflag")
+    return inventories.overlap(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"))
 
 
-@query(R + ", d AS (SELECT key, max_by(source, (score, -arrival)) AS source, max(score) AS score, bool_or(source = 'A') AS base FROM result WHERE source IN ('A', 'R') GROUP BY key) SELECT count(*) FILTER (WHERE source = 'R' AND NOT base) AS new, count(*) FILTER (WHERE source = 'R' AND base) AS replaced, count(*) FILTER (WHERE source = 'A') AS retained, max(score) FILTER (WHERE source = 'R' AND NOT base) AS best_new FROM d")
+@query(R + ", b AS (SELECT CASE WHEN position < 7 THEN key ELSE 'row 0 ' || arrival END AS key, score, arrival, 0 AS side, NULL AS board FROM result WHERE source = 'A' UNION ALL SELECT CASE WHEN position < 7 THEN key ELSE 'row 1 ' || arrival END, score - 3, arrival, 1, 'b' || (unit_id % 4) FROM result WHERE source = 'R'), k AS (SELECT key, max_by(board, (score, -side, -arrival)) AS board, max_by(side, (score, -side, -arrival)) AS side, max((score, -side, -arrival)) AS v, max(score) AS score, min(side) = 0 AS base FROM b GROUP BY key), r AS (SELECT *, row_number() OVER (ORDER BY v DESC) AS rank FROM k) SELECT board, count(*) FILTER (WHERE NOT base) AS final_new, count(*) FILTER (WHERE NOT base AND score > 0) AS final_new_positive, count(*) FILTER (WHERE NOT base AND rank <= 500) AS top_n_new, count(*) FILTER (WHERE base) AS final_replaces, count(*) FILTER (WHERE base AND rank <= 500) AS top_n_replaces, min(rank) FILTER (WHERE NOT base) AS best_new_rank FROM r WHERE side = 1 GROUP BY board")
 def d13_usefulness(spark, sf_dir):
-    rows = results(spark, sf_dir).where(F.col("source").isin("A", "R")).groupBy("key").agg(F.max_by("source", F.struct(F.col("score"), -F.col("arrival"))).alias("source"), F.max("score").alias("score"), F.bool_or(F.col("source") == "A").alias("base"))
-    new = (F.col("source") == "R") & ~F.col("base")
-    return rows.agg(F.count_if(new).alias("new"), F.count_if((F.col("source") == "R") & F.col("base")).alias("replaced"), F.count_if(F.col("source") == "A").alias("retained"), F.max(F.when(new, F.col("score"))).alias("best_new"))
+    """What candidate boards would add to a result, and where in it their first new key would stand."""
+    rows = results(spark, sf_dir).withColumn("key", F.when(F.col("position") < 7, F.col("key")))
+    found = rows.where("source = 'R'").select("key", (F.col("score") - 3).alias("score"), "arrival", F.concat(F.lit("b"), F.col("unit_id") % 4).alias("board"))
+    return inventories.usefulness(rows.where("source = 'A'"), found, 500)
 
 
 @query("SELECT CASE WHEN a AND r THEN 'both' WHEN a THEN 'already-free' ELSE 'paid-only' END AS part, count(*) AS companies, sum(n) AS rows FROM (SELECT l_suppkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1")
@@ -302,11 +318,17 @@ def w5_observations(spark, sf_dir):
     return steps.join(brought, "unit_id", "left").select("unit_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "eligible", "fresh")), "entered", "displaced", "moved", "entered_new")
 
 
-@query(B + f", {GAIN}, {STREAK}, k(k) AS (VALUES (3), (5), (8)) SELECT provider, k, min(plan_index) AS fires_at FROM s JOIN k ON streak >= k GROUP BY 1, 2")
+STEPPED = "t AS (SELECT o_orderkey AS plan_index, o_orderpriority AS provider, o_custkey % 4 = 0 AS remote, coalesce(count(*) FILTER (WHERE l_quantity >= 45), 0) AS marginal, coalesce(count(*) FILTER (WHERE l_quantity >= 48), 0) AS entered FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3)"
+_RUNS = "CASE WHEN {c} > 0 THEN 0 ELSE plan_index_no - coalesce(max(CASE WHEN {c} > 0 THEN plan_index_no END) OVER ({by}ORDER BY plan_index ROWS UNBOUNDED PRECEDING), 0) END"
+LENGTHS, REMOTE = (3, 5, 8), (1, 4)
+
+
+@query(f"WITH {STEPPED}, n AS (SELECT *, row_number() OVER (ORDER BY plan_index) AS plan_index_no, row_number() OVER (PARTITION BY provider ORDER BY plan_index) AS own_no FROM t), s AS (SELECT 'marginal_streak' AS policy, 'all' AS scope, 'stop' AS action, plan_index, {_RUNS.format(c='marginal', by='')} AS evidence FROM n UNION ALL SELECT 'top_stable', 'all', 'stop', plan_index, {_RUNS.format(c='entered', by='')} FROM n UNION ALL SELECT 'provider_marginal_streak', provider, 'skip', plan_index, {_RUNS.format(c='marginal', by='PARTITION BY provider ').replace('plan_index_no', 'own_no')} FROM n UNION ALL SELECT 'remote_after_places', provider, 'skip remote', plan_index, sum((remote AND marginal = 0)::INT) OVER (PARTITION BY provider ORDER BY plan_index ROWS UNBOUNDED PRECEDING) FROM n), c(policy, n) AS (VALUES {', '.join(f'({chr(39)}{p}{chr(39)}, {n})' for p, ns in (('marginal_streak', LENGTHS), ('top_stable', LENGTHS), ('provider_marginal_streak', LENGTHS), ('remote_after_places', REMOTE)) for n in ns)}) SELECT policy, n, scope, action, plan_index, evidence FROM s JOIN c USING (policy) WHERE evidence >= n QUALIFY row_number() OVER (PARTITION BY policy, n, scope ORDER BY plan_index) = 1")
 def w6_stop_policies(spark, sf_dir):
-    streaks = funnels.streaks(_gains(spark, sf_dir), ["provider"], "plan_index", "gain")
-    fired = streaks.select("provider", "plan_index", F.explode(F.filter(F.array(F.lit(3), F.lit(5), F.lit(8)), lambda k: k <= F.col("streak"))).alias("k"))
-    return fired.groupBy("provider", "k").agg(F.min("plan_index").alias("fires_at"))
+    """Where policies would first have stopped a plan or skipped a provider, each once for its scope."""
+    gain = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan_index")).agg(F.count_if(F.col("l_quantity") >= 45).alias("marginal"), F.count_if(F.col("l_quantity") >= 48).alias("entered"))
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_index"), F.col("o_orderpriority").alias("provider"), (F.col("o_orderstatus") != "P").alias("completed"), (F.col("o_custkey") % 4 == 0).alias("remote"))
+    return inventories.policies(steps.join(gain, "plan_index", "left").na.fill(0, ["marginal", "entered"]), LENGTHS, REMOTE)
 
 
 FULL = "whole AS (SELECT key, row_number() OVER (ORDER BY max((score, -arrival)) DESC) AS rank, count(DISTINCT unit_id) = 1 AND count(*) = count(unit_id) AS alone FROM b GROUP BY key)"
@@ -314,6 +336,14 @@ FULL = "whole AS (SELECT key, row_number() OVER (ORDER BY max((score, -arrival))
 LOSS = f"again AS (SELECT *, row_number() OVER (PARTITION BY scenario, unit_id, provider, depth ORDER BY v DESC) AS i FROM left_over), loss AS (SELECT k.scenario, k.unit_id, k.provider, k.depth, count(*) FILTER (WHERE i IS NULL) AS lost, count(*) FILTER (WHERE i IS NULL AND alone) AS marginal_lost, count(*) FILTER (WHERE rank <= {TOP} AND (i IS NULL OR i > {TOP})) AS top_lost, min(rank) FILTER (WHERE i IS NULL) AS best_lost_rank FROM (SELECT * FROM cases, whole) k LEFT JOIN again a ON a.key = k.key AND a.scenario = k.scenario AND a.unit_id IS NOT DISTINCT FROM k.unit_id AND a.provider IS NOT DISTINCT FROM k.provider AND a.depth IS NOT DISTINCT FROM k.depth GROUP BY ALL)"
 
 
+@query(B + f", {UNITS}, w AS (SELECT *, max_by(arrival, (score, -arrival)) OVER (PARTITION BY key) AS top, max_by(coalesce(unit_id, -1), (score, -arrival)) OVER (PARTITION BY key) AS winner, count(*) OVER (PARTITION BY key) = count(unit_id) OVER (PARTITION BY key) AND min(unit_id) OVER (PARTITION BY key) = max(unit_id) OVER (PARTITION BY key) AS alone FROM b) SELECT provider, CASE WHEN arrival = top THEN 'kept' WHEN winner = -1 THEN 'free' WHEN winner = unit_id THEN 'same_unit' ELSE 'other_paid' END AS outcome, arrival = top AND alone AS marginal, count(*) AS n FROM w WHERE unit_id IS NOT NULL GROUP BY ALL")
+def a4_dedupe_outcome(spark, sf_dir):
+    """What became of every paid row: kept, or lost to a free source, its own unit or another."""
+    rows, units = _bought(spark, sf_dir)
+    found = inventories.outcomes(rows).join(units.select("unit_id", "provider"), "unit_id")
+    return found.groupBy("provider", "outcome", "marginal").agg(F.count("*").alias("n"))
+
+
 @query(B + f", {UNITS}, {FULL}, cases AS (SELECT DISTINCT 'x' AS scenario, 0 AS unit_id, provider, 0 AS depth FROM u), left_over AS (SELECT scenario, c.unit_id, c.provider, depth, key, max((score, -arrival)) AS v FROM cases c JOIN b ON b.provider IS DISTINCT FROM c.provider GROUP BY ALL), {LOSS} SELECT provider, lost, marginal_lost, top_lost, best_lost_rank FROM loss")
 def w7_counterfactual(spark, sf_dir):
     """What the result lacks without each provider alone."""
@@ -436,3 +466,17 @@ def d16_slug_candidates(spark, sf_dir):
     known = supplier.where("s_nationkey = 3").select(F.lower(F.replace("s_name", F.lit("#"), F.lit(""))).alias("slug"))
     covered = rows.join(known, "slug", "left_semi").select("s_suppkey").distinct()
     return rows.join(covered, "s_suppkey", "left_anti").join(best, "s_suppkey").select("s_suppkey", "slug", "best")
+
+
+@query("WITH f AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 50 = 0), p AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'N' AND l_partkey % 40 = 0), c AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R') SELECT CASE WHEN s IN (SELECT s FROM f) THEN 'already-free' WHEN s IN (SELECT s FROM p) THEN 'paid-only' ELSE 'new' END AS part, count(*) AS companies FROM c GROUP BY 1")
+def d14_three_way(spark, sf_dir):
+    """Companies of one source: free already, known from paid searches alone, or new."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("company"), "l_returnflag", "l_partkey")
+    return inventories.companies_split(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A' AND l_partkey % 50 = 0"), lines.where("l_returnflag = 'N' AND l_partkey % 40 = 0"))
+
+
+@query(R + ", f AS (SELECT key, max(score) AS f FROM result WHERE source = 'R' GROUP BY 1), k AS (SELECT key, max(score) AS k FROM result WHERE source = 'A' GROUP BY 1), j AS (SELECT * FROM f FULL JOIN k USING (key)) SELECT count(*) FILTER (WHERE f IS NOT NULL AND k IS NOT NULL) AS shared, count(*) FILTER (WHERE k IS NULL) AS found_only, count(*) FILTER (WHERE f IS NULL) AS known_only, count(*) FILTER (WHERE f >= 40 AND k >= 40) AS shared_useful, count(*) FILTER (WHERE f >= 40 AND k IS NULL) AS new_useful, round(100 * count(*) FILTER (WHERE f >= 40 AND k >= 40) / greatest(1, count(*) FILTER (WHERE k >= 40)), 1) AS of_useful, round(100 * count(*) FILTER (WHERE f IS NOT NULL AND k IS NOT NULL) / greatest(1, count(k)), 1) AS of_all FROM j")
+def d14_recovery(spark, sf_dir):
+    """How much of what one source knows another finds again."""
+    rows = results(spark, sf_dir)
+    return inventories.recovery(rows.where("source = 'R'"), rows.where("source = 'A'"), 40)
