@@ -1,10 +1,9 @@
-"""Concepts of documents, heading lines, and the weight of a tier."""
+"""Concepts of documents, what the market says about them, and the weight of a tier."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.functions.text import blank, bounded
 
@@ -16,17 +15,24 @@ def concept_set(text: Column | str, concepts: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda a: F.element_at(table, a))))
 
 
-def sections(docs: DataFrame, is_heading, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, line, heading, body: lines with the last heading line before them.
-
-    The window is over the lines of one document, exploded from its own text.
-    """
-    lines = docs.select(doc, F.posexplode(F.split(blank(text), "\n")).alias("line", "body"))
-    w = Window.partitionBy(doc).orderBy("line")
-    return lines.withColumn("heading", F.last(F.when(is_heading(F.col("body")), F.col("body")), ignorenulls=True).over(w))
+#: Of each tier its weight, the least and the largest; the bands of the market that move it by one.
+BANDS = {"CORE": (5, 4, 5), "STRONG_SECONDARY": (4, 3, 4), "SUPPORTING": (3, 2, 3), "BACKGROUND": (2, 1, 2)}
+COMMON, RARE = 2, 4
 
 
 def weight(tier_: Column, separation: Column) -> Column:
-    """1 to 5 from a tier's base and how far the market sets the term apart."""
-    base = F.when(tier_ == "CORE", 5).when(tier_ == "STRONG_SECONDARY", 4).when(tier_ == "SUPPORTING", 2).otherwise(1)
-    return F.greatest(F.lit(1), F.least(F.lit(5), base + F.when(separation >= 4, 1).when(separation <= 1, -1).otherwise(0)))
+    """The weight of a tier, one less where the market names the term often and one more where seldom, inside the tier's band; without a separation as it is."""
+    step = F.when(separation <= COMMON, -1).when(separation >= RARE, 1).otherwise(0)
+    held = lambda base, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.lit(base) + step))
+    return F.coalesce(*[F.when(tier_ == name, held(*band)) for name, band in BANDS.items()], held(*BANDS["SUPPORTING"]))
+
+
+def market_signals(concepts: DataFrame, frequencies: DataFrame, least: int, band) -> DataFrame:
+    """concept, key, separation, hits, seen of every concept (concept, keys): by its first key that enough rows were asked about; nulls where none is measurable.
+
+    ``frequencies`` is (term, hits, seen), ``band`` makes a separation of hits and seen.
+    """
+    asked = concepts.select("concept", F.posexplode("keys").alias("place", "key")).select("concept", "place", F.trim(F.lower("key")).alias("key"))
+    known = frequencies.where(F.col("seen") >= least).select(F.col("term").alias("key"), "hits", "seen")
+    first = asked.join(known, "key").groupBy("concept").agg(F.min_by(F.struct("key", "hits", "seen"), "place").alias("m")).select("concept", "m.*")
+    return concepts.select("concept").distinct().join(first, "concept", "left").select("concept", "key", band("hits", "seen").alias("separation"), "hits", "seen")

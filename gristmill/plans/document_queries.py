@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from gristmill.operators import audits, gate
 from gristmill.operators import documents as D
 from gristmill.operators import evidence as E
-from gristmill.operators.market import separation
+from gristmill.operators.market import SEEN_LEAST, blend, separation, term_frequency
+from gristmill.plans.market_queries import BAND, FREQ, M
 from gristmill.registry import query
 from gristmill.sources.shared import stored
-from gristmill.sources.tables import table
+from gristmill.sources.tables import market_rows, table
 
 CONCEPTS = {"gpl": ["gnu general public license", "gpl"], "apache": ["apache license", "apache"], "license": ["license"], "mit": ["mit license", "mit"], "article": ["the", "les", "der"], "insult": ["idiot", "stupid", "loser"], "work": ["work"]}
 ALIASES = sorted(((a, c) for c, names in CONCEPTS.items() for a in names), key=lambda x: (-len(x[0]), x[0]))
@@ -34,6 +35,34 @@ OCC = (
 )
 
 
+#: Documents by part number, with a part's brand, type and size in them, and what they say of each concept:
+#: (concept, statuses, strength, entries, tier, why).
+TOOLS = {"spark": ["spark"], "redis": ["redis"], "kafka": ["kafka"]}
+TOLD = (
+    ("Work Experience\n{p_brand}\n- Built services with spark.\n{p_type} Ltd\n- Developed jobs in spark.", [("spark", "USED,USED", "independent", 2, "CORE", "used at work")]),
+    ("Projects\nTool {p_size} | demo\n- Designed a cache with redis.\nSkills\nredis, kafka", [("redis", "MENTIONED,USED", "substantive", 1, "STRONG_SECONDARY", "built with in a project"), ("kafka", "MENTIONED", "claim", 0, "SUPPORTING", "listed")]),
+    ("Education\nState University\n- Course on kafka.\nSummary\nI plan to use spark.", [("kafka", "LEARNING", "none", 0, "BACKGROUND", "learning"), ("spark", "PLANNED", "none", 0, "BACKGROUND", "planned")]),
+    ("Work Experience\n{p_brand}\n- Evaluated kafka, not adopted.\n- Meetings about redis.", [("kafka", "NEGATED", "none", 0, "BACKGROUND", "rejected"), ("redis", "MENTIONED", "claim", 0, "SUPPORTING", "named")]),
+)
+#: The spans of the same documents: (template, section, entry, first line, lines).
+SPANS = ((0, "work", "p_brand", 1, 2), (0, "work", "p_type || ' Ltd'", 3, 2), (1, "project", "'Tool ' || p_size", 1, 2), (1, "skills", "''", 4, 1), (2, "education", "'State University'", 1, 2), (2, "summary", "''", 4, 1), (3, "work", "p_brand", 1, 3))
+#: What was done in documents of their own: text and (mode, kind, asserted, learning, refuted, delegated, entries, strength).
+DONE = (
+    ("Work Experience\n{p_brand}\n- Built services for payments.\n{p_type} Ltd\n- Developed two apps.", [("development", 2, 0, 0, 0, 2, "strong")]),
+    ("Work Experience\n{p_brand}\n- Authored notes for the module. Coordinated with the developers who built components.", [("consulting", 1, 0, 0, 1, 1, "weak")]),
+    ("Education\n{p_type} College\n- Built scripts.\nSummary\nNever configured workflows.", [("development", 0, 1, 0, 0, 0, "none"), ("configuration", 0, 0, 1, 0, 0, "none")]),
+)
+
+
+def _filled(spark, sf_dir, templates):
+    texts = [F.concat_ws("", *[F.col(piece).cast("string") if piece.startswith("p_") else F.lit(piece) for piece in re.split("[{}]", text)]) for text, _ in templates]
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*texts), F.col("p_partkey") % len(templates)).alias("text"))
+
+
+def _values(templates) -> str:
+    return ", ".join(f"({k}, {', '.join(str(x) if isinstance(x, int) else chr(39) + x + chr(39) for x in row)})" for k, (_, rows) in enumerate(templates) for row in rows)
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -87,7 +116,7 @@ def _weights(spark, sf_dir):
     """doc_id, concept, weight and what it rests on; the evidence is read once for the weights and for the share of documents."""
     rows = stored(_strength(spark, sf_dir))
     docs = rows.groupBy("concept").agg(F.count("*").alias("hits")).crossJoin(_docs(spark, sf_dir).agg(F.count("*").alias("seen")))
-    return rows.join(docs, "concept").select("*", D.weight(F.col("tier"), F.coalesce(separation("hits", "seen"), F.lit(3))).alias("weight"))
+    return rows.join(docs, "concept").select("*", D.weight(F.col("tier"), separation("hits", "seen")).alias("weight"))
 
 
 @query()
@@ -105,13 +134,20 @@ def c8_assess_all(spark, sf_dir):
     return per.groupBy("concept", "doc_id").agg(F.sum("n").alias("n")).groupBy("concept").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).crossJoin(F.broadcast(lost))
 
 
-@query("WITH k AS (SELECT c_custkey, 1 AS pos, c_mktsegment AS key FROM customer UNION ALL SELECT c_custkey, 2, 'ANY' FROM customer), m AS (SELECT c_mktsegment AS key, count(*) AS seen FROM customer GROUP BY 1 HAVING count(*) >= 295 UNION ALL SELECT 'ANY', count(*) FROM customer) SELECT c_custkey, min_by(m.key, pos) AS signal FROM k JOIN m ON k.key = m.key GROUP BY c_custkey")
+#: Brands as concepts: what the market is asked about each, in this order. A run of the market is a supplier.
+ASKED = "k AS (SELECT p_brand AS concept, unnest(['tool of ' || p_brand, CASE WHEN right(p_brand, 1) <> '3' THEN p_brand END, min(p_type), 'Red', 'gear']) AS key, unnest(range(5)) AS place FROM part GROUP BY p_brand), g AS (SELECT k.concept, min_by(term, place) AS key FROM k JOIN f ON f.term = lower(k.key) AND f.seen >= 200 GROUP BY 1)"
+
+
+def _asked(spark, sf_dir):
+    brand = F.col("p_brand")
+    keys = F.array(F.concat(F.lit("tool of "), brand), F.when(F.right(brand, F.lit(1)) != "3", brand), F.col("kind"), F.lit("Red"), F.lit("gear"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_type").alias("kind")).select(brand.alias("concept"), keys.alias("keys"))
+
+
+@query(f"{M}, {FREQ}, {ASKED}, b AS (SELECT *, {BAND} AS separation FROM f) SELECT concept, g.key, separation, hits, seen FROM (SELECT DISTINCT p_brand AS concept FROM part) LEFT JOIN g USING (concept) LEFT JOIN b ON b.term = g.key")
 def c14_market_signal(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    seen = customers.groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("seen")).where("seen >= 295").select("key")
-    keys = customers.select("c_custkey", F.posexplode(F.array("c_mktsegment", F.lit("ANY"))).alias("pos", "key"))
-    known = seen.union(customers.select(F.lit("ANY").alias("key")).limit(1))
-    return keys.join(known, "key").groupBy("c_custkey").agg(F.min_by("key", "pos").alias("signal"))
+    """What the market says about every brand, and which of its keys answered."""
+    return D.market_signals(_asked(spark, sf_dir), term_frequency(market_rows(spark, sf_dir).withColumnRenamed("company", "run")), SEEN_LEAST, separation)
 
 
 @query()
@@ -131,47 +167,58 @@ def c20_evidence_profile(spark, sf_dir):
     return _weights(spark, sf_dir).select("doc_id", "concept", "weight", F.concat_ws("/", "tier", "strength", "entries", "n").alias("rests_on"))
 
 
-@query()
-def c21_corpus_profiles(spark, sf_dir):
-    """Weights of many profiles at once: one per label class, blended with how far the corpus sets a concept apart."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("person"))
-    rows = _strength(spark, sf_dir).join(labels, "doc_id").groupBy("person", "concept").agg(F.count("*").alias("docs"), F.sum("uses").alias("uses"))
-    return rows.select("person", "concept", "docs", F.least(F.lit(5), 1 + F.floor(F.log2(1 + F.col("uses")))).cast("int").alias("weight"))
+def _told(spark, sf_dir):
+    return E.judged(E.occurrences(E.lines(_filled(spark, sf_dir, TOLD), "p_partkey"), TOOLS))
 
 
-@query("WITH p AS (SELECT l_orderkey AS doc, l_returnflag AS field, count(*) FILTER (WHERE l_quantity > 25) AS p, count(*) FILTER (WHERE l_discount > 0.04) AS y, count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.04) AS tp FROM lineitem GROUP BY 1, 2) SELECT field, round(avg(CASE WHEN p + y > 0 THEN 2.0 * tp / (p + y) END), 6) AS macro_f1 FROM p GROUP BY field")
-def a18_macro_f1(spark, sf_dir):
-    p, y = F.col("l_quantity") > 25, F.col("l_discount") > 0.04
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("field")).agg(F.count_if(p).alias("p"), F.count_if(y).alias("y"), F.count_if(p & y).alias("tp"))
-    return rows.groupBy("field").agg(F.round(F.avg(F.when(F.col("p") + F.col("y") > 0, 2.0 * F.col("tp") / (F.col("p") + F.col("y")))), 6).alias("macro_f1"))
+#: What a market says about the tools of TOLD: hits and rows asked, by the key that answers.
+MARKET_OF = {"spark": ("apache spark", 900, 1000), "redis": ("redis", 3, 1000), "kafka": (None, None, None)}
+SIGNALS = "mk(concept, key, hits, seen) AS (VALUES " + ", ".join(f"('{c}', {chr(39) + k + chr(39) if k else 'NULL::VARCHAR'}, {h if h else 'NULL::BIGINT'}, {n if n else 'NULL::BIGINT'})" for c, (k, h, n) in MARKET_OF.items()) + ")"
+_TOLD = f"t(k, concept, statuses, strength, entries, tier, why) AS (VALUES {_values(TOLD)})"
+_MOVED = "CASE tier WHEN 'CORE' THEN greatest(4, least(5, 5 + step)) WHEN 'STRONG_SECONDARY' THEN greatest(3, least(4, 4 + step)) WHEN 'SUPPORTING' THEN greatest(2, least(3, 3 + step)) ELSE greatest(1, least(2, 2 + step)) END"
 
 
-#: Documents by part number, with a part's brand, type and size in them, and what they say of each concept:
-#: (concept, statuses, strength, entries, tier, why).
-TOOLS = {"spark": ["spark"], "redis": ["redis"], "kafka": ["kafka"]}
-TOLD = (
-    ("Work Experience\n{p_brand}\n- Built services with spark.\n{p_type} Ltd\n- Developed jobs in spark.", [("spark", "USED,USED", "independent", 2, "CORE", "used at work")]),
-    ("Projects\nTool {p_size} | demo\n- Designed a cache with redis.\nSkills\nredis, kafka", [("redis", "MENTIONED,USED", "substantive", 1, "STRONG_SECONDARY", "built with in a project"), ("kafka", "MENTIONED", "claim", 0, "SUPPORTING", "listed")]),
-    ("Education\nState University\n- Course on kafka.\nSummary\nI plan to use spark.", [("kafka", "LEARNING", "none", 0, "BACKGROUND", "learning"), ("spark", "PLANNED", "none", 0, "BACKGROUND", "planned")]),
-    ("Work Experience\n{p_brand}\n- Evaluated kafka, not adopted.\n- Meetings about redis.", [("kafka", "NEGATED", "none", 0, "BACKGROUND", "rejected"), ("redis", "MENTIONED", "claim", 0, "SUPPORTING", "named")]),
-)
-#: The spans of the same documents: (template, section, entry, first line, lines).
-SPANS = ((0, "work", "p_brand", 1, 2), (0, "work", "p_type || ' Ltd'", 3, 2), (1, "project", "'Tool ' || p_size", 1, 2), (1, "skills", "''", 4, 1), (2, "education", "'State University'", 1, 2), (2, "summary", "''", 4, 1), (3, "work", "p_brand", 1, 3))
-#: What was done in documents of their own: text and (mode, kind, asserted, learning, refuted, delegated, entries, strength).
-DONE = (
-    ("Work Experience\n{p_brand}\n- Built services for payments.\n{p_type} Ltd\n- Developed two apps.", [("development", 2, 0, 0, 0, 2, "strong")]),
-    ("Work Experience\n{p_brand}\n- Authored notes for the module. Coordinated with the developers who built components.", [("consulting", 1, 0, 0, 1, 1, "weak")]),
-    ("Education\n{p_type} College\n- Built scripts.\nSummary\nNever configured workflows.", [("development", 0, 1, 0, 0, 0, "none"), ("configuration", 0, 0, 1, 0, 0, "none")]),
-)
+def _profiled(spark, sf_dir):
+    """Evidence of the told documents with the market's word on each concept and the weight that follows."""
+    concepts = spark.createDataFrame([(c, [f"{c} 9", k or c, "nothing"]) for c, (k, _, _) in MARKET_OF.items()], "concept string, keys array<string>")
+    told = spark.createDataFrame([(k, h, n) for k, h, n in MARKET_OF.values() if k] + [("kafka", 5, 150)], "term string, hits long, seen long")
+    signals = D.market_signals(concepts, told, SEEN_LEAST, separation)
+    rows = E.strength(_told(spark, sf_dir), "p_partkey").join(F.broadcast(signals), "concept")  # as many rows as there are concepts
+    return rows.select("*", D.weight(F.col("tier"), F.col("separation")).alias("weight"))
 
 
-def _filled(spark, sf_dir, templates):
-    texts = [F.concat_ws("", *[F.col(piece).cast("string") if piece.startswith("p_") else F.lit(piece) for piece in re.split("[{}]", text)]) for text, _ in templates]
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*texts), F.col("p_partkey") % len(templates)).alias("text"))
+@query(f"WITH {SIGNALS}, {_TOLD}, w AS (SELECT *, CASE WHEN hits / seen >= 0.12 THEN -1 WHEN hits / seen < 0.04 THEN 1 ELSE 0 END AS step FROM t JOIN mk USING (concept)) SELECT p_partkey, concept, {_MOVED} AS weight FROM part JOIN w ON p_partkey % {len(TOLD)} = k")
+def c7_told_weights(spark, sf_dir):
+    """Weights of tiers, moved by the market inside their bands."""
+    return _profiled(spark, sf_dir).select("p_partkey", "concept", "weight")
 
 
-def _values(templates) -> str:
-    return ", ".join(f"({k}, {', '.join(str(x) if isinstance(x, int) else chr(39) + x + chr(39) for x in row)})" for k, (_, rows) in enumerate(templates) for row in rows)
+@query(f"WITH {SIGNALS}, {_TOLD}, w AS (SELECT *, CASE WHEN hits / seen >= 0.12 THEN -1 WHEN hits / seen < 0.04 THEN 1 ELSE 0 END AS step FROM t JOIN mk USING (concept)), f AS (SELECT p_partkey, unnest(['Spark', 'REDIS', 'kafka streams', 'cobol']) AS term, unnest(['spark', 'redis', 'kafka', NULL]) AS concept, unnest([1, 2, 3, 4]) AS given FROM part) SELECT f.p_partkey, term, CASE WHEN tier IS NULL THEN given ELSE {_MOVED} END AS weight, tier, why, key AS market_key FROM f LEFT JOIN w ON w.concept = f.concept AND f.p_partkey % {len(TOLD)} = w.k")
+def c20_told_profiles(spark, sf_dir):
+    """Profiles weighted anew from their documents, term by term, with tier, reason and the market key behind each weight; what has no evidence keeps its own."""
+    identity = {"spark": "spark", "redis": "redis", "kafka streams": "kafka"}
+    entries = [("Spark", 1), ("REDIS", 2), ("kafka streams", 3), ("cobol", 4)]
+    given = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("given")) for t, w in entries])).alias("e")).select("p_partkey", "e.*")
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in identity.items() for x in pair]), F.lower("term"))
+    rows = given.withColumn("concept", known).join(_profiled(spark, sf_dir).select("p_partkey", "concept", "weight", "tier", "why", "key"), ["p_partkey", "concept"], "left")
+    return rows.select("p_partkey", "term", F.coalesce("weight", "given").alias("weight"), "tier", "why", F.col("key").alias("market_key"))
+
+
+@query(f"{M}, {FREQ}, b AS (SELECT term, hits, seen, {BAND} AS s FROM f), p AS (SELECT p_partkey % 100 AS person, w AS term, max(p_size % 5 + 1) AS before FROM (SELECT p_partkey, p_size, unnest(list_append(string_split(p_name, ' '), 'cobol')) AS w FROM part) GROUP BY 1, 2), a AS (SELECT person, term, before, CASE WHEN s IS NULL THEN before ELSE greatest(1, least(5, round_even(sqrt(before * s), 0)::INT)) END AS after, round(hits / seen, 6) AS share FROM p LEFT JOIN b USING (term)) SELECT * FROM a WHERE before <> after")
+def c21_corpus_profiles(spark, sf_dir):
+    """The terms of many profiles whose weight the market moves: how far it sets them apart, blended with how central they were said to be."""
+    part = table(spark, sf_dir, "part")
+    said = part.select((F.col("p_partkey") % 100).alias("person"), (F.col("p_size") % 5 + 1).alias("before"), F.explode(F.concat(F.split("p_name", " "), F.array(F.lit("cobol")))).alias("term")).groupBy("person", "term").agg(F.max("before").alias("before"))
+    measured = term_frequency(market_rows(spark, sf_dir).withColumnRenamed("company", "run"))
+    rows = said.join(measured, "term", "left").withColumn("after", blend(F.col("before"), separation("hits", "seen")))
+    return rows.where("before <> after").select("person", "term", "before", "after", F.round(F.col("hits") / F.col("seen"), 6).alias("share"))
+
+
+@query("WITH p AS (SELECT l_orderkey AS doc, l_returnflag AS field, count(*) FILTER (WHERE l_quantity > 25) AS p, count(*) FILTER (WHERE l_discount > 0.04) AS y, count(*) FILTER (WHERE l_quantity > 25 AND l_discount > 0.04) AS tp FROM lineitem GROUP BY 1, 2) SELECT field, round(avg(CASE WHEN p + y > 0 THEN 2.0 * tp / (p + y) END), 6) AS macro_f1 FROM p GROUP BY field")
+def a18_macro_f1(spark, sf_dir):
+    p, y = F.col("l_quantity") > 25, F.col("l_discount") > 0.04
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("field")).agg(F.count_if(p).alias("p"), F.count_if(y).alias("y"), F.count_if(p & y).alias("tp"))
+    return rows.groupBy("field").agg(F.round(F.avg(F.when(F.col("p") + F.col("y") > 0, 2.0 * F.col("tp") / (F.col("p") + F.col("y")))), 6).alias("macro_f1"))
 
 
 @query("SELECT p_partkey, section, entry, first_line, lines FROM part JOIN (" + " UNION ALL ".join(f"SELECT p_partkey AS q, '{section}' AS section, {entry} AS entry, {first} AS first_line, {n}::BIGINT AS lines FROM part WHERE p_partkey % {len(TOLD)} = {k}" for k, section, entry, first, n in SPANS) + ") ON p_partkey = q")
@@ -179,10 +226,6 @@ def c2_section_spans(spark, sf_dir):
     return E.sections(_filled(spark, sf_dir, TOLD), "p_partkey")
 
 
-def _told(spark, sf_dir):
-    return E.judged(E.occurrences(E.lines(_filled(spark, sf_dir, TOLD), "p_partkey"), TOOLS))
-
-
 @query(f"SELECT p_partkey, concept, statuses FROM part JOIN (VALUES {_values(TOLD)}) AS t(k, concept, statuses, strength, entries, tier, why) ON p_partkey % {len(TOLD)} = k")
 def c3_told_status(spark, sf_dir):
     return _told(spark, sf_dir).groupBy("p_partkey", "concept").agg(F.array_join(F.array_sort(F.collect_list("status")), ",").alias("statuses"))

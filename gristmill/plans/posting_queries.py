@@ -223,11 +223,16 @@ def e16_enrich(spark, sf_dir):
     return scoring.enriched(postings(spark, sf_dir), 5.5).drop("description")
 
 
-@query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age, CASE WHEN date_diff('day', o_orderdate::DATE, DATE '2002-01-01') <= 365 THEN 'this year' ELSE 'older' END AS label FROM orders")
+_AGE = "date_diff('day', o_orderdate::DATE, DATE '1997-06-01')"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR {_AGE} < 0 THEN '' WHEN {_AGE} = 0 THEN 'today' WHEN {_AGE} < 7 THEN {_AGE} || 'd ago' WHEN {_AGE} < 60 THEN {_AGE} // 7 || 'w ago' ELSE {_AGE} // 30 || 'mo ago' END AS label, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate::DATE END AS day, CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 12 END AS years FROM orders")
 def e19_posting_age(spark, sf_dir):
-    on = S.posted_on(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"), F.lit("2002-01-01").cast("date"))
-    age = F.datediff(F.lit("2002-01-01").cast("date"), on)
-    return table(spark, sf_dir, "orders").select("o_orderkey", age.cast("long").alias("age"), F.when(age <= 365, "this year").otherwise("older").alias("label"))
+    """The age of a posting as it is told, its date by the start of the cell, and the years at the start of another."""
+    form = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    cell = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("posted "), form)).otherwise(F.concat(F.lit(" "), form))
+    years = F.get(F.array(*map(F.lit, ("3+", " 12-15 Yrs", "Full Time", ""))), F.col("o_orderkey") % 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.posted_age(cell, F.lit("1997-06-01").cast("date")).alias("label"), S.date_prefix(cell).alias("day"), chain.stated_years(years).alias("years"))
 
 
 @query(ctes("posting") + " SELECT CASE WHEN location = 'en' THEN 'home' WHEN location IN ('de','fr') THEN 'remote' ELSE 'abroad' END AS bucket, count(*) AS n, max(score) AS best FROM posting GROUP BY 1")
@@ -263,9 +268,13 @@ def e25_fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.fingerprint("o_orderpriority", F.col("o_custkey").cast("string")).alias("query_fp"), X.fingerprint("o_orderpriority").alias("keyword_fp"))
 
 
-@query("SELECT p_partkey, len(list_intersect(string_split(p_name, ' '), ['red','widget','bolt'])) > 0 AS title_matches FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN contains(lower(p_type || ' ' || p_name), 'red') OR contains(lower(p_type || ' ' || p_name), 'bolt') ELSE contains(p_name, 'gear') END AS title_matches, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN p_partkey % 2 = 0 WHEN 2 THEN true ELSE p_partkey % 5 = 0 END AS location_matches FROM part")
 def e26_mismatch(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("red", "widget", "bolt")))).alias("title_matches"))
+    """Whether results have a word of their search and its place, by any name of that."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    keyword = F.get(F.array(F.lit("Stack developer"), F.lit("Red/bolt Engineer"), F.lit("gear js")), size % 3)
+    asked, text = F.get(F.array(*map(F.lit, ("Remote", "Bengaluru", "Gurgaon", "Oslo"))), size % 4), F.get(F.array(F.lit("anywhere"), F.when(key % 2 == 0, "Bangalore, KA"), F.lit("Gurugram"), F.when(key % 5 == 0, "Greater OSLO").otherwise("Bergen")), size % 4)
+    return table(spark, sf_dir, "part").select("p_partkey", S.title_has_query(keyword, F.concat_ws(" ", "p_type", "p_name")).alias("title_matches"), S.place_is_query(asked, text).alias("location_matches"))
 
 
 #: Months by order number: how they are written, and what is read.
