@@ -127,3 +127,10 @@ def years_check(spans: DataFrame, stated: DataFrame, by: str) -> DataFrame:
     rows = stated.join(seen, by, "left").join(total, by, "left")
     action = F.when(F.col("any").isNull(), F.when(F.coalesce("years", F.lit(0)) == 0, "none").otherwise("escalate")).when(~F.col("any"), "escalate").when(F.col("computed").eqNullSafe(F.col("years")), "none").otherwise("computed")
     return rows.select(by, "computed", F.col("years").alias("stated"), action.alias("action"))
+
+
+def completeness(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """field, percent: how many rows state something in each field; all fields in one pass."""
+    sums = rows.agg(F.count("*").alias("_n"), *(F.count_if(F.trim(blank(F.col(f).cast("string"))) != "").alias(f) for f in fields))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.round(100 * F.col(f) / F.greatest(F.lit(1), "_n"), 1).alias("percent")) for f in fields])
+    return sums.select(F.inline(cells))

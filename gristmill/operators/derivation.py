@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions.text import bounded
 from gristmill.operators.market import REACHABLE, _bounded_group, budget_order, fragments, idf, suppressed
 from gristmill.sources.shared import stored
 
@@ -297,3 +297,58 @@ def derived(owned: DataFrame, held: DataFrame, rows: DataFrame, seniority: tuple
     priced = shares(ranked, own, market, rules).join(ranked.select("person", "keyword", (F.col("tier") == 1).alias("held"), F.col("place").alias("rank")), ["person", "keyword"])
     order = budget_order(priced, rules.rows, rules.orphan_companies)
     return order.join(ranked.drop("place"), ["person", "keyword"]).select("person", "keyword", "tier", "why", "place")
+
+
+#: The share from which a keyword covers a skill, and the part of a keyword that earlier ones have bought from which it waits.
+COVERED, REDUNDANT = 0.25, 0.6
+
+
+def rare_skills(own: DataFrame, market: Market, rules: Rules = Rules()) -> DataFrame:
+    """(person, skill, idf): the skills a person can be found by: with enough listings and employers, and no commoner than the (upper) median of those."""
+    enough = market.skills.where((F.col("n") >= rules.orphan_listings) & (F.col("employers") >= rules.orphan_companies))
+    weighed = _with_total(enough, market).select("skill", idf(F.col("n"), F.col("total")).alias("idf"))
+    mine = own.select("person", "skill").distinct().join(weighed, "skill")
+    middle = mine.groupBy("person").agg(F.sort_array(F.collect_list("idf")).alias("a")).select("person", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("middle"))  # a person's skills
+    return mine.join(middle, "person").where(F.col("idf") >= F.col("middle")).select("person", "skill", "idf")
+
+
+def specialists(priced: DataFrame, rare: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(person, keyword, score): the keyword with enough rows that best serves a person's rare skills; of equal ones the first in the alphabet."""
+    found = priced.where(F.col("listings") >= rules.rows).join(rare.select("person", "skill"), ["person", "skill"]).groupBy("person", "keyword").agg(F.sum(F.col("idf") * F.col("share")).alias("score")).where("score > 0")
+    return found.groupBy("person").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "keyword")).alias("b")).select("person", "b.keyword", (-F.col("b.s")).alias("score"))
+
+
+def redundant_last(priced: DataFrame, most: int = 20_000) -> DataFrame:
+    """person, keyword, place: in the order of ``rank``, but a keyword of which earlier ones have bought more than ``REDUNDANT`` waits behind, and so do held titles after the first.
+
+    ``priced`` is (person, keyword, skill, share, idf, held, rank), some fifty keywords a person; more than ``most`` rows of one raise ValueError.
+    """
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded_group(pdf, most)
+        keep, wait, have, leads = [], [], {}, 0
+        for word, part in sorted(pdf.groupby("keyword"), key=lambda x: (x[1]["rank"].iloc[0], x[0])):
+            share, weight, held = dict(zip(part["skill"], part["share"])), dict(zip(part["skill"], part["idf"])), bool(part["held"].iloc[0])
+            mine = sum(weight[s] * v for s, v in share.items())
+            gain = sum(weight[s] * max(0.0, v - have.get(s, 0.0)) for s, v in share.items())
+            if held and leads >= 1 or mine > 0 and gain / mine < 1 - REDUNDANT:
+                wait.append(word)
+                continue
+            keep.append(word)
+            leads += held
+            for s, v in share.items():
+                have[s] = max(have.get(s, 0.0), v)
+        both = keep + wait
+        return pd.DataFrame({"person": [pdf["person"].iloc[0]] * len(both), "keyword": both, "place": range(1, len(both) + 1)})
+
+    return priced.groupBy("person").applyInPandas(order, f"person {dict(priced.dtypes)['person']}, keyword string, place long")
+
+
+def title_hints(scores: DataFrame, market: Market, most: int = 40) -> DataFrame:
+    """(person, hint, place): the distinctive fragments of a person, each followed by the title that it stands for, ``most`` at most and none twice."""
+    order = Window.partitionBy("person").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("weight", 9)), "fragment")
+    placed = scores.withColumn("order", F.row_number().over(order)).withColumnRenamed("fragment", "keyword")
+    chosen = suppressed(placed, "person", "keyword", "order", most).withColumnRenamed("keyword", "fragment").join(market.canon, "fragment", "left")
+    both = chosen.select("person", F.inline(F.array(F.struct(F.col("fragment").alias("hint"), (2 * F.col("place")).alias("at")), F.struct(F.col("canonical").alias("hint"), (2 * F.col("place") + 1).alias("at"))))).where("hint IS NOT NULL")
+    first = both.groupBy("person", "hint").agg(F.min("at").alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy("at")).cast("long")).where(F.col("place") <= most).drop("at")

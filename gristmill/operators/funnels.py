@@ -161,3 +161,23 @@ def removal(origins: DataFrame, scenarios: dict[str, list[str]], top: int = 100)
     rows = origins.join(leaders, "key", "left").withColumn("c", F.explode(cases)).select("best", F.coalesce("leads", F.lit(False)).alias("leads"), "c.scenario", F.size(F.array_except("origins", "c.gone")).alias("left"), F.size("origins").alias("had"))
     lost = F.col("left") == 0
     return rows.groupBy("scenario").agg(F.count_if(lost).alias("lost"), F.count("*").alias("keys"), F.max(F.when(lost, F.col("best"))).alias("best"), F.count_if(F.col("leads") & ~lost & (F.col("left") < F.col("had"))).alias("at_risk"))
+
+
+#: The states of a unit that was tried.
+TRIED = ("completed", "failed")
+
+
+def plan_summary(units: DataFrame) -> DataFrame:
+    """Counts of states and sums of ceilings of units (provider, status, ceiling), by provider and of all (null); a unit without a ceiling is counted, never priced."""
+    tried, free = F.col("status").isin(*TRIED), F.col("ceiling").isNull()
+    state = lambda name, alias=None: F.count_if(F.col("status") == name).alias(alias or name)
+    return units.groupingSets([["provider"], []], "provider").agg(
+        F.count("*").alias("planned"), state("completed"), state("failed"), state("skipped_budget"), state("planned", "unvisited"), F.coalesce(F.sum("ceiling"), F.lit(0)).alias("bounded"), F.count_if(free).alias("unbounded"),
+        F.coalesce(F.sum(F.when(tried, F.col("ceiling"))), F.lit(0)).alias("attempted_bounded"), F.count_if(free & tried).alias("attempted_unbounded"))
+
+
+def observed_costs(units: DataFrame, readings: DataFrame) -> DataFrame:
+    """provider (null for all), source, usd, units, readings: what readings (unit_id, source, usd) of tried units come to, each source by itself."""
+    rows = readings.join(units.where(F.col("status").isin(*TRIED)).select("unit_id", "provider"), "unit_id")
+    per = rows.groupBy("provider", "source", "unit_id").agg(F.sum("usd").alias("usd"), F.count("*").alias("n"))
+    return per.groupingSets([["provider", "source"], ["source"]], "provider", "source").agg(F.sum("usd").alias("usd"), F.count("*").alias("units"), F.sum("n").alias("readings"))

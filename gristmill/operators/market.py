@@ -189,23 +189,6 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.when(enough, F.corr("rx", "ry")).alias("rho"))
 
 
-def deferred(ranked: DataFrame, overlap: DataFrame, most: float = 0.5) -> DataFrame:
-    """person, keyword, place: in order, but a keyword that overlaps one already placed by more than ``most`` goes behind.
-
-    ``ranked`` is (person, keyword, place), ``overlap`` (person, a, b, share): some fifty keywords a person.
-    """
-    near = overlap.where(F.col("share") > most).groupBy("person", F.col("a").alias("keyword")).agg(F.collect_set("b").alias("near"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed, later = [], []
-        for word, near_ in pdf.sort_values(["place", "keyword"])[["keyword", "near"]].itertuples(index=False):
-            (later if near_ is not None and set(near_) & set(placed) else placed).append(word)
-        both = placed + later
-        return pd.DataFrame({"person": [pdf["person"].iloc[0]] * len(both), "keyword": both, "place": range(1, len(both) + 1)})
-
-    return ranked.join(near, ["person", "keyword"], "left").groupBy("person").applyInPandas(order, f"person {dict(ranked.dtypes)['person']}, keyword string, place long")
-
-
 def surface_forms(terms: DataFrame, term: str = "skill") -> DataFrame:
     """(term, form): every other spelling of distinct terms by string rules alone (joined, spaced, hyphened, in brackets, without a runtime's suffix, singular or plural)."""
 

@@ -41,3 +41,15 @@ def top(df: DataFrame, n: int, score: str = "score", arrival: str = "arrival") -
 def top_per(df: DataFrame, by: str, n: int, score: str = "score", arrival: str = "arrival") -> DataFrame:
     """The n best rows of each group; Spark ranks within tasks before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), arrival))).where(F.col("rank") <= n)
+
+
+def ledger_state(log: DataFrame) -> DataFrame:
+    """key, at of the keys whose last entry in a log (key, gone, at, tie) isn't a removal."""
+    last = log.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("at", "tie", "gone")).alias("r"))
+    return last.where("NOT r.gone").select("key", "r.at")
+
+
+def flagged(view: DataFrame, state: DataFrame, key: str, flag: str = "applied") -> DataFrame:
+    """view with a flag: does the ledger's state hold its key?"""
+    held = state.select(F.col("key").alias(key), F.lit(True).alias(flag))
+    return view.join(held, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

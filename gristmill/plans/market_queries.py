@@ -397,17 +397,6 @@ def q8_fail_open(spark, sf_dir):
     return guards.fail_open(_candidates(spark, sf_dir), F.col("n") >= 100).select("person", "q")
 
 
-@query()
-def m22_redundancy_deferral(spark, sf_dir):
-    """The budget order with keywords behind whose listings an earlier keyword mostly buys."""
-    hit = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("title"), k))
-    titles = market_rows(spark, sf_dir).groupBy("title").agg(F.count("*").alias("n")).select("n", hit.alias("hit"))
-    size = titles.select("n", F.explode("hit").alias("a")).groupBy("a").agg(F.sum("n").alias("size"))
-    both = titles.select("n", F.explode("hit").alias("a"), "hit").select("n", "a", F.explode("hit").alias("b")).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("both"))
-    overlap = both.join(size, "a").select(F.lit("all").alias("person"), "a", "b", (F.col("both") / F.col("size")).alias("share"))
-    return market.deferred(m21_budget_order(spark, sf_dir), overlap)
-
-
 @query(M + f", {REACH}, t AS (SELECT title, count(*) AS c FROM market GROUP BY 1), h AS (SELECT keyword, title, c FROM t JOIN k ON contains(title, keyword)), n AS (SELECT keyword, sum(c) AS n FROM h GROUP BY 1), p AS (SELECT a.keyword AS a, b.keyword AS b, sum(a.c) AS common FROM h a JOIN h b ON a.title = b.title AND a.keyword < b.keyword GROUP BY 1, 2) SELECT count(*) AS pairs, round(avg(coalesce(common, 0) / (x.n + y.n - coalesce(common, 0))), 6) AS mean_jaccard FROM n x JOIN n y ON x.keyword < y.keyword LEFT JOIN p ON p.a = x.keyword AND p.b = y.keyword")
 def m23_redundancy(spark, sf_dir):
     """Mean overlap of the listings that the keywords buy, over all pairs of keywords; equal titles are counted first."""

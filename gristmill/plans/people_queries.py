@@ -191,3 +191,45 @@ def m11_profiles(spark, sf_dir):
     terms = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), F.lower("p_type"), F.lit("absent"))).alias("term"))
     bar = market.titles.agg(F.round(F.sum("r") / F.sum("n"), 6).alias("baseline"))
     return D.profiled(terms, market, HARD).crossJoin(F.broadcast(bar)).select("term", "listings", "reachable", "wasted", F.round("share", 6).alias("share"), F.round("precision", 6).alias("precision"), "baseline")
+
+
+RARE = f"rs AS (SELECT person, skill, ln(total / (1 + sk.n)) AS idf FROM own JOIN sk USING (skill), tot WHERE sk.n >= {RULES.orphan_listings} AND employers >= {RULES.orphan_companies}), rm AS (SELECT person, list_sort(list(idf))[len(list(idf)) // 2 + 1] AS middle FROM rs GROUP BY 1), rare AS (SELECT person, skill, idf FROM rs JOIN rm USING (person) WHERE idf >= middle)"
+
+
+@query(BASE + f", {RARE} SELECT person, skill FROM rare")
+def m23_rare_skills(spark, sf_dir):
+    """The skills that every person can be found by: posted often enough, and among the rarer half of those."""
+    market = _market(spark, sf_dir)
+    return D.rare_skills(_own(spark, sf_dir, market), market, RULES).select("person", "skill")
+
+
+def _asked(spark, sf_dir):
+    """Every person's own titles and the names of their parts as keywords."""
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") % PEOPLE).alias("person"), "p_partkey", "p_name")
+    names = part.groupBy("person", F.col("p_name").alias("keyword")).agg(F.min("p_partkey").alias("rank"))
+    return _held(spark, sf_dir).select("person", "keyword", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("held")).unionByName(names.withColumn("held", F.lit(False)))
+
+
+@query(BASE + f", {RARE}, ask AS (SELECT person, keyword FROM held UNION SELECT p_partkey % {PEOPLE}, p_name FROM part), km AS (SELECT keyword, sum(n) AS listings FROM (SELECT DISTINCT keyword FROM ask) JOIN c ON contains(title, keyword) GROUP BY 1), kn AS (SELECT keyword, skill, sum(n) AS named FROM (SELECT DISTINCT keyword FROM ask) JOIN us ON contains(title, keyword) GROUP BY 1, 2), sp AS (SELECT person, keyword, sum(idf * (named + 20 * sk.n / total) / (listings + 20)) AS score FROM ask JOIN rare USING (person) JOIN kn USING (keyword, skill) JOIN km USING (keyword) JOIN sk USING (skill), tot WHERE listings >= {RULES.rows} GROUP BY 1, 2) SELECT person, keyword, round(score, 6) AS score FROM sp QUALIFY row_number() OVER (PARTITION BY person ORDER BY round(score, 9) DESC, keyword) = 1")
+def m23_specialists(spark, sf_dir):
+    """The keyword that best serves each person's rare skills."""
+    market = _market(spark, sf_dir)
+    own = _own(spark, sf_dir, market)
+    priced = D.shares(_asked(spark, sf_dir).select("person", "keyword").distinct(), own, market, RULES)
+    return D.specialists(priced, D.rare_skills(own, market, RULES), RULES).select("person", "keyword", F.round("score", 6).alias("score"))
+
+
+@query()
+def m22_redundancy_deferral(spark, sf_dir):
+    """Everyone's keywords with those behind of which earlier ones have bought most."""
+    market, asked = _market(spark, sf_dir), _asked(spark, sf_dir)
+    ask = asked.groupBy("person", "keyword").agg(F.min("rank").alias("rank"), F.max("held").alias("held"))
+    priced = D.shares(ask.select("person", "keyword"), _own(spark, sf_dir, market), market, RULES).join(ask, ["person", "keyword"])
+    return D.redundant_last(priced)
+
+
+@query()
+def m9_title_hints(spark, sf_dir):
+    """Fragments and titles that widen the gate on each person's free sources."""
+    market = _market(spark, sf_dir)
+    return D.title_hints(D.corpus_scores(_own(spark, sf_dir, market), market, RULES), market)

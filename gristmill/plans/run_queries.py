@@ -66,9 +66,29 @@ def a7_position_buckets(spark, sf_dir):
     return rows.join(plan_units(spark, sf_dir).select("unit_id", "provider"), "unit_id").groupBy("provider", "bucket").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 25).alias("eligible"))
 
 
-@query(P + " SELECT provider, count(*) AS units, count(*) FILTER (WHERE status = 'F') AS done, sum(ceiling) AS exposure, count(*) FILTER (WHERE ceiling IS NULL) AS unbounded FROM plan GROUP BY provider")
+_STATES = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'planned' END ELSE 'skipped_budget' END"
+STATED_UNITS = f"u AS (SELECT o_orderkey AS unit_id, o_orderpriority AS provider, {_STATES} AS status, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice::DECIMAL(18,2) END AS ceiling FROM orders), c AS (SELECT l_orderkey AS unit_id, CASE l_linenumber WHEN 1 THEN 'estimate' WHEN 2 THEN 'run_record' ELSE 'account' END AS source, l_extendedprice::DECIMAL(18,2) AS usd FROM lineitem)"
+
+
+def _stated_units(spark, sf_dir):
+    """(units with status and ceiling, what was observed of their costs)."""
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(state == "F", "completed").when(state == "O", F.when(key % 5 == 0, "failed").otherwise("planned")).otherwise("skipped_budget")
+    units = table(spark, sf_dir, "orders").select(key.alias("unit_id"), F.col("o_orderpriority").alias("provider"), status.alias("status"), F.when(key % 7 > 0, F.col("o_totalprice").cast("decimal(18,2)")).alias("ceiling"))
+    source = F.when(F.col("l_linenumber") == 1, "estimate").when(F.col("l_linenumber") == 2, "run_record").otherwise("account")
+    return units, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), source.alias("source"), F.col("l_extendedprice").cast("decimal(18,2)").alias("usd"))
+
+
+@query(f"WITH {STATED_UNITS} SELECT provider, count(*) AS planned, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped_budget') AS skipped_budget, count(*) FILTER (WHERE status = 'planned') AS unvisited, coalesce(sum(ceiling), 0) AS bounded, count(*) FILTER (WHERE ceiling IS NULL) AS unbounded, coalesce(sum(ceiling) FILTER (WHERE status IN ('completed', 'failed')), 0) AS attempted_bounded, count(*) FILTER (WHERE ceiling IS NULL AND status IN ('completed', 'failed')) AS attempted_unbounded FROM u GROUP BY GROUPING SETS ((provider), ())")
 def a8_plan_summary(spark, sf_dir):
-    return plan_units(spark, sf_dir).groupBy("provider").agg(F.count("*").alias("units"), F.count_if(F.col("status") == "F").alias("done"), F.sum("ceiling").alias("exposure"), F.count_if(F.col("ceiling").isNull()).alias("unbounded"))
+    """States and exposure of a plan by provider, and of the whole."""
+    return funnels.plan_summary(_stated_units(spark, sf_dir)[0])
+
+
+@query(f"WITH {STATED_UNITS} SELECT provider, source, sum(usd) AS usd, count(DISTINCT c.unit_id) AS units, count(*) AS readings FROM c JOIN u USING (unit_id) WHERE status IN ('completed', 'failed') GROUP BY GROUPING SETS ((provider, source), (source))")
+def a8_observed_costs(spark, sf_dir):
+    """What was observed to be spent, by the source of the reading."""
+    return funnels.observed_costs(*_stated_units(spark, sf_dir))
 
 
 @query("SELECT CASE WHEN value < 5 THEN 'timeout' WHEN value < 20 THEN 'quota' ELSE 'other' END AS category, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
@@ -117,6 +137,22 @@ def a25_rollup(spark, sf_dir):
     return rows.groupingSets([["keyword"], ["place"]], "keyword", "place").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.round(F.count_if(F.col("position") > 1) / F.count("*"), 6).alias("filled"))
 
 
+@query("WITH p AS (SELECT source AS title, CASE WHEN doc_id % 4 > 0 THEN lang ELSE ' ' END AS company, CASE WHEN doc_id % 7 > 0 THEN 'x' END AS salary, text AS description FROM documents), f AS (SELECT unnest(['title', 'company', 'salary', 'description']) AS field, unnest([title, company, salary, description]) AS v FROM p) SELECT field, round(100 * count(*) FILTER (WHERE trim(coalesce(v, '')) <> '') / greatest(1, count(*)), 1) AS percent FROM f GROUP BY field")
+def a25_completeness(spark, sf_dir):
+    """How many of the rows state each field, in percent."""
+    key = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.when(key % 4 > 0, F.col("lang")).otherwise(" ").alias("company"), F.when(key % 7 > 0, "x").alias("salary"), F.col("text").alias("description"))
+    return audits.completeness(rows, ("title", "company", "salary", "description"))
+
+
+@query(B + " SELECT keyword, count(*) AS n, min(score) AS low, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS p75, max(score) AS high, round(avg(score), 6) AS mean FROM result JOIN plan USING (unit_id) GROUP BY keyword")
+def a25_score_distribution(spark, sf_dir):
+    """How the scores of each keyword's rows are spread."""
+    rows = results(spark, sf_dir).select("unit_id", "score").join(plan_units(spark, sf_dir).select("unit_id", "keyword"), "unit_id")
+    at = lambda p, name: F.percentile("score", p).alias(name)
+    return rows.groupBy("keyword").agg(F.count("*").alias("n"), F.min("score").alias("low"), at(0.25, "p25"), at(0.5, "median"), at(0.75, "p75"), F.max("score").alias("high"), F.round(F.avg("score"), 6).alias("mean"))
+
+
 SPANS = "s AS (SELECT user_id, floor(epoch(ts) / 60)::BIGINT AS lo, floor(epoch(ts) / 60)::BIGINT + floor(value * 10)::BIGINT AS hi FROM events)"
 ISLANDS = "m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY user_id ORDER BY lo, hi) = 1 THEN 1 ELSE 0 END AS fresh FROM s WHERE lo < hi), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m), l AS (SELECT user_id, island, max(hi) - min(lo) AS len FROM i GROUP BY 1, 2)"
 

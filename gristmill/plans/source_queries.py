@@ -37,10 +37,16 @@ def s4_marketplace(spark, sf_dir):
     return landed.normalized(_payloads(spark, sf_dir), "payload", {"title": ("job.absent", "job.title")}).select("p_partkey", "title")
 
 
-@query("SELECT p_partkey, p_type || ', ' || p_brand AS places, 'http://jobs/' || p_partkey AS url FROM part")
+@query("SELECT p_partkey, p_name AS title, p_type || ', ' || p_brand AS location, CASE WHEN p_size % 4 = 0 OR p_size % 3 = 0 AND p_partkey % 5 = 0 THEN '' ELSE trim(CASE WHEN p_size % 2 = 0 THEN 'INR' ELSE '' END || ' ' || CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size * 1000 END || '-' || CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size * 2000 END) END AS salary, CASE WHEN p_partkey % 3 = 0 THEN 'http://own/' || p_partkey ELSE 'http://jobs/' || p_partkey END AS job_url FROM part")
 def s5_nested_marketplace(spark, sf_dir):
-    rows = _payloads(spark, sf_dir)
-    return rows.select("p_partkey", landed.flat("payload", "job.places").alias("places"), F.coalesce(landed.dig("payload", "job.url"), F.concat(F.lit("http://jobs/"), landed.dig("payload", "job.ref.id"))).alias("url"))
+    """Items that nest their details: places as a list, pay as a range (hidden, or of one end, or of none), links made from ids."""
+    part, size, key = table(spark, sf_dir, "part"), F.col("p_size"), F.col("p_partkey")
+    low, high = F.when(size % 3 != 0, size * 1000), F.when(key % 5 != 0, size * 2000)
+    pay = F.struct((size % 4 == 0).alias("hidden"), low.alias("minimum"), high.alias("maximum"), F.when(size % 2 == 0, "INR").alias("currency"))
+    item = F.struct(F.struct(key.alias("id"), F.when(key % 3 == 0, F.concat(F.lit("http://own/"), key)).alias("link"), F.col("p_name").alias("title"), F.array(F.struct(F.col("p_type").alias("label")), F.struct(F.lit(None).cast("string").alias("label")), F.struct(F.col("p_brand").alias("label"))).alias("places"), pay.alias("pay")).alias("details"))
+    rows = part.select("p_partkey", F.to_json(item).alias("payload"))
+    paths = landed.Nested("details.title", "details.places", "label", "details.pay", "details.link", "details.id", "http://jobs/")
+    return landed.nested_rows(rows, "payload", paths).select("p_partkey", "title", "location", "salary", "job_url")
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '(?i)<a href=')) AS links FROM pages")

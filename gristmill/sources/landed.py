@@ -6,6 +6,7 @@ Nothing here fetches; every reader takes columns or paths of what has landed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,30 @@ def html_page(html: Column | str) -> list[Column]:
     return [F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, r'(?i)<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_count(h, F.lit(r"(?i)<a href=")).cast("long").alias("links"), strip_html(body).alias("text")]
 
 
+@dataclass(frozen=True)
+class Nested:
+    """Where a nested item holds its title, list of places and their label, pay (minimum, maximum, currency, hidden), link and id; and what an id is appended to for a link."""
+
+    title: str
+    places: str
+    label: str
+    pay: str
+    link: str
+    id: str
+    base: str
+
+
+def nested_rows(df: DataFrame, payload: str, at: Nested) -> DataFrame:
+    """df with title, location, salary, job_url of nested items: places that have a label, joined; pay as a range, blank if hidden or not stated; the item's own link, else one made of its id."""
+    places = F.transform(F.from_json(dig(payload, at.places), "array<map<string,string>>"), lambda x: x[at.label])
+    low, high = (F.coalesce(dig(payload, f"{at.pay}.{end}").try_cast("long"), F.lit(0)) for end in ("minimum", "maximum"))
+    stated = (dig(payload, f"{at.pay}.hidden").eqNullSafe("true") == F.lit(False)) & ((low != 0) | (high != 0))
+    pay = F.trim(F.concat(blank(dig(payload, f"{at.pay}.currency")), F.lit(" "), low.cast("string"), F.lit("-"), high.cast("string")))
+    own, key = F.trim(blank(dig(payload, at.link))), F.trim(blank(dig(payload, at.id)))
+    link = F.when(own != "", own).when(key != "", F.concat(F.lit(at.base), key)).otherwise("")
+    return df.select("*", blank(dig(payload, at.title)).alias("title"), F.array_join(F.filter(places, lambda x: F.coalesce(x != "", F.lit(False))), ", ").alias("location"), F.when(stated, pay).otherwise("").alias("salary"), link.alias("job_url"))
+
+
 #: Where a job page states its requisition, grade, application and printed date.
 REQUISITION, GRADE, APPLICATION = r"(?i)<b>\s*Requisition number:\s*</b>\s*([A-Za-z0-9-]+)", r'"Name":"Grade","RawValue":"(\d+)"', r"jobapply\.ftl\?job=([A-Za-z0-9-]+)"
 PRINTED = r"(?i)<b>\s*Date posted:\s*</b>\s*(\d{1,2}/\d{1,2}/\d{4})"

@@ -167,7 +167,7 @@ LAWS = {
     "c20_evidence_profile": ("weight BETWEEN 1 AND 5 AND size(split(rests_on, '/')) = 4", None), "c21_corpus_profiles": ("weight BETWEEN 1 AND 5", None),
     "m6_keywords": ("keyword LIKE '% %'", None), "m16_skill_candidates": ("place BETWEEN 1 AND 8", None),
     "m18_capped_selection": ("place BETWEEN 1 AND 2 AND evidence >= 0.5", None), "m25_people_by_market": ("place >= 1 AND tier BETWEEN 1 AND 3 AND why <> ''", None),
-    "m21_budget_order": ("place BETWEEN 1 AND 8", 8), "m22_redundancy_deferral": ("place BETWEEN 1 AND 8", 8),
+    "m21_budget_order": ("place BETWEEN 1 AND 8", 8), "m22_redundancy_deferral": ("place >= 1", None), "m9_title_hints": ("place BETWEEN 1 AND 40 AND hint LIKE '% %'", None),
 }
 
 

@@ -148,3 +148,33 @@ def test_empty_market(spark):
     own = spark.createDataFrame([(1, "x")], "person long, skill string")
     assert D.corpus_scores(own, market).count() == 0 and D.skill_titles(market).count() == 0
     assert D.profiled(own.select(F.col("skill").alias("term")), market).first()["share"] == 0
+
+
+def test_redundant_keywords_wait(spark):
+    rng = random.Random(7)
+    rows, right = [], {}
+    for person in range(12):
+        skills = {s: rng.uniform(1, 5) for s in "abcd"}
+        words = [(k, f"k{k}", k in (1, 4), {s: rng.choice([0.1, 0.5, 0.9]) for s in rng.sample("abcd", rng.randint(1, 3))}) for k in range(8)]
+        keep, wait, have, lead = [], [], {}, 0
+        for _, word, held, share in words:
+            mine, gain = sum(skills[s] * v for s, v in share.items()), sum(skills[s] * max(0, v - have.get(s, 0)) for s, v in share.items())
+            if held and lead or gain / mine < 1 - D.REDUNDANT:
+                wait.append(word)
+            else:
+                keep.append(word)
+                lead += held
+                have = {s: max(have.get(s, 0), share.get(s, 0)) for s in "abcd"}
+        right |= {(person, w): i for i, w in enumerate(keep + wait, 1)}
+        rows += [(person, word, s, v, skills[s], held, k) for k, word, held, share in words for s, v in share.items()]
+    df = spark.createDataFrame(rows, "person long, keyword string, skill string, share double, idf double, held boolean, rank long")
+    got = {(r["person"], r["keyword"]): r["place"] for r in D.redundant_last(df).collect()}
+    assert got == right and any(p > 1 and w == "k1" for (_, w), p in right.items())
+
+
+def test_hints_are_fragments_with_their_titles(spark):
+    rows = [("data engineer", 30, c, ["spark", "sql"]) for c in "abcdef"] + [("shop clerk", 5, c, ["till"]) for c in "abcdefgh"] * 3
+    market = D.market_of(spark.createDataFrame(rows, "title string, score int, company string, skills array<string>"))
+    own = spark.createDataFrame([(1, "spark"), (1, "sql")], "person long, skill string")
+    hints = D.title_hints(D.corpus_scores(own, market, D.Rules(weight=1.0)), market)
+    assert [tuple(r) for r in hints.collect()] == [(1, "data engineer", 1)]
