@@ -132,12 +132,14 @@ def m19_tiers(spark, sf_dir):
     return D.tiers(source(part, F.col("kind")), anchor, source(part, F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.col("kind"))))
 
 
-@query(BASE + ", km AS (SELECT keyword, sum(n) AS listings, count(DISTINCT company) AS companies FROM (SELECT DISTINCT keyword FROM held) JOIN c ON contains(title, keyword) GROUP BY 1), kn AS (SELECT keyword, skill, sum(n) AS named FROM (SELECT DISTINCT keyword FROM held) JOIN us ON contains(title, keyword) GROUP BY 1, 2), s AS (SELECT person, keyword, skill, (named + 20 * sk.n / total) / (listings + 20) AS share, listings, companies FROM held JOIN own USING (person) JOIN kn USING (keyword, skill) JOIN km USING (keyword) JOIN sk USING (skill), tot) SELECT person, keyword, skill, round(share, 6) AS share, listings, companies FROM s UNION ALL SELECT person, keyword, '', 0, coalesce(listings, 0), coalesce(companies, 0) FROM held LEFT JOIN km USING (keyword) WHERE (person, keyword) NOT IN (SELECT (person, keyword) FROM s)")
+@query(BASE + ", km AS (SELECT keyword, sum(n) AS listings, count(DISTINCT company) AS companies FROM (SELECT DISTINCT keyword FROM held) JOIN c ON contains(title, keyword) GROUP BY 1), kn AS (SELECT keyword, skill, sum(n) AS named FROM (SELECT DISTINCT keyword FROM held) JOIN us ON contains(title, keyword) GROUP BY 1, 2), s AS (SELECT person, keyword, skill, (named + 20 * sk.n / total) / (listings + 20) AS share, listings, companies FROM held JOIN own USING (person) JOIN kn USING (keyword, skill) JOIN km USING (keyword) JOIN sk USING (skill), tot) SELECT person, keyword, skill, floor(share * 10000 + 0.37) / 10000 AS share, listings, companies FROM s UNION ALL SELECT person, keyword, '', 0, coalesce(listings, 0), coalesce(companies, 0) FROM held LEFT JOIN km USING (keyword) WHERE (person, keyword) NOT IN (SELECT (person, keyword) FROM s)")
 def m20_people_shares(spark, sf_dir):
     """The shrunk share of every own skill in the rows of the own titles."""
     market = _market(spark, sf_dir)
     found = D.shares(_held(spark, sf_dir), _own(spark, sf_dir, market), market, RULES)
-    return found.select("person", "keyword", "skill", F.round("share", 6).alias("share"), "listings", "companies")
+    #: Cut where exact shares, of small denominators, don't fall.
+    cut = F.floor(F.col("share") * 10000 + 0.37) / 10000
+    return found.select("person", "keyword", "skill", cut.alias("share"), "listings", "companies")
 
 
 @query()
@@ -210,13 +212,13 @@ def _asked(spark, sf_dir):
     return _held(spark, sf_dir).select("person", "keyword", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("held")).unionByName(names.withColumn("held", F.lit(False)))
 
 
-@query(BASE + f", {RARE}, ask AS (SELECT person, keyword FROM held UNION SELECT p_partkey % {PEOPLE}, p_name FROM part), km AS (SELECT keyword, sum(n) AS listings FROM (SELECT DISTINCT keyword FROM ask) JOIN c ON contains(title, keyword) GROUP BY 1), kn AS (SELECT keyword, skill, sum(n) AS named FROM (SELECT DISTINCT keyword FROM ask) JOIN us ON contains(title, keyword) GROUP BY 1, 2), sp AS (SELECT person, keyword, sum(idf * (named + 20 * sk.n / total) / (listings + 20)) AS score FROM ask JOIN rare USING (person) JOIN kn USING (keyword, skill) JOIN km USING (keyword) JOIN sk USING (skill), tot WHERE listings >= {RULES.rows} GROUP BY 1, 2) SELECT person, keyword, round(score, 6) AS score FROM sp QUALIFY row_number() OVER (PARTITION BY person ORDER BY round(score, 9) DESC, keyword) = 1")
+@query(BASE + f", {RARE}, ask AS (SELECT person, keyword FROM held UNION SELECT p_partkey % {PEOPLE}, p_name FROM part), km AS (SELECT keyword, sum(n) AS listings FROM (SELECT DISTINCT keyword FROM ask) JOIN c ON contains(title, keyword) GROUP BY 1), kn AS (SELECT keyword, skill, sum(n) AS named FROM (SELECT DISTINCT keyword FROM ask) JOIN us ON contains(title, keyword) GROUP BY 1, 2), sp AS (SELECT person, keyword, sum(idf * (named + 20 * sk.n / total) / (listings + 20)) AS score FROM ask JOIN rare USING (person) JOIN kn USING (keyword, skill) JOIN km USING (keyword) JOIN sk USING (skill), tot WHERE listings >= {RULES.rows} GROUP BY 1, 2) SELECT person, keyword, round(score, 4) AS score FROM sp QUALIFY row_number() OVER (PARTITION BY person ORDER BY round(score, 9) DESC, keyword) = 1")
 def m23_specialists(spark, sf_dir):
     """The keyword that best serves each person's rare skills."""
     market = _market(spark, sf_dir)
     own = _own(spark, sf_dir, market)
     priced = D.shares(_asked(spark, sf_dir).select("person", "keyword").distinct(), own, market, RULES)
-    return D.specialists(priced, D.rare_skills(own, market, RULES), RULES).select("person", "keyword", F.round("score", 6).alias("score"))
+    return D.specialists(priced, D.rare_skills(own, market, RULES), RULES).select("person", "keyword", F.round("score", 4).alias("score"))
 
 
 @query()
