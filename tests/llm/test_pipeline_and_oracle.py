@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_oracle(spark):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, text in sql.oracle_sql().items():
         answer = c.execute(text)
         columns = [d[0] for d in answer.description]
