@@ -43,10 +43,15 @@ def top_per(df: DataFrame, by: str, n: int, score: str = "score", arrival: str =
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), arrival))).where(F.col("rank") <= n)
 
 
+def last_entries(log: DataFrame) -> DataFrame:
+    """key, at, gone: the last entry of every key in a log (key, gone, at, tie)."""
+    last = log.groupBy("key").agg(F.max(F.struct("at", "tie", "gone")).alias("r"))
+    return last.select("key", "r.at", "r.gone")
+
+
 def ledger_state(log: DataFrame) -> DataFrame:
     """key, at of the keys whose last entry in a log (key, gone, at, tie) isn't a removal."""
-    last = log.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("at", "tie", "gone")).alias("r"))
-    return last.where("NOT r.gone").select("key", "r.at")
+    return last_entries(log.where("key IS NOT NULL")).where("NOT gone").select("key", "at")
 
 
 def flagged(view: DataFrame, state: DataFrame, key: str, flag: str = "applied") -> DataFrame:

@@ -587,19 +587,30 @@ def d6_only_new(spark, sf_dir):
 LEDGER = "g AS (SELECT user_id AS key, event_type = 'error' AS gone, ts AS moment, event_id FROM events WHERE event_type IN ('signup', 'error')), n AS (SELECT key, max_by(gone, (moment, event_id)) AS gone, max(moment) AS moment FROM g GROUP BY 1)"
 
 
-@query(f"WITH {LEDGER} SELECT key, moment FROM n WHERE NOT gone")
-def d7_applied_ledger(spark, sf_dir):
-    """What a ledger of entries and removals comes to: the last word on every key, those removed left out."""
+def _ledger(spark, sf_dir):
+    """key, gone, at, tie: signups as entries, errors as removals."""
     log = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error"))
-    return ranking.ledger_state(log.select(F.col("user_id").alias("key"), (F.col("event_type") == "error").alias("gone"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))).select("key", F.col("at").alias("moment"))
+    return log.select(F.col("user_id").alias("key"), (F.col("event_type") == "error").alias("gone"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
+
+
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id")
+def d7_applied_ledger(spark, sf_dir):
+    """What a ledger of entries and removals comes to: the last word on every key, removals too."""
+    last = ranking.last_entries(_ledger(spark, sf_dir))
+    return last.select(F.col("key").alias("user_id"), F.when(F.col("gone"), "error").otherwise("signup").alias("last_type"), F.col("at").alias("last_ts"))
+
+
+@query(f"WITH {LEDGER} SELECT key, moment FROM n WHERE NOT gone")
+def d7_standing_entries(spark, sf_dir):
+    """The keys of the ledger that stand: those whose last word is no removal."""
+    return ranking.ledger_state(_ledger(spark, sf_dir)).select("key", F.col("at").alias("moment"))
 
 
 @query(f"WITH {LEDGER} SELECT event_id, user_id, coalesce(NOT n.gone, false) AS applied FROM events LEFT JOIN n ON n.key = user_id WHERE event_type = 'view'")
 def d7_flagged_view(spark, sf_dir):
     """A view with a flag for what the ledger holds."""
     events = table(spark, sf_dir, "events")
-    log = events.where(F.col("event_type").isin("signup", "error")).select(F.col("user_id").alias("key"), (F.col("event_type") == "error").alias("gone"), F.col("ts").alias("at"), F.col("event_id").alias("tie"))
-    return ranking.flagged(events.where("event_type = 'view'").select("event_id", "user_id"), ranking.ledger_state(log), "user_id")
+    return ranking.flagged(events.where("event_type = 'view'").select("event_id", "user_id"), ranking.ledger_state(_ledger(spark, sf_dir)), "user_id")
 
 
 @query("SELECT user_id, max_by(value, (ts, event_id)) AS value, count(*) AS changes FROM events GROUP BY user_id")

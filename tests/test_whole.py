@@ -1,5 +1,6 @@
 """Queries that once read a part of their tables: rows outside that part count."""
 
+import datetime
 import random
 
 import duckdb
@@ -54,3 +55,12 @@ def test_only_closed_references_are_resolved_as_in_sql(spark, tmp_path):
     pages.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet/*.parquet'")
     got = sorted(tuple(r) for r in QUERIES["s8_html_to_text"](spark, sf).select("page_id", "text").collect())
     assert got == sorted(pages.execute(SQL["s8_html_to_text"]).fetchall()) and got[0][1].startswith("this &amp that &lt x & y")
+
+
+def test_ledger_keeps_the_last_word_on_every_key(spark, tmp_path):
+    moments = [datetime.datetime(2024, 1, day) for day in (1, 2, 3)]
+    events = [(1, moments[0], 7, "signup"), (2, moments[1], 7, "error"), (3, moments[2], 8, "signup"), (4, moments[0], 8, "error"), (5, moments[2], 9, "view"), (6, moments[1], 10, "error")]
+    sf = saved(spark, tmp_path, events=(events, "event_id long, ts timestamp_ntz, user_id long, event_type string"))
+    got = {r["user_id"]: (r["last_type"], r["last_ts"]) for r in QUERIES["d7_applied_ledger"](spark, sf).collect()}
+    assert got == {7: ("error", moments[1]), 8: ("signup", moments[2]), 10: ("error", moments[1])}
+    assert [r["key"] for r in QUERIES["d7_standing_entries"](spark, sf).collect()] == [8]
