@@ -14,10 +14,12 @@ which keeps the lists of three about as long at any size, and the prefix with th
 meets itself in pairs of blocks, so no task has a whole one. Candidates are verified exactly, in double precision, block of a cell
 against block of a cell.
 
-**Anisotropic codes.** A codebook of 16 words for every pair of dimensions is fitted on a bounded sample so as to minimise a
-loss in which the part of the residual that is parallel to the vector weighs ``eta`` times the rest: that part is what
+**Anisotropic codes.** A vector is coded by its offset from the nearest of a bounded number of centres: the offset's direction in codes, its
+length and what the centre adds as numbers beside them, so that the error of a score is small against the differences within a dense group, however near each other
+its vectors are. A codebook of 16 words for every pair of dimensions is fitted to the directions of a bounded sample so as to minimise a
+loss in which the part of the residual that is parallel to the direction weighs ``eta`` times the rest: that part is what
 changes the largest inner products. Codes are four bits; a query scores all codes by its table of 16 inner products
-for each pair; the best are reranked exactly. Queries and codes meet in a grid: a cell of it has one block of queries and one of codes.
+for each pair and its distances from the centres; the best are reranked exactly. Queries and codes meet in a grid: a cell of it has one block of queries and one of codes.
 """
 
 from __future__ import annotations
@@ -210,8 +212,9 @@ class Codebooks:
         self.words = np.stack([x[pick.choice(n, 16, replace=n < 16), 2 * j : 2 * j + 2] for j in range(self.m)])
         for _ in range(passes):
             codes = self.encode(sample)
+            total = ((x - self.decoded(codes)) * x).sum(1)
             for j in range(self.m):
-                self._refit(x, codes, j)
+                total = self._refit(x, codes, j, total)
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.dims - x.shape[1])))
@@ -240,11 +243,13 @@ class Codebooks:
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.words[j][codes[:, j]] for j in range(self.m)], 1)
 
-    def _refit(self, x: np.ndarray, codes: np.ndarray, j: int) -> None:
-        """The words of pair j that minimise the loss with all other pairs fixed: a 2 x 2 system for each word."""
+    def _refit(self, x: np.ndarray, codes: np.ndarray, j: int, total: np.ndarray) -> np.ndarray:
+        """The words of pair j that minimise the loss with all other pairs fixed: a 2 x 2 system for each word.
+
+        ``total`` holds the inner products of residuals and vectors, and is returned as it is with the new words.
+        """
         own = slice(2 * j, 2 * j + 2)
-        residual = x - self.decoded(codes)
-        rest = (residual * x).sum(1) - (residual[:, own] * x[:, own]).sum(1)
+        rest = total - ((x[:, own] - self.words[j][codes[:, j]]) * x[:, own]).sum(1)
         for k in range(16):
             at = np.flatnonzero(codes[:, j] == k)
             if len(at):
@@ -252,6 +257,7 @@ class Codebooks:
                 a = len(at) * np.eye(2) + (self.eta - 1) * p.T @ p
                 b = p.sum(0) + (self.eta - 1) * (p * (rest[at] + (p * p).sum(1))[:, None]).sum(0)
                 self.words[j][k] = np.linalg.solve(a, b)
+        return rest + ((x[:, own] - self.words[j][codes[:, j]]) * x[:, own]).sum(1)
 
     def packed(self, codes: np.ndarray) -> np.ndarray:
         """Two codes in a byte."""
@@ -267,6 +273,49 @@ class Codebooks:
         return (small[:, 1::2, :, None] + small[:, ::2, None, :]).reshape(len(q), -1, 256)
 
 
+class Centres:
+    """Reference points: the first rows of a sample, moved to the means of what is nearest to them."""
+
+    def __init__(self, sample: np.ndarray, most: int, rounds: int = 4):
+        self.points = sample[: max(1, most)].copy()
+        for _ in range(rounds):
+            at = self.of(sample)
+            n, sums = np.bincount(at, minlength=len(self.points)), np.zeros_like(self.points)
+            np.add.at(sums, at, sample)
+            self.points[n > 0] = sums[n > 0] / n[n > 0, None]
+
+    def of(self, vectors: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """The number of each vector's nearest point."""
+        half = (self.points**2).sum(1) / 2
+        return np.concatenate([(vectors[lo : lo + rows] @ self.points.T - half).argmax(1) for lo in range(0, max(1, len(vectors)), rows)])
+
+    def offsets(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest point, length of the offset from it, its direction or zeros)."""
+        at = self.of(vectors)
+        offset = vectors - self.points[at]
+        length = np.sqrt((offset * offset).sum(1))
+        return at, length, offset / np.where(length > 0, length, 1)[:, None]
+
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
+        """Squared distances from all points, from differences, so that small ones are right."""
+        return np.stack([((self.points - x) ** 2).sum(1) for x in vectors])
+
+
+#: A coded vector: its centre, its distance from that, and the inner product of the centre and the decoded direction; then the codes.
+HEAD = [("centre", "<i4"), ("length", "<f4"), ("along", "<f4")]
+
+
+def encoded(centres: Centres, books: Codebooks, unit: np.ndarray) -> np.ndarray:
+    """Unit vectors as records of HEAD and codes."""
+    at, length, direction = centres.offsets(unit)
+    codes = books.encode(direction)
+    packed = books.packed(codes)
+    out = np.zeros(len(unit), [*HEAD, ("code", np.uint8, (packed.shape[1],))])
+    out["centre"], out["length"], out["code"] = at, length, packed
+    out["along"] = (books.decoded(codes)[:, : unit.shape[1]] * centres.points[at]).sum(1)
+    return out
+
+
 def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate inner products (queries, vectors) by looking codes up in the queries' tables."""
     out = np.zeros((len(tables), len(packed)), np.float32)
@@ -275,9 +324,14 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(tables: np.ndarray, packed: np.ndarray, ids: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearness(tables: np.ndarray, distances: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """Approximate squared distances (queries, vectors) with the sign turned: those of the query and the vector's centre, and what the offset adds."""
+    length = coded["length"]
+    return 2 * length * (scan(tables, coded["code"]) - coded["along"]) - length * length - distances.astype(np.float32)[:, coded["centre"]]
+
+
+def best_of(about: np.ndarray, ids: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, code, approximate score): for each query the ``most`` best codes not of its own id, with ties at the cut."""
-    about = scan(tables, packed)
     about[own[:, None] == ids[None, :]] = -np.inf
     if len(ids) > most:
         cut = np.partition(about, len(ids) - most, axis=1)[:, len(ids) - most]
@@ -287,9 +341,10 @@ def best_of(tables: np.ndarray, packed: np.ndarray, ids: np.ndarray, own: np.nda
     return query, code, about[query, code]
 
 
-def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 2048, codes_block: int = 1 << 18) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rerank: int = 300, queries_block: int = 2048, codes_block: int = 1 << 18, centres: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine for every row whose vec_id is divisible by ``every``.
 
+    Centres (a hundredth of the rows, but 16 at least and an eighth of the sample at most) and codebooks come from ``sample`` rows.
     All codes are scanned for every query, in cells of at most about ``queries_block`` queries and ``codes_block`` codes, which travel packed.
     Codes are dealt by a hash, so a cell has about its share of a query's ``rerank`` best; it gives twice that share (and 8 at least) by approximate
     score, ties included, which keeps what all cells give in proportion to the queries. Over all cells the best ``rerank`` are cut out, with ties,
@@ -300,13 +355,17 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rera
     rows, n_rows = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
     if not n_rows:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = Codebooks(_sample(rows, "vec_id", sample))
+    some = _sample(rows, "vec_id", sample)
+    points = Centres(some, centres or min(max(16, n_rows // 100), max(1, len(some) // 8)))
+    _, length, direction = points.offsets(some)
+    books = Codebooks(direction[length > 0] if (length > 0).any() else some)
+    fitted = df.sparkSession.sparkContext.broadcast((points, books))
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
                 unit = matrix(batch.column("v"))
-                columns = ([x.tobytes() for x in books.packed(books.encode(unit))], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit])
+                columns = ([x.tobytes() for x in encoded(*fitted.value, unit)], [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in unit])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(c, pa.binary()) for c in columns), pa.array(list(unit), pa.list_(pa.float64()))], ["vec_id", "code", "digest", "unit"])
 
     coded = written(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, code binary, digest binary, unit array<double>"), "codes")
@@ -338,10 +397,12 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, sample: int = 4000, rera
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         if len(sides) == 2:
             (ids, codes), (queries, units) = sides[0], sides[1]
-            codes, units = np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(units).reshape(len(queries), -1)
+            points, books = fitted.value
+            coded = np.frombuffer(codes, [*HEAD, ("code", np.uint8, (len(codes) // len(ids) - 12,))])
+            units = np.frombuffer(units).reshape(len(queries), -1)
             for lo in range(0, len(queries), 16):
-                own = queries[lo : lo + 16]
-                query, code, about = best_of(books.tables(units[lo : lo + 16]), codes, ids, own, share)
+                own, unit = queries[lo : lo + 16], units[lo : lo + 16]
+                query, code, about = best_of(nearness(books.tables(unit), points.distances(unit), coded), ids, own, share)
                 found.append((own[query], ids[code], about))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "about"])
 

@@ -147,3 +147,15 @@ def test_candidates_count_what_cells_share(spark):
             right.add((i, j, len(both) * (len(both) - 1) * (len(both) - 2) // 6))
     for block in (3, 1000):
         assert {tuple(r) for r in vectors._candidates(lists, block, 3).collect()} == right
+
+
+def test_near_ones_within_dense_groups_and_far_from_zero(spark):
+    rng = np.random.default_rng(9)
+    for x in (1 + 0.01 * rng.normal(size=(3000, 16)), np.eye(16)[rng.integers(0, 3, 3000)] + 0.001 * rng.normal(size=(3000, 16))):
+        x = x.astype(np.float32)
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        cosine = unit[::50] @ unit.T
+        cosine[np.arange(60), np.arange(0, 3000, 50)] = -9
+        fifth = np.sort(cosine, axis=1)[:, -5]
+        rows = vectors.nearest(table(spark, x, np.zeros(3000)), rerank=60).collect()
+        assert len(rows) == 300 and np.mean([cosine[r["query_id"] // 50, r["vec_id"]] >= fifth[r["query_id"] // 50] - 1e-13 for r in rows]) >= 0.95
