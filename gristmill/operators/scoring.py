@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import experience
 from gristmill.functions import signals as S
-from gristmill.functions.text import blank, c, contains_any, mentions, norm_company
+from gristmill.functions.text import blank, c, contains_any, mentions, norm_company, once
 
 
 def _array(values, kind: str = "string") -> Column:
@@ -94,7 +94,7 @@ def enriched(df: DataFrame, home_offset: float | None = None) -> DataFrame:
     body = F.concat_ws("\n", blank("location"), blank("title"), blank("description"))
     df = df.withColumn("remote_scope", S.remote_scope("location", "title", "description"))
     head = S.eligibility_regions(F.concat(blank("location"), F.lit(" "), blank("title")))
-    df = df.withColumn("remote_regions", F.when(head != "", head).when(c("remote_scope") == "worldwide", "").otherwise(S.eligibility_regions("description")))
+    df = df.withColumn("remote_regions", once(head, lambda named: F.when(named != "", named).when(c("remote_scope") == "worldwide", "").otherwise(S.eligibility_regions("description"))))
     df = df.select("*", S.visa(body).alias("visa"), S.eor(body).alias("eor"), S.time_zones("description").alias("timezones"))
     contact = F.concat(blank("description"), F.lit("\n"), blank("title"))
     gap = S.tz_gap("remote_regions", F.concat("timezones", F.lit(" "), blank("location")), home_offset) if home_offset is not None else F.lit(None).cast("double")
