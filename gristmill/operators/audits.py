@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import blank
+from gristmill.functions.text import blank, once
 
 
 def identity_drift(rows: DataFrame) -> DataFrame:
@@ -70,23 +70,31 @@ def variants(term: str) -> list[str]:
     return sorted(x for x in out if len(x) > 2 and x != base)
 
 
+def spellings(terms: list[str]) -> tuple[dict[str, str], str]:
+    """The ways to write each term, with the term, and a pattern for any of them, longest first."""
+    names = {v: t for t in terms for v in variants(t)} | {t.lower(): t for t in terms}
+    return names, "|".join(re.escape(x) for x in sorted(names, key=lambda x: (-len(x), x)))
+
+
 def vocabulary_hits(text: Column | str, terms: list[str]) -> Column:
     """term=how of every term a text holds: boundary, glued (to letters before it), or either with the variant that was met.
 
-    At each place the longest term or variant wins, so a term inside a longer one doesn't count. ``terms`` is a bounded list.
+    At each place the longest term or variant wins, so a term inside a longer one doesn't count. ``terms`` is a bounded list. The text is
+    searched twice, however many terms there are.
     """
-    names = {v: t for t in terms for v in variants(t)} | {t.lower(): t for t in terms}
-    alternatives = "|".join(re.escape(x) for x in sorted(names, key=lambda x: (-len(x), x)))
-    low = F.lower(blank(text))
-    free, glued = (F.array_distinct(F.regexp_extract_all(low, F.lit(f"{start}({alternatives})(?![a-z0-9+#.])"), F.lit(1))) for start in ("(?<![a-z0-9])", ""))
-
-    def how(term: str) -> Column:
-        out = F.when(F.array_contains(free, term), "boundary").when(F.array_contains(glued, term), "glued")
-        for v in (v for v, t in names.items() if t == term and v != term):
-            out = out.when(F.array_contains(free, v), f"boundary:{v}").when(F.array_contains(glued, v), f"glued:{v}")
+    names, alternatives = spellings(terms)
+    ways: dict[str, list[str]] = {}
+    for v, t in names.items():
+        ways.setdefault(t, []).append(v)
+    met = lambda low: F.struct(*[F.array_distinct(F.regexp_extract_all(low, F.lit(f"{start}({alternatives})(?![a-z0-9+#.])"), F.lit(1))).alias(name) for name, start in (("free", "(?<![a-z0-9])"), ("glued", ""))])
+
+    def how(found: Column, term: str) -> Column:
+        out = F.when(F.array_contains(found["free"], term), "boundary").when(F.array_contains(found["glued"], term), "glued")
+        for v in (v for v in ways.get(term, ()) if v != term):
+            out = out.when(F.array_contains(found["free"], v), f"boundary:{v}").when(F.array_contains(found["glued"], v), f"glued:{v}")
         return F.concat(F.lit(f"{term}="), out)
 
-    return F.array_join(F.array_compact(F.array(*map(how, sorted(terms)))), ";")
+    return once(once(F.lower(blank(text)), met), lambda found: F.array_join(F.array_compact(F.array(*[how(found, t) for t in sorted(terms)])), ";"))
 
 
 def atoms(terms: DataFrame, known: DataFrame, by: str, term: str = "term", least: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import blank
-from gristmill.operators.audits import vocabulary_hits
+from gristmill.operators.audits import spellings, vocabulary_hits
 from gristmill.operators.evidence import SKILLS, lines
 
 #: Why a term is kept, and what makes it central.
@@ -30,8 +30,8 @@ def hits(docs: DataFrame, terms: list[str], doc: str = "doc_id", text: str = "te
     """doc, term, how, listed, used, times: every term a document holds; how it stands there, whether under skills and elsewhere as itself, and how often its letters stand there."""
     if len(terms) > MOST_TERMS:
         raise ValueError(f"a vocabulary of {len(terms)} terms, more than the {MOST_TERMS} of one pattern")
-    rows = lines(docs, doc, text)
     low = F.lower(blank("body"))
+    rows = lines(docs, doc, text).where(low.rlike(spellings(terms)[1]))
     each = rows.select(doc, "section", "heading", low.alias("low"), F.explode(F.filter(F.split(vocabulary_hits("body", terms), ";"), lambda x: x != "")).alias("_hit"))
     term, how = F.substring_index("_hit", "=", 1), F.substring_index("_hit", "=", -1)
     exact = ~F.col("how").contains(":")
@@ -46,10 +46,14 @@ def hits(docs: DataFrame, terms: list[str], doc: str = "doc_id", text: str = "te
 def gated(found: DataFrame, pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc, term, why, centrality, rests_on of the hits that clear the gate: listed under skills, or its initials or expansion is, or named on boundaries and more than once.
 
-    The centrality is 1, and 2 more if listed, 1 more if repeated, 1 more if used outside the list.
+    The centrality is 1, and 2 more if listed, 1 more if repeated, 1 more if used outside the list. ``found`` is read once: a listed hit hands its name on to
+    its initials or expansion, and both meet in an aggregate.
     """
-    partner = found.where("listed").select(doc, F.col("term").alias("partner")).join(pairs, "partner").groupBy(doc, "term").agg(F.min("partner").alias("partner"))
-    rows = found.join(partner, [doc, "term"], "left")
+    partners = pairs.groupBy(F.col("partner").alias("term")).agg(F.collect_set("term").alias("_of"))
+    own = F.struct("term", F.struct(*[c for c in found.columns if c not in (doc, "term")]).alias("row"), F.lit(None).cast("string").alias("partner"))
+    told = F.when(F.col("listed") & F.col(doc).isNotNull(), F.transform("_of", lambda t: F.struct(t.alias("term"), F.lit(None).alias("row"), F.col("term").alias("partner"))))
+    each = found.join(partners, "term", "left").select(doc, F.inline(F.concat(F.array(own), F.coalesce(told, F.array()))))
+    rows = each.groupBy(doc, "term").agg(F.max("row").alias("row"), F.min("partner").alias("partner")).where("row IS NOT NULL").select(doc, "term", "row.*", "partner")
     repeated = F.col("times") > 1
     why = F.when(F.col("listed"), LISTED).when(F.col("partner").isNotNull(), F.concat(F.lit("its expansion '"), F.col("partner"), F.lit("' is "), F.lit(LISTED))).when((F.col("how") == "boundary") & repeated, REPEATED)
     listed = F.col("listed") | F.col("partner").isNotNull()

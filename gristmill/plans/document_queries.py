@@ -13,7 +13,7 @@ from gristmill.operators.market import SEEN_LEAST, blend, separation, term_frequ
 from gristmill.plans.market_queries import BAND, FREQ, M
 from gristmill.registry import query
 from gristmill.sources.shared import stored
-from gristmill.sources.tables import market_rows, table
+from gristmill.sources.tables import dealt, market_rows, table
 
 CONCEPTS = {"gpl": ["gnu general public license", "gpl"], "apache": ["apache license", "apache"], "license": ["license"], "mit": ["mit license", "mit"], "article": ["the", "les", "der"], "insult": ["idiot", "stupid", "loser"], "work": ["work"]}
 ALIASES = sorted(((a, c) for c, names in CONCEPTS.items() for a in names), key=lambda x: (-len(x[0]), x[0]))
@@ -56,7 +56,7 @@ DONE = (
 
 def _filled(spark, sf_dir, templates):
     texts = [F.concat_ws("", *[F.col(piece).cast("string") if piece.startswith("p_") else F.lit(piece) for piece in re.split("[{}]", text)]) for text, _ in templates]
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*texts), F.col("p_partkey") % len(templates)).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")).select("p_partkey", F.get(F.array(*texts), F.col("p_partkey") % len(templates)).alias("text"))
 
 
 def _values(templates) -> str:

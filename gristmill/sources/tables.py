@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all tasks: before much work on each row of a file that has few row groups, whose scan would do it in as few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arrival, title, description, company, location: documents as postings; the title is the whole first line."""
     text = F.coalesce("text", F.lit(""))
