@@ -74,21 +74,28 @@ def statements(text: Column | str) -> Column:
 
 def _statements(body: Column) -> Column:
     def read(x: Column) -> Column:
-        hit, before, after = x["hit"], x["before"], x["after"]
-        low, high = (F.regexp_extract(hit, FIGURE, k).try_cast("int") for k in (1, 2))
-        insists = before.rlike(REQUIRED_BEFORE)
+        low, high = (F.regexp_extract(x["hit"], FIGURE, k).try_cast("int") for k in (1, 2))
+        ends = F.struct(low.alias("low"), high.alias("high"), x["before"].rlike(REQUIRED_BEFORE).alias("insists"))
+        return once(ends, lambda e: once(kind_of(x, e["high"], e["insists"]), lambda kind: once(about_of(x, kind), lambda about: stated(x, e, kind, about))))
+
+    def kind_of(x: Column, high: Column, insists: Column) -> Column:
+        before, after = x["before"], x["after"]
         counts = after.rlike(EXPERIENCE) | before.rlike(EXPERIENCE) | insists
         other = after.rlike(OTHER_AGE) | before.rlike(COMPANY_AGE) | _earlier(after, STUDIES, EXPERIENCE) | ~counts
         soft = F.right(before, F.lit(60)).rlike(PREFERRED) | F.left(after, F.lit(60)).rlike(PREFERRED)
-        kind = (
+        return (
             F.when(other, "not_experience").when(before.rlike(OF_OTHERS) | F.left(after, F.lit(40)).rlike(OF_OTHERS), "ambiguous")
             .when(before.rlike(CEILING), "maximum").when(soft, "preferred").when(high.isNotNull(), "range").otherwise("required")
         )
-        about = F.when(kind.isin("preferred", "range", "required"), scope(after)).otherwise("unknown")
-        sure = kind.isin("range", "required") & (about == "overall") & (insists | after.rlike(REQUIRED_AFTER) | hit.contains("+") | high.isNotNull())
+
+    def about_of(x: Column, kind: Column) -> Column:
+        return F.when(kind.isin("preferred", "range", "required"), scope(x["after"])).otherwise("unknown")
+
+    def stated(x: Column, e: Column, kind: Column, about: Column) -> Column:
+        sure = kind.isin("range", "required") & (about == "overall") & (e["insists"] | x["after"].rlike(REQUIRED_AFTER) | x["hit"].contains("+") | e["high"].isNotNull())
         begin = F.greatest(x["start"] - 40, F.lit(0))
         return F.struct(
-            low.alias("min_years"), high.alias("max_years"), kind.alias("requirement_type"), about.alias("scope"), F.when(sure, "high").otherwise("low").alias("confidence"),
+            e["low"].alias("min_years"), e["high"].alias("max_years"), kind.alias("requirement_type"), about.alias("scope"), F.when(sure, "high").otherwise("low").alias("confidence"),
             F.trim(F.substring(body, begin + 1, x["end"] + 50 - begin)).alias("evidence"), x["start"].alias("start"))
 
     return F.transform(located(body, FIGURE, 90, 90), read)

@@ -15,7 +15,7 @@ from gristmill.functions import text as X
 from gristmill.operators import chain, ranking, scoring
 from gristmill.operators.chain import Settings
 from gristmill.registry import query
-from gristmill.sources.tables import ctes, postings, table
+from gristmill.sources.tables import ctes, dealt, postings, table
 
 #: Terms that occur in the driver's prose, in the order of their weights.
 SKILLS = {"the": 3, "of": 2, "with": 4, "der": 5, "les": 4, "que": 3, "una": 2, "license": 6, "trash": 1}
@@ -99,7 +99,7 @@ def _by_ask(asks, k: int) -> str:
 
 @query(f"SELECT p_partkey, {_by_ask(ASKS, 1)}::INT AS years_required FROM part")
 def e3_years_stated(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", experience.required_years(_asks()).alias("years_required"))
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", experience.required_years(_asks()).alias("years_required"))
 
 
 #: Requirements by part number: the text and the (place, min, max, type, scope, confidence) of its figures.
@@ -119,7 +119,7 @@ EXPECTED = ", ".join(f"({k}, {place}, {low.replace('p_size', '0') if low != 'NUL
 @query(f"SELECT p_partkey, place, CASE WHEN relative THEN p_size ELSE 0 END + low AS min_years, p_size + high AS max_years, kind AS requirement_type, about AS scope, sure AS confidence FROM part JOIN (VALUES {EXPECTED}) AS e(k, place, low, relative, high, kind, about, sure) ON p_partkey % {len(STATEMENTS)} = k")
 def e4_statements(spark, sf_dir):
     """Every figure of years of a text, read and classified."""
-    said = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(experience.statements(_asks(STATEMENTS))).alias("place", "s"))
+    said = dealt(table(spark, sf_dir, "part")).select("p_partkey", F.posexplode(experience.statements(_asks(STATEMENTS))).alias("place", "s"))
     return said.select("p_partkey", "place", *(f"s.{c}" for c in ("min_years", "max_years", "requirement_type", "scope", "confidence")))
 
 
@@ -426,7 +426,7 @@ def f7_experience_ceiling(spark, sf_dir):
 
 @query(f"SELECT p_partkey FROM part WHERE coalesce({_by_ask(ASKS, 1)} <= 6, true)")
 def f7_stated_ceiling(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.coalesce(experience.required_years(_asks()) <= 6, F.lit(True))).select("p_partkey")
+    return dealt(table(spark, sf_dir, "part")).where(F.coalesce(experience.required_years(_asks()) <= 6, F.lit(True))).select("p_partkey")
 
 
 CONFIRMED = f"CASE p_partkey % {len(STATEMENTS)} {' '.join(f'WHEN {k} THEN {low}' for k, (_, rows) in enumerate(STATEMENTS) for _, low, _, _, _, sure in rows if sure == 'high')} END"
@@ -436,7 +436,7 @@ CONFIRMED = f"CASE p_partkey % {len(STATEMENTS)} {' '.join(f'WHEN {k} THEN {low}
 def f8_experience_gap(spark, sf_dir):
     """The confirmed minimum of a text against a candidate's months; either may be unknown."""
     months = F.when(F.col("p_partkey") % 9 != 4, F.col("p_partkey") % 400)
-    rows = table(spark, sf_dir, "part").select("p_partkey", experience.confirmed_minimum(_asks(STATEMENTS))["min_years"].alias("least"), months.alias("months"))
+    rows = dealt(table(spark, sf_dir, "part")).select("p_partkey", experience.confirmed_minimum(_asks(STATEMENTS))["min_years"].alias("least"), months.alias("months"))
     return rows.select("p_partkey", experience.gap_action("least", "months").alias("action"))
 
 

@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import signals as S
+from gristmill.operators import audits, gate
+from gristmill.plans import all_queries
+from tests.test_oracle import SF
 
 
 @pytest.mark.parametrize("text", ["Not a fully remote job", "globally  DISTRIBUTED", "3 days a week in the office", "ON-SıTE", "worK from home", "any time zone", "must be located", "unable to ſponsor", "a remoteness", "we can sponsor you", "plain prose"])
@@ -17,3 +20,27 @@ def test_signals_look_for_patterns_only_behind_their_words(spark, text):
     plain = [F.col("t").rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns)) for patterns in lists]
     assert row.select(F.array(*[S._any(F.col("t"), p) for p in lists])).first()[0] == row.select(F.array(*plain)).first()[0]
     assert all(set(lists) <= set(S.NEEDED) and p.startswith(r"\b") and any(w in re.sub(r"\\.", " ", p) for w in S.NEEDED[patterns]) for patterns in lists for p in patterns)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_vocabulary_is_met_in_two_searches(spark):
+    row = spark.createDataFrame([("Nodejs and andkafka, react native",)], "t string")
+    found = row.select(audits.vocabulary_hits("t", ["node.js", "kafka", "react", "react native"]))
+    assert _plan(found).count("regexp_extract_all") <= 4  # each is printed twice
+    assert found.first()[0] == "kafka=glued;node.js=boundary:nodejs;react native=boundary"
+
+
+def test_the_gate_reads_documents_once_and_partners_stay_in_theirs(spark):
+    docs = spark.createDataFrame([(1, "Skills\nNLP"), (1, "natural language processing"), (2, "natural language processing"), (None, "Skills\nnlp"), (None, "natural language processing")], "doc_id long, text string")
+    terms = ["natural language processing", "nlp"]
+    kept = gate.gated(gate.hits(docs, terms), gate.abbreviations(gate.vocabulary_of(spark, terms)))
+    assert _plan(kept).count("MapInArrow") == 1
+    assert {(r.doc_id, r.term, r.centrality) for r in kept.collect()} == {(1, "nlp", 3), (1, "natural language processing", 4), (None, "nlp", 3)}
+
+
+@pytest.mark.parametrize("name", ["c10_structural_gate", "e4_statements", "f8_experience_gap", "e3_years_stated"])
+def test_texts_of_parts_are_dealt_before_they_are_read(spark, name):
+    assert "Repartition" in _plan(all_queries()[0][name](spark, SF))
