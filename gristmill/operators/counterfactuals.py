@@ -98,10 +98,11 @@ def steps_of_top(events: DataFrame, steps: DataFrame, by: list[str], k: int, fin
     their first row of all. A walk holds at most k rows a step of one range and the k keys that it starts from; the merge of one
     group holds k rows for each range.
     """
+    events = events.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*by, "key")))
     best = events.groupBy(*by, "step", "key").agg(F.max(_standing()).alias("v"))
-    born = events.groupBy(*by, "key").agg(F.min("step").alias("_born"))
-    best = best.join(born, [*by, "key"]).withColumn("fresh", F.col("step") == F.col("_born")).drop("_born")
     best = best.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "step").orderBy(F.desc("v")))).where(F.col("_i") <= k)
+    born = events.groupBy(*by, "key").agg(F.min("step").alias("_born"))
+    best = best.join(born, [*by, "key"]).withColumn("fresh", F.col("step") == F.col("_born")).drop("_born")  # only of what can enter the top
     marks = steps.select(*by, F.col("step").cast("double").alias("step"), F.lit(None).cast("string").alias("key"), F.lit(None).cast(STANDING).alias("v"), F.lit(False).alias("fresh"))
     rows = best.select(*by, F.col("step").cast("double").alias("step"), F.col("key").cast("string").alias("key"), "v", "fresh").union(marks)
     placed = stored(bucketed(rows, "step", buckets))
