@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from gristmill.operators.audits import variants
 from gristmill.operators.funnels import running
+from gristmill.sources.shared import stored
 
 #: Least rows behind a term's share, and the shares that part the bands of separation.
 SEEN_LEAST, BANDS = 200, ((0.25, 1), (0.12, 2), (0.04, 3), (0.01, 4))
@@ -215,29 +216,39 @@ def expanded(rows: DataFrame, least: int = 5, least_lift: float = 0.0) -> DataFr
     return out.select("skill", "form", "listings", "together", (F.col("together") * F.col("total") / (F.col("n") * F.col("listings"))).alias("lift")).where(F.col("lift") >= least_lift)
 
 
+def _bound(fraction: float) -> str:
+    return f"{round(fraction * 65536):04x}"
+
+
 def nested_sample(rows: DataFrame, fraction: float, key: str = "row_id") -> DataFrame:
     """About a fraction of the rows, chosen by a digest of their key: a smaller sample is part of every larger one."""
-    return rows.where(F.left(F.md5(F.col(key).cast("string")), F.lit(4)) < f"{round(fraction * 65536):04x}") if fraction < 1 else rows
+    return rows.where(F.left(F.md5(F.col(key).cast("string")), F.lit(4)) < _bound(fraction)) if fraction < 1 else rows
 
 
 def size_curve(rows: DataFrame, fractions: tuple[float, ...], seniority=(), least_companies: int = 5) -> DataFrame:
-    """fraction, rows, skills, fragments, recall, error: what a corpus of each size knows, against the whole.
+    """fraction, rows, skills, fragments, recall, error: what a corpus of each size (``nested_sample``) knows, against the whole.
 
     fragments: those of ``least_companies`` employers or more; recall: how many of the whole corpus's they find; error: the mean difference of the shares of skills.
+    Samples are nested, so the smallest that holds a row says which others do: the rows are read twice, however many fractions there are.
     """
-    whole = fragment_index(rows, seniority).where(F.col("companies") >= least_companies).select("fragment", F.lit(True).alias("known"))
-    total = rows.agg(F.count("*").alias("total"))
-    right = vocabulary(rows).crossJoin(F.broadcast(total)).select("skill", (F.col("n") / F.col("total")).alias("share"))
-    out = None
-    for fraction in fractions:
-        part = nested_sample(rows, fraction)
-        size = part.agg(F.count("*").alias("rows"))
-        found = fragment_index(part, seniority).where(F.col("companies") >= least_companies).select("fragment", F.lit(True).alias("found"))
-        met = whole.join(found, "fragment", "full").agg(F.count("found").alias("fragments"), (F.count_if(F.col("found") & F.col("known")) / F.count("known")).alias("recall"))
-        uses = right.join(vocabulary(part), "skill", "left").crossJoin(F.broadcast(size)).agg(F.count("n").alias("skills"), F.avg(F.abs(F.coalesce(F.col("n") / F.col("rows"), F.lit(0.0)) - F.col("share"))).alias("error"))
-        one = size.crossJoin(met).crossJoin(uses).select(F.lit(fraction).alias("fraction"), "rows", "skills", "fragments", "recall", "error")
-        out = one if out is None else out.union(one)
-    return out
+    bounds = sorted({_bound(f) for f in fractions if f < 1})
+    whole = len(bounds)
+    levels, at = range(whole + 1), {f: bounds.index(_bound(f)) if f < 1 else whole for f in fractions}
+    level = F.lit(whole)
+    for k in reversed(range(whole)):
+        level = F.when(F.col("_digest") < bounds[k], k).otherwise(level)
+    placed = rows.select("title", "company", "skills", F.left(F.md5(F.col("row_id").cast("string")), F.lit(4)).alias("_digest")).withColumn("level", level)
+    pairs = stored(placed.groupBy("title", "company").agg(F.min("level").alias("level")))
+    pieces = pairs.select("title").distinct().select("title", F.explode(fragments("title", seniority)).alias("fragment"))
+    employers = pairs.join(pieces, "title").groupBy("fragment", "company").agg(F.min("level").alias("level")).groupBy("fragment").agg(*[F.count_if(F.col("level") <= k).alias(f"c{k}") for k in levels])
+    found = employers.agg(*[F.count_if(F.col(f"c{k}") >= least_companies).alias(f"f{k}") for k in levels])
+    sets = stored(placed.groupBy("skills").agg(*[F.count_if(F.col("level") <= k).alias(f"n{k}") for k in levels]))
+    sizes = sets.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"r{k}") for k in levels])
+    terms = sets.select(F.explode("skills").alias("skill"), *[f"n{k}" for k in levels]).groupBy("skill").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in levels]).crossJoin(F.broadcast(sizes))
+    off = lambda k: F.abs(F.coalesce(F.try_divide(f"n{k}", f"r{k}"), F.lit(0.0)) - F.col(f"n{whole}") / F.col(f"r{whole}"))
+    uses = terms.agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"s{k}") for k in levels], *[F.avg(off(k)).alias(f"e{k}") for k in levels])
+    one = lambda f, k: F.struct(F.lit(f).alias("fraction"), F.col(f"r{k}").alias("rows"), F.col(f"s{k}").alias("skills"), F.col(f"f{k}").alias("fragments"), F.try_divide(f"f{k}", f"f{whole}").alias("recall"), F.col(f"e{k}").alias("error"))
+    return sizes.crossJoin(found).crossJoin(uses).select(F.inline(F.array(*[one(float(f), k) for f, k in at.items()])))
 
 
 def held_out(rows: DataFrame, owned: DataFrame) -> DataFrame:

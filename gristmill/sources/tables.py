@@ -28,11 +28,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, title, score, company, skills: order lines as market rows (part type and name, supplier, quantity)."""
-    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    # What a part says is put together once for each part, not for each line; parts, which are wide, are joined last, so no shuffle of lines carries them.
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_type"), F.col("p_name")).alias("title"), F.array_distinct(F.concat(F.split("p_name", " "), F.array(F.lower("p_brand")))).alias("skills"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("company"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return items.join(part, items["l_partkey"] == part["p_partkey"]).join(supplier, items["l_suppkey"] == supplier["s_suppkey"]).select(
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("row_id"), F.concat_ws(" ", F.lower("p_type"), F.col("p_name")).alias("title"), F.col("l_quantity").cast("int").alias("score"), F.col("s_name").alias("company"),
-        F.array_distinct(F.concat(F.split("p_name", " "), F.array(F.lower("p_brand")))).alias("skills"))
+    sold = items.join(supplier, items["l_suppkey"] == supplier["s_suppkey"])
+    return sold.join(part, sold["l_partkey"] == part["p_partkey"]).select(
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("row_id"), "title", F.col("l_quantity").cast("int").alias("score"), "company", "skills")
 
 
 def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:

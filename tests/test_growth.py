@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import signals as S
 from gristmill.functions.text import located
-from gristmill.operators import audits, counterfactuals, gate
+from gristmill.operators import audits, counterfactuals, gate, market
 from gristmill.plans import all_queries
+from gristmill.sources.tables import market_rows
 from tests.test_oracle import SF
 
 
@@ -66,3 +67,39 @@ def test_steps_join_first_arrivals_only_to_what_can_enter_the_top(spark, monkeyp
     rows = counterfactuals.steps_of_top(events, steps, [], 1).orderBy("step").collect()
     assert [(r.entered, r.displaced, r.entered_new) for r in rows] == [(1, 0, 1), (1, 1, 1), (1, 1, 0)]
     assert plans[0].index("Join") < plans[0].index("Window")
+
+
+MARKET = [(k % 23, ("large red ring", "red ring bolt", "hot bolt", "blue ring clerk", "standard hot bolt pin")[k % 5], k % 30, f"c{k * k % 7}", [("red", "ring"), ("bolt",), ("red", "bolt", "red"), ()][k % 4]) for k in range(60)] + [(None, "red ring", 1, "c1", None), (61, None, 1, None, ["red"])]
+
+
+def _market(spark, rows=MARKET):
+    return spark.createDataFrame([(i, t, s, c, None if k is None else list(k)) for i, t, s, c, k in rows], "row_id long, title string, score int, company string, skills array<string>")
+
+
+def _kept(monkeypatch):
+    """Plans of what the market's operators write."""
+    plans, stored = [], market.stored
+    monkeypatch.setattr(market, "stored", lambda df: plans.append(_plan(df)) or stored(df), raising=False)
+    return plans
+
+
+def test_what_a_part_says_is_put_together_before_lines_meet_it(spark):
+    plan = _plan(market_rows(spark, SF))
+    assert plan.index("Join") < plan.index("concat_ws") and plan.index("Join") < plan.index("array_distinct")
+    assert plan.index("p_type") > plan.rindex("Join")
+
+
+def test_a_size_curve_reads_the_market_twice_for_all_sizes(spark, monkeypatch):
+    rows, sizes, plans = _market(spark), (0.9, 0.05, 0.25, 0.5, 1.0), _kept(monkeypatch)
+    curve = market.size_curve(rows, sizes, ("large", "standard"), 2)
+    assert sum(p.count("LogicalRDD") for p in [*plans, _plan(curve)]) == 2
+    firms = lambda part: {r.fragment for r in market.fragment_index(part, ("large", "standard")).where("companies >= 2").collect()}
+    shares = lambda part, n: {r.skill: r.n / n for r in market.vocabulary(part).collect()} if n else {}
+    whole, right = firms(rows), shares(rows, rows.count())
+    for got in curve.collect():
+        part = market.nested_sample(rows, got.fraction)
+        n = part.count()
+        used, found = shares(part, n), firms(part)
+        assert (got.rows, got.skills, got.fragments) == (n, len(used), len(found))
+        assert got.recall == pytest.approx(len(found & whole) / len(whole)) and got.error == pytest.approx(sum(abs(used.get(k, 0) - v) for k, v in right.items()) / len(right))
+    assert sorted(r.fraction for r in curve.collect()) == sorted(sizes)
