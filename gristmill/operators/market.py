@@ -19,6 +19,8 @@ from gristmill.sources.shared import stored
 #: Least rows behind a term's share, and the shares that part the bands of separation.
 SEEN_LEAST, BANDS = 200, ((0.25, 1), (0.12, 2), (0.04, 3), (0.01, 4))
 REACHABLE = 20
+#: Rows of one task where rows are counted together by their id.
+AT_ONCE = 1_000_000
 
 
 def fragments(title: Column | str, seniority=()) -> Column:
@@ -85,12 +87,18 @@ def idf(n: Column, total: Column) -> Column:
 def matching_rows(rows: DataFrame, owned: DataFrame, least: int = 2, strong: float = 7.0) -> DataFrame:
     """person, row_id, shared, evidence of the rows that share at least ``least`` skills with a person.
 
-    If a person has any row of ``strong`` evidence, only those stay. ``owned`` is (person, skill).
+    If a person has any row of ``strong`` evidence, only those stay. ``owned`` is (person, skill). People meet each list of skills once, and rows meet
+    the people by their list; rows of one row_id count together, which is dealt over so many tasks that one has about ``AT_ONCE`` rows.
     """
-    terms = rows.select("row_id", F.explode("skills").alias("skill"))
-    total = rows.agg(F.count("*").alias("total"))
-    weights = terms.groupBy("skill").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("skill", idf(F.col("n"), F.col("total")).alias("idf"))
-    met = terms.join(owned.join(weights, "skill"), "skill").groupBy("person", "row_id").agg(F.count("*").alias("shared"), F.sum("idf").alias("evidence")).where(F.col("shared") >= least)
+    lists = stored(rows.groupBy("skills").agg(F.count("*").alias("c")))
+    terms = lists.select("skills", "c", F.explode("skills").alias("skill"))
+    total = lists.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
+    weights = terms.groupBy("skill").agg(F.sum("c").alias("n")).crossJoin(F.broadcast(total)).select("skill", idf(F.col("n"), F.col("total")).alias("idf"))
+    near = stored(terms.join(owned.join(weights, "skill"), "skill").groupBy("person", "skills").agg(F.count("*").alias("shared"), F.sum("idf").alias("evidence")))
+    meets = near.join(lists, "skills").agg(F.sum("c")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), meets // AT_ONCE + 1)
+    dealt = rows.select("row_id", "skills").join(near, "skills").select("person", "row_id", "shared", "evidence").repartition(tasks, "person", "row_id")
+    met = dealt.groupBy("person", "row_id").agg(F.sum("shared").alias("shared"), F.sum("evidence").alias("evidence")).where(F.col("shared") >= least)
     best = met.groupBy("person").agg(F.max("evidence").alias("top"))
     return met.join(best, "person").where((F.col("top") < strong) | (F.col("evidence") >= strong)).drop("top")
 

@@ -103,3 +103,28 @@ def test_a_size_curve_reads_the_market_twice_for_all_sizes(spark, monkeypatch):
         assert (got.rows, got.skills, got.fragments) == (n, len(used), len(found))
         assert got.recall == pytest.approx(len(found & whole) / len(whole)) and got.error == pytest.approx(sum(abs(used.get(k, 0) - v) for k, v in right.items()) / len(right))
     assert sorted(r.fraction for r in curve.collect()) == sorted(sizes)
+
+
+def test_rows_meet_people_by_their_lists_and_count_together_in_bounded_tasks(spark, monkeypatch):
+    import math
+
+    rows, plans = _market(spark), _kept(monkeypatch)
+    owned = [("p", "red"), ("p", "bolt"), ("p", "bolt"), ("q", "ring"), ("q", "red"), ("r", "absent")]
+    people = spark.createDataFrame(owned, "person string, skill string")
+    found = market.matching_rows(rows, people, 2, 3.0)
+    assert not [p for p in [*plans, _plan(found)] if "Generate" in p and "LogicalRDD" in p.split("Generate")[-1]]
+    uses = [(i, k) for i, *_, skills in MARKET for k in skills or ()]
+    n = {k: sum(x == k for _, x in uses) for _, k in uses}
+    met = {}
+    for i, k in uses:
+        for person, skill in owned:
+            if skill == k:
+                a, b = met.get((person, i), (0, 0.0))
+                met[person, i] = a + 1, b + math.log(len(MARKET) / (1 + n[k]))
+    met = {k: v for k, v in met.items() if v[0] >= 2}
+    top = {p: max(v[1] for k, v in met.items() if k[0] == p) for p, _ in met}
+    right = {k: (a, pytest.approx(b)) for k, (a, b) in met.items() if top[k[0]] < 3 or b >= 3}
+    assert {(r.person, r.row_id): (r.shared, r.evidence) for r in found.collect()} == right and len(right) > 5
+    monkeypatch.setattr(market, "AT_ONCE", 2)
+    dealt = market.matching_rows(rows, people, 2, 3.0)
+    assert max(int(x) for x in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", _plan(dealt))) > 20
