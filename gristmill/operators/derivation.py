@@ -4,13 +4,14 @@ Skills are cleaned; the rows that want them give distinctive title fragments; fr
 searches for get titles of their own; tiers are ranked and ordered by what a budget reaches. Every stage is a table keyed by person (or by skill, for
 what all people share), and only ordered choices among one person's or one skill's few candidates run in a bounded group.
 
-Market rows are first counted by (title, company, skills); whether a title holds a keyword is asked once for each distinct title and keyword, by a
+Market rows are first counted by (title, skills), and by (title, company) where companies matter; whether a title holds a keyword is asked once for each distinct title and keyword, by a
 join on short pieces of both.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,17 +49,62 @@ class Rules:
 
 @dataclass(frozen=True)
 class Market:
-    """Tables of one market, each written once: counts (title, company, skills, n, r), titles (title, n, r), skills (skill, n, employers), uses (title, skill, n), index (fragment, listings, companies), canon (fragment, canonical)."""
-
-    counts: DataFrame
-    titles: DataFrame
-    skills: DataFrame
-    uses: DataFrame
-    index: DataFrame
-    canon: DataFrame
-    total: DataFrame
+    """Tables of one market with rows (title, score, company, skills), each written once, when it is first asked for.
+
+    No table holds titles, companies and skills at once, of which there may be as many as rows: most of what is asked needs no companies.
+    """
+
+    rows: DataFrame
     seniority: tuple[str, ...] = ()
 
+    @cached_property
+    def lists(self) -> DataFrame:
+        """title, skills (distinct, sorted), n, r: rows and those worth reading."""
+        return stored(self.rows.groupBy("title", F.sort_array(F.array_distinct("skills")).alias("skills")).agg(F.count("*").alias("n"), F.count_if(F.col("score") >= REACHABLE).alias("r")))
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """title, n, r."""
+        return stored(self.lists.groupBy("title").agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
+
+    @cached_property
+    def uses(self) -> DataFrame:
+        """title, skill, n."""
+        return stored(self.lists.select("title", "n", F.explode("skills").alias("skill")).groupBy("title", "skill").agg(F.sum("n").alias("n")))
+
+    @cached_property
+    def skills(self) -> DataFrame:
+        """skill, n."""
+        return stored(self.uses.groupBy("skill").agg(F.sum("n").alias("n")))
+
+    @cached_property
+    def employers(self) -> DataFrame:
+        """skill, n, employers."""
+        each = self.rows.select("company", F.explode("skills").alias("skill")).distinct().groupBy("skill").agg(F.count("company").alias("employers"))
+        return stored(self.skills.join(each, "skill"))
+
+    @cached_property
+    def firms(self) -> DataFrame:
+        """title, company, n."""
+        return stored(self.rows.groupBy("title", "company").agg(F.count("*").alias("n")))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """fragment, listings, companies."""
+        pieces = self.titles.select("title", F.explode(fragments("title", self.seniority)).alias("fragment"))
+        per = self.firms.join(pieces, "title").groupBy("fragment", "company").agg(F.sum("n").alias("n"))
+        return stored(per.groupBy("fragment").agg(F.sum("n").alias("listings"), F.count("company").alias("companies")))
+
+    @cached_property
+    def canon(self) -> DataFrame:
+        """fragment, canonical."""
+        return stored(canonical_titles(self.titles, self.index.select("fragment"), self.seniority))
+
+    @cached_property
+    def total(self) -> DataFrame:
+        """total, one row."""
+        return stored(self.lists.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
+
 
 def held_in(titles: DataFrame, terms: DataFrame, title: str = "title", term: str = "term") -> DataFrame:
     """(term, title): the titles that contain a term anywhere, of two tables of distinct strings.
@@ -88,15 +134,7 @@ def canonical_titles(titles: DataFrame, frags: DataFrame, seniority: tuple[str,
 
 def market_of(rows: DataFrame, seniority: tuple[str, ...] = ()) -> Market:
     """The tables of a market from its rows (title, score, company, skills)."""
-    counts = stored(rows.groupBy("title", "company", F.array_sort(F.array_distinct("skills")).alias("skills")).agg(F.count("*").alias("n"), F.count_if(F.col("score") >= REACHABLE).alias("r")))
-    titles = stored(counts.groupBy("title").agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
-    each = counts.select("title", "company", "n", F.explode("skills").alias("skill"))
-    skills = each.groupBy("skill", "company").agg(F.sum("n").alias("n")).groupBy("skill").agg(F.sum("n").alias("n"), F.count("company").alias("employers"))
-    uses = each.groupBy("title", "skill").agg(F.sum("n").alias("n"))
-    pieces = titles.select("title", F.explode(fragments("title", seniority)).alias("fragment"))
-    per = counts.groupBy("title", "company").agg(F.sum("n").alias("n")).join(pieces, "title").groupBy("fragment", "company").agg(F.sum("n").alias("n"))
-    index = stored(per.groupBy("fragment").agg(F.sum("n").alias("listings"), F.count("company").alias("companies")))
-    return Market(counts, titles, stored(skills), stored(uses), index, stored(canonical_titles(titles, index.select("fragment"), seniority)), stored(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))), tuple(seniority))
+    return Market(rows, tuple(seniority))
 
 
 def _with_total(df: DataFrame, market: Market) -> DataFrame:
@@ -117,13 +155,12 @@ def corpus_scores(own: DataFrame, market: Market, rules: Rules = Rules()) -> Dat
 
     Rows want a person if they share ``shared`` skills; if any reaches ``strong`` evidence, only such rows count. A row weighs its evidence, 1 at least.
     """
-    sets = market.counts.select("skills").distinct()
+    sets = market.lists.select("skills").distinct()
     weight = _with_total(market.skills, market).select("skill", idf(F.col("n"), F.col("total")).alias("idf"))
     met = sets.select("skills", F.explode("skills").alias("skill")).join(own.join(weight, "skill"), "skill").groupBy("person", "skills").agg(F.count("*").alias("shared"), F.sum("idf").alias("evidence")).where(F.col("shared") >= rules.shared)
     top = met.groupBy("person").agg(F.max("evidence").alias("top"))
     met = met.join(top, "person").where((F.col("top") < rules.strong) | (F.col("evidence") >= rules.strong)).select("person", "skills", F.greatest(F.lit(1.0), "evidence").alias("w"))
-    by_set = market.counts.groupBy("skills", "title").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
-    wanted = by_set.join(met, "skills").groupBy("person", "title").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"))
+    wanted = market.lists.join(met, "skills").groupBy("person", "title").agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"))
     whole = wanted.groupBy("person").agg(F.sum("w").alias("whole"))
     pieces = wanted.select("person", "w", "wr", F.explode(fragments("title", market.seniority)).alias("fragment")).groupBy("person", "fragment").agg(F.sum("w").alias("weight"), F.sum("wr").alias("reach"))
     found = _with_total(pieces.where(F.col("weight") >= rules.weight).join(market.index.where(F.col("companies") >= rules.companies), "fragment").join(whole, "person"), market)
@@ -229,7 +266,7 @@ def orphans(own: DataFrame, base: DataFrame, market: Market, rules: Rules = Rule
     reach = stored(held_in(market.titles.select("title"), base.select(F.col("keyword").alias("term")).distinct()))
     bought = base.select("person", F.col("keyword").alias("term")).join(reach, "term").select("person", "title").distinct()
     whole = bought.join(market.titles, "title").groupBy("person").agg(F.sum("n").alias("bought"))
-    enough = market.skills.where((F.col("n") >= rules.orphan_listings) & (F.col("employers") >= rules.orphan_companies)).select("skill", F.col("n").alias("listings"))
+    enough = market.employers.where((F.col("n") >= rules.orphan_listings) & (F.col("employers") >= rules.orphan_companies)).select("skill", F.col("n").alias("listings"))
     mine = own.join(enough, "skill")
     named = bought.join(market.uses, "title").join(mine.select("person", "skill"), ["person", "skill"]).groupBy("person", "skill").agg(F.sum("n").alias("named"))
     rows = mine.join(whole, "person", "left").join(named, ["person", "skill"], "left").withColumn("share", F.coalesce(F.col("named") / F.col("bought"), F.lit(0.0)))
@@ -265,19 +302,26 @@ def tiers(held: DataFrame, anchor: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.select("person", "keyword", "b.tier", "b.why", F.row_number().over(order).cast("long").alias("place"))
 
 
-def shares(ranked: DataFrame, own: DataFrame, market: Market, rules: Rules = Rules()) -> DataFrame:
-    """person, keyword, skill, share, idf, listings, companies: the shrunk share of each own skill in a keyword's rows; a keyword without any comes with an empty skill."""
+def shares(ranked: DataFrame, own: DataFrame, market: Market, rules: Rules = Rules(), companies: bool = True) -> DataFrame:
+    """person, keyword, skill, share, idf, listings, companies: the shrunk share of each own skill in a keyword's rows; a keyword without any comes with an empty skill.
+
+    Without ``companies`` that column is left out, and the pairs of titles and companies, which grow with the market, are not made.
+    """
+    sizes = ["listings", "companies"] if companies else ["listings"]
     distinct = ranked.select(F.col("keyword").alias("term")).distinct()
     reach = stored(held_in(market.titles.select("title"), distinct))
-    bought = market.counts.groupBy("title", "company").agg(F.sum("n").alias("n")).join(reach, "title").groupBy("term", "company").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("listings"), F.count("company").alias("companies"))
+    if companies:
+        bought = market.firms.join(reach, "title").groupBy("term", "company").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("listings"), F.count("company").alias("companies"))
+    else:
+        bought = market.titles.join(reach, "title").groupBy("term").agg(F.sum("n").alias("listings"))
     base = _with_total(market.skills, market).select("skill", (F.col("n") / F.col("total")).alias("base"), idf(F.col("n"), F.col("total")).alias("idf"))
     asked = ranked.select("person", "keyword").join(own, "person")
     named = reach.join(asked.select(F.col("keyword").alias("term"), "skill").distinct(), "term").join(market.uses, ["title", "skill"]).groupBy("term", "skill").agg(F.sum("n").alias("named"))
     found = asked.join(named.withColumnRenamed("term", "keyword"), ["keyword", "skill"]).join(bought.withColumnRenamed("term", "keyword"), "keyword").join(base, "skill")
     share = (F.col("named") + rules.prior * F.col("base")) / (F.col("listings") + rules.prior)
-    rows = found.select("person", "keyword", "skill", share.alias("share"), "idf", "listings", "companies")
+    rows = found.select("person", "keyword", "skill", share.alias("share"), "idf", *sizes)
     bare = ranked.select("person", "keyword").join(rows.select("person", "keyword").distinct(), ["person", "keyword"], "left_anti").join(bought.withColumnRenamed("term", "keyword"), "keyword", "left")
-    return rows.unionByName(bare.select("person", "keyword", F.lit("").alias("skill"), F.lit(0.0).alias("share"), F.lit(0.0).alias("idf"), F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("companies", F.lit(0)).alias("companies")))
+    return rows.unionByName(bare.select("person", "keyword", F.lit("").alias("skill"), F.lit(0.0).alias("share"), F.lit(0.0).alias("idf"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sizes]))
 
 
 def derived(owned: DataFrame, held: DataFrame, rows: DataFrame, seniority: tuple[str, ...], hard: tuple[str, ...] = (), concepts: tuple[str, ...] = (), rules: Rules = Rules()) -> DataFrame:
@@ -305,7 +349,7 @@ COVERED, REDUNDANT = 0.25, 0.6
 
 def rare_skills(own: DataFrame, market: Market, rules: Rules = Rules()) -> DataFrame:
     """(person, skill, idf): the skills a person can be found by: with enough listings and employers, and no commoner than the (upper) median of those."""
-    enough = market.skills.where((F.col("n") >= rules.orphan_listings) & (F.col("employers") >= rules.orphan_companies))
+    enough = market.employers.where((F.col("n") >= rules.orphan_listings) & (F.col("employers") >= rules.orphan_companies))
     weighed = _with_total(enough, market).select("skill", idf(F.col("n"), F.col("total")).alias("idf"))
     mine = own.select("person", "skill").distinct().join(weighed, "skill")
     middle = mine.groupBy("person").agg(F.sort_array(F.collect_list("idf")).alias("a")).select("person", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("middle"))  # a person's skills

@@ -217,7 +217,7 @@ def m23_specialists(spark, sf_dir):
     """The keyword that best serves each person's rare skills."""
     market = _market(spark, sf_dir)
     own = _own(spark, sf_dir, market)
-    priced = D.shares(_asked(spark, sf_dir).select("person", "keyword").distinct(), own, market, RULES)
+    priced = D.shares(_asked(spark, sf_dir).select("person", "keyword").distinct(), own, market, RULES, companies=False)
     return D.specialists(priced, D.rare_skills(own, market, RULES), RULES).select("person", "keyword", F.round("score", 4).alias("score"))
 
 
@@ -226,7 +226,7 @@ def m22_redundancy_deferral(spark, sf_dir):
     """Everyone's keywords with those behind of which earlier ones have bought most."""
     market, asked = _market(spark, sf_dir), _asked(spark, sf_dir)
     ask = asked.groupBy("person", "keyword").agg(F.min("rank").alias("rank"), F.max("held").alias("held"))
-    priced = D.shares(ask.select("person", "keyword"), _own(spark, sf_dir, market), market, RULES).join(ask, ["person", "keyword"])
+    priced = D.shares(ask.select("person", "keyword"), _own(spark, sf_dir, market), market, RULES, companies=False).join(ask, ["person", "keyword"])
     return D.redundant_last(priced)
 
 

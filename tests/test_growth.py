@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import signals as S
 from gristmill.functions.text import located
-from gristmill.operators import audits, counterfactuals, gate, market
+from gristmill.operators import audits, counterfactuals, derivation, gate, market
 from gristmill.plans import all_queries
 from gristmill.sources.tables import market_rows
 from tests.test_oracle import SF
@@ -128,3 +128,30 @@ def test_rows_meet_people_by_their_lists_and_count_together_in_bounded_tasks(spa
     monkeypatch.setattr(market, "AT_ONCE", 2)
     dealt = market.matching_rows(rows, people, 2, 3.0)
     assert max(int(x) for x in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", _plan(dealt))) > 20
+
+
+@pytest.mark.parametrize(("name", "passes"), [("m23_specialists", 2), ("m22_redundancy_deferral", 1)])
+def test_what_needs_no_companies_makes_no_pairs_of_titles_and_companies(spark, monkeypatch, name, passes):
+    plans, stored = [], derivation.stored
+    monkeypatch.setattr(derivation, "stored", lambda df: plans.append(_plan(df)) or stored(df))
+    plans.append(_plan(all_queries()[0][name](spark, SF)))
+    assert not [p for p in plans if re.search(r"Aggregate \[(title|term)#\d+, company", p)]
+    assert sum("l_quantity#" in p for p in plans) == passes  # once by lists of skills, and once more where employers are asked for
+
+
+def test_tables_of_a_market_are_those_of_its_rows_and_shares_do_without_companies(spark):
+    rows = _market(spark).drop("row_id")
+    tables = derivation.market_of(rows, ("large", "standard"))
+    held = [(t, c, sorted(set(k or ()))) for _, t, _, c, k in MARKET]
+    skills = {k for *_, found in held for k in found}
+    right = {k: (sum(k in found for *_, found in held), len({c for _, c, found in held if k in found and c is not None})) for k in skills}
+    assert {r.skill: (r.n, r.employers) for r in tables.employers.collect()} == right
+    assert {r.skill: r.n for r in tables.skills.collect()} == {k: n for k, (n, _) in right.items()}
+    assert {(r.title, r.skill): r.n for r in tables.uses.collect()} == {(t, k): sum(t == u and k in found for u, _, found in held) for t, _, each in held for k in each}
+    assert {r.title: r.n for r in tables.titles.collect()} == {t: sum(t == u for u, *_ in held) for t, *_ in held} and tables.total.first()[0] == len(held)
+    index = {r.fragment: (r.listings, r.companies) for r in tables.index.collect()}
+    assert index == {r.fragment: (r.listings, r.companies) for r in market.fragment_index(rows, ("large", "standard")).collect()}
+    asked = spark.createDataFrame([("p", "red ring"), ("p", "bolt"), ("q", "absent")], "person string, keyword string")
+    own = spark.createDataFrame([("p", "red"), ("p", "bolt"), ("q", "red")], "person string, skill string")
+    full, bare = derivation.shares(asked, own, tables), derivation.shares(asked, own, tables, companies=False)
+    assert sorted(map(tuple, full.drop("companies").collect())) == sorted(map(tuple, bare.collect())) and full.where("companies > 0").count() > 1
