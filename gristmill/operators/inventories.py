@@ -32,10 +32,14 @@ def outcomes(rows: DataFrame) -> DataFrame:
 
     A row without a key is kept and marginal. The best row of a key is an aggregate joined back.
     """
-    best = rows.where("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct("arrival", "unit_id"), _standing()).alias("_b"), ((F.count("*") == F.count("unit_id")) & (F.min("unit_id") == F.max("unit_id"))).alias("_alone"))
-    kept = F.col("_b").isNull() | (F.col("_b.arrival") == F.col("arrival"))
-    lost = F.when(F.col("_b.unit_id").isNull(), "free").when(F.col("_b.unit_id") == F.col("unit_id"), "same_unit").otherwise("other_paid")
-    paid = rows.where("unit_id IS NOT NULL").join(best, "key", "left")
+    top = F.max(F.struct(_standing().alias("at"), "unit_id")).alias("_b")
+    best = rows.where("key IS NOT NULL").groupBy("key").agg(top, (F.bool_and(F.col("unit_id").isNotNull()) & (F.min("unit_id") == F.max("unit_id"))).alias("_alone"))
+    best = best.select(F.col("key").alias("_key"), F.col("_b.at.score").alias("_top"), (-F.col("_b.at.back")).alias("_first"), F.col("_b.unit_id").alias("_winner"), "_alone")
+    kept = F.col("_first").isNull() | (F.col("_first") == F.col("arrival"))
+    lost = F.when(F.col("_winner").isNull(), "free").when(F.col("_winner") == F.col("unit_id"), "same_unit").otherwise("other_paid")
+    # No score is above the best one. As both sides read the same columns for that, Spark makes the shuffles below rows once for both.
+    same = (F.col("key") == F.col("_key")) & F.coalesce(F.col("score") <= F.col("_top"), F.lit(True))
+    paid = rows.where("unit_id IS NOT NULL").join(best, same, "left")
     return paid.select(*rows.columns, F.when(kept, "kept").otherwise(lost).alias("outcome"), (kept & F.coalesce("_alone", F.lit(True))).alias("marginal"))
 
 

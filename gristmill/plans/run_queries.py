@@ -9,7 +9,7 @@ from gristmill.functions.text import job_key
 from gristmill.operators import audits, comparison, counterfactuals, funnels, inventories, overlap
 from gristmill.plans.posting_queries import JOB_KEY
 from gristmill.registry import query
-from gristmill.sources.tables import ctes, plan_units, postings, results, table
+from gristmill.sources.tables import ctes, plan_units, postings, results, results_of, table
 
 R, P, B = ctes("result"), ctes("plan"), ctes("plan", "result")
 
@@ -333,7 +333,8 @@ def _bought(spark, sf_dir):
     """(rows, units) of UNITS."""
     orders = table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").select("o_orderkey", F.col("o_orderpriority").alias("provider"), ((F.year("o_orderdate") * 12 + F.month("o_orderdate")) * 5 + F.ascii("o_orderpriority")).cast("long").alias("search"), F.col("o_totalprice").cast("decimal(18,2)").alias("ceiling"))
     units = orders.groupBy(F.col("search").alias("unit_id"), F.col("search").alias("plan_index"), "provider").agg(F.sum("ceiling").alias("ceiling"))
-    rows = results(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("unit_id"), "search"), "unit_id")
+    # Keys and arrivals, which repeat what a line has in other columns, are made behind the join, so its shuffle doesn't carry them.
+    rows = results_of(table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "search"), "l_orderkey"), "search")
     return rows.select("key", F.when(F.col("source") != "A", F.col("search")).alias("unit_id"), "score", "arrival", "position"), units
 
 
@@ -376,8 +377,8 @@ LOSS = f"again AS (SELECT *, row_number() OVER (PARTITION BY scenario, unit_id,
 def a4_dedupe_outcome(spark, sf_dir):
     """What became of every paid row: kept, or lost to a free source, its own unit or another."""
     rows, units = _bought(spark, sf_dir)
-    found = inventories.outcomes(rows).join(units.select("unit_id", "provider"), "unit_id")
-    return found.groupBy("provider", "outcome", "marginal").agg(F.count("*").alias("n"))
+    found = inventories.outcomes(rows).groupBy("unit_id", "outcome", "marginal").agg(F.count("*").alias("n"))
+    return found.join(units.select("unit_id", "provider"), "unit_id").groupBy("provider", "outcome", "marginal").agg(F.sum("n").alias("n"))
 
 
 @query(B + f", {UNITS}, {FULL}, cases AS (SELECT DISTINCT 'x' AS scenario, 0 AS unit_id, provider, 0 AS depth FROM u), left_over AS (SELECT scenario, c.unit_id, c.provider, depth, key, max((score, -arrival)) AS v FROM cases c JOIN b ON b.provider IS DISTINCT FROM c.provider GROUP BY ALL), {LOSS} SELECT provider, lost, marginal_lost, top_lost, best_lost_rank FROM loss")

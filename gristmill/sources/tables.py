@@ -42,9 +42,14 @@ def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderkey").alias("plan_index"), F.col("o_orderpriority").alias("provider"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("ceiling"), (F.col("o_custkey") % 40).alias("keyword"), (F.col("o_custkey") % 7).alias("place"))
 
 
+def results_of(lines: DataFrame, *more: str) -> DataFrame:
+    """unit_id, arrival, position, key, score, source of order lines, and ``more`` of their columns."""
+    return lines.select(F.col("l_orderkey").alias("unit_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("arrival"), F.col("l_linenumber").alias("position"), F.concat_ws("-", F.col("l_partkey"), F.col("l_suppkey") % 3).alias("key"), F.col("l_quantity").cast("int").alias("score"), F.col("l_returnflag").alias("source"), *more)
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id, arrival, position, key, score, source: order lines as rows that the units brought; keys repeat between units."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("arrival"), F.col("l_linenumber").alias("position"), F.concat_ws("-", F.col("l_partkey"), F.col("l_suppkey") % 3).alias("key"), F.col("l_quantity").cast("int").alias("score"), F.col("l_returnflag").alias("source"))
+    return results_of(table(spark, sf_dir, "lineitem"))
 
 
 SQL = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import signals as S
 from gristmill.functions.text import located
-from gristmill.operators import audits, counterfactuals, derivation, gate, market
+from gristmill.operators import audits, counterfactuals, derivation, gate, inventories, market
 from gristmill.plans import all_queries
 from gristmill.sources.tables import market_rows
 from tests.test_oracle import SF
@@ -155,3 +155,21 @@ def test_tables_of_a_market_are_those_of_its_rows_and_shares_do_without_companie
     own = spark.createDataFrame([("p", "red"), ("p", "bolt"), ("q", "red")], "person string, skill string")
     full, bare = derivation.shares(asked, own, tables), derivation.shares(asked, own, tables, companies=False)
     assert sorted(map(tuple, full.drop("companies").collect())) == sorted(map(tuple, bare.collect())) and full.where("companies > 0").count() > 1
+
+
+def test_outcomes_of_paid_rows_with_ties_repeats_and_no_key(spark):
+    rows = [(1, "a", 5, 10), (2, "a", 7, 11), (2, "a", 7, 12), (None, "b", 9, 13), (1, "b", 9, 14), (3, "c", 1, 15), (3, "c", None, 16), (4, None, 2, 17), (5, "d", 3, 18), (5, "d", 3, 18), (6, "e", None, 19)]
+    found = inventories.outcomes(spark.createDataFrame(rows, "unit_id long, key string, score int, arrival long")).collect()
+    assert sorted((r.arrival, r.outcome, r.marginal) for r in found) == [
+        (10, "other_paid", False), (11, "kept", False), (12, "same_unit", False), (14, "free", False), (15, "kept", True), (16, "same_unit", False), (17, "kept", True), (18, "kept", True), (18, "kept", True), (19, "kept", True)]
+
+
+def test_outcomes_shuffle_the_lines_to_their_orders_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = all_queries()[0]["a4_dedupe_outcome"](spark, SF)
+        found.collect()
+        tree = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Scan parquet.*l_orderkey", tree)) == 1
