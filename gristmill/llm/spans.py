@@ -9,7 +9,7 @@ the last byte of a character project to an empty span at the character's start,
 Decoding joins what the pieces stand for. The model file gives the pieces, their scores and the map; no library encodes or decodes.
 
 Where blanks only begin pieces, no merge crosses from a letter to a blank, so a text is cut there and each word is
-merged once and remembered (a bounded number of words).
+merged once and remembered (a bounded number of words). Words that a run of texts holds for the first time are merged together, one pair of each in a round.
 
 Defined cases: null is empty; an empty text is the begin and end ids alone; repeated rows and null doc_ids
 are encoded like any other; columns other than doc_id and text are never read. In a model without byte pieces a run of unknown characters is one
@@ -23,12 +23,16 @@ import hashlib
 import heapq
 import re
 import struct
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import ODD
+
 MARK = "▁".encode()
 
 
@@ -119,36 +123,146 @@ class Normalizer:
         return data, lo, hi
 
 
+class Pairs:
+    """What two symbols merge to: a table of hashed pairs with linear probing."""
+
+    def __init__(self, left: list[int], right: list[int], both: list[int]):
+        keys = self.key(np.array(left, np.int64), np.array(right, np.int64))
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.both = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slots, both = self.slot(keys), np.array(both, np.int32)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            here = self.keys[slots] == keys
+            self.both[slots[here]] = both[here]
+            keys, both, slots = keys[~here], both[~here], slots[~here] + 1 & self.mask
+
+    @staticmethod
+    def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << 32 | right
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(ODD) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged symbol of each pair, -1 where there is none."""
+        keys = self.key(left, right)
+        slots = self.slot(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.both[slots], np.int32(-1))
+        rest = np.flatnonzero((held != keys) & (held >= 0))
+        while len(rest):
+            slots[rest] = slots[rest] + 1 & self.mask
+            held = self.keys[slots[rest]]
+            hit = held == keys[rest]
+            out[rest[hit]] = self.both[slots[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return out
+
+
 class Merger(dict):
-    """Packed unsigned 32-bit ids of a stretch of normalised text, remembered for short stretches."""
+    """Packed unsigned 32-bit ids of a stretch of normalised text, remembered for short stretches (a bounded number before each run of texts)."""
 
     def __init__(self, ids: dict[str, int], scores: dict[str, float], unknown: int, raw: list[int] | None, most: int = 400_000, short: int = 40):
         self.ids, self.unknown, self.raw, self.most, self.short = ids, unknown, raw, most, short
         place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.ranks, self.last = {text: place[score] for text, score in scores.items()}, len(place)
+        self.ranks = {text: place[score] for text, score in scores.items()}
+        symbols = {text: k for k, text in enumerate([*ids, *sorted({c for text in ids for c in text} - ids.keys())])}
+        splits = [(symbols[text[:k]], symbols[text[k:]], symbols[text]) for text in self.ranks for k in range(1, len(text)) if text[:k] in symbols and text[k:] in symbols]
+        self.pairs = Pairs(*zip(*splits)) if splits else Pairs([], [], [])
+        self.other = len(symbols)  # any character that no piece holds, and what lies beyond a stretch
+        self.id_of = np.array([ids.get(text, -1) for text in symbols] + [-1], np.int64)
+        self.symbol_of = np.full(0x110000, self.other, np.int32)
+        for text, k in symbols.items():
+            if len(text) == 1:
+                self.symbol_of[ord(text)] = k
+        self.last = len(place) * 64
+        self.rank_of = np.array([place[scores[text]] * 64 if text in scores else self.last for text in symbols] + [self.last] * 2, np.int32)
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.named(self.merged(list(text)) if len(text) <= self.short else self.merged_long(list(text)))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= self.short:
-            if len(self) >= self.most:
-                self.clear()
-            self[text] = packed
-        return packed
-
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merges by looking for the best pair again and again; for stretches of a few characters."""
-        rank, last = self.ranks.get, self.last
-        pairs = [rank(a + b, last) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) < last:
-            k = pairs.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del pairs[k]
-            if k:
-                pairs[k - 1] = rank(parts[k - 1] + parts[k], last)
-            if k < len(pairs):
-                pairs[k] = rank(parts[k] + parts[k + 1], last)
-        return parts
+        if 0 < len(text) <= self.short:
+            self.learn([text])
+            return self[text]
+        ids = self.named(self.merged_long(list(text)))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Remember the short ones of ``stretches``: all that are new are merged together."""
+        if len(self) >= self.most:
+            self.clear()
+        fresh = sorted((x for x in set(stretches).difference(self) if 0 < len(x) <= self.short), key=len)
+        if not fresh:
+            return
+        whole = "".join(fresh)
+        data = np.frombuffer(whole.encode(), np.uint8)
+        sizes = np.array([len(x) for x in fresh])
+        starts = np.cumsum(sizes) - sizes
+        symbols = self.symbol_of[np.frombuffer(whole.encode("utf-32-le"), "<u4")]
+        live = np.ones(len(symbols), bool)
+        at = 0
+        while at < len(fresh):
+            to = int(np.searchsorted(sizes, sizes[at] + sizes[at] // 4, "right"))
+            self._merge(symbols, live, starts[at:to], sizes[at:to])
+            at = to
+        place = np.flatnonzero(live)
+        ids = self.id_of[symbols[place]]
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        n = np.ones(len(ids), np.int64)
+        if self.raw is not None:
+            n = np.where(ids < 0, np.diff(np.append(first, len(data)))[place], n)
+        ends = np.cumsum(n)
+        out = np.repeat(ids, n)
+        lack = np.flatnonzero(out < 0)
+        if self.raw is None:
+            out[lack] = self.unknown
+        elif len(lack):
+            out[lack] = np.array(self.raw)[data[np.repeat(first[place] - (ends - n), n)[lack] + lack]]
+        packed = out.astype("<u4").tobytes()
+        cuts = (4 * np.append(0, ends)[np.searchsorted(place, np.append(starts, len(live)))]).tolist()
+        self.update((x, packed[lo:hi]) for x, lo, hi in zip(fresh, cuts, cuts[1:]))
+
+    def _merge(self, symbols: np.ndarray, live: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Merge the stretches that start at ``starts``: in each round the best pair of every one, the leftmost of those.
+
+        A column is a stretch, rows 1 to n are its characters; a merged symbol stands where its first character did. ``keys`` holds a pair's rank times 64
+        and its row.
+        """
+        n, most = len(starts), int(sizes.max())
+        rows = np.arange(most)[:, None]
+        inside = rows < sizes
+        source = (starts + rows)[inside]
+        table = np.full((most + 2, n), self.other, np.int32)
+        table[1:-1][inside] = symbols[source]
+        both = np.full((most + 2, n), -1, np.int32)
+        both[1:-1] = self.pairs(table[1:-1].ravel(), table[2:].ravel()).reshape(most, n)
+        row = np.arange(most + 2, dtype=np.int32)[:, None]
+        keys = self.rank_of[both] + row
+        after, before = np.repeat(row + 1, n, 1).ravel(), np.repeat(row - 1, n, 1).ravel()
+        stays = np.ones((most + 2, n), bool).ravel()
+        table, both, flat = table.ravel(), both.ravel(), keys.ravel()
+        active = np.arange(n)
+        while len(active):
+            best = np.take(keys, active, axis=1).min(axis=0)
+            going = best < self.last
+            active, spot = active[going], best[going] & 63
+            here = spot * n + active
+            gone = after[here] * n + active
+            table[here] = both[here]
+            stays[gone] = False
+            right = after[gone]
+            left = before[here]
+            after[here] = right
+            flat[gone] = self.last
+            ahead, behind = right * n + active, left * n + active
+            before[ahead] = spot
+            made = self.pairs(np.concatenate([table[here], table[behind]]), np.concatenate([table[ahead], table[here]]))
+            pair = np.concatenate([here, behind])
+            both[pair] = made
+            flat[pair] = self.rank_of[made] + np.concatenate([spot, left])
+        symbols[source] = table.reshape(most + 2, n)[1:-1][inside]
+        live[source] = stays.reshape(most + 2, n)[1:-1][inside]
 
     def merged_long(self, parts: list[str]) -> list[str]:
         """The same with a queue of pairs, for stretches of any length."""
@@ -217,16 +331,34 @@ class SpanEncoder:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, end): each id with its span in the bytes of ``text``; begin and end ids stand at the two ends."""
-        data = text.encode()
-        normal, lo, hi = self.normalize(data)
-        whole = normal.decode()
-        stretches = self.stretch.findall(whole) if self.stretch else [whole]
-        ids = np.frombuffer(b"".join(map(self.merged.__getitem__, stretches)), "<u4")
-        width = self.width[ids]
-        if self.raw is None and (ids == self.unknown).any():
-            ids, width = self._unknown_runs(normal, ids, width)
-        ids = np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32)
-        return ids, *self._project(ids, np.concatenate([[0], width, [0]]), np.append(lo, len(data)), np.append(hi, len(data)))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each text; new stretches of runs of about ``most`` characters, or of one text, are merged together."""
+        run, size = [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= most:
+                yield from self._encode_run(run)
+                run, size = [], 0
+        yield from self._encode_run(run)
+
+    def _encode_run(self, run: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        cut = []
+        for text in run:
+            data = text.encode()
+            normal, lo, hi = self.normalize(data)
+            whole = normal.decode()
+            cut.append((normal, np.append(lo, len(data)), np.append(hi, len(data)), self.stretch.findall(whole) if self.stretch else [whole]))
+        self.merged.learn(chain.from_iterable(stretches for *_, stretches in cut))
+        for normal, lo, hi, stretches in cut:
+            ids = np.frombuffer(b"".join(map(self.merged.__getitem__, stretches)), "<u4")
+            width = self.width[ids]
+            if self.raw is None and (ids == self.unknown).any():
+                ids, width = self._unknown_runs(normal, ids, width)
+            ids = np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32)
+            yield ids, *self._project(ids, np.concatenate([[0], width, [0]]), lo, hi)
 
     def _unknown_runs(self, normal: bytes, ids: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width, at = width.copy(), 0
@@ -296,8 +428,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         encoder = SpanEncoder(model)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, begins, ends = encoder.encode(text.as_py() or "")
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc, (ids, begins, ends) in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
                 one = [pa.array([doc], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.astype(np.int32)]), pa.array([begins]), pa.array([ends]), pa.array([encoder.decode(ids)], pa.string())]
                 yield pa.RecordBatch.from_arrays(one, ["doc_id", "n_tokens", "ids", "begins", "ends", "decoded"])
 
@@ -312,8 +444,8 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, begins, ends = encoder.encode(text.as_py() or "")
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc, (ids, begins, ends) in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
                 spans = np.stack([begins, ends], 1).astype("<i8").tobytes()
                 rows.append((doc, len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), encoder.decode(ids).encode(), spans))))
             if rows:

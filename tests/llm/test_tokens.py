@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -136,6 +137,23 @@ def test_own_path_follows_the_library():
         assert own.decode(np.array(ids, int)) == library.decode(ids), ids
 
 
+def test_new_words_are_merged_together():
+    """Words seen for the first time cost a few calls of Python each, not one for each of their pairs."""
+    own, library = spans.SpanEncoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng, calls = random.Random(12), []
+    letters = list("aaabcdeeefghiiinorstuxé日") + ["th", "ing", "\n", "🤦🏼", "\0"]
+    words = " ".join("".join(rng.choices(letters[:23], k=12)) for _ in range(10_000))
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    ids = own.encode(words)[0]
+    sys.setprofile(None)
+    assert ids.tolist() == library.encode(words, add_bos=True, add_eos=True) and len(calls) < 15 * 10_000
+    texts = [" ".join("".join(rng.choices(letters, k=rng.choice([1, 5, 9, 14, 39, 60]))) for _ in range(rng.randrange(80))) for _ in range(200)]
+    few = spans.SpanEncoder(MODEL)
+    few.merged.most = 3000
+    for text, ids, made in zip(texts * 2, library.encode(texts * 2, add_bos=True, add_eos=True), few.encode_all(texts * 2, 5000)):
+        assert made[0].tolist() == ids and all((x == y).all() for x, y in zip(made, own.encode(text)))
+
+
 @pytest.mark.parametrize("squeeze", [True, False])
 @pytest.mark.parametrize("prefix", [True, False])
 def test_mapped_model_without_byte_pieces(tmp_path, documents, squeeze, prefix):
