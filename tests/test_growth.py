@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -173,3 +174,22 @@ def test_outcomes_shuffle_the_lines_to_their_orders_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(re.findall(r"Scan parquet.*l_orderkey", tree)) == 1
+
+
+def test_twins_are_dealt_over_tasks_by_pairs_and_come_out_in_blocks(spark, tmp_path):
+    """Few bytes make many pairs: they may not end up in the tasks that the bytes are worth, nor in an order that a file can't pack."""
+    rng = random.Random(9)
+    ids = rng.sample(range(70_000), 3000)
+    orders = [(k, rng.choice([0, 7, 1, 2, 3, 40, 41, 47, 80]), "1", "F", 1.0) for k in ids]
+    lines = [(k, n, rng.randrange(30), 1, 1.0, "A") for k in ids for n in range(rng.randrange(1, 8))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys = {}
+    for k, _, part, *_ in lines:
+        keys.setdefault(k, set()).add(part)
+    right = sorted((a, b, len(keys[a] & keys[b])) for a, c, *_ in orders if c % 7 == 0 for b, e, *_ in orders if b < a and e % 7 and c % 40 == e % 40)
+    got = all_queries()[0]["d18_twins"](spark, str(tmp_path)).withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").collect()
+    assert sorted((r.remote, r.twin, r.shared) for r in got) == right and {n for *_, n in right} >= {0, 1, 2}
+    assert len({r["_task"] for r in got}) >= 8
+    starts = sum(x.twin != y.twin or x["_task"] != y["_task"] for x, y in zip(got, got[1:]))
+    assert starts < len({(b, a >> 15) for a, b, _ in right})
