@@ -163,10 +163,10 @@ class Pairs:
 
 
 class Merger(dict):
-    """Packed unsigned 32-bit ids of a stretch of normalised text, remembered for short stretches (a bounded number before each run of texts)."""
+    """Packed unsigned 32-bit ids of a stretch of normalised text, remembered for short stretches: at most ``most`` and those learnt last."""
 
-    def __init__(self, ids: dict[str, int], scores: dict[str, float], unknown: int, raw: list[int] | None, most: int = 400_000, short: int = 40):
-        self.ids, self.unknown, self.raw, self.most, self.short = ids, unknown, raw, most, short
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], unknown: int, raw: list[int] | None, most: int = 400_000, short: int = 40, part: int = 1 << 16):
+        self.ids, self.unknown, self.raw, self.most, self.short, self.part = ids, unknown, raw, most, short, part
         place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {text: place[score] for text, score in scores.items()}
         symbols = {text: k for k, text in enumerate([*ids, *sorted({c for text in ids for c in text} - ids.keys())])}
@@ -188,6 +188,15 @@ class Merger(dict):
         ids = self.named(self.merged_long(list(text)))
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def joined(self, stretches: list[str]) -> bytes:
+        """All ids of a text of any length, learnt in parts of ``part`` stretches."""
+        out = []
+        for at in range(0, len(stretches), self.part):
+            part = stretches[at : at + self.part]
+            self.learn(part)
+            out.append(b"".join(map(self.__getitem__, part)))
+        return b"".join(out)
+
     def learn(self, stretches: Iterable[str]) -> None:
         """Remember the short ones of ``stretches``: all that are new are merged together."""
         if len(self) >= self.most:
@@ -334,14 +343,14 @@ class SpanEncoder:
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: Iterable[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``encode`` of each text; new stretches of runs of about ``most`` characters, or of one text, are merged together."""
+        """``encode`` of each text; new stretches of runs of at most ``most`` characters, or of one text's parts, are merged together."""
         run, size = [], 0
         for text in texts:
-            run.append(text)
-            size += len(text)
-            if size >= most:
+            if run and size + len(text) > most:
                 yield from self._encode_run(run)
                 run, size = [], 0
+            run.append(text)
+            size += len(text)
         yield from self._encode_run(run)
 
     def _encode_run(self, run: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -351,9 +360,10 @@ class SpanEncoder:
             normal, lo, hi = self.normalize(data)
             whole = normal.decode()
             cut.append((normal, np.append(lo, len(data)), np.append(hi, len(data)), self.stretch.findall(whole) if self.stretch else [whole]))
-        self.merged.learn(chain.from_iterable(stretches for *_, stretches in cut))
+        if len(run) > 1:
+            self.merged.learn(chain.from_iterable(stretches for *_, stretches in cut))
         for normal, lo, hi, stretches in cut:
-            ids = np.frombuffer(b"".join(map(self.merged.__getitem__, stretches)), "<u4")
+            ids = np.frombuffer(b"".join(map(self.merged.__getitem__, stretches)) if len(run) > 1 else self.merged.joined(stretches), "<u4")
             width = self.width[ids]
             if self.raw is None and (ids == self.unknown).any():
                 ids, width = self._unknown_runs(normal, ids, width)

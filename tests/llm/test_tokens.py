@@ -149,9 +149,10 @@ def test_new_words_are_merged_together():
     assert ids.tolist() == library.encode(words, add_bos=True, add_eos=True) and len(calls) < 15 * 10_000
     texts = [" ".join("".join(rng.choices(letters, k=rng.choice([1, 5, 9, 14, 39, 60]))) for _ in range(rng.randrange(80))) for _ in range(200)]
     few = spans.SpanEncoder(MODEL)
-    few.merged.most = 3000
+    few.merged.most, few.merged.part = 3000, 100
     for text, ids, made in zip(texts * 2, library.encode(texts * 2, add_bos=True, add_eos=True), few.encode_all(texts * 2, 5000)):
         assert made[0].tolist() == ids and all((x == y).all() for x, y in zip(made, own.encode(text)))
+    assert few.encode(" ".join(texts))[0].tolist() == library.encode(" ".join(texts), add_bos=True, add_eos=True) and len(few.merged) < 3100
 
 
 @pytest.mark.parametrize("squeeze", [True, False])
