@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import signals as S
 from gristmill.functions.text import located
-from gristmill.operators import audits, counterfactuals, derivation, gate, inventories, market
+from gristmill.operators import audits, counterfactuals, derivation, gate, inventories, market, overlap
 from gristmill.plans import all_queries
 from gristmill.sources.tables import market_rows
 from tests.test_oracle import SF
@@ -193,3 +193,25 @@ def test_twins_are_dealt_over_tasks_by_pairs_and_come_out_in_blocks(spark, tmp_p
     assert len({r["_task"] for r in got}) >= 8
     starts = sum(x.twin != y.twin or x["_task"] != y["_task"] for x, y in zip(got, got[1:]))
     assert starts < len({(b, a >> 15) for a, b, _ in right})
+
+
+def test_sets_of_few_keys_without_a_common_one_are_seldom_compared(spark):
+    """Pairs grow with the square of the units: a comparison of two sets costs more than making and writing a pair."""
+    rng = random.Random(5)
+    sets = spark.createDataFrame([(n, [f"{rng.randrange(2000)}-{rng.randrange(3)}" for _ in range(rng.randrange(1, 8))]) for n in range(700)] + [(700, []), (701, ["7-1"] * 3)], "id long, keys array<string>")
+    side = lambda name: sets.select(F.struct("id", *overlap.masks("keys"), "keys").alias(name))
+    met = side("t").crossJoin(side("r")).select(overlap.may_share("t", "r").alias("open"), F.arrays_overlap("t.keys", "r.keys").alias("share")).groupBy("open", "share").count().collect()
+    n = {(r.open, r.share): r["count"] for r in met}
+    assert (False, True) not in n and n[True, True] > 700
+    assert n[True, False] < 0.02 * n[False, False]
+
+
+def test_what_a_row_of_the_join_of_twins_makes_is_bounded(spark):
+    """Rows made from one row of a join stay in memory until its last match: lists that meet are short, and are taken apart behind the join."""
+    units = spark.range(40_000).select(F.col("id").alias("unit_id"), F.lit(3).alias("keyword"), F.array(F.col("id").cast("string")).alias("keys"))
+    held = overlap._pieces(units, 64).select(F.size("held").alias("n"), F.explode("held.id").alias("id")).agg(F.max("n"), F.count("*"), F.countDistinct("id")).first()
+    assert tuple(held) == (64, 40_000, 40_000)
+    tree = [x.strip(" :+-*()0123456789") for x in overlap.twins(units.where("unit_id % 7 = 0"), units.where("unit_id % 7 > 0"))._jdf.queryExecution().sparkPlan().toString().split("\n")]
+    at = {n: next(i for i, x in enumerate(tree) if x.startswith(n)) for n in ("Coalesce", "SortMergeJoin")}
+    assert sum(x.startswith("Generate") for x in tree[: at["Coalesce"]]) == 2
+    assert not any(x.startswith("Generate") for x in tree[at["Coalesce"] : at["SortMergeJoin"]])
